@@ -13,24 +13,21 @@ from ..functions.rng import key_hash
 from ..session import shuffle_width
 
 
-def _on(left: DataFrame, right: DataFrame, keys: Sequence[str], null_keys_match: bool):
-    if not null_keys_match:
-        return list(keys)
-    terms = [left[k].eqNullSafe(right[k]) for k in keys]
-    return functools.reduce(lambda a, b: a & b, terms)
-
-
 def left_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str] | str, suffix: str = "_right", null_keys_match: bool = False
 ) -> DataFrame:
-    """Left join on key columns; colliding right-hand names get ``suffix``."""
+    """Left join on key columns; colliding right-hand names get ``suffix``.
+
+    With ``null_keys_match`` a null key equals a null key.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
     right = suffix_collisions(right, left.columns, keys, suffix)
-    joined = left.join(right, _on(left, right, keys, null_keys_match), "left")
-    if null_keys_match:
-        rest = [right[c] for c in right.columns if c not in keys]
-        joined = joined.select(*[left[c] for c in left.columns], *rest)
-    return joined
+    if not null_keys_match:
+        return left.join(right, keys, "left")
+    other = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(other)
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()])
+    return left.join(right, same, "left").drop(*other.values())
 
 
 def join_available(
