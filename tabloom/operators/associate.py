@@ -9,9 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import chi2_pvalue, f_pvalue
+from ..session import cut_lineage
 from .gram import names, pearson_pairs
+from .joins import edge_lookup
 from .kendall import kendall_pairs
-from .ranking import average_rank, bucket_edges, long_values, rank_counts, with_buckets, wide_ranks
+from .ranking import (
+    average_rank, bucket_edges, long_values, rank_counts, starts_bucket, wide_ranks, with_buckets,
+)
 
 
 def corr_matrix(
@@ -42,9 +46,21 @@ def spearman_pairs(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> Da
     parts = []
     if full:
         parts.append(pearson_pairs(wide_ranks(df, key, full, keep_key=False), full).select("x", "y", "r", "n"))
-    with_gaps = [(a, b) for i, a in enumerate(cols) for b in cols[i:] if a in gaps or b in gaps]
+    with_gaps = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :] if a in gaps or b in gaps]
     if with_gaps:
         parts.append(_spearman_on_shared_rows(df, cols, with_gaps))
+    if gaps:
+        own = F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("x"), F.lit(c).alias("y"),
+                    F.when(F.min(c) != F.max(c), F.lit(1.0)).alias("r"), F.count(c).alias("n"),
+                )
+                for c in cols
+                if c in gaps
+            ]
+        )
+        parts.append(df.agg(own.alias("s")).select(F.inline("s")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -52,39 +68,37 @@ def spearman_pairs(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> Da
 
 
 def _spearman_on_shared_rows(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """Collapse each pair to (x, y, count) and rank both sides inside the pair.
+    """Collapse each pair to (x, y, count), rank both sides inside the pair, and sum products.
 
-    Equal x values share a rank, so ranks come from the (pair, x) counts; a hot x value is
-    one row there. Sums of rank products need the joint counts only, which carry the rank
-    of each side through a join against those small-per-value rows.
+    Equal x values share a rank, so ranks come from the (pair, x) counts; a hot x value is one
+    row there. The joint counts pick their ranks up by value, hot values from a broadcast:
+    they are bucket edges, at most two per bucket of every pair.
     """
-    from .joins import skew_safe_left_join
+    edges = bucket_edges(df, cols)
+    binned = with_buckets(df.select(*cols), edges)
+
+    def side(c: str, tag: str) -> list[Column]:
+        b = F.col("_b_" + c)
+        return [b.alias("b" + tag), F.col(c).alias("v" + tag), starts_bucket(edges[c], b, F.col(c)).alias("e" + tag)]
 
-    binned = with_buckets(df.select(*cols), bucket_edges(df, cols))
     cells = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("pair"),
-                F.col("_b_" + a).alias("bx"), F.col("_b_" + b).alias("by"),
-                F.col(a).alias("vx"), F.col(b).alias("vy"),
-            )
-            for p, (a, b) in enumerate(pairs)
-        ]
+        *[F.struct(F.lit(p).alias("pair"), *side(a, "x"), *side(b, "y")) for p, (a, b) in enumerate(pairs)]
     )
     joint = (
         binned.select(F.inline(cells))
         .where(F.col("vx").isNotNull() & F.col("vy").isNotNull())
-        .groupBy("pair", "bx", "by", "vx", "vy")
+        .groupBy("pair", "bx", "vx", "ex", "by", "vy", "ey")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    for b, v, r in (("bx", "vx", "rx"), ("by", "vy", "ry")):
-        side = joint.groupBy("pair", b, v).agg(F.sum("c").alias("n")).withColumnRenamed(b, "bucket")
-        ranks = rank_counts(side, ["pair"], v).withColumnRenamed("bucket", b)
-        # at most 64 values per pair hold more than 1/64 of its rows
-        hot = ranks.where((F.col("ties") * 64 > F.col("total")) & (F.col("ties") > 1)).select("pair", b, v)
-        table = ranks.select("pair", b, v, average_rank().alias(r))
-        joint = skew_safe_left_join(joint, table, ["pair", b, v], ["pair", "vx", "vy"], hot)
-    # ranks of a pair average (n + 1) / 2, so centre on the pair's own mean without a second pass
+    # both sides and the sums read the joint counts: keep them once instead of three scans
+    joint = cut_lineage(joint)
+    for tag in ("x", "y"):
+        b, v, e = "b" + tag, "v" + tag, "e" + tag
+        counts = joint.groupBy("pair", b, v, e).agg(F.sum("c").alias("n")).withColumnRenamed(b, "bucket")
+        ranks = rank_counts(counts, ["pair"], v).select(
+            "pair", F.col("bucket").alias(b), v, e, average_rank().alias("r" + tag)
+        )
+        joint = edge_lookup(joint, ranks, ["pair", b, v], ["pair", "vx", "vy"], e)
     w = F.col("c").cast("double")
     sums = joint.groupBy("pair").agg(
         F.sum(w).alias("n"),
@@ -137,13 +151,13 @@ def contingency(df: DataFrame, cols: Sequence[str], null_level: str | None = "0.
             for j in range(i + 1, len(cols))
         ]
     )
-    # combine equal rows first: few levels per column make this a large reduction before the fan-out
-    rows = df.select(*levels).groupBy(*cols).agg(F.count(F.lit(1)).alias("_w"))
-    cells = rows.select("_w", F.inline(pairs))
+    # few levels per column: the map-side combine leaves at most levels x levels rows per pair and task
     return (
-        cells.where(F.col("vx").isNotNull() & F.col("vy").isNotNull())
+        df.select(*levels)
+        .select(F.inline(pairs))
+        .where(F.col("vx").isNotNull() & F.col("vy").isNotNull())
         .groupBy("i", "j", "vx", "vy")
-        .agg(F.sum("_w").cast("double").alias("o"))
+        .agg(F.count(F.lit(1)).cast("double").alias("o"))
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rng import key_hash, key_uniform
-from ..session import cut_lineage
+from ..session import balanced, cut_lineage
 from .features import as_matrix, feature_matrix
 from .gram import covariance_matrix
 from .profile import quantile_threshold
@@ -93,15 +93,20 @@ def isolation_trees(
 ) -> DataFrame:
     """Node table of the forest.
 
-    A key-hash filter keeps a pool of about 2 x trees x sample rows whatever the table size;
-    each tree then takes its ``sample`` rows of the pool without replacement.
+    Key hashes leave each tree about 2 x ``sample`` candidate rows whatever the table size, of
+    which it takes ``sample`` without replacement. Large tables give every candidate to one
+    tree; on small ones a row may serve several.
     """
     n = matrix.count()
-    share = min(1.0, 2.0 * trees * sample / max(n, 1))
-    pool = matrix.where(key_uniform(key, seed) < share) if share < 1.0 else matrix
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_h", key_hash([*key, "tree"], seed + 1)
-    )
+    wanted = 2.0 * trees * sample
+    if n > 2 * wanted:
+        pool = matrix.where(key_uniform(key, seed) < wanted / n)
+        drawn = pool.withColumn("tree", F.pmod(key_hash(key, seed + 1), F.lit(trees)).cast("int"))
+    else:
+        drawn = matrix.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        if n > 2 * sample:
+            drawn = drawn.where(key_uniform([*key, "tree"], seed) < 2.0 * sample / n)
+    drawn = drawn.withColumn("_h", key_hash([*key, "tree"], seed + 2))
     place = F.row_number().over(W.partitionBy("tree").orderBy("_h", *key))
     chosen = drawn.withColumn("_p", place).where(F.col("_p") <= sample).select("tree", "_p", "features")
 
@@ -152,6 +157,7 @@ def isolation_forest(
     matrix: DataFrame, key: Sequence[str], trees: int = 100, sample: int = 256, contamination: float = 0.1, seed: int = 42
 ) -> DataFrame:
     """(key..., isolation_forest, isolation_forest_outlier)."""
+    matrix = balanced(matrix, key)
     n = matrix.count()
     nodes = isolation_trees(matrix, key, trees, sample, seed)
     scores = cut_lineage(isolation_scores(matrix, key, nodes, min(sample, n)))
@@ -179,6 +185,7 @@ def one_class_svm(
     Only vectors of ``components`` numbers travel to the driver.
     """
     spark = matrix.sparkSession
+    matrix = balanced(matrix, key)
     first = matrix.select(F.size("features").alias("d")).first()
     d = first["d"]
     if gamma is None:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rng import key_hash, normals
-from ..session import cut_lineage
+from ..session import balanced, cut_lineage
 from .features import as_matrix
 from .sampling import draw_labels, label_distribution
 
@@ -160,8 +160,11 @@ class FlowSynthesizer:
             self.label_type = df.schema[label].dataType
             rows = rows.where(F.col(label).isNotNull())
             index = F.array_position(F.array(*[F.lit(v) for v in self.labels]), F.col(label)) - 1
-        train = rows.select(
-            F.col(vec).alias("features"), index.cast("int").alias("lab"), key_hash(key, p.seed).alias("base")
+        train = balanced(
+            rows.select(
+                F.col(vec).alias("features"), index.cast("int").alias("lab"), key_hash(key, p.seed).alias("base")
+            ),
+            ["base"],
         ).persist(StorageLevel.MEMORY_AND_DISK)
         first = train.first()
         if first is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import suffix_collisions
@@ -114,15 +114,37 @@ def skew_safe_left_join(
     keys = list(keys)
     payload = [c for c in unique.columns if c not in keys]
     marked = hot.select(*keys).withColumn("_is_hot", F.lit(True))
-    few = unique.join(F.broadcast(marked), keys, "inner").select(
-        *keys, F.struct(*payload).alias("_hot")
+    few = unique.join(F.broadcast(marked), keys, "inner").drop("_is_hot")
+    probe = big.join(F.broadcast(marked), keys, "left")
+    return _split_lookup(probe, F.col("_is_hot").isNotNull(), few, unique, keys, payload, spread).select(
+        *big.columns, *payload
     )
+
+
+def edge_lookup(
+    big: DataFrame, unique: DataFrame, keys: Sequence[str], spread: Sequence[str], flag: str
+) -> DataFrame:
+    """As :func:`skew_safe_left_join` where both sides carry a boolean column that marks possible hot keys.
+
+    The flagged entries must be few (bucket edges are), because they are broadcast.
+    """
+    keys = list(keys)
+    payload = [c for c in unique.columns if c not in (*keys, flag)]
+    few = unique.where(F.col(flag)).drop(flag)
+    rest = unique.where(~F.col(flag)).drop(flag)
+    return _split_lookup(big, F.col(flag), few, rest, keys, payload, spread).select(*big.columns, *payload)
+
+
+def _split_lookup(
+    probe: DataFrame, is_hot: Column, few: DataFrame, rest: DataFrame, keys: list[str], payload: list[str],
+    spread: Sequence[str],
+) -> DataFrame:
     null_key = functools.reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    probe = big.join(F.broadcast(few), keys, "left").withColumn(
-        "_salt",
-        F.when(null_key | F.col("_hot").isNotNull(), key_hash(list(spread), 7)).otherwise(F.lit(0).cast("bigint")),
+    salted = probe.withColumn(
+        "_salt", F.when(null_key | is_hot, key_hash(list(spread), 7)).otherwise(F.lit(0).cast("bigint"))
     )
-    rest = unique.select(*keys, F.lit(0).cast("bigint").alias("_salt"), F.struct(*payload).alias("_cold"))
-    joined = probe.join(rest, [*keys, "_salt"], "left")
-    picked = [F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in payload]
-    return joined.select(*[F.col(c) for c in big.columns], *picked)
+    few = few.select(*keys, F.struct(*payload).alias("_hot"))
+    cold = rest.select(*keys, F.lit(0).cast("bigint").alias("_salt"), F.struct(*payload).alias("_cold"))
+    joined = salted.join(F.broadcast(few), keys, "left").join(cold, [*keys, "_salt"], "left")
+    kept = [F.col(c) for c in probe.columns]
+    return joined.select(*kept, *[F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in payload])

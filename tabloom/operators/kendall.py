@@ -81,7 +81,8 @@ def kendall_pairs(df: DataFrame, cols: Sequence[str], ranges: int | None = None)
     )
     cells = (
         binned.select(F.inline(points))
-        .where(F.col("vx").isNotNull() & F.col("vy").isNotNull())
+        # all key columns, so that every branch below has the same input and shares its shuffle
+        .where(" AND ".join(f"{c} IS NOT NULL" for c in ("bx", "by", "vx", "vy")))
         .groupBy("pair", "bx", "by", "vx", "vy")
         .agg(F.count(F.lit(1)).cast("double").alias("c"))
     )

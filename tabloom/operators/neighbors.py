@@ -27,6 +27,7 @@ from .joins import hot_keys, skew_safe_left_join
 from .ranking import exact_quantiles
 
 BLOCK_ROWS = 2048
+MAX_BLOCKS = 500_000  # the block table is read on the driver and broadcast; blocks grow beyond this
 MAX_PIVOTS = 1024
 QUERY_CHUNK = 256
 
@@ -113,13 +114,14 @@ def _assign(locations: DataFrame, pivots: np.ndarray, metric: str, id_type: str)
     return locations.mapInPandas(nearest, f"rep {id_type}, vec array<double>, cell int, radius double")
 
 
-def _block_layout(assigned: DataFrame, rings: int = 64) -> tuple[DataFrame, pd.DataFrame]:
+def _block_layout(assigned: DataFrame, n: int, rings: int = 64) -> tuple[DataFrame, pd.DataFrame]:
     """Add ``block``: cell x distance ring x hash slice, none above about BLOCK_ROWS locations.
 
-    Returns the block table (cell, lo, hi, n): bounded by locations / BLOCK_ROWS plus pivots x rings.
+    Returns the block table (cell, lo, hi, n), at most MAX_BLOCKS plus pivots x rings rows.
     """
+    rows = max(BLOCK_ROWS, -(-n // MAX_BLOCKS))
     sizes = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("far"))
-    cuts = sizes.withColumn("rings", F.least(F.lit(rings), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int"))
+    cuts = sizes.withColumn("rings", F.least(F.lit(rings), F.ceil(F.col("n") / rows)).cast("int"))
     ringed = assigned.join(F.broadcast(cuts.select("cell", "far", "rings")), "cell").withColumn(
         "ring",
         F.least(
@@ -127,7 +129,7 @@ def _block_layout(assigned: DataFrame, rings: int = 64) -> tuple[DataFrame, pd.D
             F.coalesce(F.floor(F.try_divide(F.col("radius"), F.col("far")) * F.col("rings")), F.lit(0)).cast("int"),
         ),
     )
-    slices = ringed.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("slices"))
+    slices = ringed.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("slices"))
     sliced = ringed.join(F.broadcast(slices), ["cell", "ring"]).withColumn(
         "slice", F.pmod(key_hash(["rep"], 11), F.col("slices")).cast("int")
     )
@@ -142,7 +144,7 @@ def _block_layout(assigned: DataFrame, rings: int = 64) -> tuple[DataFrame, pd.D
 def _search(
     locations: DataFrame, k: int, metric: str, seed: int, n: int, probes: int | None, id_type: str
 ) -> DataFrame:
-    """(rep, nbr, dist): up to k nearest other locations of every location."""
+    """(rep, nbr, dist, rk): up to k nearest other locations of every location."""
     spark = locations.sparkSession
     wanted = int(min(max(math.sqrt(n) / 4, 1), MAX_PIVOTS))
     chosen = locations.select("vec").orderBy(key_hash(["vec"], seed), "vec").limit(wanted).collect()
@@ -152,7 +154,7 @@ def _search(
             locations.select(array_to_vector("vec").alias("_v"))
         )
         pivots = np.array(model.clusterCenters())
-    blocked, table = _block_layout(_assign(locations.select("rep", "vec"), pivots, metric, id_type))
+    blocked, table = _block_layout(_assign(locations.select("rep", "vec"), pivots, metric, id_type), n)
 
     # per cell: its blocks' names and distance ranges; a few numbers per BLOCK_ROWS locations
     by_cell = {
@@ -222,7 +224,7 @@ def _search(
 
     found = work.mapInPandas(compare, f"rep {id_type}, nbr {id_type}, dist double")
     place = F.row_number().over(W.partitionBy("rep").orderBy("dist", "nbr"))
-    return found.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")
+    return found.withColumn("rk", place).where(F.col("rk") <= k)
 
 
 def knn_graph(
@@ -248,6 +250,10 @@ def knn_graph(
         return points.select("id", F.col("id").alias("nbr"), F.lit(0.0).alias("dist"), F.lit(1).alias("rk")).limit(0)
     reps = _search(locations, k, metric, seed, n, probes if method == "ivf" else None, id_type)
 
+    if locations.where(F.size("ids") > 1).limit(1).count() == 0:
+        # no two rows share a location, so locations are rows
+        return reps.select(F.col("rep").alias("id"), "nbr", "dist", "rk")
+
     # the k+1 nearest ids of a location: its own ids at distance 0, then ids of near locations
     ids = locations.select("rep", "ids")
     hot_reps = hot_keys(reps.select(F.col("nbr").alias("rep")), ["rep"])

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import shuffle_width
-from .joins import skew_safe_left_join
+from .joins import edge_lookup
 
 MAX_BUCKETS = 1024
 
@@ -55,17 +55,31 @@ def with_buckets(df: DataFrame, edges: dict[str, list[float]], prefix: str = "_b
     return binned.withColumns({prefix + c: F.col(prefix + c).cast("int") for c in cols})
 
 
+def starts_bucket(edges: Sequence[float], bucket: Column, value: Column) -> Column:
+    """Whether the value is the lower edge of its bucket.
+
+    Edges are quantiles, so a value that holds more than about one bucket's share of the rows
+    is always one of them; there are at most two edges per bucket.
+    """
+    lower = F.array(*[F.lit(e) for e in edges[:-1]])
+    return F.coalesce(F.get(lower, bucket) == value, F.lit(False))
+
+
 def long_values(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), keep_nulls: bool = False) -> DataFrame:
-    """(keep..., feature, bucket, value) rows."""
-    binned = with_buckets(df, bucket_edges(df, cols))
+    """(keep..., feature, bucket, value, edge) rows; ``edge`` marks every value that may be hot."""
+    edges = bucket_edges(df, cols)
+    binned = with_buckets(df, edges)
     cells = F.array(
         *[
-            F.struct(F.lit(c).alias("feature"), F.col("_b_" + c).alias("bucket"), F.col(c).alias("value"))
+            F.struct(
+                F.lit(c).alias("feature"), F.col("_b_" + c).alias("bucket"), F.col(c).alias("value"),
+                starts_bucket(edges[c], F.col("_b_" + c), F.col(c)).alias("edge"),
+            )
             for c in cols
         ]
     )
     rows = binned.select(*keep, F.inline(cells))
-    return rows if keep_nulls else rows.where(F.col("value").isNotNull())
+    return rows if keep_nulls else rows.where(F.col("value").isNotNull() & F.col("bucket").isNotNull())
 
 
 def rank_counts(counts: DataFrame, group: Sequence[str], value: str = "value", n: str = "n") -> DataFrame:
@@ -75,6 +89,9 @@ def rank_counts(counts: DataFrame, group: Sequence[str], value: str = "value", n
     """
     group = list(group)
     part = [*group, "bucket"]
+    # stated on both branches below, so that they stay identical and share one shuffle
+    for c in (*part, value):
+        counts = counts.where(F.col(c).isNotNull())
     running = W.partitionBy(*part).orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow)
     same = W.partitionBy(*part).orderBy(value).rangeBetween(W.currentRow, W.currentRow)
     totals = counts.groupBy(*part).agg(F.sum(n).alias("_in_bucket"))
@@ -103,24 +120,19 @@ def rank_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return rank_counts(counts, ["feature"])
 
 
-def _hot_values(ranks: DataFrame, width: int) -> DataFrame:
-    """Values above a 1/width share of their feature: at most ``width`` per feature."""
-    return ranks.where((F.col("ties") * width > F.col("total")) & (F.col("ties") > 1)).select("feature", "bucket", "value")
-
-
 def long_ranks(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """(_k0..., feature, value, avg_rank, n_valid) for every cell; null cells keep a null rank."""
     keys = {f"_k{i}": F.col(k) for i, k in enumerate(key)}
     rows = long_values(df.withColumns(keys), cols, list(keys), keep_nulls=True)
     counts = (
         rows.where(F.col("value").isNotNull())
-        .groupBy("feature", "bucket", "value")
+        .groupBy("feature", "bucket", "value", "edge")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranks = rank_counts(counts, ["feature"])
-    table = ranks.select("feature", "bucket", "value", average_rank().alias("avg_rank"), F.col("total").alias("n_valid"))
-    hot = _hot_values(ranks, 4 * bucket_count(df))
-    return skew_safe_left_join(rows, table, ["feature", "bucket", "value"], list(keys), hot).drop("bucket")
+    ranks = rank_counts(counts, ["feature"]).select(
+        "feature", "bucket", "value", "edge", average_rank().alias("avg_rank"), F.col("total").alias("n_valid")
+    )
+    return edge_lookup(rows, ranks, ["feature", "bucket", "value"], list(keys), "edge").drop("bucket", "edge")
 
 
 def wide_ranks(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,5 +47,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def balanced(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spread rows evenly by key and materialise them, for work that passes over them many times."""
+    spark = df.sparkSession
+    width = max(shuffle_width(spark), spark.sparkContext.defaultParallelism)
+    return cut_lineage(df.repartition(width, *keys))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
