@@ -508,7 +508,7 @@ def _joint_pair(a: str, b: str) -> str:
         return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
 
     def bn(c: str) -> str:
-        return f"least(19, floor(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 20))"
+        return f"CASE WHEN {c} IS NOT NULL THEN least(19, floor(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 20)) END"
 
     return f"""SELECT '{a}' AS column1, '{b}' AS column2, round(corr(a, b), 6) AS pearson_correlation,
  round(corr(ra, rb), 6) AS spearman_correlation, round(covar_samp(a, b), 4) AS covariance,

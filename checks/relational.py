@@ -14,7 +14,7 @@ from tabloom.operators import joins as J
 from tabloom.operators import sampling as SP
 from tabloom.plans.assemble import Child, assemble_wide
 from tabloom.plans.reports import compare_levels
-from tabloom.session import ensure_checkpoint_dir
+from tabloom.session import scratch_root
 from tabloom.sources import catalog, convert, readers, sinks
 
 from . import GAPS_SQL, ORDERS_CUSTOMER_SQL, Registry, gaps_customer, orders_customer, r, table
@@ -25,7 +25,7 @@ add = reg.add
 
 def scratch(spark) -> str:
     """A fresh folder below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
 
 
 # --- the flagship: wide assembly --------------------------------------------------------

@@ -17,7 +17,7 @@ def clip(c: Column, low: float = -1.0, high: float = 1.0) -> Column:
 
 
 def clip_array(c: Column, low: float = -1.0, high: float = 1.0) -> Column:
-    return F.transform(c, lambda v: F.greatest(F.lit(low), F.least(F.lit(high), v)))
+    return F.transform(c, lambda v: clip(v, low, high))
 
 
 def half_even_long(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pvalues import chi2_pvalue, f_pvalue
 from ..session import cut_lineage
-from .gram import names, pearson_pairs
+from .gram import bounded, names, pearson_pairs
 from .joins import edge_lookup
 from .kendall import kendall_pairs
 from .ranking import (
@@ -115,7 +115,7 @@ def _spearman_on_shared_rows(df: DataFrame, cols: list[str], pairs: list[tuple[s
 
     return sums.select(
         side_name(0).alias("x"), side_name(1).alias("y"),
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"), F.col("n").cast("bigint").alias("n"),
+        bounded(r).alias("r"), F.col("n").cast("bigint").alias("n"),
     )
 
 
@@ -210,7 +210,7 @@ def cramers_v_matrix(
         rows_c, k_c = rows, k
     v = F.when((rows > 1) & (k > 1), F.sqrt(F.try_divide(phi2, F.least(k_c - 1, rows_c - 1))))
     return _pair_names(totals, cols).select(
-        "x", "y", F.least(F.lit(1.0), v).alias("v"), n.cast("bigint").alias("n")
+        "x", "y", bounded(v, 0.0).alias("v"), n.cast("bigint").alias("n")
     )
 
 

@@ -59,6 +59,11 @@ def pair_sums(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, np.ndarray
     return sums, shift
 
 
+def bounded(c: Column, low: float = -1.0) -> Column:
+    """Within [low, 1]; null stays null, which least and greatest alone would not keep."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(1.0), c)))
+
+
 def covariance_expr() -> Column:
     return F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.col("n") - 1)
 
@@ -69,7 +74,7 @@ def correlation_expr() -> Column:
     # a column constant on the shared rows leaves only rounding noise
     flat = (sx <= F.col("sxx") * 1e-13) | (sy <= F.col("syy") * 1e-13)
     r = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.sqrt(F.greatest(sx * sy, F.lit(0.0))))
-    return F.when((F.col("n") > 1) & ~flat, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return F.when((F.col("n") > 1) & ~flat, bounded(r))
 
 
 def names(cols: Sequence[str], index: str) -> Column:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ranking import bucket_edges, with_buckets
 
 ROWS_PER_RANGE = 1 << 19
@@ -81,12 +82,14 @@ def kendall_pairs(df: DataFrame, cols: Sequence[str], ranges: int | None = None)
     )
     cells = (
         binned.select(F.inline(points))
-        # all key columns, so that every branch below has the same input and shares its shuffle
-        .where(" AND ".join(f"{c} IS NOT NULL" for c in ("bx", "by", "vx", "vy")))
+        .where(F.col("vx").isNotNull() & F.col("vy").isNotNull())
         .groupBy("pair", "bx", "by", "vx", "vy")
         .agg(F.count(F.lit(1)).cast("double").alias("c"))
     )
 
+    # six aggregates read the cells: keep them once
+    cells = cut_lineage(cells)
+
     def choose2(c: Column) -> Column:
         return c * (c - 1) / 2
 

@@ -109,11 +109,11 @@ def quantile_threshold(scores: DataFrame, score: str, prob: float) -> float | No
 
 
 def _bin(value: Column, low: float, high: float, bins: int) -> Column:
-    """Equal-width bin, the maximum in the last one."""
+    """Equal-width bin, the maximum in the last one; null has no bin."""
     if high <= low:
         return F.when(value.isNotNull(), F.lit(0).cast("bigint"))
     step = (value - F.lit(low)) / F.lit(high - low) * F.lit(float(bins))
-    return F.least(F.lit(bins - 1), F.floor(step)).cast("bigint")
+    return F.when(value.isNotNull(), F.least(F.lit(bins - 1), F.floor(step)).cast("bigint"))
 
 
 def value_ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:

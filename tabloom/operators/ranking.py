@@ -38,6 +38,8 @@ def bucket_edges(df: DataFrame, cols: Sequence[str], buckets: int | None = None)
         own = np.nextafter(values[repeats > 1], np.inf)
         inner = np.unique(np.concatenate([values, own])) + 0.0
         inner = inner[np.isfinite(inner)]
+        if not len(inner):  # an all-null column, or one bucket asked for: any cut is right
+            inner = np.zeros(1)
         edges[c] = [float("-inf"), *[float(v) for v in inner], float("inf")]
     return edges
 

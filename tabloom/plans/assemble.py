@@ -72,7 +72,7 @@ def assemble_wide(
             ready = Child(child.name, frame, keys, child.item, child.value, child.top, child.drop_empty)
             wide = left_join(wide, aggregate_child(ready, keys), keys, f"_{child.name.lower()}")
         except AnalysisException as e:
-            warnings.warn(f"{child.name} left out: {str(e).splitlines()[0]}", stacklevel=2)
+            warnings.warn(f"{child.name} left out: {" ".join(str(e).split())[:300]}", stacklevel=2)
     return wide
 
 

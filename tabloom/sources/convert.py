@@ -49,7 +49,7 @@ def convert_tables(
             rows = spark.read.parquet(out).count()
             report.append((table, "converted", rows, csv_bytes, size_bytes(spark, out), None))
         except Exception as e:  # noqa: BLE001 - reported per table
-            report.append((table, "error", None, csv_bytes, None, str(e).splitlines()[0][:500]))
+            report.append((table, "error", None, csv_bytes, None, " ".join(str(e).split())[:500]))
     frame = spark.createDataFrame(
         report, "table string, status string, rows long, csv_bytes long, parquet_bytes long, error string"
     )
