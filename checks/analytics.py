@@ -342,6 +342,19 @@ def anova_p(spark, d):
     return associate.anova_f(line_cats(spark, d), LINE_CATS, LINE_NUMS).select("cat", "num", r("p").alias("p"))
 
 
+@add(
+    "anova_p_three_groups",
+    f"""WITH {LINE_CATS_SQL}, l AS ({CAT_NUM_SQL}),
+g AS (SELECT cat, num, level, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS ss FROM l WHERE cat = 'l_returnflag' GROUP BY 1, 2, 3),
+t AS (SELECT *, sum(n * m) OVER (PARTITION BY cat, num) / sum(n) OVER (PARTITION BY cat, num) AS grand FROM g),
+f AS (SELECT cat, num, (sum(n * (m - grand) ** 2) / 2) / (sum(ss) / (sum(n) - 3)) AS f, sum(n) - 3 AS d2 FROM t GROUP BY 1, 2)
+SELECT cat, num, round((1 + 2 * f / d2) ** (-d2 / 2.0), 6) AS p FROM f""",
+)
+def anova_p_three_groups(spark, d):
+    """With three groups the survival function has a closed form."""
+    return associate.anova_f(line_cats(spark, d), ["l_returnflag"], LINE_NUMS).select("cat", "num", r("p").alias("p"))
+
+
 @add(
     "kruskal_h",
     f"""WITH {LINE_CATS_SQL}, l AS ({CAT_NUM_SQL}),
@@ -356,6 +369,20 @@ def kruskal_h(spark, d):
     return out.select("cat", "num", r("h", 5).alias("h"), "groups", "n")
 
 
+@add(
+    "kruskal_p_three_groups",
+    f"""WITH {LINE_CATS_SQL}, l AS ({CAT_NUM_SQL}),
+k AS (SELECT cat, num, level, rank() OVER (PARTITION BY num ORDER BY v) + (count(*) OVER (PARTITION BY num, v) - 1) / 2.0 AS rk,
+  count(*) OVER (PARTITION BY num, v)::DOUBLE AS t FROM l WHERE cat = 'l_returnflag'),
+g AS (SELECT cat, num, level, count(*)::DOUBLE AS n, sum(rk) AS r, sum(t * t - 1) AS tie FROM k GROUP BY 1, 2, 3),
+s AS (SELECT cat, num, sum(n) AS n, sum(r * r / n) AS ssr, sum(tie) AS tie FROM g GROUP BY 1, 2)
+SELECT cat, num, round(exp(-(12.0 / (n * (n + 1)) * ssr - 3 * (n + 1)) / (1 - tie / (n * n * n - n)) / 2), 6) AS p FROM s""",
+)
+def kruskal_p_three_groups(spark, d):
+    """With two degrees of freedom the survival function is exp(-h / 2)."""
+    return associate.kruskal_h(line_cats(spark, d), ["l_returnflag"], LINE_NUMS).select("cat", "num", r("p").alias("p"))
+
+
 @add("kruskal_p")
 def kruskal_p(spark, d):
     return associate.kruskal_h(line_cats(spark, d), LINE_CATS, LINE_NUMS).select("cat", "num", r("p").alias("p"))
@@ -634,6 +661,20 @@ def flow_training_pairs(spark, d):
     return pairs.select("vec_id", "rep", "level", F.col("x_t")[0].alias("x0"), F.col("y_t")[0].alias("y0"))
 
 
+@add(
+    "flow_path",
+    """SELECT vec_id, rep::INTEGER AS rep, level::INTEGER AS level, i::INTEGER AS i, round(embedding[i + 1]::DOUBLE, 6) AS x
+FROM embeddings, range(2) a(rep), range(3) b(level), range(64) c(i)""",
+)
+def flow_path(spark, d):
+    """Every training pair leads back to its data point: x_t + (1 - t) y_t = x."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+    pairs = flow.training_pairs(e, ["vec_id"], flow.FlowParams(nt=3, n_noise=2))
+    left = F.lit(1.0) - (F.col("level") + 1) / F.lit(3.0)
+    back = F.zip_with("x_t", "y_t", lambda a, b: a + left * b)
+    return pairs.select("vec_id", "rep", "level", F.posexplode(back).alias("i", "x")).withColumn("x", r("x"))
+
+
 QUICK = flow.FlowParams(nt=4, n_noise=2, trees=3, depth=3, learning_rate=0.5, bins=32)
 
 

@@ -215,28 +215,40 @@ def cramers_v_matrix(
 
 
 def theils_u_matrix(df: DataFrame, cols: Sequence[str], null_level: str | None = "0.0") -> DataFrame:
-    """(x, y, u): share of the entropy of x that y explains, for every ordered pair; 1 on the diagonal."""
+    """(x, y, u): share of the entropy of x that y explains, for every ordered pair; 1 on the diagonal.
+
+    Entropies are written over raw counts (ln n minus the mean log count), so one aggregate
+    per pair gives them without dividing every cell by the total first.
+    """
     m = _with_margins(contingency(df, cols, null_level))
-    n = F.sum("o").over(W.partitionBy("i", "j"))
-    t = m.withColumn("n", n)
-    o, r, c = F.col("o"), F.col("r"), F.col("c")
-    h = t.groupBy("i", "j").agg(
-        (-F.sum(o / F.col("n") * F.log(r / F.col("n")))).alias("hx"),
-        (-F.sum(o / F.col("n") * F.log(c / F.col("n")))).alias("hy"),
-        (-F.sum(o / F.col("n") * F.log(o / c))).alias("hx_y"),
-        (-F.sum(o / F.col("n") * F.log(o / r))).alias("hy_x"),
+    o = F.col("o")
+    sums = m.groupBy("i", "j").agg(
+        F.sum("o").alias("n"),
+        F.sum(o * F.log("o")).alias("o_ln_o"), F.sum(o * F.log("r")).alias("o_ln_r"), F.sum(o * F.log("c")).alias("o_ln_c"),
+    )
+    n = F.col("n")
+    h = _pair_names(sums, cols).select(
+        "x", "y",
+        (F.log(n) - F.col("o_ln_r") / n).alias("hx"), (F.log(n) - F.col("o_ln_c") / n).alias("hy"),
+        ((F.col("o_ln_c") - F.col("o_ln_o")) / n).alias("hx_y"), ((F.col("o_ln_r") - F.col("o_ln_o")) / n).alias("hy_x"),
     )
-    named = _pair_names(h, cols)
 
     def explained(total: str, left: str) -> Column:
-        return F.when(F.abs(F.col(total)) < 1e-15, F.lit(1.0)).otherwise((F.col(total) - F.col(left)) / F.col(total))
+        return F.when(F.col(total) < 1e-12, F.lit(1.0)).otherwise((F.col(total) - F.col(left)) / F.col(total))
 
-    one = named.select("x", "y", explained("hx", "hx_y").alias("u"))
-    two = named.select(F.col("y").alias("x"), F.col("x").alias("y"), explained("hy", "hy_x").alias("u"))
+    one = h.select("x", "y", explained("hx", "hx_y").alias("u"))
+    two = h.select(F.col("y").alias("x"), F.col("x").alias("y"), explained("hy", "hy_x").alias("u"))
     diagonal = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "x string, y string, u double")
     return one.unionByName(two).unionByName(diagonal)
 
 
+def count_entropy(counts: DataFrame, by: str, n: str, name: str) -> DataFrame:
+    """Entropy in nats of each group of (level, count) rows."""
+    o = F.col(n).cast("double")
+    sums = counts.groupBy(by).agg(F.sum(o).alias("_n"), F.sum(o * F.log(o)).alias("_s"))
+    return sums.select(by, F.greatest(F.lit(0.0), F.log("_n") - F.col("_s") / F.col("_n")).alias(name))
+
+
 def entropies(df: DataFrame, cols: Sequence[str], null_level: str | None = "0.0") -> DataFrame:
     """(feature, entropy) in nats."""
     levels = F.array(
@@ -245,9 +257,8 @@ def entropies(df: DataFrame, cols: Sequence[str], null_level: str | None = "0.0"
             for c in cols
         ]
     )
-    counts = df.select(F.inline(levels)).groupBy("feature", "level").agg(F.count(F.lit(1)).cast("double").alias("o"))
-    p = F.col("o") / F.sum("o").over(W.partitionBy("feature"))
-    return counts.select("feature", p.alias("p")).groupBy("feature").agg((-F.sum(F.col("p") * F.log("p"))).alias("entropy"))
+    counts = df.select(F.inline(levels)).groupBy("feature", "level").agg(F.count(F.lit(1)).alias("o"))
+    return count_entropy(counts, "feature", "o", "entropy")
 
 
 # --- categorical x numeric -------------------------------------------------------------

@@ -26,6 +26,7 @@ from .features import as_matrix
 from .sampling import draw_labels, label_distribution
 
 HISTOGRAM_CELLS = 4_000_000  # accumulator size one task may hold
+MAX_LABELS = 1000
 FOREST_BYTES = 2 << 30  # largest model that is sent to executors
 
 
@@ -151,9 +152,9 @@ class FlowSynthesizer:
             self.labels, self.label_probs = [None], {}
             index = F.lit(0)
         else:
-            dist = label_distribution(rows, label).collect()
-            if len(dist) > 1000:
-                raise ValueError(f"{label} has {len(dist)} values; one model is fitted per value")
+            dist = label_distribution(rows, label).limit(MAX_LABELS + 1).collect()
+            if len(dist) > MAX_LABELS:
+                raise ValueError(f"{label} has more than {MAX_LABELS} values; one model is fitted per value")
             dist.sort(key=lambda r: r["label"])
             self.labels = [r["label"] for r in dist]
             self.label_probs = {r["label"]: r["prob"] for r in dist}

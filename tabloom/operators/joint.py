@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.rng import key_uniform
 from ..session import cut_lineage
-from .associate import _pair_names, _with_margins, contingency, corr_matrix
+from .associate import _pair_names, _with_margins, contingency, corr_matrix, count_entropy
 from .gram import pearson_pairs
 from .neighbors import knn_graph
 from .profile import bin_columns, fitted_stats
@@ -44,12 +44,12 @@ def mutual_information(
         return _ksg_matrix(df, cols, key, min_rows, k, seed)
     binned = df.select(*bin_columns(df, cols, bins))
     m = _with_margins(contingency(binned, cols, null_level=None))
-    total = F.sum("o").over(W.partitionBy("i", "j"))
-    t = m.withColumn("n", total)
     o, n = F.col("o"), F.col("n")
-    mi = F.sum(o / n * F.log(o * n / (F.col("r") * F.col("c"))))
-    sums = t.groupBy("i", "j", "n").agg(F.greatest(F.lit(0.0), mi).alias("mi"))
-    return _pair_names(sums, cols).select(
+    sums = m.groupBy("i", "j").agg(
+        F.sum("o").alias("n"), F.sum(o * (F.log("o") - F.log("r") - F.log("c"))).alias("s")
+    )
+    mi = F.greatest(F.lit(0.0), F.log(n) + F.col("s") / n)
+    return _pair_names(sums.withColumn("mi", mi), cols).select(
         "x", "y", F.when(n > min_rows, F.col("mi")).otherwise(0.0).alias("mi"), n.cast("bigint").alias("n")
     )
 
@@ -72,9 +72,7 @@ def self_information(
     binned = df.select(*bin_columns(df, cols, bins))
     values = F.array(*[F.struct(F.lit(c).alias("x"), F.col(c).alias("b")) for c in cols])
     counts = binned.select(F.inline(values)).where("b IS NOT NULL").groupBy("x", "b").agg(F.count(F.lit(1)).alias("o"))
-    p = F.col("o") / F.sum("o").over(W.partitionBy("x"))
-    ent = counts.select("x", p.alias("p")).groupBy("x").agg((-F.sum(F.col("p") * F.log("p"))).alias("mi"))
-    return ent.select("x", F.col("x").alias("y"), "mi")
+    return count_entropy(counts, "x", "o", "mi").select("x", F.col("x").alias("y"), "mi")
 
 
 def mutual_information_matrix(
