@@ -45,7 +45,10 @@ def spearman_pairs(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> Da
     full = [c for c in cols if c not in gaps]
     parts = []
     if full:
-        parts.append(pearson_pairs(wide_ranks(df, key, full, keep_key=False), full).select("x", "y", "r", "n"))
+        # average ranks of a complete column have this mean, so the ranks are computed once
+        middle = (df.count() + 1) / 2
+        ranks = wide_ranks(df, key, full, keep_key=False)
+        parts.append(pearson_pairs(ranks, full, middle).select("x", "y", "r", "n"))
     with_gaps = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :] if a in gaps or b in gaps]
     if with_gaps:
         parts.append(_spearman_on_shared_rows(df, cols, with_gaps))

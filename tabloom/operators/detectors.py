@@ -30,7 +30,7 @@ def mahalanobis(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataF
     matrix, used = fitted
     d = len(used)
     wide = matrix.select(*[F.col("features")[i].alias(f"f{i}") for i in range(d)])
-    inverse = np.linalg.pinv(covariance_matrix(wide, wide.columns))
+    inverse = np.linalg.pinv(covariance_matrix(wide, wide.columns, shift=0.0))
     if d <= COLUMN_FORM_LIMIT:
         f = [F.col("features")[i] for i in range(d)]
         terms = [F.lit(float(inverse[i, i])) * f[i] * f[i] for i in range(d)]

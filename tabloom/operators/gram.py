@@ -22,13 +22,15 @@ def _shifts(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     return np.array([0.0 if row[k] is None else row[k] for k in range(len(cols))], dtype=float)
 
 
-def pair_sums(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, np.ndarray]:
-    """(i, j, n, sx, sy, sxx, syy, sxy) for i <= j over rows where both are present, after a shift.
+def pair_sums(df: DataFrame, cols: Sequence[str], shift: float | None = None) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) for i <= j over rows where both are present.
 
-    A task keeps d x d accumulators whatever its row count and emits them once.
+    Values are shifted towards 0 first, by ``shift`` where the caller knows the columns' mean
+    and by one pass over the data otherwise. A task keeps d x d accumulators whatever its row
+    count and emits them once.
     """
-    shift = _shifts(df, cols)
     d = len(cols)
+    shift = _shifts(df, cols) if shift is None else np.full(d, float(shift))
     upper_i, upper_j = np.triu_indices(d)
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,8 +57,7 @@ def pair_sums(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, np.ndarray
 
     wide = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
     parts = wide.mapInPandas(partials, _PARTIALS)
-    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    return sums, shift
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 
 
 def bounded(c: Column, low: float = -1.0) -> Column:
@@ -81,10 +82,9 @@ def names(cols: Sequence[str], index: str) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in cols]), F.col(index) + 1)
 
 
-def pearson_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def pearson_pairs(df: DataFrame, cols: Sequence[str], shift: float | None = None) -> DataFrame:
     """(x, y, r, covariance, n) for every pair including x = y, x before y in ``cols``."""
-    sums, _ = pair_sums(df, cols)
-    return sums.select(
+    return pair_sums(df, cols, shift).select(
         names(cols, "i").alias("x"),
         names(cols, "j").alias("y"),
         correlation_expr().alias("r"),
@@ -93,9 +93,9 @@ def pearson_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def covariance_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+def covariance_matrix(df: DataFrame, cols: Sequence[str], shift: float | None = None) -> np.ndarray:
     """Sample covariance as a d x d array on the driver; d is the number of columns."""
-    sums, _ = pair_sums(df, cols)
+    sums = pair_sums(df, cols, shift)
     out = np.full((len(cols), len(cols)), np.nan)
     for r in sums.select("i", "j", covariance_expr().alias("c")).collect():
         out[r["i"], r["j"]] = out[r["j"], r["i"]] = np.nan if r["c"] is None else r["c"]
