@@ -212,6 +212,17 @@ def corr_pearson(spark, d):
     return associate.corr_matrix(orders_customer(spark, d), GAP_COLS).withColumn("r", r("r"))
 
 
+@add(
+    "corr_square",
+    "SELECT x, " + ", ".join(f"max(r) FILTER (WHERE y = '{c}') AS {c}" for c in LINE_NUMS) + " FROM ("
+    + " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS r FROM lineitem" for a in LINE_NUMS for b in LINE_NUMS)
+    + ") GROUP BY 1",
+)
+def corr_square(spark, d):
+    pairs = associate.corr_matrix(table(spark, d, "lineitem"), LINE_NUMS).withColumn("r", r("r"))
+    return associate.to_matrix(associate.mirror(pairs, "r"), "r", LINE_NUMS)
+
+
 @add("covariance_pairs", corr_sql("", "lineitem", LINE_NUMS, stat="covar_samp", name="covariance", digits=2))
 def covariance_pairs(spark, d):
     out = gram.pearson_pairs(table(spark, d, "lineitem"), LINE_NUMS)

@@ -348,6 +348,33 @@ def realign_columns(spark, d):
     return C.realign(table(spark, d, "customer"), spec, keep=["c_custkey"])
 
 
+@add(
+    "role_projection",
+    f"""WITH {ORDERS_CUSTOMER_SQL}
+SELECT o_totalprice, c_nationkey, acct, price, o_orderstatus, segment FROM oc""",
+)
+def role_projection(spark, d):
+    """Numeric and listed categorical columns; ids, dates and names excluded."""
+    df = orders_customer(spark, d)
+    hidden = ["o_orderkey", "o_custkey", "c_custkey", "o_orderdate", "c_name", "c_acctbal", "o_orderpriority", "c_mktsegment"]
+    nums, cats, _ = C.select_roles(df, ["o_orderstatus", "segment", "not_there"], ["c_nationkey"], hidden)
+    return df.select(*nums, *cats)
+
+
+@add(
+    "fill_prefix_drop",
+    """SELECT c.c_custkey, coalesce(n, 0) AS orders_n, coalesce(total, 0) AS orders_total FROM customer c LEFT JOIN
+(SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) o ON c.c_custkey = o.o_custkey""",
+)
+def fill_prefix_drop(spark, d):
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("n"), r(F.sum("o_totalprice"), 2).alias("total"), F.max("o_orderdate").alias("last")
+    )
+    side = C.drop_columns(C.prefix_columns(o, "orders", ["c_custkey"]), ["orders_last"])
+    joined = J.left_join(table(spark, d, "customer").select("c_custkey"), side, "c_custkey")
+    return M.fill_zero(joined, ["orders_n", "orders_total"])
+
+
 # --- joins ------------------------------------------------------------------------------
 
 
@@ -365,6 +392,18 @@ def left_join_suffix(spark, d):
     return out.select(F.col("k").alias("s_suppkey"), "s_name", "s_nationkey", "c_nationkey", "acctbal", "acctbal_cust")
 
 
+@add(
+    "left_join_composite",
+    """SELECT e.event_id, e.user_id, e.event_type, s.n, s.top FROM events e LEFT JOIN
+(SELECT user_id, event_type, count(*) AS n, max(value) AS top FROM events WHERE value > 20 GROUP BY 1, 2) s
+ON e.user_id = s.user_id AND e.event_type = s.event_type""",
+)
+def left_join_composite(spark, d):
+    e = table(spark, d, "events")
+    s = e.where("value > 20").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
+    return J.left_join(e.select("event_id", "user_id", "event_type"), s, ["user_id", "event_type"])
+
+
 @add(
     "left_join_null_keys",
     f"""WITH {GAPS_SQL},

@@ -80,6 +80,32 @@ def test_mahalanobis_with_dependent_columns(spark):
     assert detectors.mahalanobis(spark.createDataFrame(pdf), ["k"], ["a", "one"]) is None
 
 
+def exact_svm_scores(x, nu):
+    """Kernel scores from pairwise steps on the exact dual."""
+    n = len(x)
+    k = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / x.shape[1])
+    a, cap = np.full(n, 1 / n), 1 / (nu * n)
+    g = k @ a
+    for _ in range(20000):
+        i, j = np.where(a < cap - 1e-15, g, np.inf).argmin(), np.where(a > 1e-15, g, -np.inf).argmax()
+        if g[j] - g[i] < 1e-8:
+            break
+        step = min((g[j] - g[i]) / (2 - 2 * k[i, j]), cap - a[i], a[j])
+        a[i], a[j], g = a[i] + step, a[j] - step, g + step * (k[:, i] - k[:, j])
+    return k @ a
+
+
+def test_svm_is_close_to_the_exact_solution(spark):
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(size=(300, 3)), rng.normal(2, 0.5, size=(100, 3))])
+    x = (x - x.mean(0)) / x.std(0)
+    df = vectors(spark, x).withColumnRenamed("v", "features")
+    got = detectors.one_class_svm(df, ["id"], components=1024).toPandas().sort_values("id")
+    want = pd.Series(exact_svm_scores(x, 0.1))
+    assert np.corrcoef(got.one_class_svm.rank(), want.rank())[0, 1] > 0.93
+    assert (got.one_class_svm_outlier.to_numpy()[want.to_numpy() < want.quantile(0.1)] == 1).mean() > 0.7
+
+
 def test_isolation_ignores_partitioning(spark):
     x = np.random.default_rng(2).normal(size=(300, 3))
     df = vectors(spark, x).withColumnRenamed("v", "features")
