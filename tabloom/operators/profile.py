@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import column_stats, unpivot_values
-from .ranking import exact_quantiles, long_values, quantiles_from_ranks, rank_counts
+from .ranking import exact_quantiles, quantiles_wide
 
 
 def fitted_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
@@ -46,12 +46,8 @@ def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> Data
 
 def iqr_fences(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, q1, q3, iqr, lower_bound, upper_bound)."""
-    q = exact_quantiles(df, cols, [0.25, 0.75]).groupBy("feature").agg(
-        F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
-        F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"),
-    )
     iqr = F.col("q3") - F.col("q1")
-    return q.select(
+    return quantiles_wide(df, cols, {"q1": 0.25, "q3": 0.75}).select(
         "feature", "q1", "q3", iqr.alias("iqr"),
         (F.col("q1") - 1.5 * iqr).alias("lower_bound"), (F.col("q3") + 1.5 * iqr).alias("upper_bound"),
     )
@@ -70,32 +66,21 @@ def iqr_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Box-plot numbers: quartiles, whiskers (last values inside the fences) and outlier count."""
-    counts = long_values(df, cols).groupBy("feature", "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = rank_counts(counts, ["feature"])
-    q = quantiles_from_ranks(ranks, [0.25, 0.5, 0.75]).groupBy("feature").agg(
-        *[
-            F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
-            for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
-        ]
-    )
+    q = quantiles_wide(df, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
-    return counts.join(F.broadcast(q), "feature").groupBy("feature", "q1", "median", "q3").agg(
+    rows = unpivot_values(df, [], cols).join(F.broadcast(q), "feature")
+    return rows.groupBy("feature", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("outlier_count"),
+        F.count_if(~inside).alias("outlier_count"),
     )
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str], digits: int | None = 2) -> DataFrame:
     """count, mean, std, min, exact quartiles and max per column."""
     stats = column_stats(df, cols).select("feature", "n", "mean", "std", "min", "max")
-    quart = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).groupBy("feature").agg(
-        *[
-            F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
-            for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
-        ]
-    )
+    quart = quantiles_wide(df, cols, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     out = stats.join(F.broadcast(quart), "feature", "left")
     values = ["mean", "std", "min", "p25", "p50", "p75", "max"]
     shown = [F.round(c, digits).alias(c) if digits is not None else F.col(c) for c in values]

@@ -8,6 +8,7 @@ per feature) give the offset. A value that fills several quantiles gets a bucket
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -20,6 +21,8 @@ from ..session import shuffle_width
 from .joins import edge_lookup
 
 MAX_BUCKETS = 1024
+BRACKET_ERROR = 0.001  # rank error of the approximate quantiles around a wanted one
+BRACKET_ROWS = 5_000_000  # most values of one bracket that are ranked in one task
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -29,9 +32,13 @@ def bucket_count(df: DataFrame) -> int:
 def bucket_edges(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
     """Strictly increasing edges from -inf to +inf per column, near-equal in row counts."""
     buckets = buckets or bucket_count(df)
-    probs = [i / buckets for i in range(1, buckets)]
+    return edges_at(df, cols, [i / buckets for i in range(1, buckets)], 0.5 / buckets)
+
+
+def edges_at(df: DataFrame, cols: Sequence[str], probs: Sequence[float], error: float) -> dict[str, list[float]]:
+    """Edges at approximate quantiles; a value met at several of them gets a bucket of its own."""
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    quantiles = doubles.approxQuantile(list(cols), probs, 0.5 / buckets) if probs else [[] for _ in cols]
+    quantiles = doubles.approxQuantile(list(cols), list(probs), error) if probs else [[] for _ in cols]
     edges = {}
     for c, q in zip(cols, quantiles):
         values, repeats = np.unique(np.asarray(q, dtype=float), return_counts=True)
@@ -67,15 +74,17 @@ def starts_bucket(edges: Sequence[float], bucket: Column, value: Column) -> Colu
     return F.coalesce(F.get(lower, bucket) == value, F.lit(False))
 
 
-def long_values(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), keep_nulls: bool = False) -> DataFrame:
-    """(keep..., feature, bucket, value, edge) rows; ``edge`` marks every value that may be hot."""
+def long_values(
+    df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), keep_nulls: bool = False, mark_edges: bool = False
+) -> DataFrame:
+    """(keep..., feature, bucket, value) rows; with ``mark_edges`` a flag ``edge`` on every value that may be hot."""
     edges = bucket_edges(df, cols)
     binned = with_buckets(df, edges)
     cells = F.array(
         *[
             F.struct(
                 F.lit(c).alias("feature"), F.col("_b_" + c).alias("bucket"), F.col(c).alias("value"),
-                starts_bucket(edges[c], F.col("_b_" + c), F.col(c)).alias("edge"),
+                *([starts_bucket(edges[c], F.col("_b_" + c), F.col(c)).alias("edge")] if mark_edges else []),
             )
             for c in cols
         ]
@@ -125,7 +134,7 @@ def rank_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def long_ranks(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """(_k0..., feature, value, avg_rank, n_valid) for every cell; null cells keep a null rank."""
     keys = {f"_k{i}": F.col(k) for i, k in enumerate(key)}
-    rows = long_values(df.withColumns(keys), cols, list(keys), keep_nulls=True)
+    rows = long_values(df.withColumns(keys), cols, list(keys), keep_nulls=True, mark_edges=True)
     counts = (
         rows.where(F.col("value").isNotNull())
         .groupBy("feature", "bucket", "value", "edge")
@@ -159,27 +168,69 @@ def quantile_ranks(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> Da
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(feature, prob, quantile) with linear interpolation between order statistics."""
-    return quantiles_from_ranks(rank_table(df, cols), probs)
+    """(feature, prob, quantile) with linear interpolation between order statistics.
 
-
-def quantiles_from_ranks(ranks: DataFrame, probs: Sequence[float]) -> DataFrame:
-    hits = []
-    for p in probs:
-        spot = (F.col("total") - 1) * F.lit(float(p))
-        low, high = F.floor(spot), F.ceil(spot)
-        end = F.col("before") + F.col("ties")
-        hits.append(
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                (spot - low).alias("frac"),
-                F.when((F.col("before") <= low) & (low < end), F.col("value")).alias("lo"),
-                F.when((F.col("before") <= high) & (high < end), F.col("value")).alias("hi"),
+    Approximate quantiles on both sides of every wanted one cut each column into narrow
+    brackets. Counting rows per bracket says exactly which brackets hold the wanted positions;
+    only their values, a fraction of a percent of the column, are shuffled and ranked.
+    """
+    cols, probs = list(cols), [float(p) for p in dict.fromkeys(probs)]
+    near = sorted({min(1.0, max(0.0, p + s * 2 * BRACKET_ERROR)) for p in probs for s in (-1, 1)})
+    binned = with_buckets(df.select(*cols), edges_at(df, cols, near, BRACKET_ERROR))
+    sizes: dict[str, dict[int, int]] = {}
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("feature"), F.when(F.col(c).isNotNull(), F.col("_b_" + c)).alias("bucket")) for c in cols]
+    )
+    held = binned.select(F.inline(cells)).where("bucket IS NOT NULL").groupBy("feature", "bucket").count()
+    for r in held.collect():  # at most 4 x probs + 1 rows per column
+        sizes.setdefault(r["feature"], {})[r["bucket"]] = r["count"]
+
+    targets, keep = [], {c: set() for c in cols}
+    for c, size in sizes.items():
+        order, total = sorted(size), sum(size.values())
+        for p in probs:
+            spot = (total - 1) * p
+            for side, at in (("lo", math.floor(spot)), ("hi", math.ceil(spot))):
+                below = 0
+                for b in order:
+                    if at < below + size[b]:
+                        break
+                    below += size[b]
+                keep[c].add(b)
+                targets.append([c, b, p, spot - math.floor(spot), side, at - below])
+    narrow = binned.select(
+        *[F.when(F.col("_b_" + c).isin(sorted(keep[c])), F.col(c)).alias(c) for c in cols],
+        *["_b_" + c for c in cols],
+    )
+    largest = max((sizes[c][b] for c in sizes for b in keep[c]), default=0)
+    if largest <= BRACKET_ROWS:
+        rows = narrow.select(
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(F.lit(c).alias("feature"), F.col("_b_" + c).alias("bucket"), F.col(c).alias("value"))
+                        for c in cols
+                    ]
+                )
             )
-        )
-    # only the one or two values around each position survive the filter before the shuffle
-    found = ranks.select("feature", F.inline(F.array(*hits))).where(F.col("lo").isNotNull() | F.col("hi").isNotNull())
-    ends = found.groupBy("feature", "prob").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("frac").alias("frac"))
+        ).where("value IS NOT NULL")
+        counts = rows.groupBy("feature", "bucket", "value").agg(F.count(F.lit(1)).alias("ties"))
+        upto = W.partitionBy("feature", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+        ranks = counts.withColumn("before", F.sum("ties").over(upto) - F.col("ties"))
+        on = ["feature", "bucket"]
+    else:
+        # a bracket too large for one task: rank the kept values as a table of their own
+        ranks, on = rank_table(narrow.select(*cols), cols), ["feature"]
+        for t in targets:
+            t[5] += sum(sizes[t[0]][b] for b in keep[t[0]] if b < t[1])
+    wanted = df.sparkSession.createDataFrame(
+        targets, "feature string, bucket int, prob double, frac double, side string, position bigint"
+    ).select("prob", "frac", "side", "position", *on)
+    found = ranks.join(F.broadcast(wanted), on).where("before <= position AND position < before + ties")
+    ends = found.groupBy("feature", "prob", "frac").agg(
+        F.max(F.when(F.col("side") == "lo", F.col("value"))).alias("lo"),
+        F.max(F.when(F.col("side") == "hi", F.col("value"))).alias("hi"),
+    )
     return ends.select(
         "feature", "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("quantile")
     )
@@ -187,7 +238,7 @@ def quantiles_from_ranks(ranks: DataFrame, probs: Sequence[float]) -> DataFrame:
 
 def quantiles_wide(df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
     """One row per feature with a named column per probability."""
-    long = exact_quantiles(df, cols, list(dict.fromkeys(probs.values())))
+    long = exact_quantiles(df, cols, list(probs.values()))
     return long.groupBy("feature").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in probs.items()]
     )

@@ -71,7 +71,9 @@ def test_ranks_equal_pandas_on_skewed_values(spark):
         assert np.allclose(got[c].to_numpy(float), want, equal_nan=True)
 
 
-def test_exact_quantiles_equal_numpy(spark):
+@pytest.mark.parametrize("in_one_task", [5_000_000, 10])
+def test_exact_quantiles_equal_numpy(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(ranking, "BRACKET_ROWS", in_one_task)
     rng = np.random.default_rng(1)
     x = np.r_[np.zeros(900), rng.normal(size=1101)]
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
