@@ -103,6 +103,33 @@ def assemble_fan_out(spark, d):
     return wide.select("o_orderkey", "o_custkey", "l_linenumber", "l_quantity", "s_name", "events_count")
 
 
+@add(
+    "assemble_hot_keys",
+    """
+SELECT l.l_orderkey, l.l_linenumber, l.l_returnflag, f.flag_count, p.p_brand, s.s_name, c.supplied_count
+FROM lineitem l LEFT JOIN (SELECT l_returnflag, count(*) AS flag_count FROM lineitem GROUP BY 1) f USING (l_returnflag)
+LEFT JOIN part p ON l.l_partkey = p.p_partkey LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
+LEFT JOIN (SELECT l_suppkey, count(*) AS supplied_count FROM lineitem GROUP BY 1) c ON l.l_suppkey = c.l_suppkey
+""",
+)
+def assemble_hot_keys(spark, d):
+    """A spine on which each return flag holds about a third of the rows."""
+    li = table(spark, d, "lineitem")
+    wide = assemble_wide(
+        li.select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey"),
+        [
+            (table(spark, d, "part").withColumnRenamed("p_partkey", "l_partkey"), ["l_partkey"], "_part"),
+            (table(spark, d, "supplier").withColumnRenamed("s_suppkey", "l_suppkey"), ["l_suppkey"], "_supp"),
+        ],
+        children=[
+            Child("flag", li.select("l_returnflag"), ["l_returnflag"]),
+            Child("supplied", li.select("l_suppkey"), ["l_suppkey"]),
+        ],
+        spread=["l_orderkey", "l_linenumber", "l_partkey"],
+    )
+    return wide.select("l_orderkey", "l_linenumber", "l_returnflag", "flag_count", "p_brand", "s_name", "supplied_count")
+
+
 # --- sources and sinks ------------------------------------------------------------------
 
 

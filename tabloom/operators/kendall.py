@@ -67,7 +67,15 @@ def kendall_pairs(df: DataFrame, cols: Sequence[str], ranges: int | None = None)
     pairs = [(a, b) for a in range(len(cols)) for b in range(a + 1, len(cols))]
     if ranges is None:
         ranges = int(min(max(df.count() // ROWS_PER_RANGE, 4), MAX_RANGES))
-    binned = with_buckets(df.select(*cols), bucket_edges(df, cols, ranges))
+    edges = bucket_edges(df, cols, ranges)
+    binned = with_buckets(df.select(*cols), edges)
+
+    def alone(c: str) -> Column:
+        """Whether the row's range holds one value by construction, as every hot value's range does."""
+        e = edges[c]
+        own = [i for i in range(len(e) - 1) if np.nextafter(e[i], np.inf) == e[i + 1]]
+        return F.col("_b_" + c).isin(own) if own else F.lit(False)
+
     points = F.array(
         *[
             F.struct(
@@ -76,6 +84,8 @@ def kendall_pairs(df: DataFrame, cols: Sequence[str], ranges: int | None = None)
                 F.col("_b_" + cols[b]).alias("by"),
                 F.col(cols[a]).alias("vx"),
                 F.col(cols[b]).alias("vy"),
+                alone(cols[a]).alias("ax"),
+                alone(cols[b]).alias("ay"),
             )
             for p, (a, b) in enumerate(pairs)
         ]
@@ -83,7 +93,7 @@ def kendall_pairs(df: DataFrame, cols: Sequence[str], ranges: int | None = None)
     cells = (
         binned.select(F.inline(points))
         .where(F.col("vx").isNotNull() & F.col("vy").isNotNull())
-        .groupBy("pair", "bx", "by", "vx", "vy")
+        .groupBy("pair", "bx", "by", "vx", "vy", "ax", "ay")
         .agg(F.count(F.lit(1)).cast("double").alias("c"))
     )
 
@@ -93,25 +103,23 @@ def kendall_pairs(df: DataFrame, cols: Sequence[str], ranges: int | None = None)
     def choose2(c: Column) -> Column:
         return c * (c - 1) / 2
 
-    n1 = cells.groupBy("pair", "bx", "vx").agg(F.sum("c").alias("t"))
-    n2 = cells.groupBy("pair", "by", "vy").agg(F.sum("c").alias("t"))
+    n1 = cells.groupBy("pair", "vx").agg(F.sum("c").alias("t"))
+    n2 = cells.groupBy("pair", "vy").agg(F.sum("c").alias("t"))
     ties_x = n1.groupBy("pair").agg(F.sum(choose2(F.col("t"))).alias("n1"))
     ties_y = n2.groupBy("pair").agg(F.sum(choose2(F.col("t"))).alias("n2"))
     base = cells.groupBy("pair").agg(F.sum("c").alias("n"), F.sum(choose2(F.col("c"))).alias("n3"))
 
     grid = cells.groupBy("pair", "bx", "by").agg(F.sum("c").alias("c"))
     across = grid.groupBy("pair").applyInPandas(_grid_discordant, "pair int, q double")
-    # ranges with one distinct value hold no inversions; they are also the only ones that can be hot
-    mixed_x = n1.groupBy("pair", "bx").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("pair", "bx")
-    mixed_y = n2.groupBy("pair", "by").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("pair", "by")
+    # a range with one value holds no inversions, and only such ranges can be hot
     in_x = (
-        cells.join(F.broadcast(mixed_x), ["pair", "bx"], "left_semi")
+        cells.where(~F.col("ax"))
         .select("pair", "bx", F.col("vx").alias("first"), F.col("vy").alias("second"), "c")
         .groupBy("pair", "bx")
         .applyInPandas(_range_inversions, "pair int, q double")
     )
     in_y = (
-        cells.join(F.broadcast(mixed_y), ["pair", "by"], "left_semi")
+        cells.where(~F.col("ay"))
         .groupBy("pair", "by", "bx", "vy")
         .agg(F.sum("c").alias("c"))
         .select("pair", "by", F.col("bx").cast("double").alias("first"), F.col("vy").alias("second"), "c")

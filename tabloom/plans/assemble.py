@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.columns import suffix_collisions
 from ..operators.aggregates import child_counts, child_stats, pivot_items
-from ..operators.joins import join_available, left_join, semi_filter
+from ..operators.joins import hot_keys, join_available, left_join, semi_filter, skew_safe_left_join
 from ..sources import catalog
 from ..sources.sinks import column_manifest, write_preview, write_table
 
@@ -48,16 +49,30 @@ def assemble_wide(
     grain: Sequence[str] | None = None,
     only_spine_keys: bool = False,
     null_keys_match: bool = False,
+    spread: Sequence[str] | None = None,
 ) -> DataFrame:
     """Left-join dimensions, multiplying tables and aggregated children onto ``spine``.
 
     ``grain`` limits the keys children are grouped by (default: all keys the spine has).
     ``only_spine_keys`` drops child rows of other spines before aggregating; the result is
     the same. A child that cannot be analysed is reported and left out.
+
+    ``spread`` names columns that tell spine rows apart. With it, keys that hold a large share
+    of the spine are joined from a small broadcast while their rows stay spread over all tasks;
+    dimensions must then have one row per key. Without it, adaptive execution splits skewed
+    partitions of these left joins.
     """
     wide = spine
+
+    def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix: str) -> DataFrame:
+        if not spread:
+            return left_join(left, right, keys, suffix, null_keys_match)
+        right = suffix_collisions(right, left.columns, keys, suffix)
+        counted = spine if set(keys) <= set(spine.columns) else left
+        return skew_safe_left_join(left, right, keys, spread, hot_keys(counted, keys))
+
     for frame, keys, suffix in dimensions:
-        wide = left_join(wide, frame, keys, suffix, null_keys_match)
+        wide = attach(wide, frame, keys, suffix)
     wide = join_available(wide, fan_out or {}, null_keys_match)
     for child in children:
         keys = [k for k in child.keys if k in wide.columns and k in child.frame.columns]
@@ -70,7 +85,7 @@ def assemble_wide(
             if only_spine_keys:
                 frame = semi_filter(frame, spine, [k for k in keys if k in spine.columns])
             ready = Child(child.name, frame, keys, child.item, child.value, child.top, child.drop_empty)
-            wide = left_join(wide, aggregate_child(ready, keys), keys, f"_{child.name.lower()}")
+            wide = attach(wide, aggregate_child(ready, keys), keys, f"_{child.name.lower()}")
         except AnalysisException as e:
             warnings.warn(f"{child.name} left out: {" ".join(str(e).split())[:300]}", stacklevel=2)
     return wide
