@@ -216,11 +216,18 @@ def preview(spark, d):
 
 @add(
     "column_manifest",
-    "SELECT CAST(ordinal_position - 1 AS INTEGER) AS position, column_name AS name "
-    "FROM information_schema.columns WHERE table_name = 'lineitem'",
+    "SELECT CAST(ordinal_position - 1 AS INTEGER) AS position, column_name AS name, n FROM information_schema.columns JOIN ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count({c}) AS n FROM orders"
+        for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    )
+    + ") ON column_name = feature WHERE table_name = 'orders'",
 )
 def column_manifest(spark, d):
-    return sinks.column_manifest(table(spark, d, "lineitem")).select("position", "name")
+    """Position and name of every column with its number of values."""
+    orders = table(spark, d, "orders")
+    filled = C.validity(orders, orders.columns).select(F.col("feature").alias("name"), "n")
+    return sinks.column_manifest(orders).join(filled, "name").select("position", "name", "n")
 
 
 @add(
