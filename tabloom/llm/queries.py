@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import Registry, table
+from tabloom.llm import fingerprint, ngram_join
 from tabloom.llm import quality_rules as quality
 
 reg = Registry()
@@ -60,3 +61,13 @@ def op1_quality_rules(spark, d):
     out = quality.quality_rules(table(spark, d, "documents"), table(spark, d, "labels"))
     m = [F.col(f"measures.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
     return out.select("doc_id", *m, "kept")
+
+
+@add("op3_ngram_join")
+def op3_ngram_join(spark, d):
+    return ngram_join.jaccard_components(table(spark, d, "documents"))
+
+
+@add("op10_fingerprint")
+def op10_fingerprint(spark, d):
+    return fingerprint.fingerprint_documents(table(spark, d, "documents"))
