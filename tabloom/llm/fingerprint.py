@@ -28,7 +28,7 @@ from tabloom.session import cut_lineage
 SHINGLE_WORDS = 5
 PERMUTATIONS = 128
 BANDS = 32
-THRESHOLD = 0.75
+PERCENT = 75
 BLOCK_BITS = 11  # documents are ordered in blocks of at most 2048 ids
 WORK_BYTES = 1 << 20
 _draw = np.random.RandomState(711)
@@ -198,7 +198,7 @@ def band_rows(docs: DataFrame, id_col: str, text: str, bands: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT, bands: int = BANDS
 ) -> DataFrame:
     """(id, class_id) of the texts that a chain of verified near-duplicate pairs joins to another.
 
@@ -207,6 +207,6 @@ def near_duplicates(
     A pair of similarity 0.75 shares no band of four places with probability 6e-6.
     """
     rows = band_rows(docs, id_col, text, bands)
-    return classes_of_pairs(star_pairs(rows), docs, id_col, text, threshold, SHINGLE_WORDS)
+    return classes_of_pairs(star_pairs(rows), docs, id_col, text, percent, SHINGLE_WORDS)
 
 
