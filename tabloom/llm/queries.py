@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import Registry, table
-from tabloom.llm import fingerprint, ngram_join
+from tabloom.llm import fingerprint, line_chunks, ngram_join
 from tabloom.llm import quality_rules as quality
 
 reg = Registry()
@@ -71,3 +71,18 @@ def op3_ngram_join(spark, d):
 @add("op10_fingerprint")
 def op10_fingerprint(spark, d):
     return fingerprint.fingerprint_documents(table(spark, d, "documents"))
+
+
+@add("op6_line_chunks")
+def op6_line_chunks(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    clean = line_chunks.remove_repeated_lines(docs, into="removed")
+    removed = F.coalesce("removed", F.array().cast("array<struct<first_line:int,n_lines:int,kept_id:bigint>>"))
+    return clean.select(
+        "doc_id",
+        F.size(removed).cast("long").alias("n_removed_chunks"),
+        F.aggregate(removed, F.lit(0), lambda n, r: n + r["n_lines"]).cast("long").alias("n_removed_lines"),
+        F.transform(removed, lambda r: r["kept_id"]).alias("kept_doc_ids"),
+        F.transform(removed, lambda r: r["first_line"]).alias("first_lines"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"),
+    )
