@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import Registry, table
-from tabloom.llm import fingerprint, line_chunks, ngram_join
+from tabloom.llm import fingerprint, line_chunks, ngram_join, paragraphs
 from tabloom.llm import quality_rules as quality
 
 reg = Registry()
@@ -86,3 +86,9 @@ def op6_line_chunks(spark, d):
         F.transform(removed, lambda r: r["first_line"]).alias("first_lines"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"),
     )
+
+
+@add("op2_paragraphs")
+def op2_paragraphs(spark, d):
+    found = paragraphs.repeated_paragraphs(table(spark, d, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "line", F.col("kept_id").alias("kept_doc_id"), "cluster", "members", "removed")
