@@ -111,15 +111,18 @@ def classes_of_pairs(
     return components(edges).select(F.col("node").alias(id_col), F.col("label").alias("class_id"))
 
 
-def closed_links(multi: DataFrame, verify: Callable[[DataFrame], DataFrame], edges: DataFrame, tested: DataFrame) -> DataFrame:
-    """Every further link between nodes that share a ``sig``, up to components.
-
-    ``multi`` (sig, node, rn): the groups of two nodes or more, numbered from 1; node 1 of every
-    group is already ``tested`` against the others, with ``edges`` as the links found. Groups whose
-    nodes are all in one component are done. In the others the next 1, 4, 16, ... nodes are compared
-    with the later ones of another component, until no group is left. Returns all edges.
+def closed_links(multi: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every link between nodes that share a ``sig``, up to components.
+
+    ``multi`` (sig, node, rep, rn): the groups of two nodes or more, numbered from 1, with their
+    first node. At first every node is compared with the smallest first node it meets, one pair for
+    each node however many signatures it shares. Groups whose nodes are then all in one component
+    are done. In the others the next 1, 4, 16, ... nodes are compared with the later ones of another
+    component, until no group is left. Returns all edges.
     """
-    low, span = 2, 1
+    tested = cut_lineage(multi.filter("rn > 1").groupBy("node").agg(F.min("rep").alias("rep")))
+    edges = cut_lineage(verify(tested).distinct())
+    low, span = 1, 1
     rest = multi
     while True:
         label = components(edges)

@@ -186,9 +186,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     def verify(pairs: DataFrame) -> DataFrame:
         return similar(paired_texts(pairs, fetch), WIDTH, percent, set_key)
 
-    tested = cut_lineage(multi.filter("rn > 1").select("node", "rep").distinct())
-    edges = closed_links(multi.select("sig", "node", "rn"), verify, cut_lineage(verify(tested).distinct()), tested)
-
+    edges = closed_links(multi, verify)
     label = components(edges)
     labelled = cut_lineage(
         classes.join(label, classes["key"] == label["node"], "left").select("key", "first", F.coalesce("label", "key").alias("label"))

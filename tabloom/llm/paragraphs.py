@@ -160,8 +160,7 @@ def repeated_paragraphs(
     def verify(pairs: DataFrame) -> DataFrame:
         return similar(paired_texts(pairs, fetch), WIDTH, percent, set_key)
 
-    tested = cut_lineage(multi.filter("rn > 1").select("node", "rep").distinct())
-    edges = closed_links(multi.select("sig", "node", "rn"), verify, cut_lineage(verify(tested).distinct()), tested)
+    edges = closed_links(multi, verify)
     label = components(edges)
     clustered = cut_lineage(sets.join(label, "node", "left").select("node", "spot", "n", F.coalesce("label", "node").alias("cluster")))
     whole = clustered.groupBy("cluster").agg(F.min("spot").alias("kept"), F.sum("n").alias("members")).filter("members > 1")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks import Registry, table
-from tabloom.llm import fingerprint, line_chunks, ngram_join, paragraphs
+from tabloom.llm import fingerprint, line_chunks, ngram_join, packing, paragraphs
 from tabloom.llm import quality_rules as quality
 
 reg = Registry()
@@ -92,3 +93,8 @@ def op6_line_chunks(spark, d):
 def op2_paragraphs(spark, d):
     found = paragraphs.repeated_paragraphs(table(spark, d, "documents"))
     return found.select(F.col("id").alias("doc_id"), "line", F.col("kept_id").alias("kept_doc_id"), "cluster", "members", "removed")
+
+
+@add("op8_packing")
+def op8_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
