@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks import Registry, table
-from tabloom.llm import fingerprint, line_chunks, ngram_join, packing, paragraphs
+from tabloom.llm import fingerprint, line_chunks, ngram_join, packing, paragraphs, pieces
 from tabloom.llm import quality_rules as quality
 
 reg = Registry()
@@ -98,3 +98,8 @@ def op2_paragraphs(spark, d):
 @add("op8_packing")
 def op8_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@add("op9_sentencepiece")
+def op9_sentencepiece(spark, d):
+    return pieces.encode_documents(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
