@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks import Registry, table
-from tabloom.llm import fingerprint, line_chunks, ngram_join, packing, paragraphs, pieces
+from tabloom.llm import fingerprint, line_chunks, ngram_join, packing, paragraphs, pieces, toxicity
 from tabloom.llm import quality_rules as quality
 
 reg = Registry()
@@ -103,3 +103,8 @@ def op8_packing(spark, d):
 @add("op9_sentencepiece")
 def op9_sentencepiece(spark, d):
     return pieces.encode_documents(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@add("op7_toxicity")
+def op7_toxicity(spark, d):
+    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
