@@ -15,8 +15,10 @@ under any common order. The order puts contents made only of features found in m
 last; that list is bounded and need not be exact, for it changes the order and no result. A set with
 e <= k non-empty partitions also sends its empty ones, of which every pair then shares one.
 
-Equal sets are joined by their key before; signatures that two sets share are candidates, verified
-exactly on the whole texts. Hashes are 64 bits throughout.
+Equal sets are joined by their key before; signatures that two sets share are candidates. A candidate
+first compares two histograms of its features over 256 buckets: their distance is at most |A ^ B|, so
+what it rules out is no link. The rest is verified exactly on the whole texts. Hashes are 64 bits
+throughout.
 """
 
 from __future__ import annotations
@@ -36,9 +38,10 @@ WIDTH = 5
 PERCENT = 75
 BAND = 16
 LEAST_PARTITIONS = 256
-COMMON_BATCH = 2_000_000  # features counted together in a task
-COMMON_DOCS = 4
-COMMON_KEPT = 65_536  # features of the order's tail, 512 KB
+COMMON_BATCH = 4_000_000  # features counted together in a task
+COMMON_DOCS = 2
+COMMON_KEPT = 1_000_000  # features of the order's tail, 8 MB
+BUCKETS = 256
 
 U = np.uint64
 
@@ -95,8 +98,30 @@ def signatures(values: np.ndarray, common: np.ndarray, percent: int = PERCENT) -
     return np.concatenate(out).view(np.int64)
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """How many features fall into each bucket, 255 at most."""
+    counts = np.bincount((values & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def plausible(pairs: DataFrame, percent: int) -> DataFrame:
+    """(node, rep) of the pairs (node, rep, n, m, s, t: sizes and sketches) that may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            s, t = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in "st"
+            )
+            apart = np.abs(s - t).sum(axis=1, dtype=np.int64)
+            near = (apart * (100 + percent) <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            yield batch.select(["node", "rep"]).filter(pa.array(near))
+
+    return pairs.select("node", "rep", "n", "m", "s", "t").mapInArrow(run, "node long, rep long")
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """From (id, text): rows (id, n_shingles, key) and rows (feature, n) of features met often."""
+    """From (id, text): rows (id, n_shingles, key, sketch) and rows (feature, n) of features met again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -112,7 +137,7 @@ def described(docs: DataFrame) -> DataFrame:
             for part in tx.pieces(batch, "text"):
                 sets = tx.shingle_sets(part.column("text"), WIDTH)
                 keys = [set_key(s) for s in sets]
-                yield batch_of(id=part.column("id"), n_shingles=np.array([len(s) for s in sets], np.int64), key=np.array(keys, np.int64))
+                yield batch_of(id=part.column("id"), n_shingles=np.array([len(s) for s in sets], np.int64), key=np.array(keys, np.int64), sketch=[sketch(s) for s in sets])
                 for key, values in zip(keys, sets, strict=True):
                     if key not in seen:
                         seen.add(key)
@@ -123,14 +148,14 @@ def described(docs: DataFrame) -> DataFrame:
                     held, total = [], 0
         yield often(held)
 
-    columns = ["id", "n_shingles", "key", "feature", "n"]
+    kinds = {"id": pa.int64(), "n_shingles": pa.int64(), "key": pa.int64(), "sketch": pa.binary(), "feature": pa.int64(), "n": pa.int64()}
 
     def batch_of(**given) -> pa.RecordBatch:
         rows = len(next(iter(given.values())))
-        arrays = [pa.array(given[c], pa.int64()) if c in given else pa.nulls(rows, pa.int64()) for c in columns]
-        return pa.RecordBatch.from_arrays(arrays, names=columns)
+        arrays = [pa.array(given[c], kind) if c in given else pa.nulls(rows, kind) for c, kind in kinds.items()]
+        return pa.RecordBatch.from_arrays(arrays, names=list(kinds))
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    return docs.mapInArrow(run, "id long, n_shingles long, key long, sketch binary, feature long, n long")
 
 
 def signature_rows(docs: DataFrame, common: list[int], percent: int) -> DataFrame:
@@ -166,7 +191,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     often = facts.filter("feature IS NOT NULL").groupBy("feature").agg(F.sum("n").alias("n"))
     common = [r["feature"] for r in often.orderBy(F.desc("n"), "feature").limit(COMMON_KEPT).collect()]
     rows = facts.filter("n_shingles IS NOT NULL").select("id", "n_shingles", "key")
-    classes = cut_lineage(rows.filter("n_shingles > 0").groupBy("key").agg(F.min("id").alias("first")))
+    sets = facts.filter("n_shingles > 0").groupBy("key")
+    classes = cut_lineage(sets.agg(F.min("id").alias("first"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
 
     group = Window.partitionBy("sig")
     numbered = signature_rows(named.filter("id IS NOT NULL"), common, percent).select(
@@ -179,12 +205,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     multi = cut_lineage(numbered.filter("rep < top").drop("top"))
 
     def fetch(keys: DataFrame) -> DataFrame:
-        located = cut_lineage(keys.join(classes, keys["node"] == classes["key"]).select("node", F.col("first").alias("id")))
+        located = cut_lineage(keys.join(classes.select(F.col("key").alias("node"), F.col("first").alias("id")), "node"))
         few = located.count() <= BROADCAST_IDS
         return named.join(F.broadcast(located) if few else located, "id").select("node", "text")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return similar(paired_texts(pairs, fetch), WIDTH, percent, set_key)
+        sized = pairs.join(classes.select(F.col("key").alias("node"), "n", F.col("sketch").alias("s")), "node")
+        sized = sized.join(classes.select(F.col("key").alias("rep"), F.col("n").alias("m"), F.col("sketch").alias("t")), "rep")
+        return similar(paired_texts(cut_lineage(plausible(sized, percent)), fetch), WIDTH, percent, set_key)
 
     edges = closed_links(multi, verify)
     label = components(edges)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks import Registry, table
-from tabloom.llm import fingerprint, line_chunks, ngram_join, packing, paragraphs, pieces, toxicity
+from tabloom.llm import fingerprint, line_chunks, ngram_join, packing, paragraphs, pieces, toxicity, warc
 from tabloom.llm import quality_rules as quality
 
 reg = Registry()
@@ -108,3 +108,16 @@ def op9_sentencepiece(spark, d):
 @add("op7_toxicity")
 def op7_toxicity(spark, d):
     return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@add(
+    "op4_warc",
+    """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, CASE WHEN b >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first FROM p)
+SELECT page_id, b::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+)
+def op4_warc(spark, d):
+    root = warc.new_root(spark)
+    manifest = warc.write_archives(table(spark, d, "pages"), root)
+    return warc.read_archives(manifest, root, with_payload=False).drop("url")
