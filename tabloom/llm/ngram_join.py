@@ -40,7 +40,7 @@ BAND = 16
 LEAST_PARTITIONS = 256
 COMMON_BATCH = 4_000_000  # features counted together in a task
 COMMON_DOCS = 2
-COMMON_KEPT = 1_000_000  # features of the order's tail, 8 MB
+COMMON_KEPT = 500_000  # features of the order's tail, 4 MB
 BUCKETS = 256
 
 U = np.uint64
@@ -158,9 +158,22 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_shingles long, key long, sketch binary, feature long, n long")
 
 
-def signature_rows(docs: DataFrame, common: list[int], percent: int) -> DataFrame:
+def common_features(facts: DataFrame) -> np.ndarray:
+    """The features met most often, COMMON_KEPT at most: those from the lowest count that leaves so few."""
+    often = facts.filter("feature IS NOT NULL").groupBy("feature").agg(F.least(F.sum("n"), F.lit(10_000)).alias("n"))
+    often = cut_lineage(often)
+    least, total = 10_001, 0
+    for row in sorted(often.groupBy("n").count().collect(), reverse=True):  # 10,000 rows at most
+        total += row["count"]
+        if total > COMMON_KEPT:
+            break
+        least = row["n"]
+    kept = often.filter(F.col("n") >= least).select("feature").toArrow()
+    return np.sort(kept.column("feature").to_numpy().astype(np.int64).view(U))
+
+
+def signature_rows(docs: DataFrame, last: np.ndarray, percent: int) -> DataFrame:
     """(sig, node) for every signature; a set that a task has met before is not sent again."""
-    last = np.sort(np.array(common, np.int64).view(U))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -188,8 +201,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     facts = cut_lineage(described(named))
-    often = facts.filter("feature IS NOT NULL").groupBy("feature").agg(F.sum("n").alias("n"))
-    common = [r["feature"] for r in often.orderBy(F.desc("n"), "feature").limit(COMMON_KEPT).collect()]
+    common = common_features(facts)
     rows = facts.filter("n_shingles IS NOT NULL").select("id", "n_shingles", "key")
     sets = facts.filter("n_shingles > 0").groupBy("key")
     classes = cut_lineage(sets.agg(F.min("id").alias("first"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")))

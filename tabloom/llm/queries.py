@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks import Registry, table
-from tabloom.llm import fingerprint, line_chunks, ngram_join, packing, paragraphs, pieces, toxicity, warc
+from tabloom.llm import fingerprint, licenses, line_chunks, ngram_join, packing, paragraphs, pieces, toxicity, warc
 from tabloom.llm import quality_rules as quality
 
 reg = Registry()
@@ -121,3 +121,39 @@ def op4_warc(spark, d):
     root = warc.new_root(spark)
     manifest = warc.write_archives(table(spark, d, "pages"), root)
     return warc.read_archives(manifest, root, with_payload=False).drop("url")
+
+
+def licenses_sql() -> str:
+    """The same scan: both cuts looked up, the rules applied one after another."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.known_sentences().items())
+    lower = f"translate({{}}, '{licenses.UPPER}', '{licenses.LOWER}')"
+    norm = "trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g'))".format(lower.format("s"))
+    steps, at = [], "r0"
+    for i, rule in enumerate(licenses.RULES, 1):
+        p = quoted(licenses.pattern(rule))
+        steps.append(
+            f"r{i} AS (SELECT doc_id, cut, seq, replace(lft, {p}, '|') AS lft, "
+            f"CASE WHEN contains(lft, {p}) THEN list_append(ls, '{rule.license}') ELSE ls END AS ls FROM {at})"
+        )
+        at = f"r{i}"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+known(s, id) AS (VALUES {known}),
+cuts AS (SELECT doc_id, 'a' AS cut, string_split(regexp_replace(t, '([.;:!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM d
+  UNION ALL SELECT doc_id, 'b', string_split(t, chr(10)) FROM d),
+s AS (SELECT doc_id, cut, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM cuts),
+n AS (SELECT doc_id, cut, i, id, {lower.format("s.s")} AS low FROM (SELECT doc_id, cut, i, s, {norm} AS k FROM s) AS s LEFT JOIN known ON known.s = k),
+r0 AS (SELECT doc_id, cut, string_agg('<' || id || '>', '' ORDER BY i) AS seq, seq AS lft, []::VARCHAR[] AS ls FROM n WHERE id IS NOT NULL GROUP BY 1, 2),
+{", ".join(steps)},
+l AS (SELECT doc_id, list_sort(list_distinct(flatten(list(ls)))) AS ls FROM {at} GROUP BY 1),
+c AS (SELECT doc_id, cut, seq, length(seq) - length(replace(seq, '<', '')) AS n FROM r0),
+u AS (SELECT doc_id, count(*) AS n_unknown FROM n WHERE cut = 'b' AND id IS NULL AND regexp_matches(low, '{licenses.HINT}') GROUP BY 1)
+SELECT d.doc_id, CASE WHEN coalesce(a.n, 0) >= coalesce(b.n, 0) THEN coalesce(a.seq, '') ELSE b.seq END AS sequence,
+ coalesce(array_to_string(l.ls, ','), '') AS licenses, greatest(coalesce(a.n, 0), coalesce(b.n, 0))::BIGINT AS n_known, coalesce(n_unknown, 0)::BIGINT AS n_unknown
+FROM d LEFT JOIN c a ON a.doc_id = d.doc_id AND a.cut = 'a' LEFT JOIN c b ON b.doc_id = d.doc_id AND b.cut = 'b'
+LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id"""
+
+
+@add("op5_licenses", licenses_sql())
+def op5_licenses(spark, d):
+    return licenses.license_scan(table(spark, d, "documents"))
