@@ -124,8 +124,11 @@ RULES = (
 )
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MARK = "([.;:!?])[ \\t\\r\\n]+"
-HINT = "licen[cs]e|copyright|all rights reserved|redistribut"
+MARK = "([.;:!?])[ \\t\\r\\n]+|\\n[ \\t\\r]*\\n"
+#: Every known sentence holds one of these words, so a text without them has no sequence.
+WORDS = ("licens", "software", "redistribution", "reserved", "contributors", "cc0", "bsd", "mozilla")
+HINT_WORDS = ("license", "licence", "copyright", "all rights reserved", "redistribut")
+HINT = "|".join(HINT_WORDS)
 
 
 def normal(sentence: str) -> str:
@@ -139,6 +142,8 @@ def known_sentences() -> dict[str, str]:
         for s in sentences:
             if table.setdefault(normal(s), name) != name:
                 raise ValueError(f"{s!r} has two identifiers")
+            if not any(w in normal(s) for w in WORDS):
+                raise ValueError(f"{s!r} has none of WORDS")
     return table
 
 
@@ -147,17 +152,8 @@ def pattern(rule: Rule) -> str:
     return "".join(f"<{name}>" for name in rule.sequence)
 
 
-def lowered(s: Column) -> Column:
-    return F.translate(s, UPPER, LOWER)
-
-
-def clean(s: Column) -> Column:
-    """``normal`` as an expression."""
-    return F.trim(F.regexp_replace(lowered(s), "[^a-z0-9]+", " "))
-
-
 def identifiers(sentences: Column, table: Column) -> Column:
-    found = F.filter(F.transform(sentences, lambda s: F.try_element_at(table, clean(s))), lambda x: x.isNotNull())
+    found = F.filter(F.transform(sentences, lambda s: F.try_element_at(table, F.trim(s))), lambda x: x.isNotNull())
     return F.array_join(F.transform(found, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
 
 
@@ -188,15 +184,24 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     columns are not read.
     """
     table = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    one = docs.select(F.col(f"`{id_col}`").alias("id"), t.alias("t"))
-    lines = F.split("t", "\n")
-    unknown = F.filter(lines, lambda s: F.regexp_like(lowered(s), F.lit(HINT)) & F.try_element_at(table, clean(s)).isNull())
-    two = one.select(
+    low = F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), UPPER, LOWER)
+    one = docs.select(F.col(f"`{id_col}`").alias("id"), low.alias("t"))
+    speaks = F.lit(False)
+    for word in (*WORDS, *HINT_WORDS):
+        speaks = speaks | F.contains(F.col("t"), F.lit(word))
+    one = one.withColumn("speaks", speaks)
+    marked = F.regexp_replace(F.regexp_replace("t", MARK, "$1\u0001"), "[^a-z0-9\u0001]+", " ")
+    cut = one.select(
+        "id",
+        F.when(F.col("speaks"), F.split(marked, "\u0001")).alias("sentences"),
+        F.when(F.col("speaks"), F.split(F.regexp_replace("t", "[^a-z0-9\n]+", " "), "\n")).alias("lines"),
+    )
+    unknown = F.filter("lines", lambda s: F.regexp_like(s, F.lit(HINT)) & F.try_element_at(table, F.trim(s)).isNull())
+    two = cut.select(
         "id",
-        identifiers(F.split(F.regexp_replace("t", MARK, "$1\u0001"), "\u0001"), table).alias("a"),
-        identifiers(lines, table).alias("b"),
-        F.size(unknown).cast("long").alias("n_unknown"),
+        F.coalesce(identifiers(F.col("sentences"), table), F.lit("")).alias("a"),
+        F.coalesce(identifiers(F.col("lines"), table), F.lit("")).alias("b"),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size(unknown)).cast("long").alias("n_unknown"),
     )
     some = F.when((F.col("a") == "") & (F.col("b") == ""), F.array().cast("array<string>")).otherwise(
         F.array_sort(F.array_distinct(F.concat(recognised(F.col("a"))["licenses"], recognised(F.col("b"))["licenses"])))
