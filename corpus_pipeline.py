@@ -33,8 +33,8 @@ def recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the calibrated quality rules keep."""
-    judged = quality.quality_rules(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    return judged.filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = quality.quality_rules(docs, table(spark, sf_dir, "labels"), keep=docs.columns, measures="__measures", into="__kept")
+    return judged.filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

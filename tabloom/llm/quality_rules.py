@@ -245,15 +245,17 @@ def quality_rules(
     rules: Sequence[Rule] = RULES,
     risk: float = RISK,
     delta: float = DELTA,
+    measures: str = "measures",
+    into: str = "kept",
 ) -> DataFrame:
-    """Id, stratum, the columns of ``keep``, ``measures`` and ``kept`` for every row of ``docs``.
+    """Id, stratum, the columns of ``keep``, ``measures`` and ``into`` for every row of ``docs``.
 
     The texts are read once: measures (with ``keep``) are written to the scratch folder and both
     the calibration and the decision read them there. An empty table gives an empty result, empty
     labels give no cutoffs.
     """
     columns = list(dict.fromkeys([id_col, stratum, *keep]))
-    narrow = measure(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*columns, text])]), text)
-    measured = cut_lineage(narrow.select(*[F.col(f"`{c}`") for c in columns], "measures"))
-    cutoffs = calibrate(measured, labels, id_col, stratum, rules=rules, risk=risk, delta=delta)
-    return decide(measured, cutoffs, stratum, rules)
+    narrow = measure(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*columns, text])]), text, measures)
+    measured = cut_lineage(narrow.select(*[F.col(f"`{c}`") for c in columns], measures))
+    cutoffs = calibrate(measured, labels, id_col, stratum, rules=rules, risk=risk, delta=delta, measures=measures)
+    return decide(measured, cutoffs, stratum, rules, into, measures)
