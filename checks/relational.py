@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import columns as C
@@ -12,9 +14,10 @@ from tabloom.functions import scalars as S
 from tabloom.operators import aggregates as A
 from tabloom.operators import joins as J
 from tabloom.operators import sampling as SP
+from tabloom.operators.ranking import quantile_ranks, row_positions
 from tabloom.plans.assemble import Child, assemble_wide
 from tabloom.plans.reports import compare_levels
-from tabloom.session import scratch_root
+from tabloom.session import cut_lineage, scratch_root
 from tabloom.sources import catalog, convert, readers, sinks
 
 from . import GAPS_SQL, ORDERS_CUSTOMER_SQL, Registry, gaps_customer, orders_customer, r, table
@@ -155,29 +158,54 @@ def default_source(spark, d):
     """
 SELECT 'customer' AS name, count(*) AS n_rows, round(sum(c_acctbal), 2) AS total, max(c_name) AS last_name FROM customer
 UNION ALL SELECT 'supplier', count(*), round(sum(s_acctbal), 2), max(s_name) FROM supplier
+UNION ALL SELECT 'documents', count(*), sum(length(text)), max(md5(text)) FROM documents
+UNION ALL SELECT 'conversations', count(*), sum(length(text)), max(md5(text)) FROM conversations
 """,
 )
 def csv_conversion(spark, d):
     """CSV export (one of them gzipped), conversion to Parquet, read back."""
     base = scratch(spark)
-    names = {"customer": "c", "supplier": "s"}
+    names = {"customer": "c", "supplier": "s", "documents": None, "conversations": None}
     for name in names:
-        out = table(spark, d, name).write.option("header", True)
+        out = table(spark, d, name).write.option("header", True).option("escape", '"')
+        out = out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         if name == "supplier":
             out = out.option("compression", "gzip")
         out.csv(f"{base}/csv/{name}.csv" + (".gz" if name == "supplier" else ""))
     report = convert.convert_tables(spark, f"{base}/csv", f"{base}/parquet")
-    assert report.where("status != 'converted'").count() == 0
+    assert report.where("status != 'converted' OR parquet_bytes <= 0 OR pct_smaller IS NULL").count() == 0
     again = convert.convert_tables(spark, f"{base}/csv", f"{base}/parquet")
     assert again.where("status != 'skipped'").count() == 0
     parts = [
         readers.read_table(spark, f"{base}/parquet/{n}.parquet").agg(
             F.lit(n).alias("name"), F.count(F.lit(1)).alias("n_rows"),
-            F.round(F.sum(f"{p}_acctbal"), 2).alias("total"), F.max(f"{p}_name").alias("last_name"),
+            (F.round(F.sum(f"{p}_acctbal"), 2) if p else F.sum(F.length("text")).cast("double")).alias("total"),
+            F.max(f"{p}_name" if p else F.md5("text")).alias("last_name"),
         )
         for n, p in names.items()
     ]
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
+
+
+@add("scan_all_columns", "SELECT * FROM lineitem")
+def scan_all_columns(spark, d):
+    return readers.read_table(spark, f"{d}/lineitem.parquet")
+
+
+@add(
+    "csv_scan",
+    """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice), 2) AS price
+FROM lineitem GROUP BY 1, 2""",
+)
+def csv_scan(spark, d):
+    """Line items written as CSV and read back whole."""
+    path = f"{scratch(spark)}/lineitem.csv"
+    lines = table(spark, d, "lineitem")
+    lines.write.option("header", True).csv(path)
+    back = readers.read_csv(spark, path, lines.schema, multiline=False)
+    return back.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_extendedprice"), 2).alias("price")
+    )
 
 
 STAR = (
@@ -562,16 +590,16 @@ def item_means(spark, d):
 @add(
     "pivot_items",
     """
-PIVOT (SELECT l_orderkey, l_suppkey, l_quantity FROM lineitem WHERE l_suppkey IN
-  (SELECT l_suppkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, l_suppkey LIMIT 50))
-ON 'qty_' || l_suppkey USING round(avg(l_quantity), 6) GROUP BY l_orderkey
+SELECT l_orderkey, 'qty_l_suppkey_' || l_suppkey AS feature, round(avg(l_quantity), 6) AS value FROM lineitem WHERE l_suppkey IN
+  (SELECT l_suppkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, l_suppkey LIMIT 50)
+GROUP BY l_orderkey, l_suppkey HAVING count(l_quantity) > 0
 """,
 )
 def pivot_items(spark, d):
     li = table(spark, d, "lineitem")
     out = A.pivot_items(li, ["l_orderkey"], "l_suppkey", "l_quantity", "qty", 50)
     cells = [c for c in out.columns if c != "l_orderkey"]
-    return out.select("l_orderkey", *[r(c).alias(c.replace("qty_l_suppkey_", "qty_")) for c in cells])
+    return A.unpivot_values(out, ["l_orderkey"], cells).withColumn("value", r("value"))
 
 
 @add("item_frequency", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1")
@@ -690,27 +718,85 @@ def label_distribution(spark, d):
     return SP.label_distribution(table(spark, d, "labels"), "quality").withColumn("prob", r("prob"))
 
 
-@add("sample_rows")
+@add(
+    "sample_rows",
+    """SELECT least(1000, count(*)) AS n_rows, least(1000, count(*)) AS n_keys, 0 AS n_changed, true AS spread FROM orders""",
+)
 def sample_rows(spark, d):
-    return SP.sample_rows(table(spark, d, "orders"), ["o_orderkey"], 1000).select("o_orderkey", "o_custkey")
+    """Facts every sample of 1000 must show: size, distinct keys, untouched rows, a mean key within 6 errors."""
+    orders = table(spark, d, "orders")
+    sample = SP.load_sample(spark, f"{d}/orders.parquet", ["o_orderkey"], 1000)
+    whole = orders.agg(F.avg("o_orderkey"), F.stddev("o_orderkey")).first()
+    facts = sample.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("o_orderkey").alias("n_keys"),
+        (F.abs(F.avg("o_orderkey") - whole[0]) <= 6 * whole[1] / 1000**0.5).alias("spread"),
+    )
+    changed = sample.exceptAll(orders).agg(F.count(F.lit(1)).cast("int").alias("n_changed"))
+    return facts.join(F.broadcast(changed))
 
 
-@add("split_rows")
+@add(
+    "split_rows",
+    """SELECT split, count(*) AS total, true AS near_share FROM (SELECT unnest(['train', 'val', 'test']) AS split), orders GROUP BY 1""",
+)
 def split_rows(spark, d):
-    return SP.split_rows(table(spark, d, "orders"), ["o_orderkey"]).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    """Splits with all rows between them and shares within 6 standard errors."""
+    parts = SP.split_rows(table(spark, d, "orders"), ["o_orderkey"]).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    share = F.when(F.col("split") == "train", 0.6).otherwise(0.2)
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    near = F.abs(F.col("n") / total - share) <= 6 * F.sqrt(share * (1 - share) / total)
+    return parts.select("split", total.alias("total"), near.alias("near_share"))
 
 
-@add("shuffle_rows", "SELECT s_suppkey, s_name FROM supplier")
+@add(
+    "shuffle_rows",
+    """SELECT count(*) AS n, count(*) AS n_positions, 0 AS first_position, count(*) - 1 AS last_position, true AS unordered FROM supplier""",
+)
 def shuffle_rows(spark, d):
-    return SP.shuffle_rows(table(spark, d, "supplier"), ["s_suppkey"]).select("s_suppkey", "s_name")
+    """A permutation: every position once, and no rank correlation of position and key beyond 6 errors."""
+    out = SP.shuffle_rows(table(spark, d, "supplier"), ["s_suppkey"], position="position")
+    return out.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("n_positions"), F.min("position").alias("first_position"),
+        F.max("position").alias("last_position"), (F.abs(F.corr("position", "s_suppkey")) <= 6 / F.sqrt(F.count(F.lit(1)))).alias("unordered"),
+    )
+
+
+@add(
+    "reports_after_fan_out",
+    """WITH w AS (SELECT o.o_orderkey, l.l_linenumber, o.o_totalprice, l.l_quantity FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey),
+k AS (SELECT o_orderkey, l_linenumber, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS r FROM w)
+SELECT o_orderkey, l_linenumber, round(r / count(*) OVER () * 100, 6) AS price_rank FROM k""",
+)
+def reports_after_fan_out(spark, d):
+    """Orders multiplied by their lines: the row id the assembly adds carries the ranks."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    wide = cut_lineage(assemble_wide(orders, fan_out={"lines": (lines, ["o_orderkey"])}, row_id="row_id"))
+    ranks = quantile_ranks(wide, ["row_id"], ["o_totalprice"]).withColumnRenamed("o_totalprice", "price_rank")
+    return wide.join(ranks, "row_id").select("o_orderkey", "l_linenumber", r("price_rank").alias("price_rank"))
 
 
-@add("draw_labels")
+@add(
+    "row_positions_large",
+    "SELECT o_orderkey + 1152921504606846976 AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders",
+)
+def row_positions_large(spark, d):
+    return row_positions(table(spark, d, "orders").select((F.col("o_orderkey") + F.lit(1 << 60)).alias("k")), "k")
+
+
+@add(
+    "draw_labels",
+    "SELECT o_orderstatus AS label, true AS near_share FROM orders GROUP BY 1",
+)
 def draw_labels(spark, d):
+    """Labels in their shares, within 6 standard errors."""
     orders = table(spark, d, "orders")
     probs = {x["label"]: x["prob"] for x in SP.label_distribution(orders, "o_orderstatus").orderBy("label").collect()}
     drawn = SP.draw_labels(orders.select("o_orderkey"), "o_orderkey", probs)
-    return drawn.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    counts = drawn.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    share = F.create_map(*[F.lit(x) for pair in probs.items() for x in pair])[F.col("label")]
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    return counts.select("label", (F.abs(F.col("n") / total - share) <= 6 * F.sqrt(share * (1 - share) / total)).alias("near_share"))
 
 
 @add(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.missing import normalize_missing
 from ..functions.pvalues import chi2_pvalue, f_pvalue
 from ..session import cut_lineage
 from .gram import bounded, names, pearson_pairs
@@ -41,6 +42,7 @@ def _columns_with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
 def spearman_pairs(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Pearson of average ranks. A pair with nulls is ranked again on the rows both sides have."""
     cols = list(cols)
+    df = cut_lineage(normalize_missing(df.select(*dict.fromkeys([*key, *cols]))))
     gaps = set(_columns_with_nulls(df, cols))
     full = [c for c in cols if c not in gaps]
     parts = []
@@ -116,10 +118,18 @@ def _spearman_on_shared_rows(df: DataFrame, cols: list[str], pairs: list[tuple[s
     def side_name(k: int) -> Column:
         return F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("pair") + 1)
 
-    return sums.select(
+    found = sums.select(
         side_name(0).alias("x"), side_name(1).alias("y"),
         bounded(r).alias("r"), F.col("n").cast("bigint").alias("n"),
     )
+    return with_all_pairs(found, pairs, "r")
+
+
+def with_all_pairs(found: DataFrame, pairs: Sequence[tuple[str, str]], value: str) -> DataFrame:
+    """``found`` (x, y, value, n) with a null value and n = 0 for pairs without shared rows."""
+    wanted = found.sparkSession.createDataFrame(list(pairs), "x string, y string")
+    # a row per pair of columns
+    return wanted.join(found, ["x", "y"], "left").select("x", "y", value, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def mirror(pairs: DataFrame, value: str) -> DataFrame:
@@ -308,8 +318,10 @@ def anova_f(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFram
 
 def kruskal_h(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFrame:
     """(cat, num, h, p, groups, n) Kruskal-Wallis with tie correction."""
-    rows = long_values(df, nums, cats)
-    levels = F.array(*[F.struct(F.lit(c).alias("cat"), F.col(c).cast("string").alias("level")) for c in cats])
+    df = cut_lineage(normalize_missing(df.select(*dict.fromkeys([*cats, *nums]))))
+    safe = {c: f"_level{i}" for i, c in enumerate(cats)}  # a category may be called like a column of the long form
+    rows = long_values(df.select(*nums, *[F.col(f"`{c}`").alias(s) for c, s in safe.items()]), nums, list(safe.values()))
+    levels = F.array(*[F.struct(F.lit(c).alias("cat"), F.col(s).cast("string").alias("level")) for c, s in safe.items()])
     counts = (
         rows.select("feature", "bucket", "value", F.inline(levels))
         .where(F.col("level").isNotNull())

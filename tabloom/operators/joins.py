@@ -54,7 +54,7 @@ def outer_combine(
         right = tables[name]
         keys = next((list(k) for k in preferred if set(k) <= set(out.columns) & set(right.columns)), None)
         if keys:
-            out = out.join(suffix_collisions(right, out.columns, keys, f"_{name}"), keys, "full_outer")
+            out = full_outer(out, suffix_collisions(right, out.columns, keys, f"_{name}"), keys)
         else:
             if not order_key:
                 raise ValueError(f"no common key with {name}; pass order_key to align rows by position")
@@ -62,6 +62,23 @@ def outer_combine(
     return out
 
 
+def full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Full outer join as inner join plus the unmatched rows of each side.
+
+    Adaptive execution splits a hot key in these joins, which it cannot in a full outer one. Rows
+    with a null key match nothing and take no part in a shuffle for their key.
+    """
+    keys = list(keys)
+    whole = [functools.reduce(lambda a, b: a & b, [side[f"`{k}`"].isNotNull() for k in keys]) for side in (left, right)]
+    left_full, right_full = left.where(whole[0]), right.where(whole[1])
+    left_more, right_more = ([c for c in side.columns if c not in keys] for side in (left, right))
+    both = left_full.join(right_full, keys, "inner")
+    left_only = left_full.join(right_full.select(*keys).distinct(), keys, "left_anti").unionByName(left.where(~whole[0]))
+    right_only = right_full.join(left_full.select(*keys).distinct(), keys, "left_anti").unionByName(right.where(~whole[1]))
+    rows = both.unionByName(left_only, allowMissingColumns=True).unionByName(right_only, allowMissingColumns=True)
+    return rows.select(*keys, *left_more, *right_more)
+
+
 def zip_by_order(
     left: DataFrame, right: DataFrame, left_order: str, right_order: str, suffix: str = "_right"
 ) -> DataFrame:

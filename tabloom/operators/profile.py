@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .aggregates import column_stats, unpivot_values
+from ..functions.columns import quoted
+from ..functions.missing import normalize_missing
+from .aggregates import column_stats
 from .ranking import exact_quantiles, quantiles_wide
 
 
@@ -21,13 +23,14 @@ def z_scores(df: DataFrame, cols: Sequence[str], keep: Sequence[str], flag: floa
 
     With ``flag`` a boolean ``<c>_extreme`` marks |z| above it.
     """
+    df = normalize_missing(df)
     stats = fitted_stats(df, cols)
     out: list[Column] = []
     for c in cols:
         std = stats[c]["std"]
         if std is None or std == 0 or stats[c]["min"] == stats[c]["max"]:
             continue
-        z = (F.col(c) - F.lit(stats[c]["mean"])) / F.lit(std)
+        z = (quoted(c) - F.lit(stats[c]["mean"])) / F.lit(std)
         out.append(z.alias(f"{c}_zscore"))
         if flag is not None:
             out.append((F.abs(z) > flag).alias(f"{c}_extreme"))
@@ -36,11 +39,12 @@ def z_scores(df: DataFrame, cols: Sequence[str], keep: Sequence[str], flag: floa
 
 def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Population-std scaling; a column without spread becomes 0."""
+    df = normalize_missing(df)
     stats = fitted_stats(df, cols)
     exprs = []
     for c in cols:
         s = stats[c]["std_pop"] or 1.0
-        exprs.append(((F.col(c) - F.lit(stats[c]["mean"])) / F.lit(s)).alias(c))
+        exprs.append(((quoted(c) - F.lit(stats[c]["mean"])) / F.lit(s)).alias(c))
     return df.select(*keep, *exprs)
 
 
@@ -55,26 +59,43 @@ def iqr_fences(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def iqr_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Fences plus the number of values outside them."""
-    fences = iqr_fences(df, cols)
-    # one row of fences per column
-    rows = unpivot_values(df, [], cols).join(F.broadcast(fences), "feature", "left")
-    outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
-    return rows.groupBy("feature", "q1", "q3", "iqr", "lower_bound", "upper_bound").agg(
-        F.count_if(outside).alias("outlier_count"), F.count(F.lit(1)).alias("n")
-    )
+    fences = {r["feature"]: r for r in iqr_fences(df, cols).collect()}  # one row per column
+    names = ("q1", "q3", "iqr", "lower_bound", "upper_bound")
+
+    def cell(c: str) -> Column:
+        value, f = quoted(c), fences.get(c)
+        outside = (value < f["lower_bound"]) | (value > f["upper_bound"]) if f else F.lit(False)
+        return F.struct(
+            F.lit(c).alias("feature"),
+            *[F.lit(f[n] if f else None).cast("double").alias(n) for n in names],
+            F.count_if(outside).alias("outlier_count"),
+            F.count(value).alias("n"),
+        )
+
+    return df.agg(F.array(*[cell(c) for c in cols]).alias("s")).select(F.inline("s")).where("n > 0")
 
 
 def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Box-plot numbers: quartiles, whiskers (last values inside the fences) and outlier count."""
-    q = quantiles_wide(df, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
-    rows = unpivot_values(df, [], cols).join(F.broadcast(q), "feature")
-    return rows.groupBy("feature", "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.count_if(~inside).alias("outlier_count"),
-    )
+    found = {r["feature"]: r for r in quantiles_wide(df, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75}).collect()}
+
+    def cell(c: str) -> Column:
+        value, q = quoted(c).cast("double"), found[c]
+        reach = 1.5 * (q["q3"] - q["q1"])
+        inside = (value >= q["q1"] - reach) & (value <= q["q3"] + reach)
+        return F.struct(
+            F.lit(c).alias("feature"),
+            *[F.lit(q[n]).cast("double").alias(n) for n in ("q1", "median", "q3")],
+            F.min(F.when(inside, value)).alias("whisker_low"),
+            F.max(F.when(inside, value)).alias("whisker_high"),
+            F.count_if(~inside).alias("outlier_count"),
+        )
+
+    cells = [cell(c) for c in cols if c in found]
+    if not cells:
+        kinds = "feature string, q1 double, median double, q3 double, whisker_low double, whisker_high double, outlier_count long"
+        return df.sparkSession.createDataFrame([], kinds)
+    return df.agg(F.array(*cells).alias("s")).select(F.inline("s"))
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str], digits: int | None = 2) -> DataFrame:

@@ -16,17 +16,19 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import shuffle_width
+from ..session import cut_lineage, shuffle_width
 from .joins import edge_lookup
 
-MAX_BUCKETS = 1024
+BUCKET_ROWS = 2_000_000  # about as many rows as one window task ranks
 BRACKET_ERROR = 0.001  # rank error of the approximate quantiles around a wanted one
 BRACKET_ROWS = 5_000_000  # most values of one bracket that are ranked in one task
 
 
 def bucket_count(df: DataFrame) -> int:
-    return int(min(max(shuffle_width(df.sparkSession), 4), MAX_BUCKETS))
+    """As many buckets as the shuffle has partitions, and more once the rows need them."""
+    return max(shuffle_width(df.sparkSession), 4, -(-df.count() // BUCKET_ROWS))
 
 
 def bucket_edges(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
@@ -77,13 +79,26 @@ def starts_bucket(edges: Sequence[float], bucket: Column, value: Column) -> Colu
 def long_values(
     df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), keep_nulls: bool = False, mark_edges: bool = False
 ) -> DataFrame:
-    """(keep..., feature, bucket, value) rows; with ``mark_edges`` a flag ``edge`` on every value that may be hot."""
+    """(keep..., feature, bucket, value) rows; with ``mark_edges`` a flag ``edge`` on every value that may be hot.
+
+    Buckets come from doubles. Where a column is bigint or decimal, values are pairs of the double
+    and the exact number, so that numbers beyond 2**53 stay apart.
+    """
     edges = bucket_edges(df, cols)
-    binned = with_buckets(df, edges)
+    exact = [f.name for f in df.schema.fields if f.name in cols and isinstance(f.dataType, (T.LongType, T.DecimalType))]
+    whole = {c: F.col(c).cast("decimal(38,9)") for c in exact}
+    binned = with_buckets(df.withColumns({"_x_" + c: v for c, v in whole.items()}), edges)
+
+    def value(c: str) -> Column:
+        if not exact:
+            return F.col(c)
+        number = F.col("_x_" + c) if c in exact else F.lit(None).cast("decimal(38,9)")
+        return F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("d"), number.alias("x")))
+
     cells = F.array(
         *[
             F.struct(
-                F.lit(c).alias("feature"), F.col("_b_" + c).alias("bucket"), F.col(c).alias("value"),
+                F.lit(c).alias("feature"), F.col("_b_" + c).alias("bucket"), value(c).alias("value"),
                 *([starts_bucket(edges[c], F.col("_b_" + c), F.col(c)).alias("edge")] if mark_edges else []),
             )
             for c in cols
@@ -116,7 +131,7 @@ def rank_counts(counts: DataFrame, group: Sequence[str], value: str = "value", n
     inside = counts.withColumn("ties", F.sum(n).over(same)).withColumn(
         "before", F.sum(n).over(running) - F.col("ties")
     )
-    # one row per (group, bucket) and at most MAX_BUCKETS buckets per column
+    # one row per (group, bucket)
     out = inside.join(offsets, part, "inner")
     return out.withColumn("before", F.col("before") + F.col("_offset")).drop("_offset")
 
@@ -149,13 +164,22 @@ def long_ranks(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFr
 def wide_ranks(
     df: DataFrame, key: Sequence[str], cols: Sequence[str], percent: bool = False, keep_key: bool = True
 ) -> DataFrame:
-    """Key plus one rank column per feature (ties averaged, nulls stay null)."""
+    """Key plus one rank column per feature (ties averaged, nulls stay null).
+
+    A key that names two rows raises an error. The projected input is written once, as it is read
+    for the bucket edges, the counts and the lookup.
+    """
+    df = cut_lineage(df.select(*dict.fromkeys([*key, *cols])))
     cell = F.col("avg_rank")
     if percent:
         cell = F.try_divide(cell, F.col("n_valid")) * 100
     ids = [f"_k{i}" for i in range(len(key))]
+    repeated = F.raise_error(F.lit(f"{', '.join(key)} names more than one row")).cast("double")
     wide = long_ranks(df, key, cols).groupBy(*ids).agg(
-        *[F.max(F.when(F.col("feature") == c, cell)).alias(c) for c in cols]
+        *[
+            F.when(F.count(F.lit(1)) > len(cols), repeated).otherwise(F.max(F.when(F.col("feature") == c, cell))).alias(c)
+            for c in cols
+        ]
     )
     if not keep_key:
         return wide.drop(*ids)
@@ -244,15 +268,34 @@ def quantiles_wide(df: DataFrame, cols: Sequence[str], probs: dict[str, float])
     )
 
 
+POSITION_ROWS = 1_000_000  # rows of one range
+
+
+def positions(df: DataFrame, order: Sequence[str], name: str = "position", unique: bool = True) -> DataFrame:
+    """Zero-based position of each row in the order of its ``order`` columns, of any sortable type.
+
+    Sampled ranges spread the sort and are written with their rows; their counts, one row per
+    range, say where each range starts. Ranges grow in number with the rows. With ``unique``, two
+    rows alike in ``order`` raise an error when the result is read.
+    """
+    order = list(order)
+    width = max(shuffle_width(df.sparkSession), -(-df.count() // POSITION_ROWS))
+    ranged = cut_lineage(df.repartitionByRange(width, *order).withColumn("__range", F.spark_partition_id()))
+    inside = W.partitionBy("__range").orderBy(*order)
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    upto = W.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("__range", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__start"))
+    place = F.row_number().over(inside) - 1
+    if unique:
+        again = F.lag(F.struct(*order)).over(inside).eqNullSafe(F.struct(*order)) & (place > 0)
+        place = F.when(again, F.raise_error(F.lit(f"{', '.join(order)} repeats a value")).cast("int")).otherwise(place)
+    # one row per range
+    placed = ranged.withColumn("__place", place).join(F.broadcast(starts), "__range")
+    return placed.withColumn(name, F.col("__place") + F.col("__start")).drop("__place", "__start", "__range")
+
+
 def row_positions(df: DataFrame, order: str, name: str = "position") -> DataFrame:
-    """Zero-based position of each row along a unique numeric column."""
+    """Zero-based position of each row along a unique column without nulls."""
     if df.select(order).where(F.col(order).isNull()).limit(1).count():
         raise ValueError(f"{order} has nulls")
-    edges = bucket_edges(df, [order])
-    rows = with_buckets(df.withColumn("_order", F.col(order)), {"_order": edges[order]}).withColumnRenamed("_b__order", "bucket")
-    inside = W.partitionBy("bucket").orderBy("_order")
-    totals = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
-    upto = W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("bucket", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_offset"))
-    ranked = rows.withColumn("_inside", F.row_number().over(inside) - 1).join(offsets, "bucket")
-    return ranked.withColumn(name, F.col("_inside") + F.col("_offset")).drop("_inside", "_offset", "_order", "bucket")
+    return positions(df, [order], name)

@@ -26,8 +26,14 @@ class Rule:
 
 
 def word(*words: str) -> str:
-    """Name parts are separated by case changes, digits or punctuation, so "age" is not in "percentage"."""
-    return rf"(?:^|[^A-Za-z])(?:{'|'.join(words)})(?:$|[^A-Za-z])"
+    """Name parts (singular or plural) are separated by case changes, digits or punctuation, so "age" is in
+    "patientAge" and "AGES", not in "percentage"."""
+    return rf"(?:^|[^A-Za-z])(?:{'|'.join(words)})s?(?:$|[^A-Za-z])"
+
+
+def spaced(name: str) -> str:
+    """The name with a space at every case change."""
+    return re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", name)
 
 
 # The columns that may not be negative and the limits of plausible values.
@@ -40,13 +46,13 @@ DEFAULT_RULES: tuple[Rule, ...] = (
 
 def matching(df: DataFrame, rules: Sequence[Rule]) -> list[tuple[Rule, str]]:
     return [
-        (r, c) for r in rules for c in numeric_columns(df) if re.search(r.pattern, c, re.IGNORECASE)
+        (r, c) for r in rules for c in numeric_columns(df) if re.search(r.pattern, spaced(c), re.IGNORECASE)
     ]
 
 
 def rule_flags(df: DataFrame, keep: Sequence[str], rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """``keep`` plus has_violation (0/1) over all rows."""
-    hits = [F.coalesce(r.bad(F.col(c)), F.lit(False)) for r, c in matching(df, rules) if r.severity == "violation"]
+    hits = [F.coalesce(r.bad(F.col(f"`{c}`")), F.lit(False)) for r, c in matching(df, rules) if r.severity == "violation"]
     broken = F.lit(False)
     for h in hits:
         broken = broken | h
@@ -61,7 +67,7 @@ def rule_counts(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFra
     cells = [
         F.struct(
             F.lit(r.name).alias("rule"), F.lit(c).alias("column"), F.lit(r.severity).alias("severity"),
-            F.count_if(r.bad(F.col(c))).alias("n"),
+            F.count_if(r.bad(F.col(f"`{c}`"))).alias("n"),
         )
         for r, c in pairs
     ]

@@ -5,17 +5,19 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rng import key_hash, key_uniform
+from ..sources.readers import read_table
+from .ranking import positions
 
 
 def sample_rows(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """Exactly min(n, rows) rows: those with the smallest key hash.
 
-    A threshold on the hash leaves a little more than ``n`` candidates, so the final exact cut
-    sorts about ``n`` rows and not the table.
+    A threshold on the hash leaves a little more than ``n`` candidates; these are numbered in the
+    order of their hash by a distributed sort, so no task holds them all.
     """
     total = df.count()
     if total <= n:
@@ -23,7 +25,13 @@ def sample_rows(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> Da
     share = (n + 8.0 * math.sqrt(n) + 32.0) / total
     few = df.where(key_uniform(key, seed) < F.lit(share)) if share < 1.0 else df
     u = key_uniform(key, seed)
-    return few.withColumn("_u", u).orderBy("_u", *key).limit(n).drop("_u")
+    placed = positions(few.withColumn("_u", u), ["_u", *key], "_position", unique=False)
+    return placed.where(F.col("_position") < n).drop("_u", "_position")
+
+
+def load_sample(spark: SparkSession, path: str, key: Sequence[str], max_rows: int, seed: int = 42) -> DataFrame:
+    """A sample of at most ``max_rows`` rows of a file or folder, read by its extension."""
+    return sample_rows(read_table(spark, path), key, max_rows, seed)
 
 
 def split_rows(
@@ -44,9 +52,11 @@ def replicate(df: DataFrame, times: int, name: str = "rep") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
 
-def shuffle_rows(df: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """A seeded permutation (a distributed sort on the key hash)."""
-    return df.orderBy(key_hash(key, seed), *key)
+def shuffle_rows(df: DataFrame, key: Sequence[str], seed: int = 42, position: str | None = None) -> DataFrame:
+    """A seeded permutation (a distributed sort on the key hash); ``position`` adds each row's new place."""
+    if position is None:
+        return df.orderBy(key_hash(key, seed), *key)
+    return positions(df.withColumn("_h", key_hash(key, seed)), ["_h", *key], position, unique=False).drop("_h").orderBy(position)
 
 
 def label_distribution(df: DataFrame, label: str) -> DataFrame:

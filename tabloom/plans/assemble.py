@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..functions.columns import suffix_collisions
 from ..operators.aggregates import child_counts, child_stats, pivot_items
 from ..operators.joins import hot_keys, join_available, left_join, semi_filter, skew_safe_left_join
+from ..operators.ranking import positions
 from ..sources import catalog
 from ..sources.sinks import column_manifest, write_preview, write_table
 
@@ -50,6 +52,7 @@ def assemble_wide(
     only_spine_keys: bool = False,
     null_keys_match: bool = False,
     spread: Sequence[str] | None = None,
+    row_id: str | None = None,
 ) -> DataFrame:
     """Left-join dimensions, multiplying tables and aggregated children onto ``spine``.
 
@@ -61,6 +64,10 @@ def assemble_wide(
     of the spine are joined from a small broadcast while their rows stay spread over all tasks;
     dimensions must then have one row per key. Without it, adaptive execution splits skewed
     partitions of these left joins.
+
+    ``row_id`` names a new column that numbers the rows in the order of all their columns. Joins
+    that multiply spine rows leave no other key, and reports and detectors need one. Children have
+    one row per key, so the number is given before they are attached.
     """
     wide = spine
 
@@ -74,6 +81,9 @@ def assemble_wide(
     for frame, keys, suffix in dimensions:
         wide = attach(wide, frame, keys, suffix)
     wide = join_available(wide, fan_out or {}, null_keys_match)
+    if row_id:
+        sortable = [f"`{f.name}`" for f in wide.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        wide = positions(wide, sortable, row_id, unique=False)
     for child in children:
         keys = [k for k in child.keys if k in wide.columns and k in child.frame.columns]
         if grain is not None:

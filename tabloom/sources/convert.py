@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Collection
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import path_status, read_csv, size_bytes
@@ -33,9 +34,18 @@ def _is_fresh(spark: SparkSession, target: str, source_time: int) -> bool:
 
 
 def convert_tables(
-    spark: SparkSession, source: str, target: str, schemas: dict | None = None, force: bool = False
+    spark: SparkSession,
+    source: str,
+    target: str,
+    schemas: dict | None = None,
+    force: bool = False,
+    single_line: Collection[str] = (),
 ) -> DataFrame:
-    """Convert each CSV to snappy Parquet; one failing table does not stop the others."""
+    """Convert each CSV to snappy Parquet; one failing table does not stop the others.
+
+    ``single_line`` names tables without line breaks inside fields, whose files can be split. A
+    table counts as converted only if as many rows come back as were read.
+    """
     report = []
     for table, path, csv_bytes, modified in _csv_files(spark, source):
         out = os.path.join(target, f"{table}.parquet")
@@ -43,10 +53,14 @@ def convert_tables(
             report.append((table, "skipped", None, csv_bytes, size_bytes(spark, out), None))
             continue
         try:
-            wide = 2 * spark.sparkContext.defaultParallelism if path.endswith(".gz") else None
-            df = read_csv(spark, path, (schemas or {}).get(table), wide)
+            multiline = table not in single_line
+            wide = 2 * spark.sparkContext.defaultParallelism if multiline or path.endswith(".gz") else None
+            seen = Observation()
+            df = read_csv(spark, path, (schemas or {}).get(table), wide, multiline).observe(seen, F.count(F.lit(1)).alias("n"))
             df.write.mode("overwrite").option("compression", "snappy").parquet(out)
             rows = spark.read.parquet(out).count()
+            if rows != seen.get["n"]:
+                raise RuntimeError(f"{seen.get['n']} rows read, {rows} written")
             report.append((table, "converted", rows, csv_bytes, size_bytes(spark, out), None))
         except Exception as e:  # noqa: BLE001 - reported per table
             report.append((table, "error", None, csv_bytes, None, " ".join(str(e).split())[:500]))

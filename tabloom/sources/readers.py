@@ -39,9 +39,14 @@ def read_csv(
     path: str | Sequence[str],
     schema: T.StructType | str | None = None,
     partitions: int | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
-    """Header CSV; gzip is read directly but cannot be split, so ``partitions`` spreads it out again."""
-    reader = spark.read.option("header", True).option("multiLine", False)
+    """Header CSV with quoted fields, doubled quotes and line breaks inside quotes.
+
+    ``multiline=False`` lets Spark split a file; it is right only where no field holds a line
+    break. Files read whole (and gzip) are spread out again over ``partitions``.
+    """
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path if isinstance(path, str) else list(path))
     if partitions:
@@ -49,13 +54,15 @@ def read_csv(
     return normalize_missing(df)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True
+) -> DataFrame:
     """Read one path by its extension."""
     if path.endswith((".csv", ".csv.gz")):
         if not exists(spark, path):
             raise FileNotFoundError(path)
-        wide = 2 * spark.sparkContext.defaultParallelism if path.endswith(".gz") else None
-        return read_csv(spark, path, schema, wide)
+        wide = 2 * spark.sparkContext.defaultParallelism if multiline or path.endswith(".gz") else None
+        return read_csv(spark, path, schema, wide, multiline)
     return read_parquet(spark, path)
 
 
@@ -70,12 +77,13 @@ def candidate_paths(root: str, name: str) -> list[str]:
 
 
 def resolve_table(
-    spark: SparkSession, root: str, name: str, on_missing: str = "raise", schema: T.StructType | str | None = None
+    spark: SparkSession, root: str, name: str, on_missing: str = "raise", schema: T.StructType | str | None = None,
+    multiline: bool = True,
 ) -> DataFrame | None:
     """Parquet if present, else CSV, else raise / warn / None according to ``on_missing``."""
     for path in candidate_paths(root, name):
         if exists(spark, path):
-            return read_table(spark, path, schema)
+            return read_table(spark, path, schema, multiline)
     if on_missing == "raise":
         raise FileNotFoundError(f"{name} not found under {root}")
     if on_missing == "warn":
