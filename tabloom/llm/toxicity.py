@@ -6,28 +6,31 @@ rate of its own for each and sets weak weights to exactly zero (L1), so the trai
 list of places and weights that is shipped with the scoring tasks.
 
 Training uses a bounded sample of the labelled rows, ``SAMPLE`` of them at most by the hash of their
-id, split into shards; in each round every shard runs once over its rows from the common state and
-Spark averages the states. The state has 2**20 places at most, whatever the input.
+id, split into shards by another hash. In each round every shard, a task, runs twice over its rows
+from the common state, and the mean of the states is the next one. A state is 2**20 places of eight
+bytes and there are four shards, whatever the input.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm import text as tx
-from tabloom.session import cut_lineage
+from tabloom.session import scratch_root
 
 BITS = 20
 SAMPLE = 20_000
 SHARDS = 4
-ROUNDS = 6
+ROUNDS = 3
+PASSES = 2  # of a shard in a round
 U = np.uint64
 PLAIN = tx.LOWER.copy()
 PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = 0x20  # punctuation parts words
@@ -85,7 +88,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, la
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((both & ((1 << BITS) - 1)).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("y"), lists], names=["shard", "y", "places"])
 
-    return cut_lineage(rows.mapInArrow(run, "shard int, y int, places array<int>"))
+    path = f"{scratch_root(docs.sparkSession)}/{uuid.uuid4().hex}"
+    rows.mapInArrow(run, "shard int, y int, places array<int>").write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema("y int, places array<int>, shard int").parquet(path)
 
 
 def weights_of(z: np.ndarray, n: np.ndarray, rates: Rates) -> np.ndarray:
@@ -120,32 +125,33 @@ def train(rows: DataFrame, rounds: int = ROUNDS, rates: Rates | None = None) ->
     """The model of training rows; without any, a model that scores 0.1 everywhere."""
     rates = rates or Rates()
     size = 1 << BITS
-    z, n = np.zeros(size), np.zeros(size)
+    z, n = np.zeros(size, np.float32), np.zeros(size, np.float32)
     total = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
     share = ((total[1] or 0) + 1) / (total[0] + 10)
     bias = float(np.log(share / (1 - share)))
+    shards = [rows.filter(F.col("shard") == s).coalesce(1) for s in range(SHARDS)]  # read from their own folders
     for _ in range(rounds if total[0] else 0):
-        at = np.flatnonzero(n)
-        state = (at, z[at], n[at], bias)
 
-        def shard_pass(frame):
-            own_z, own_n = np.zeros(size), np.zeros(size)
-            own_z[state[0]], own_n[state[0]] = state[1], state[2]
+        def shard_passes(batches: Iterator[pa.RecordBatch], state=(z, n, bias)) -> Iterator[pa.RecordBatch]:
+            # SAMPLE / SHARDS texts or so
+            texts = [
+                (y, p.values.to_numpy().astype(np.int64))
+                for b in batches
+                for y, p in zip(b.column("y").to_pylist(), b.column("places"), strict=True)
+            ]
+            if not texts:
+                return
             # an order that depends on the texts alone
-            mixed = [int(np.sum(p, dtype=np.int64)) * 2654435761 % 4294967291 for p in frame["places"]]
-            order = np.argsort(mixed, kind="stable")
-            texts = [(int(frame["y"].iloc[i]), np.asarray(frame["places"].iloc[i], np.int64)) for i in order]
-            out = one_pass(own_z, own_n, state[3], texts, rates)
-            used = np.flatnonzero(own_n)
-            return pd.DataFrame({"place": np.append(used, -1), "z": np.append(own_z[used], out), "n": np.append(own_n[used], 0.0)})
-
-        # at most SAMPLE / SHARDS texts a group
-        states = rows.groupBy("shard").applyInPandas(shard_pass, "place long, z double, n double")
-        mean = states.groupBy("place").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toPandas().sort_values("place")
-        place = mean["place"].to_numpy()
-        z, n = np.zeros(size), np.zeros(size)
-        z[place[1:]], n[place[1:]] = mean["z"].to_numpy()[1:], mean["n"].to_numpy()[1:]
-        bias = float(mean["z"].iloc[0])
+            texts.sort(key=lambda t: (int(t[1].sum()) * 2654435761 % 4294967291, len(t[1])))
+            own_z, own_n, own_bias = state[0].astype(np.float64), state[1].astype(np.float64), state[2]
+            for _ in range(PASSES):
+                own_bias = one_pass(own_z, own_n, own_bias, texts, rates)
+            out = {"z": [own_z.astype("<f4").tobytes()], "n": [own_n.astype("<f4").tobytes()], "bias": [own_bias]}
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("z", pa.binary()), ("n", pa.binary()), ("bias", pa.float64())]))
+
+        states = reduce(DataFrame.union, shards).mapInArrow(shard_passes, "z binary, n binary, bias double").collect()
+        z, n = (np.mean([np.frombuffer(r[c], "<f4") for r in states], axis=0) for c in "zn")
+        bias = float(np.mean([r["bias"] for r in states]))
     w = weights_of(z, n, rates)
     kept = np.flatnonzero(w)
     return Model(kept, w[kept], bias)
