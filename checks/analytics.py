@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tabloom.operators import associate, detectors, encode, features, flow, gram, joint, neighbors, profile, ranking, rules
@@ -348,7 +350,19 @@ def anova_f(spark, d):
     return out.select("cat", "num", r("f").alias("f"), "groups", "n")
 
 
-@add("anova_p")
+#: The F distribution's upper tail: Simpson's rule for x = u * u over 4000 steps.
+ANOVA_P_SQL = f"""WITH {LINE_CATS_SQL}, l AS ({CAT_NUM_SQL}),
+g AS (SELECT cat, num, level, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS ss FROM l GROUP BY 1, 2, 3),
+t AS (SELECT *, sum(n * m) OVER (PARTITION BY cat, num) / sum(n) OVER (PARTITION BY cat, num) AS grand FROM g),
+f AS (SELECT cat, num, count(*) - 1.0::DOUBLE AS a, sum(n) - count(*)::DOUBLE AS b, (sum(n * (m - grand) ** 2) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) AS f
+  FROM t GROUP BY 1, 2),
+u AS (SELECT *, sqrt(f) / 4000 AS h, i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM f, range(4001) r(i)),
+s AS (SELECT cat, num, w * h / 3 * 2 * CASE WHEN i = 0 THEN CASE WHEN a = 1 THEN exp(lgamma((a + b) / 2) - lgamma(a / 2) - lgamma(b / 2) + a / 2 * ln(a / b)) ELSE 0 END
+  ELSE exp(lgamma((a + b) / 2) - lgamma(a / 2) - lgamma(b / 2) + a / 2 * ln(a / b) + (a - 1) * ln(i * h) - (a + b) / 2 * ln(1 + a * (i * h) ** 2 / b)) END AS part FROM u)
+SELECT cat, num, round(greatest(0, 1 - sum(part)), 6) + 0.0 AS p FROM s GROUP BY 1, 2"""
+
+
+@add("anova_p", ANOVA_P_SQL)
 def anova_p(spark, d):
     return associate.anova_f(line_cats(spark, d), LINE_CATS, LINE_NUMS).select("cat", "num", r("p").alias("p"))
 
@@ -394,7 +408,20 @@ def kruskal_p_three_groups(spark, d):
     return associate.kruskal_h(line_cats(spark, d), ["l_returnflag"], LINE_NUMS).select("cat", "num", r("p").alias("p"))
 
 
-@add("kruskal_p")
+#: The chi-squared distribution's upper tail in the same way.
+KRUSKAL_P_SQL = f"""WITH {LINE_CATS_SQL}, l AS ({CAT_NUM_SQL}),
+k AS (SELECT cat, num, level, rank() OVER (PARTITION BY cat, num ORDER BY v) + (count(*) OVER (PARTITION BY cat, num, v) - 1) / 2.0 AS rk,
+  count(*) OVER (PARTITION BY cat, num, v)::DOUBLE AS t FROM l),
+g AS (SELECT cat, num, level, count(*)::DOUBLE AS n, sum(rk) AS r, sum(t * t - 1) AS tie FROM k GROUP BY 1, 2, 3),
+s AS (SELECT cat, num, count(*) - 1.0::DOUBLE AS a, sum(n) AS n, sum(r * r / n) AS ssr, sum(tie) AS tie FROM g GROUP BY 1, 2),
+x AS (SELECT cat, num, a, (12.0 / (n * (n + 1)) * ssr - 3 * (n + 1)) / (1 - tie / (n * n * n - n)) AS x FROM s),
+u AS (SELECT *, sqrt(x) / 4000 AS h, i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM x, range(4001) r(i)),
+p AS (SELECT cat, num, w * h / 3 * 2 * CASE WHEN i = 0 THEN CASE WHEN a = 1 THEN exp(-lgamma(0.5)) / sqrt(2) ELSE 0 END
+  ELSE exp((a - 1) * ln(i * h) - (i * h) ** 2 / 2 - a / 2 * ln(2) - lgamma(a / 2)) END AS part FROM u)
+SELECT cat, num, round(greatest(0, 1 - sum(part)), 6) + 0.0 AS p FROM p GROUP BY 1, 2"""
+
+
+@add("kruskal_p", KRUSKAL_P_SQL)
 def kruskal_p(spark, d):
     return associate.kruskal_h(line_cats(spark, d), LINE_CATS, LINE_NUMS).select("cat", "num", r("p").alias("p"))
 
@@ -446,9 +473,20 @@ def knn_graph(spark, d):
     return out.withColumn("dist", r("dist"))
 
 
-@add("knn_graph_ivf")
+@add("knn_graph_ivf", f"WITH {KNN_SQL} SELECT id, nbr, round(dist, 6) AS dist, rk::INTEGER AS rk FROM k WHERE rk <= 5")
 def knn_graph_ivf(spark, d):
-    return neighbors.knn_graph(table(spark, d, "embeddings"), "vec_id", "embedding", 5, "ivf", probes=4)
+    """With as many probes as cells the probing search is exact."""
+    out = neighbors.knn_graph(table(spark, d, "embeddings"), "vec_id", "embedding", 5, "ivf", probes=1 << 20)
+    return out.withColumn("dist", r("dist"))
+
+
+@add("knn_recall", "SELECT 5 * count(*) AS n_edges, true AS recall_090 FROM embeddings")
+def knn_recall(spark, d):
+    """The probing search at its default against the exact one."""
+    e = table(spark, d, "embeddings")
+    found = neighbors.knn_graph(e, "vec_id", "embedding", 5, "ivf").select("id", "nbr", F.lit(1).alias("hit"))
+    both = neighbors.knn_graph(e, "vec_id", "embedding", 5).join(found, ["id", "nbr"], "left")
+    return both.agg(F.count(F.lit(1)).alias("n_edges"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_090"))
 
 
 @add("knn_distance", f"WITH {KNN_SQL} SELECT id AS vec_id, round(avg(dist), 6) AS knn_distance FROM k WHERE rk <= 5 GROUP BY 1")
@@ -476,19 +514,50 @@ def order_matrix(spark, d):
     return cut_lineage(features.feature_matrix(df, ["o_orderkey"], ["acct", "price", "c_nationkey", "o_totalprice"])[0])
 
 
-@add("isolation_forest")
+def with_far_row(matrix):
+    """One more row, far from all others in every feature."""
+    far = matrix.limit(1).select(F.lit(-1).cast("bigint").alias("o_orderkey"), F.transform("features", lambda v: F.lit(40.0)).alias("features"))
+    return cut_lineage(matrix.unionByName(far))
+
+
+def detector_facts(scores, score: str):
+    """What any such detector must show: every row once, the asked share flagged, the far row lowest."""
+    flag = F.col(f"{score}_outlier")
+    lowest = F.min_by("o_orderkey", score)
+    return scores.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("o_orderkey").alias("n_keys"), F.count_if(F.col(score).isNull()).alias("n_null"),
+        (F.avg(flag).between(0.08, 0.101)).alias("flagged_share"), (lowest == -1).alias("far_row_lowest"),
+        (F.max(F.when(F.col("o_orderkey") == -1, flag)) == 1).alias("far_row_flagged"),
+    )
+
+
+DETECTOR_SQL = f"""WITH {ORDERS_CUSTOMER_SQL} SELECT count(*) + 1 AS n_rows, count(*) + 1 AS n_keys, 0::BIGINT AS n_null, true AS flagged_share,
+ true AS far_row_lowest, true AS far_row_flagged FROM oc WHERE acct IS NOT NULL AND price IS NOT NULL"""
+
+
+@add("isolation_forest", DETECTOR_SQL)
 def isolation_forest(spark, d):
-    return detectors.isolation_forest(order_matrix(spark, d), ["o_orderkey"])
+    return detector_facts(detectors.isolation_forest(with_far_row(order_matrix(spark, d)), ["o_orderkey"]), "isolation_forest")
 
 
-@add("one_class_svm")
+@add("one_class_svm", DETECTOR_SQL)
 def one_class_svm(spark, d):
-    return detectors.one_class_svm(order_matrix(spark, d), ["o_orderkey"], rounds=10)
+    return detector_facts(detectors.one_class_svm(with_far_row(order_matrix(spark, d)), ["o_orderkey"]), "one_class_svm")
 
 
-@add("pca_reduce")
+@add("pca_reduce", "SELECT count(*) AS n_rows, 8 AS dims, true AS centred, true AS uncorrelated, true AS variances_fall FROM embeddings")
 def pca_reduce(spark, d):
-    return features.pca_reduce(table(spark, d, "embeddings"), ["vec_id"], 8, "embedding")
+    """Components are centred, uncorrelated and ordered by variance."""
+    out = cut_lineage(features.pca_reduce(table(spark, d, "embeddings"), ["vec_id"], 8, "embedding"))
+    c = [F.col("features")[i] for i in range(8)]
+    small = lambda x: F.abs(x) < 1e-6
+    alike = [small(F.corr(a, b)) for i, a in enumerate(c) for b in c[i + 1 :]]
+    falling = [F.var_pop(a) >= F.var_pop(b) - 1e-9 for a, b in zip(c, c[1:])]
+    both = lambda xs: reduce(lambda a, b: a & b, xs)
+    return out.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(F.size("features")).alias("dims"), both([small(F.avg(x)) for x in c]).alias("centred"),
+        both(alike).alias("uncorrelated"), both(falling).alias("variances_fall"),
+    )
 
 
 @add(
@@ -665,11 +734,26 @@ def encode_levels(spark, d):
 # --- synthesis --------------------------------------------------------------------------
 
 
-@add("flow_training_pairs")
+@add(
+    "flow_training_pairs",
+    """SELECT count(*) * 6 AS n_rows, 64 AS dims, true AS mean_0, true AS variance_1, true AS dims_differ, true AS levels_share_noise FROM embeddings""",
+)
 def flow_training_pairs(spark, d):
+    """The noise Z = X - Y in all 64 dimensions: standard normal, one draw per row and repetition, shared by its levels."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
     pairs = flow.training_pairs(e, ["vec_id"], flow.FlowParams(nt=3, n_noise=2))
-    return pairs.select("vec_id", "rep", "level", F.col("x_t")[0].alias("x0"), F.col("y_t")[0].alias("y0"))
+    with_data = pairs.join(e, "vec_id").withColumn("z", F.zip_with("features", "y_t", lambda x, y: x - y))
+    sums = lambda f: F.aggregate("z", F.lit(0.0), lambda a, z: a + f(z))
+    rows = with_data.select("vec_id", "rep", "level", "z", sums(lambda z: z).alias("s"), sums(lambda z: z * z).alias("q"))
+    n = F.count(F.lit(1)) * 64 / 3  # levels repeat the same noise
+    spread = rows.groupBy("vec_id", "rep").agg((F.max(F.col("z")[0]) - F.min(F.col("z")[0])).alias("gap"))
+    shared = spread.agg((F.max("gap") < 1e-6).alias("levels_share_noise"))
+    facts = rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(F.size("z")).alias("dims"), (F.abs(F.sum("s") / (3 * n)) <= 6 / F.sqrt(n)).alias("mean_0"),
+        (F.abs(F.sum("q") / (3 * n) - 1) <= 6 * F.sqrt(2 / n)).alias("variance_1"),
+        (F.abs(F.corr(F.col("z")[0], F.col("z")[1])) < 0.2).alias("dims_differ"),
+    )
+    return facts.join(F.broadcast(shared))
 
 
 @add(
@@ -686,25 +770,37 @@ def flow_path(spark, d):
     return pairs.select("vec_id", "rep", "level", F.posexplode(back).alias("i", "x")).withColumn("x", r("x"))
 
 
-QUICK = flow.FlowParams(nt=4, n_noise=2, trees=3, depth=3, learning_rate=0.5, bins=32)
+QUICK = flow.FlowParams(nt=5, n_noise=3, trees=3, depth=3, learning_rate=0.5, bins=32)
+
+
+def made_facts(made, real, level: str):
+    """Rows as asked, ids once, numbers inside the real ranges, levels of the real table or missing."""
+    bounds = real.agg(F.min("o_totalprice"), F.max("o_totalprice"), F.min("c_nationkey"), F.max("c_nationkey")).first()
+    inside = F.col("o_totalprice").between(bounds[0] - 0.01, bounds[1] + 0.01) & F.col("c_nationkey").between(bounds[2], bounds[3])
+    foreign = made.select(F.col(level).alias("level")).dropna().distinct().join(real.select(F.col("o_orderstatus").alias("level")).distinct(), "level", "left_anti")
+    facts = made.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.coalesce(inside, F.lit(False))).alias("n_outside"), F.countDistinct("id").alias("n_ids"))
+    return facts.join(F.broadcast(foreign.agg(F.count(F.lit(1)).alias("n_foreign_levels"))))
+
+
+MADE_SQL = "SELECT count(*) AS n_rows, 0::BIGINT AS n_outside, count(*) AS n_ids, 0::BIGINT AS n_foreign_levels FROM orders"
 
 
-@add("synthesize")
+@add("synthesize", MADE_SQL)
 def synthesized(spark, d):
     df = orders_customer(spark, d).select("o_orderkey", "o_totalprice", "c_nationkey", "o_orderstatus")
     n = df.count()
     made = synthesize.synthesize(df, ["o_orderkey"], ["o_orderstatus"], ["c_nationkey"], (), n_samples=n, params=QUICK)
-    return made.synthetic
+    return made_facts(cut_lineage(made.synthetic), df, "o_orderstatus")
 
 
-@add("synthesize_by_label")
+@add("synthesize_by_label", MADE_SQL)
 def synthesized_by_label(spark, d):
     df = orders_customer(spark, d).select("o_orderkey", "o_totalprice", "c_nationkey", "o_orderstatus")
     n = df.count()
     made = synthesize.synthesize(
         df, ["o_orderkey"], [], ["c_nationkey"], (), n_samples=n, params=QUICK, label="o_orderstatus"
     )
-    return made.synthetic
+    return made_facts(cut_lineage(made.synthetic), df, "label")
 
 
 @add(
