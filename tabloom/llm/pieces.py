@@ -49,6 +49,12 @@ class Vocabulary:
                 self.code.setdefault(c, len(self.code) + self.size)
         if any(SPACE in p.lstrip(SPACE) for p in whole):
             raise ValueError("pieces with a space sign behind another character cross words")
+        self.by_point = -1 - np.arange(0x110000, dtype=np.int64)  # -1 - code point for a character that no piece holds
+        for c, i in self.code.items():
+            if len(c) == 1:
+                self.by_point[ord(c)] = i
+        self.number = [str(i) for i in range(self.size)]
+        self.plain = [None if b else p.replace(SPACE, " ") for p, b in zip(self.text, special, strict=True)]
         scores = np.array([lib.get_score(i) for i in range(self.size)])
         order = {s: r for r, s in enumerate(sorted({-s for s in scores.tolist()}))}
         rows = sorted(
@@ -70,10 +76,6 @@ class Vocabulary:
         known = (self.pairs[at] == key) & (left >= 0) & (right >= 0)
         return np.where(known, self.ranks[at], NONE), self.merged[at]
 
-    def symbols(self, word: str) -> list[int]:
-        """Codes of the characters; -1 - code point for one that no piece holds."""
-        return [self.code.get(c, -1 - ord(c)) for c in word]
-
     def ids(self, symbols: list[int], chars: dict[int, str]) -> list[int]:
         """Piece ids of final symbols; what is no piece is spelled in bytes."""
         out: list[int] = []
@@ -85,32 +87,35 @@ class Vocabulary:
                 out.append(self.bytes.get(b, self.unknown))
         return out
 
-    def merge_rounds(self, words: list[list[int]]) -> list[list[int]]:
-        """The final symbols of words given as symbols."""
-        counts = np.array([len(w) for w in words], np.int64)
-        symbol = np.concatenate([np.array(w, np.int64) for w in words])
-        owner = np.repeat(np.arange(len(words)), counts)
+    def merge_rounds(self, symbol: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The final symbols of words given as one array with their lengths, and the final lengths."""
+        owner = np.repeat(np.arange(len(counts)), counts)
+        rank, merged = self.rank(symbol, np.append(symbol[1:], -1))
+        rank[np.cumsum(counts) - 1] = NONE  # a word's last symbol has no partner
         done_symbol, done_owner = [], []
         while len(symbol):
-            rank = np.full(len(symbol), NONE)
-            merged = np.zeros(len(symbol), np.int64)
-            rank[:-1], merged[:-1] = self.rank(symbol[:-1], symbol[1:])
-            rank[:-1][owner[:-1] != owner[1:]] = NONE
             starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            best = np.minimum.reduceat(rank << 20 | np.arange(len(symbol)) - np.repeat(starts, np.diff(np.append(starts, len(symbol)))), starts)
+            length = np.diff(np.append(starts, len(symbol)))
+            place = np.arange(len(symbol)) - np.repeat(starts, length)
+            best = np.minimum.reduceat(rank << 20 | place, starts)
             live = best < (NONE << 20)
-            spot = (starts + (best & 0xFFFFF))[live]
-            symbol[spot] = merged[spot]
-            stay = np.ones(len(symbol), bool)
-            stay[spot + 1] = False
-            going = np.repeat(live, np.diff(np.append(starts, len(symbol))))
+            going = np.repeat(live, length)
             done_symbol.append(symbol[~going])
             done_owner.append(owner[~going])
-            symbol, owner = symbol[stay & going], owner[stay & going]
+            spot = (starts + (best & 0xFFFFF))[live]
+            symbol[spot] = merged[spot]
+            rank[spot] = rank[spot + 1]  # NONE if the word ends here; else looked up anew below
+            going[spot + 1] = False
+            now = (np.cumsum(going) - 1)[spot]
+            symbol, owner, rank, merged = symbol[going], owner[going], rank[going], merged[going]
+            changed = np.concatenate([now, now[now > 0] - 1])
+            changed = changed[changed < len(symbol) - 1]
+            inside = owner[changed] == owner[changed + 1]
+            rank[changed[~inside]] = NONE
+            changed = changed[inside]
+            rank[changed], merged[changed] = self.rank(symbol[changed], symbol[changed + 1])
         symbol, owner = np.concatenate(done_symbol), np.concatenate(done_owner)
-        symbol = symbol[np.argsort(owner, kind="stable")]
-        ends = np.cumsum(np.bincount(owner, minlength=len(words)))
-        return [symbol[a:b].tolist() for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)]
+        return symbol[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(counts))
 
     def merge_queue(self, symbols: list[int]) -> list[int]:
         """The same for one long word: best rank first, leftmost among equals."""
@@ -145,17 +150,29 @@ class Vocabulary:
         return (int(self.ranks[at]), int(self.merged[at])) if known else (int(NONE), 0)
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        coded = [self.symbols(w) for w in words]
-        chars = {self.code[c]: c for w in words for c in set(w) if self.code.get(c, -1) >= self.size}
-        short = [i for i, w in enumerate(coded) if len(w) <= LONG_WORD]
-        out: list[list[int]] = [[] for _ in words]
-        if short:
-            for i, symbols in zip(short, self.merge_rounds([coded[i] for i in short]), strict=True):
-                out[i] = symbols
-        for i, w in enumerate(coded):
-            if len(w) > LONG_WORD:
-                out[i] = self.merge_queue(w)
-        return [self.ids(s, chars) for s in out]
+        """The ids of each word."""
+        counts = np.array([len(w) for w in words], np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        symbol = self.by_point[points]
+        rare = np.flatnonzero(symbol >= self.size)
+        chars = {c: chr(p) for c, p in zip(symbol[rare].tolist(), points[rare].tolist(), strict=True)}
+        long = np.flatnonzero(counts > LONG_WORD)
+        first = np.cumsum(counts) - counts
+        if len(long):
+            short = np.repeat(counts <= LONG_WORD, counts)
+            flat, sizes = self.merge_rounds(symbol[short], np.where(counts > LONG_WORD, 0, counts)[counts <= LONG_WORD])
+        else:
+            flat, sizes = self.merge_rounds(symbol, counts)
+        odd = (flat < 0) | (flat >= self.size)
+        ends = np.cumsum(sizes)
+        strange = np.add.reduceat(np.append(odd, False), np.append(0, ends[:-1])) > 0 if len(sizes) else np.zeros(0, bool)
+        listed = flat.tolist()
+        out = [listed[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        for i in np.flatnonzero(strange & (sizes > 0)).tolist():
+            out[i] = self.ids(out[i], chars)
+        for i in long.tolist():
+            out.insert(i, self.ids(self.merge_queue(symbol[first[i] : first[i] + counts[i]].tolist()), chars))
+        return out
 
     def split(self, text: str) -> list[str]:
         """The words of a text with its dummy prefix; an empty text has none."""
@@ -163,6 +180,9 @@ class Vocabulary:
 
     def spell(self, ids: list[int]) -> str:
         """Pieces joined, bytes as UTF-8 (a wrong byte is U+FFFD), space signs as spaces."""
+        plain = [self.plain[i] for i in ids]
+        if None not in plain:
+            return "".join(plain)
         out: list[str] = []
         raw = bytearray()
         for i in [*ids, -1]:
@@ -236,7 +256,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text:
                     known = {}
                 fresh = list({w for s in split for w in s if w not in known})
                 for word, ids in zip(fresh, vocab.encode_words(fresh) if fresh else [], strict=True):
-                    known[word] = (len(ids), ",".join(map(str, ids)), vocab.spell(ids))
+                    known[word] = (len(ids), ",".join([vocab.number[i] for i in ids]), vocab.spell(ids))
                 counts, hashes, decoded = [], [], []
                 for s in split:
                     found = [known[w] for w in s]
