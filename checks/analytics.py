@@ -820,26 +820,46 @@ def compare_real_synth(spark, d):
 # --- reports ----------------------------------------------------------------------------
 
 
-@add("association_report")
+@add(
+    "association_report",
+    """SELECT * FROM (VALUES ('pearson', 6, 0), ('spearman', 6, 0), ('kendall', 3, 0), ('cramers_v', 1, 0), ('theils_u', 4, 0), ('anova', 6, 0),
+ ('kruskal', 6, 0), ('skipped_columns', 1, 0)) v(statistic, n_pairs, n_null)""",
+)
 def association_report(spark, d):
-    df = orders_customer(spark, d).select("o_orderkey", "price", "acct", "c_nationkey", "o_orderstatus", "o_orderpriority")
+    """Every pair once in every statistic; the statistics themselves have queries of their own."""
+    df = orders_customer(spark, d).select("o_orderkey", "price", "acct", "c_nationkey", "o_orderstatus", "o_orderpriority", "c_name")
     out = reports.association_report(df, ["o_orderkey"])
     parts = [
         out[name].select(F.lit(name).alias("statistic"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(v).alias("value"))
         for name, x, y, v in (
             ("pearson", "x", "y", "r"), ("spearman", "x", "y", "r"), ("kendall", "x", "y", "r"),
             ("cramers_v", "x", "y", "v"), ("theils_u", "x", "y", "u"), ("anova", "cat", "num", "f"),
-            ("kruskal", "cat", "num", "h"),
+            ("kruskal", "cat", "num", "h"), ("skipped_columns", "column", "column", "levels"),
         )
     ]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    whole = reduce(lambda a, b: a.unionByName(b), parts).withColumn("value", F.col("value").cast("double"))
+    return whole.groupBy("statistic").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("value").isNull()).alias("n_null"))
 
 
-@add("anomaly_report")
+@add(
+    "anomaly_report",
+    f"""WITH {GAPS_SQL}, n AS (SELECT count(*) AS n, count(acct) AS full_rows, (SELECT count(*) FROM (SELECT DISTINCT c_mktsegment FROM gc)) AS segments FROM gc),
+v AS (SELECT unnest(['z_scores', 'quantile_ranks', 'rule_violations']) AS result, n AS n_rows FROM n
+  UNION ALL SELECT unnest(['mahalanobis_distance', 'knn_distance', 'anomaly_scores', 'consensus']), full_rows FROM n
+  UNION ALL SELECT unnest(['iqr_stats', 'box_stats', 'thresholds', 'consensus_counts']), 2 FROM n
+  UNION ALL SELECT 'rule_counts', 0 FROM n
+  UNION ALL SELECT 'joint_correlation', (segments + 2) * (segments + 3) / 2 FROM n UNION ALL SELECT 'mutual_information', (segments + 2) * (segments + 2) FROM n
+  UNION ALL SELECT 'joint_distribution_stats', (segments + 2) * (segments + 1) / 2 FROM n
+  UNION ALL SELECT 'skipped_columns', 1 FROM n)
+SELECT result, n_rows::BIGINT AS n_rows FROM v""",
+)
 def anomaly_report(spark, d):
-    df = gaps_customer(spark, d).select("c_custkey", "acct", "c_nationkey", "c_mktsegment")
-    out = reports.anomaly_report(df, ["c_custkey"])
-    return out["anomaly_scores"].join(out["consensus"], "c_custkey").join(out["knn_distance"], "c_custkey")
+    """Every result of the report, for a key of two columns; the results have queries of their own."""
+    df = gaps_customer(spark, d).select(F.col("c_custkey"), F.lit(1).alias("part"), "acct", "c_nationkey", "c_mktsegment", "c_name")
+    out = reports.anomaly_report(df, ["c_custkey", "part"])
+    sized = [
+        frame.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("result"), "n_rows")
+        for name, frame in out.items()
+        if name not in ("histograms", "top_pairs", "pair_density")  # as many rows as bins or pairs hold values
+    ]
+    return reduce(lambda a, b: a.unionByName(b), sized)

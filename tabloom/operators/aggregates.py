@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import quoted
+
 
 def child_counts(child: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Rows per key as ``<name>_count``; rows with a null key belong to no parent."""
@@ -95,13 +97,13 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     stats = [
         F.struct(
             F.lit(c).alias("feature"),
-            F.count(F.col(c)).alias("n"),
-            F.avg(F.col(c)).alias("mean"),
-            F.stddev_samp(F.col(c)).alias("std"),
-            F.var_samp(F.col(c)).alias("var"),
-            F.stddev_pop(F.col(c)).alias("std_pop"),
-            F.min(F.col(c).cast("double")).alias("min"),
-            F.max(F.col(c).cast("double")).alias("max"),
+            F.count(quoted(c)).alias("n"),
+            F.avg(quoted(c)).alias("mean"),
+            F.stddev_samp(quoted(c)).alias("std"),
+            F.var_samp(quoted(c)).alias("var"),
+            F.stddev_pop(quoted(c)).alias("std_pop"),
+            F.min(quoted(c).cast("double")).alias("min"),
+            F.max(quoted(c).cast("double")).alias("max"),
         )
         for c in cols
     ]
@@ -118,5 +120,5 @@ def union_rows(*frames: DataFrame) -> DataFrame:
 
 def unpivot_values(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Wide to long (feature, value), without null values."""
-    wide = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols])
-    return wide.unpivot(list(ids), list(cols), "feature", "value").where(F.col("value").isNotNull())
+    wide = df.select(*ids, *[quoted(c).cast("double").alias(c) for c in cols])
+    return wide.unpivot(list(ids), [f"`{c}`" for c in cols], "feature", "value").where(F.col("value").isNotNull())

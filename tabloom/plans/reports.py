@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from ..functions.columns import categorical_columns, low_cardinality_cols, numer
 from ..functions.missing import normalize_missing
 from ..operators import associate, detectors, joint, neighbors, profile, ranking, rules
 from ..operators.features import feature_matrix, one_hot, pca_reduce
+from ..operators.ranking import positions
 from ..session import cut_lineage
 
 # Level limits, dimension limits, neighbour counts and shares of the analyses.
@@ -26,16 +27,25 @@ NU = 0.1
 MIN_ROWS = 100
 
 
-def association_report(df: DataFrame, key: Sequence[str], exclude: Sequence[str] = ()) -> dict[str, DataFrame]:
+def skipped_columns(df: DataFrame, skipped: dict[str, int], limit: int) -> DataFrame:
+    """(column, levels, limit) of the categorical columns left out for having too many levels."""
+    rows = [(c, n, limit) for c, n in sorted(skipped.items())]
+    return df.sparkSession.createDataFrame(rows, "column string, levels long, limit int")
+
+
+def association_report(
+    df: DataFrame, key: Sequence[str], exclude: Sequence[str] = (), levels: int = ASSOCIATION_LEVELS
+) -> dict[str, DataFrame]:
     """Numeric correlations, categorical associations and categorical-numeric tests.
 
-    Kendall counts every discordant pair exactly; the other statistics are sums.
+    Kendall counts every discordant pair exactly; the other statistics are sums. Categorical columns
+    with more than ``levels`` levels are listed in ``skipped_columns``.
     """
     df = normalize_missing(df)
     skip = [*key, *exclude]
     nums = numeric_columns(df, skip)
-    cats, _ = low_cardinality_cols(df, categorical_columns(df, skip), ASSOCIATION_LEVELS)
-    out: dict[str, DataFrame] = {}
+    cats, wide = low_cardinality_cols(df, categorical_columns(df, skip), levels)
+    out: dict[str, DataFrame] = {"skipped_columns": skipped_columns(df, wide, levels)}
     if len(nums) > 1:
         out["pearson"] = associate.corr_matrix(df, nums, "pearson")
         out["spearman"] = associate.corr_matrix(df, nums, "spearman", key)
@@ -49,18 +59,22 @@ def association_report(df: DataFrame, key: Sequence[str], exclude: Sequence[str]
     return out
 
 
-def encoded_features(df: DataFrame, key: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
-    """Key, numeric columns and one-hot columns of the low-cardinality categoricals."""
+def encoded_features(
+    df: DataFrame, key: Sequence[str], exclude: Sequence[str] = (), levels: int = ANOMALY_LEVELS
+) -> tuple[DataFrame, dict[str, int]]:
+    """Key, numeric columns and one-hot columns of the low-cardinality categoricals; the skipped ones."""
     skip = [*key, *exclude]
     nums = numeric_columns(df, skip)
-    cats, _ = low_cardinality_cols(df, categorical_columns(df, skip), ANOMALY_LEVELS)
+    cats, wide = low_cardinality_cols(df, categorical_columns(df, skip), levels)
     keep = [*key, *nums]
-    return one_hot(df, cats, keep, ANOMALY_LEVELS) if cats else df.select(*keep)
+    return (one_hot(df, cats, keep, levels) if cats else df.select(*keep)), wide
 
 
-def detector_scores(matrix: DataFrame, key: Sequence[str], seed: int = 42, knn: str = "exact") -> DataFrame:
+def detector_scores(
+    matrix: DataFrame, key: Sequence[str], seed: int = 42, knn: str = "exact", dims: int = DETECTOR_DIMS
+) -> DataFrame:
     """Isolation forest, local outlier factor and one-class SVM side by side."""
-    small = cut_lineage(pca_reduce(matrix, key, DETECTOR_DIMS))
+    small = cut_lineage(pca_reduce(matrix, key, dims))
     if len(key) != 1:
         raise ValueError("neighbour search needs a single id column")
     scores = detectors.isolation_forest(small, key, contamination=CONTAMINATION, seed=seed)
@@ -70,37 +84,74 @@ def detector_scores(matrix: DataFrame, key: Sequence[str], seed: int = 42, knn:
 
 
 def anomaly_report(
-    df: DataFrame, key: Sequence[str], exclude: Sequence[str] = (), seed: int = 42, knn: str = "exact"
+    df: DataFrame,
+    key: Sequence[str],
+    exclude: Sequence[str] = (),
+    seed: int = 42,
+    knn: str = "exact",
+    levels: int = ANOMALY_LEVELS,
+    knn_dims: int = KNN_DIMS,
+    detector_dims: int = DETECTOR_DIMS,
+) -> dict[str, DataFrame]:
+    """Univariate scores, multivariate detectors, consensus, rules and joint statistics, with what plots need.
+
+    Beyond ``knn_dims`` and ``detector_dims`` dimensions are reduced to principal components first.
+    Columns with more than ``levels`` levels are listed in ``skipped_columns``. A key of several columns
+    is numbered, and the results that name rows get its columns back.
+    """
+    if len(key) == 1:
+        return _anomaly_report(normalize_missing(df), list(key), list(exclude), seed, knn, levels, knn_dims, detector_dims)
+    numbered = cut_lineage(positions(normalize_missing(df), list(key), "_row"))
+    out = _anomaly_report(numbered, ["_row"], [*key, *exclude], seed, knn, levels, knn_dims, detector_dims)
+    ids = numbered.select("_row", *key)
+    return {
+        name: frame.join(ids, "_row").select(*key, *[c for c in frame.columns if c != "_row"]) if "_row" in frame.columns else frame
+        for name, frame in out.items()
+    }
+
+
+def _anomaly_report(
+    df: DataFrame, key: list[str], exclude: list[str], seed: int, knn: str, levels: int, knn_dims: int, detector_dims: int
 ) -> dict[str, DataFrame]:
-    """Univariate scores, multivariate detectors, consensus, rules and joint statistics."""
-    df = normalize_missing(df)
     nums = numeric_columns(df, [*key, *exclude])
-    encoded = encoded_features(df, key, exclude).persist(StorageLevel.MEMORY_AND_DISK)
+    encoded, wide = encoded_features(df, key, exclude, levels)
+    encoded = cut_lineage(encoded)
     features = [c for c in encoded.columns if c not in key]
-    out: dict[str, DataFrame] = {}
+    out: dict[str, DataFrame] = {"skipped_columns": skipped_columns(df, wide, levels)}
     if nums:
+        out["histograms"] = profile.histogram(df, nums)
+        out["box_stats"] = profile.box_stats(df, nums)
         out["z_scores"] = profile.z_scores(df, nums, key)
         out["iqr_stats"] = profile.iqr_stats(df, nums)
         out["quantile_ranks"] = ranking.quantile_ranks(df, key, nums)
         out["rule_violations"] = rules.rule_flags(df, key)
         out["rule_counts"] = rules.rule_counts(df)
     distance = detectors.mahalanobis(encoded, key, features)
+    thresholds = []
     if distance is not None:
-        out["mahalanobis_distance"] = distance
+        out["mahalanobis_distance"] = cut_lineage(distance)
+        thresholds.append(detectors.score_threshold(out["mahalanobis_distance"], "mahalanobis"))
     fitted = feature_matrix(encoded, key, features, min_rows=MIN_ROWS)
-    if fitted is not None and len(key) == 1:
+    if fitted is not None:
         matrix = cut_lineage(fitted[0])
-        out["knn_distance"] = neighbors.knn_distance(
-            pca_reduce(matrix, key, KNN_DIMS), key[0], "features", KNN_K, MIN_ROWS, knn
-        )
-        out["anomaly_scores"] = cut_lineage(detector_scores(matrix, key, seed, knn))
+        near = neighbors.knn_distance(pca_reduce(matrix, key, knn_dims), key[0], "features", KNN_K, MIN_ROWS, knn)
+        out["knn_distance"] = cut_lineage(near)
+        thresholds.append(detectors.score_threshold(out["knn_distance"], "knn_distance"))
+        out["anomaly_scores"] = cut_lineage(detector_scores(matrix, key, seed, knn, detector_dims))
         out["consensus"] = detectors.consensus_outliers(out["anomaly_scores"], key)
         out["consensus_counts"] = detectors.consensus_counts(out["consensus"])
+    if thresholds:
+        out["thresholds"] = reduce(DataFrame.unionByName, thresholds)
     if len(features) > 1:
-        out["joint_correlation"] = associate.corr_matrix(encoded, features, "pearson")
+        out["joint_correlation"] = cut_lineage(associate.corr_matrix(encoded, features, "pearson"))
         out["mutual_information"] = joint.mutual_information_matrix(encoded, features, "variance")
         out["joint_distribution_stats"] = joint.joint_stats(encoded, features, key)
         out["top_pairs"] = joint.top_pairs(out["joint_correlation"])
+        grids = [
+            profile.grid_density(encoded, x, y).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "x_bin", "y_bin", "n")
+            for x, y in joint.pairs_to_show(out["joint_correlation"], features)
+        ]
+        out["pair_density"] = reduce(DataFrame.unionByName, grids)
     return out
 
 

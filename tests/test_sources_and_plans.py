@@ -120,7 +120,7 @@ def sample_table(spark, n=160):
 
 def test_association_report(spark):
     out = reports.association_report(sample_table(spark).selectExpr("*", "upper(c) AS d"), ["k"])
-    assert set(out) == {"pearson", "spearman", "kendall", "cramers_v", "theils_u", "anova", "kruskal"}
+    assert set(out) == {"pearson", "spearman", "kendall", "cramers_v", "theils_u", "anova", "kruskal", "skipped_columns"}
     assert out["cramers_v"].first().v == pytest.approx(1.0)
 
 
@@ -137,3 +137,53 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     df = session.cut_lineage(spark.range(5))
     assert df.count() == 5
     assert df.inputFiles()[0].replace("file://", "").startswith(session.scratch_root(spark).replace("file:", ""))
+
+
+def test_quoted_csv(spark, tmp_path):
+    """Line breaks, doubled quotes and commas inside quotes, read and converted like any CSV reader does."""
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "notes.csv").write_text('id,note,n\n1,"two\nlines",3\n2,"a ""word"", quoted",4\n3,plain,5\n')
+    rows = readers.read_csv(spark, str(folder / "notes.csv")).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, "two\nlines", 3), (2, 'a "word", quoted', 4), (3, "plain", 5)]
+    report = convert.convert_tables(spark, str(folder), str(tmp_path / "parquet")).first()
+    assert (report.status, report.rows) == ("converted", 3)
+
+
+def test_repeated_keys_raise(spark):
+    from tabloom.operators import ranking
+
+    df = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 3.0)], "k int, v double")
+    for made in (lambda: ranking.quantile_ranks(df, ["k"], ["v"]), lambda: ranking.row_positions(df, "k")):
+        with pytest.raises(Exception, match="more than one row|repeats a value"):
+            made().collect()
+
+
+def test_rule_names():
+    import re
+
+    from tabloom.operators import rules
+
+    hits = lambda c: {r.name for r in rules.DEFAULT_RULES if re.search(r.pattern, rules.spaced(c), re.IGNORECASE)}
+    assert "negative" in hits("patientAge") and "negative" in hits("ages") and "negative" in hits("labCounts") and "negative" in hits("AGE_count")
+    assert not hits("percentage") and not hits("language") and "bmi_over_100" in hits("lastBMI")
+
+
+def test_rows_without_partner_and_hot_keys(spark):
+    from tabloom.operators import joins
+
+    left = spark.createDataFrame([(None, 1), (7, 2), (8, 3)] + [(5, i) for i in range(10, 30)], "k int, a int")
+    right = spark.createDataFrame([(None, 4), (8, 5), (9, 6)] + [(5, i) for i in range(3)], "k int, b int")
+    got = sorted(map(tuple, joins.full_outer(left, right, ["k"]).collect()), key=str)
+    want = sorted(map(tuple, left.join(right, "k", "full_outer").collect()), key=str)
+    assert got == want
+
+
+def test_missing_values_and_names(spark):
+    df = spark.createDataFrame([(i, float("nan") if i == 3 else float(i), float(i * i), None) for i in range(8)], "k int, `a.b` double, c double, none double")
+    from tabloom.operators import associate, profile
+
+    z = profile.z_scores(df, ["a.b"], ["k"]).collect()
+    assert sum(r[1] is None for r in z) == 1
+    pairs = {(r.x, r.y): (r.r, r.n) for r in associate.corr_matrix(df.withColumnRenamed("a.b", "a"), ["a", "c", "none"], "spearman", ["k"]).collect()}
+    assert pairs["a", "c"] == (1.0, 7) and pairs["a", "none"] == (None, 0)
