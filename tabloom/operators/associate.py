@@ -328,7 +328,7 @@ def kruskal_h(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFr
         .groupBy("cat", "feature", "bucket", "value", "level")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = rank_counts(counts, ["cat", "feature"])
+    ranked = rank_counts(cut_lineage(counts), ["cat", "feature"])
     n, t = F.col("n").cast("double"), F.col("ties").cast("double")
     by_level = ranked.groupBy("cat", "feature", "level").agg(
         F.sum(n).alias("n"), F.sum(n * average_rank()).alias("r"), F.sum(n * (t * t - 1)).alias("tie")

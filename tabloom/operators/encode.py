@@ -38,7 +38,7 @@ class TabularEncoder:
         categorical: Sequence[str],
         integers: Sequence[str] = (),
         max_missing_ratio: float | None = 0.5,
-        max_levels: int = 5_000,
+        max_levels: int | None = None,
     ) -> None:
         self.numeric = list(numeric)
         self.categorical = list(categorical)
@@ -73,7 +73,7 @@ class TabularEncoder:
         counts = self._level_counts(rows)
         for c in self.categorical:
             found = counts.get(c, {})
-            if len(found) > self.max_levels:
+            if self.max_levels is not None and len(found) > self.max_levels:
                 raise ValueError(f"{c} has more than {self.max_levels} levels")
             for level in [*sorted(v for v in found if v is not None), None]:
                 k = found.get(level, 0)
@@ -90,8 +90,11 @@ class TabularEncoder:
         counts = rows.select(F.inline(cells)).groupBy("col", "level").agg(F.count(F.lit(1)).alias("k"))
         place = F.row_number().over(W.partitionBy("col").orderBy("level"))
         out: dict[str, dict[str | None, int]] = {}
-        # at most max_levels + 2 rows per column come back; one too many raises in fit
-        for r in counts.withColumn("_p", place).where(F.col("_p") <= self.max_levels + 2).collect():
+        if self.max_levels is not None:
+            # at most max_levels + 2 rows per column come back; one too many raises in fit
+            counts = counts.withColumn("_p", place).where(F.col("_p") <= self.max_levels + 2)
+        # every level becomes a slot of the encoder
+        for r in counts.toLocalIterator():
             out.setdefault(r["col"], {})[r["level"]] = r["k"]
         return out
 

@@ -31,8 +31,11 @@ def mutual_information(
     min_rows: int = MIN_ROWS,
     k: int = 3,
     seed: int = 42,
+    below: float | None = None,
 ) -> DataFrame:
-    """(x, y, mi, n) in nats for every pair x before y; 0 when a pair has too few shared rows.
+    """(x, y, mi, n) in nats for every pair x before y; ``below`` when a pair has too few shared rows.
+
+    Null says "not known"; 0.0 as ``below`` is the number some reports show there.
 
     "hist" bins each column into equal widths and is exact for those bins, all pairs in one
     job. "ksg" is the nearest-neighbour estimator for continuous data, one search per pair.
@@ -50,7 +53,7 @@ def mutual_information(
     )
     mi = F.greatest(F.lit(0.0), F.log(n) + F.col("s") / n)
     return _pair_names(sums.withColumn("mi", mi), cols).select(
-        "x", "y", F.when(n > min_rows, F.col("mi")).otherwise(0.0).alias("mi"), n.cast("bigint").alias("n")
+        "x", "y", F.when(n > min_rows, F.col("mi")).otherwise(F.lit(below).cast("double")).alias("mi"), n.cast("bigint").alias("n")
     )
 
 
@@ -87,17 +90,18 @@ def mutual_information_matrix(
 def joint_stats(
     df: DataFrame, cols: Sequence[str], key: Sequence[str], bins: int = 20, min_rows: int = MIN_ROWS
 ) -> DataFrame:
-    """One row per pair with enough shared rows: pearson, spearman, covariance, mutual information, n."""
-    linear = pearson_pairs(df, cols).where((F.col("x") != F.col("y")) & (F.col("n") > min_rows))
+    """One row per pair: pearson, spearman, covariance, mutual information and n; null below ``min_rows`` shared rows."""
+    linear = pearson_pairs(df, cols).where(F.col("x") != F.col("y"))
     rank = corr_matrix(df, cols, "spearman", key).where("x != y")
     mi = mutual_information(df, cols, bins, min_rows=min_rows)
+    enough = F.col("n") > min_rows
     return (
-        linear.join(rank.select("x", "y", F.col("r").alias("spearman")), ["x", "y"])
-        .join(mi.select("x", "y", "mi"), ["x", "y"])
+        linear.join(rank.select("x", "y", F.col("r").alias("spearman")), ["x", "y"], "left")
+        .join(mi.select("x", "y", "mi"), ["x", "y"], "left")
         .select(
             F.col("x").alias("column1"), F.col("y").alias("column2"),
-            F.col("r").alias("pearson_correlation"), F.col("spearman").alias("spearman_correlation"),
-            "covariance", F.col("mi").alias("mutual_information"), F.col("n").alias("n_samples"),
+            F.when(enough, F.col("r")).alias("pearson_correlation"), F.when(enough, F.col("spearman")).alias("spearman_correlation"),
+            F.when(enough, F.col("covariance")).alias("covariance"), F.col("mi").alias("mutual_information"), F.col("n").alias("n_samples"),
         )
     )
 

@@ -155,7 +155,8 @@ def long_ranks(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFr
         .groupBy("feature", "bucket", "value", "edge")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranks = rank_counts(counts, ["feature"]).select(
+    # one row per distinct value, read for the running counts, the bucket totals and the hot edges
+    ranks = rank_counts(cut_lineage(counts), ["feature"]).select(
         "feature", "bucket", "value", "edge", average_rank().alias("avg_rank"), F.col("total").alias("n_valid")
     )
     return edge_lookup(rows, ranks, ["feature", "bucket", "value"], list(keys), "edge").drop("bucket", "edge")
