@@ -150,7 +150,7 @@ def test_ksg_equals_brute_force(spark):
 
 def test_mutual_information_needs_enough_rows(spark):
     df = frame(spark, a=range(50), b=range(50))
-    assert joint.mutual_information(df, ["a", "b"]).first().mi == 0.0
+    assert joint.mutual_information(df, ["a", "b"]).first().mi is None
     assert joint.mutual_information(df, ["a", "b"], min_rows=10).first().mi > 2.0
 
 
