@@ -1,7 +1,7 @@
 """From shared signatures to exactly verified links and their connected components.
 
-Links, components and fingerprints stay in Spark tables. Groups are linked to one representative at
-a time, never expanded into all their pairs.
+Links, components and fingerprints stay in Spark tables. Groups are linked to a pivot first; only where
+that leaves several components are their pairs looked at, inside tasks, and only likely ones come out.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from tabloom.session import cut_lineage
 
 BROADCAST_IDS = 1_000_000  # 8 MB of ids at most; beyond it the ids are joined by a shuffle
 PERCENT = 75
+GROUP_BLOCK = 4096
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
@@ -111,32 +112,179 @@ def classes_of_pairs(
     return components(edges).select(F.col("node").alias(id_col), F.col("label").alias("class_id"))
 
 
-def closed_links(multi: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Every link between nodes that share a ``sig``, up to components.
+def sketch(values: np.ndarray, buckets: int) -> bytes:
+    """One bit for each of a set's buckets: whether it holds an odd number of the hashes.
 
-    ``multi`` (sig, node, rep, rn): the groups of two nodes or more, numbered from 1, with their
-    first node. At first every node is compared with the smallest first node it meets, one pair for
-    each node however many signatures it shares. Groups whose nodes are then all in one component
-    are done. In the others the next 1, 4, 16, ... nodes are compared with the later ones of another
-    component, until no group is left. Returns all edges.
+    There are ``buckets`` (a power of two) or more for a large set, one for each hash at least, so that
+    sketches tell long texts apart as well as short ones.
     """
-    tested = cut_lineage(multi.filter("rn > 1").groupBy("node").agg(F.min("rep").alias("rep")))
+    width = max(buckets, 1 << len(values).bit_length())
+    counts = np.bincount((values & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """A column of sketches, by width; halves of a wider one give the narrower by exclusive or."""
+
+    def __init__(self, column: pa.Array) -> None:
+        rows = column.to_pylist()
+        self.width = np.array([len(r) for r in rows], np.int64)
+        self.place = np.zeros(len(rows), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.rows[w] = np.frombuffer(b"".join([rows[i] for i in at.tolist()]), np.uint8).reshape(len(at), w)
+
+    def at(self, index: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((len(index), width), np.uint8)
+        for w in np.unique(self.width[index]).tolist():
+            mine = np.flatnonzero(self.width[index] == w)
+            out[mine] = np.bitwise_xor.reduce(self.rows[w][self.place[index[mine]]].reshape(len(mine), w // width, width), axis=1)
+        return out
+
+
+def may_be_similar(
+    n: np.ndarray, m: np.ndarray, s: Sketches, i: np.ndarray, t: Sketches, j: np.ndarray, percent: int
+) -> np.ndarray:
+    """Whether sets of sizes n and m with sketches s[i] and t[j] can be similar.
+
+    A hash in A ^ B turns one bit, so the sketches differ in |A ^ B| bits at most.
+    """
+    near = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    pairs = np.flatnonzero(near)
+    width = np.minimum(s.width[i[pairs]], t.width[j[pairs]])
+    for w in np.unique(width).tolist():
+        same = pairs[width == w]
+        step = max(1, (1 << 21) // w)
+        for first in range(0, len(same), step):
+            at = same[first : first + step]
+            apart = np.bitwise_count(s.at(i[at], w) ^ t.at(j[at], w)).sum(axis=1, dtype=np.int64)
+            near[at] = apart * (100 + percent) <= (100 - percent) * (n[at] + m[at])
+    return near
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (node, rep) that the sizes and sketches of ``sets`` (node, n, sketch) do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            rows = np.arange(batch.num_rows)
+            near = may_be_similar(n, m, Sketches(batch.column("s")), rows, Sketches(batch.column("t")), rows, percent)
+            yield batch.select(["node", "rep"]).filter(pa.array(near))
+
+    sized = pairs.join(sets.select("node", "n", F.col("sketch").alias("s")), "node")
+    sized = sized.join(sets.select(F.col("node").alias("rep"), F.col("n").alias("m"), F.col("sketch").alias("t")), "rep")
+    return sized.select("node", "rep", "n", "m", "s", "t").mapInArrow(run, "node long, rep long")
+
+
+def pairs_inside(start: np.ndarray, size: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j), i < j, inside runs of rows, about ``limit`` at a time."""
+    owner = np.repeat(np.arange(len(start)), size)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    left = start[owner] + place
+    partners = size[owner] - 1 - place
+    ends = np.cumsum(partners)
+    at = 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        i = np.repeat(left[at:to], partners[at:to])
+        step = np.arange(len(i)) - np.repeat(np.cumsum(partners[at:to]) - partners[at:to], partners[at:to])
+        yield i, i + 1 + step
+        at = to
+
+
+def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct (node, rep) of different labels that share a signature and may be similar.
+
+    ``rows``: (sig, rn, count, node, label, n, sketch). Groups are compared as arrays inside tasks, and
+    only pairs that sizes and sketches allow come out. A group of more than GROUP_BLOCK rows is cut
+    into blocks and every two blocks meet in a task of their own.
+    """
+    block = F.floor((F.col("rn") - 1) / GROUP_BLOCK).cast("int")
+    blocks = F.ceil(F.col("count") / GROUP_BLOCK).cast("int")
+    spread = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keyed = spread.select(
+        "sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label", "n", "sketch"
+    )
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("sig", "x", "y")])
+        first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if table.num_rows else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, table.num_rows))
+        node, label, n, own = (table.column(c).to_numpy() for c in ("node", "label", "n", "own"))
+        apart = key[1] != key[2]  # two blocks: only pairs across them are new
+        s = Sketches(table.column("sketch"))
+        found = [np.zeros((0, 2), np.int64)]
+        for i, j in pairs_inside(first, size, 1 << 18):
+            fresh = (label[i] != label[j]) & (node[i] != node[j]) & (~apart[i] | (own[i] != own[j]))
+            i, j = i[fresh], j[fresh]
+            if not len(i):
+                continue
+            low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            _, once = np.unique(np.stack([low, high]), axis=1, return_index=True)
+            i, j, low, high = i[once], j[once], low[once], high[once]
+            near = may_be_similar(n[i], n[j], s, i, s, j, percent)
+            found.append(np.stack([high[near], low[near]], axis=1))
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_pydict({"node": both[:, 0], "rep": both[:, 1]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        total, weight = 0, 0
+        for batch in batches:
+            # whole groups are compared once enough rows have come; the last, maybe unfinished one waits
+            held.append(batch)
+            total, weight = total + batch.num_rows, weight + batch.nbytes
+            if total < 20_000 and weight < 16 << 20:
+                continue
+            table = pa.Table.from_batches(held)
+            key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("sig", "x", "y")])
+            same = (key == key[:, -1:]).all(axis=0)
+            cut = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
+            if cut:
+                yield compare(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            total, weight = table.num_rows - cut, 0
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    ordered = keyed.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+    return ordered.mapInArrow(run, "node long, rep long").distinct()
+
+
+def several_labels(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` (sig, node, rn, count) of the groups that hold several components, with their ``label``."""
+    whole = Window.partitionBy("sig")
+    named = rows.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    spread = named.withColumn("a", F.min("label").over(whole)).withColumn("z", F.max("label").over(whole))
+    return cut_lineage(spread.filter("a <> z").select("sig", "node", "rn", "count", "label"))
+
+
+def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """``pairs`` without those that ``tested`` holds, in whichever order."""
+    turned = tested.union(tested.select(F.col("rep").alias("node"), F.col("node").alias("rep"))).distinct()
+    return pairs.join(turned, ["node", "rep"], "left_anti")
+
+
+def closed_links(
+    multi: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int = PERCENT
+) -> DataFrame:
+    """Every link between nodes that share a ``sig``, up to components, as edges (node, rep).
+
+    ``multi`` (sig, node, rn, count): groups of two nodes or more; ``sets`` (node, n, sketch). First
+    every node is compared with one pivot, the node of its groups whose own groups hold most rows: the
+    text that others are copies of. Groups whose nodes are then in one component are done. In the
+    others all pairs across components are screened by size and sketch inside tasks, and what is left
+    is verified.
+    """
+    weight = multi.groupBy("node").agg(F.sum("count").alias("weight"))
+    weighed = multi.join(weight, "node").withColumn("own", F.struct("weight", "node"))
+    pivots = weighed.withColumn("pivot", F.max("own").over(Window.partitionBy("sig"))).filter("pivot <> own")
+    first = pivots.groupBy("node").agg(F.max("pivot").alias("pivot")).select("node", F.col("pivot.node").alias("rep"))
+    tested = cut_lineage(plausible(first, sets, percent))
     edges = cut_lineage(verify(tested).distinct())
-    low, span = 1, 1
-    rest = multi
-    while True:
-        label = components(edges)
-        now = rest.join(label, "node", "left").select("sig", "node", "rn", F.coalesce("label", "node").alias("label"))
-        whole = Window.partitionBy("sig")
-        now = now.withColumn("a", F.min("label").over(whole)).withColumn("z", F.max("label").over(whole))
-        now = now.withColumn("n", F.max("rn").over(whole))
-        rest = cut_lineage(now.filter((F.col("a") < F.col("z")) & (F.col("n") > low) & (F.col("rn") >= low)).select("sig", "node", "rn", "label"))
-        if rest.isEmpty():
-            return edges
-        reps = rest.filter(F.col("rn") < low + span).select("sig", F.col("node").alias("rep"), F.col("rn").alias("rep_rn"), F.col("label").alias("rep_label"))
-        pairs = rest.join(reps, "sig").filter("rn > rep_rn AND label <> rep_label").select("node", "rep").distinct()
-        fresh = cut_lineage(pairs.join(tested, ["node", "rep"], "left_anti"))
-        edges = cut_lineage(edges.union(verify(fresh)).distinct())
-        tested = cut_lineage(tested.union(fresh))
-        rest = rest.select("sig", "node", "rn")
-        low, span = low + span, span * 4
+    rest = near_pairs(several_labels(multi, edges).join(sets, "node"), percent)
+    fresh = cut_lineage(untested(rest, tested))
+    return cut_lineage(edges.union(verify(fresh)).distinct())

@@ -5,10 +5,10 @@ A document's set holds its distinct five-word shingles (A-Z lower-cased). Two do
 so a set of size s differs from any partner in at most k(s) features.
 
 Sets fall into size bands a factor of 16 wide; a set near the top of its band also joins the next
-one, so partners always meet in the band of the larger. In a band the feature domain is cut into
-partitions by the leading bits of the feature hash: half as many first-level partitions as the
-smallest number whose halves outnumber every k of the band, and two second-level ones in each. Of
-the two, subsets of one are enumerated: a signature is the content of one second-level partition. A
+one, so partners always meet in the band of the larger. In a band the leading bits of the feature
+hash cut the domain into partitions, half as many as the band's upper end and 256 at least, more than
+any k of the band. Two side by side are a first-level partition of n2 = 2 second-level ones, and of
+its subsets those of one are enumerated: a signature is the content of one of the partitions. A
 differing feature spoils one partition, so partners of whom one has e > k non-empty partitions share
 at least e - k non-empty signatures, and by the prefix argument one among the k + 1 smallest of each
 under any common order. The order puts contents made only of features found in many documents
@@ -16,8 +16,8 @@ last; that list is bounded and need not be exact, for it changes the order and n
 e <= k non-empty partitions also sends its empty ones, of which every pair then shares one.
 
 Equal sets are joined by their key before; signatures that two sets share are candidates. A candidate
-first compares two histograms of its features over 256 buckets: their distance is at most |A ^ B|, so
-what it rules out is no link. The rest is verified exactly on the whole texts. Hashes are 64 bits
+first compares two bit sketches of its features, one bit or more a feature: they differ in |A ^ B| bits at
+most, so what it rules out is no link. The rest is verified exactly on the whole texts. Hashes are 64 bits
 throughout.
 """
 
@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm import text as tx
-from tabloom.llm.links import BROADCAST_IDS, closed_links, components, paired_texts, similar
+from tabloom.llm.links import BROADCAST_IDS, closed_links, components, paired_texts, similar, sketch
 from tabloom.session import cut_lineage
 
 WIDTH = 5
 PERCENT = 75
 BAND = 16
 LEAST_PARTITIONS = 256
-COMMON_BATCH = 4_000_000  # features counted together in a task
+COMMON_BATCH = 2_000_000  # features counted together in a task
 COMMON_DOCS = 2
 COMMON_KEPT = 500_000  # features of the order's tail, 4 MB
 BUCKETS = 256
@@ -98,28 +98,6 @@ def signatures(values: np.ndarray, common: np.ndarray, percent: int = PERCENT) -
     return np.concatenate(out).view(np.int64)
 
 
-def sketch(values: np.ndarray) -> bytes:
-    """How many features fall into each bucket, 255 at most."""
-    counts = np.bincount((values & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
-
-
-def plausible(pairs: DataFrame, percent: int) -> DataFrame:
-    """(node, rep) of the pairs (node, rep, n, m, s, t: sizes and sketches) that may be similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            s, t = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in "st"
-            )
-            apart = np.abs(s - t).sum(axis=1, dtype=np.int64)
-            near = (apart * (100 + percent) <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            yield batch.select(["node", "rep"]).filter(pa.array(near))
-
-    return pairs.select("node", "rep", "n", "m", "s", "t").mapInArrow(run, "node long, rep long")
-
-
 def described(docs: DataFrame) -> DataFrame:
     """From (id, text): rows (id, n_shingles, key, sketch) and rows (feature, n) of features met again."""
 
@@ -137,7 +115,7 @@ def described(docs: DataFrame) -> DataFrame:
             for part in tx.pieces(batch, "text"):
                 sets = tx.shingle_sets(part.column("text"), WIDTH)
                 keys = [set_key(s) for s in sets]
-                yield batch_of(id=part.column("id"), n_shingles=np.array([len(s) for s in sets], np.int64), key=np.array(keys, np.int64), sketch=[sketch(s) for s in sets])
+                yield batch_of(id=part.column("id"), n_shingles=np.array([len(s) for s in sets], np.int64), key=np.array(keys, np.int64), sketch=[sketch(s, BUCKETS) for s in sets])
                 for key, values in zip(keys, sets, strict=True):
                     if key not in seen:
                         seen.add(key)
@@ -203,18 +181,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     facts = cut_lineage(described(named))
     common = common_features(facts)
     rows = facts.filter("n_shingles IS NOT NULL").select("id", "n_shingles", "key")
-    sets = facts.filter("n_shingles > 0").groupBy("key")
-    classes = cut_lineage(sets.agg(F.min("id").alias("first"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
+    by_key = facts.filter("n_shingles > 0").groupBy("key")
+    classes = cut_lineage(by_key.agg(F.min("id").alias("first"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
 
     group = Window.partitionBy("sig")
     numbered = signature_rows(named.filter("id IS NOT NULL"), common, percent).select(
         "sig",
         "node",
-        F.dense_rank().over(group.orderBy("node")).alias("rn"),
-        F.min("node").over(group).alias("rep"),
+        F.row_number().over(group.orderBy("node")).alias("rn"),
+        F.min("node").over(group).alias("low"),
         F.max("node").over(group).alias("top"),
+        F.count(F.lit(1)).over(group).alias("count"),
     )
-    multi = cut_lineage(numbered.filter("rep < top").drop("top"))
+    multi = cut_lineage(numbered.filter("low < top").drop("low", "top"))
+    sets = classes.select(F.col("key").alias("node"), "n", "sketch")
 
     def fetch(keys: DataFrame) -> DataFrame:
         located = cut_lineage(keys.join(classes.select(F.col("key").alias("node"), F.col("first").alias("id")), "node"))
@@ -222,11 +202,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         return named.join(F.broadcast(located) if few else located, "id").select("node", "text")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(classes.select(F.col("key").alias("node"), "n", F.col("sketch").alias("s")), "node")
-        sized = sized.join(classes.select(F.col("key").alias("rep"), F.col("n").alias("m"), F.col("sketch").alias("t")), "rep")
-        return similar(paired_texts(cut_lineage(plausible(sized, percent)), fetch), WIDTH, percent, set_key)
+        return similar(paired_texts(pairs, fetch), WIDTH, percent, set_key)
 
-    edges = closed_links(multi, verify)
+    edges = closed_links(multi, sets, verify, percent)
     label = components(edges)
     labelled = cut_lineage(
         classes.join(label, classes["key"] == label["node"], "left").select("key", "first", F.coalesce("label", "key").alias("label"))

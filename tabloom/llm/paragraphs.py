@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tabloom.llm import text as tx
 from tabloom.llm.fingerprint import FACTOR, SHIFT
 from tabloom.llm.line_chunks import line_spans, without_spans
-from tabloom.llm.links import BROADCAST_IDS, closed_links, components, paired_texts, similar
+from tabloom.llm.links import BROADCAST_IDS, closed_links, components, paired_texts, similar, sketch
 from tabloom.llm.ngram_join import set_key
 from tabloom.session import cut_lineage
 
@@ -33,6 +33,7 @@ PERCENT = 75
 LEAST_WORDS = 20
 BAND_WIDTH = 4
 RECALL = 0.997
+BUCKETS = 256
 U = np.uint64
 
 
@@ -65,12 +66,12 @@ def paragraph_sets(part: pa.RecordBatch, least: int) -> Iterator[tuple[int, int,
 
 
 def occurrences(rows: DataFrame, least: int) -> DataFrame:
-    """(id, version, line, node) of every paragraph of (id, version, text)."""
+    """(id, version, line, node, n, sketch) of every paragraph of (id, version, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.pieces(batch, "text"):
-                found = [(r, n, set_key(s)) for r, n, s in paragraph_sets(part, least)]
+                found = [(r, n, set_key(s), len(s), sketch(s, BUCKETS)) for r, n, s in paragraph_sets(part, least)]
                 at = pa.array([f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -78,11 +79,13 @@ def occurrences(rows: DataFrame, least: int) -> DataFrame:
                         part.column("version").take(at),
                         pa.array([f[1] for f in found], pa.int32()),
                         pa.array([f[2] for f in found], pa.int64()),
+                        pa.array([f[3] for f in found], pa.int64()),
+                        pa.array([f[4] for f in found], pa.binary()),
                     ],
-                    names=["id", "version", "line", "node"],
+                    names=["id", "version", "line", "node", "n", "sketch"],
                 )
 
-    return rows.mapInArrow(run, "id long, version long, line int, node long")
+    return rows.mapInArrow(run, "id long, version long, line int, node long, n long, sketch binary")
 
 
 def band_rows(rows: DataFrame, least: int, bands: int, width: int) -> DataFrame:
@@ -136,22 +139,25 @@ def repeated_paragraphs(
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(t).alias("version"), t.alias("text"))
-    placed = cut_lineage(occurrences(rows, least_words).distinct())
+    found = cut_lineage(occurrences(rows, least_words))
+    placed = found.select("id", "version", "line", "node").distinct()
     spot = F.struct("id", "version", "line")
-    sets = cut_lineage(placed.groupBy("node").agg(F.min(spot).alias("spot"), F.count(F.lit(1)).alias("n")))
+    places = cut_lineage(placed.groupBy("node").agg(F.min(spot).alias("spot"), F.count(F.lit(1)).alias("members")))
+    sets = cut_lineage(found.groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")))
 
     group = Window.partitionBy("sig")
     numbered = band_rows(rows, least_words, tuned(percent, BAND_WIDTH, recall), BAND_WIDTH).select(
         "sig",
         "node",
-        F.dense_rank().over(group.orderBy("node")).alias("rn"),
-        F.min("node").over(group).alias("rep"),
+        F.row_number().over(group.orderBy("node")).alias("rn"),
+        F.min("node").over(group).alias("low"),
         F.max("node").over(group).alias("top"),
+        F.count(F.lit(1)).over(group).alias("count"),
     )
-    multi = cut_lineage(numbered.filter("rep < top").drop("top"))
+    multi = cut_lineage(numbered.filter("low < top").drop("low", "top"))
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        at = cut_lineage(nodes.join(sets, "node").select("node", F.col("spot.id").alias("of"), F.col("spot.version").alias("at"), "spot.line"))
+        at = cut_lineage(nodes.join(places, "node").select("node", F.col("spot.id").alias("of"), F.col("spot.version").alias("at"), "spot.line"))
         few = at.count() <= BROADCAST_IDS
         same = F.col("id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("at"))
         found = rows.join(F.broadcast(at) if few else at, same)
@@ -160,10 +166,10 @@ def repeated_paragraphs(
     def verify(pairs: DataFrame) -> DataFrame:
         return similar(paired_texts(pairs, fetch), WIDTH, percent, set_key)
 
-    edges = closed_links(multi, verify)
+    edges = closed_links(multi, sets, verify, percent)
     label = components(edges)
-    clustered = cut_lineage(sets.join(label, "node", "left").select("node", "spot", "n", F.coalesce("label", "node").alias("cluster")))
-    whole = clustered.groupBy("cluster").agg(F.min("spot").alias("kept"), F.sum("n").alias("members")).filter("members > 1")
+    clustered = cut_lineage(places.join(label, "node", "left").select("node", "spot", "members", F.coalesce("label", "node").alias("cluster")))
+    whole = clustered.groupBy("cluster").agg(F.min("spot").alias("kept"), F.sum("members").alias("members")).filter("members > 1")
     by_node = clustered.select("node", "cluster").join(whole, "cluster")
     return placed.join(by_node, "node").select(
         "id", "version", "line", "cluster", F.col("kept.id").alias("kept_id"), "members", (~spot.eqNullSafe(F.col("kept"))).alias("removed")

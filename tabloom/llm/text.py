@@ -14,7 +14,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20  # of text at a time; its arrays take some 50 times as much
 _tables = np.random.RandomState(20240501)
 BYTE_CODE = _tables.randint(0, 1 << 62, 256, dtype=np.int64).view(U) | U(1)
 PLACE_CODE = _tables.randint(0, 1 << 62, 64, dtype=np.int64).view(U) | U(1)

@@ -32,6 +32,16 @@ def test_join_of_odd_rows(odd, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_chains_without_a_hub_are_joined(spark):
+    """Sliding texts: neighbours are similar, the pivot of a group is similar to few."""
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(1000 - i, " ".join(words[12 * i : 12 * i + 160])) for i in range(80)]
+    rows += [(5000 + i, " ".join(words[12 * i : 12 * i + 160][:-60] + [f"other{i}x{j}" for j in range(60)])) for i in range(80)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components_of({i: shingle_set(t) for i, t in rows})
+    assert len({c for i, c in got.items() if i < 5000}) == 1
+
+
 @pytest.mark.parametrize("percent", [75, 90])
 def test_signatures_lose_no_similar_pair(percent):
     draw = np.random.default_rng(5)
@@ -57,18 +67,48 @@ def test_sets_in_few_partitions_still_meet():
     assert np.intersect1d(ngram_join.signatures(a, np.zeros(0, np.uint64)), ngram_join.signatures(b, np.zeros(0, np.uint64))).size
 
 
-def test_sketches_rule_out_no_similar_pair(spark):
+def test_sketches_rule_out_no_similar_pair():
     draw = np.random.default_rng(9)
-    rows = []
-    for i in range(200):
-        a = draw.integers(0, 1 << 63, 400, dtype=np.uint64)
-        b = np.concatenate([a[: int(draw.integers(200, 400))], draw.integers(0, 1 << 63, int(draw.integers(0, 60)), dtype=np.uint64)])
+    similar = 0
+    for _ in range(300):
+        a = np.unique(draw.integers(0, 1 << 63, 400, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: int(draw.integers(200, 400))], draw.integers(0, 1 << 63, int(draw.integers(0, 60)), dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if 100 * both >= 75 * (len(np.unique(a)) + len(np.unique(b)) - both):
-            rows.append((i, i, len(np.unique(a)), len(np.unique(b)), ngram_join.sketch(np.unique(a)), ngram_join.sketch(np.unique(b))))
-    assert len(rows) > 20
-    frame = spark.createDataFrame(rows, "node long, rep long, n long, m long, s binary, t binary")
-    assert ngram_join.plausible(frame, 75).count() == len(rows)
+        if 100 * both >= 75 * (len(a) + len(b) - both):
+            similar += 1
+            assert may(a, b, 64)
+    assert similar > 20
+    for size in (400, 5000, 20_000):  # long sets are told apart as well
+        assert not may(*(np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64)) for _ in range(2)), 256)
+    long = np.unique(draw.integers(0, 1 << 63, 1030, dtype=np.uint64))
+    assert may(long, long[:1000], 64) and not may(long, long[:700], 64) and len(links.sketch(long, 64)) == 2 * len(links.sketch(long[:1000], 64))
+
+
+def may(a, b, buckets):
+    s, t = (links.Sketches(pa.array([links.sketch(x, buckets)])) for x in (a, b))
+    zero = np.zeros(1, np.int64)
+    return links.may_be_similar(np.array([len(a)]), np.array([len(b)]), s, zero, t, zero, 75).all()
+
+
+@pytest.mark.parametrize("block", [2, 3, 4096])
+def test_groups_are_compared_whole(spark, monkeypatch, block):
+    """Any block size finds the pairs of different labels in every group."""
+    monkeypatch.setattr(links, "GROUP_BLOCK", block)
+    random.seed(block)
+    same, rows, want = bytes([1] * 64), [], set()
+    for sig in range(40):
+        members = random.sample(range(100), random.choice([2, 3, 7, 20]))
+        rows += [(sig, rn, len(members), m, m % 3, 64, same) for rn, m in enumerate(members, 1)]
+        want |= {(max(a, b), min(a, b)) for a in members for b in members if a % 3 != b % 3}
+    frame = spark.createDataFrame(rows, "sig long, rn int, count long, node long, label long, n long, sketch binary")
+    got = links.near_pairs(frame, 75).collect()
+    assert {(r["node"], r["rep"]) for r in got} == want and len(got) == len(want)
+
+
+def test_pairs_inside_runs():
+    for limit in (1, 4, 1000):
+        got = [(i, j) for a, b in links.pairs_inside(np.array([0, 3, 4]), np.array([3, 1, 4]), limit) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert sorted(got) == [(0, 1), (0, 2), (1, 2), (4, 5), (4, 6), (4, 7), (5, 6), (5, 7), (6, 7)]
 
 
 def test_components_of_chains_and_stars(spark):
