@@ -19,6 +19,7 @@ from tabloom.session import cut_lineage
 BROADCAST_IDS = 1_000_000  # 8 MB of ids at most; beyond it the ids are joined by a shuffle
 PERCENT = 75
 GROUP_BLOCK = 4096
+SENT_PAIRS = 2_000_000
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
@@ -209,7 +210,7 @@ def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
         "sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label", "n", "sketch"
     )
 
-    def compare(table: pa.Table) -> pa.RecordBatch:
+    def compare(table: pa.Table) -> np.ndarray:
         key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("sig", "x", "y")])
         first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if table.num_rows else np.zeros(0, np.int64)
         size = np.diff(np.append(first, table.num_rows))
@@ -227,11 +228,21 @@ def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
             i, j, low, high = i[once], j[once], low[once], high[once]
             near = may_be_similar(n[i], n[j], s, i, s, j, percent)
             found.append(np.stack([high[near], low[near]], axis=1))
-        both = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_pydict({"node": both[:, 0], "rep": both[:, 1]})
+        return np.unique(np.concatenate(found), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        sent = np.zeros(0, np.int64)
+
+        def once(both: np.ndarray) -> pa.RecordBatch:
+            """Pairs that this task has not sent yet; it forgets them when they are too many to keep."""
+            nonlocal sent
+            with np.errstate(over="ignore"):
+                key = tx.mix(both[:, 0].astype(np.uint64) * tx.BASE + tx.mix(both[:, 1].astype(np.uint64))).view(np.int64)
+            new = ~np.isin(key, sent)
+            sent = np.concatenate([sent if len(sent) < SENT_PAIRS else sent[:0], key[new]])
+            return pa.RecordBatch.from_pydict({"node": both[new, 0], "rep": both[new, 1]})
+
         total, weight = 0, 0
         for batch in batches:
             # whole groups are compared once enough rows have come; the last, maybe unfinished one waits
@@ -244,11 +255,11 @@ def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
             same = (key == key[:, -1:]).all(axis=0)
             cut = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
             if cut:
-                yield compare(table.slice(0, cut))
+                yield once(compare(table.slice(0, cut)))
             held = table.slice(cut).to_batches()
             total, weight = table.num_rows - cut, 0
         if held:
-            yield compare(pa.Table.from_batches(held))
+            yield once(compare(pa.Table.from_batches(held)))
 
     ordered = keyed.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
     return ordered.mapInArrow(run, "node long, rep long").distinct()
