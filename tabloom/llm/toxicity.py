@@ -31,6 +31,7 @@ SAMPLE = 20_000
 SHARDS = 4
 ROUNDS = 3
 PASSES = 2  # of a shard in a round
+WORK_BYTES = 1 << 20  # of text at a time; features take some 50 times as much
 U = np.uint64
 PLAIN = tx.LOWER.copy()
 PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = 0x20  # punctuation parts words
@@ -81,7 +82,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.pieces(batch, "text"):
+            for part in tx.pieces(batch, "text", WORK_BYTES):
                 row, place = features(part.column("text"))
                 both = np.unique(row << BITS | place)
                 ends = np.searchsorted(both >> BITS, np.arange(part.num_rows + 1))
@@ -135,14 +136,14 @@ def train(rows: DataFrame, rounds: int = ROUNDS, rates: Rates | None = None) ->
         def shard_passes(batches: Iterator[pa.RecordBatch], state=(z, n, bias)) -> Iterator[pa.RecordBatch]:
             # SAMPLE / SHARDS texts or so
             texts = [
-                (y, p.values.to_numpy().astype(np.int64))
+                (y, p.values.to_numpy())
                 for b in batches
                 for y, p in zip(b.column("y").to_pylist(), b.column("places"), strict=True)
             ]
             if not texts:
                 return
             # an order that depends on the texts alone
-            texts.sort(key=lambda t: (int(t[1].sum()) * 2654435761 % 4294967291, len(t[1])))
+            texts.sort(key=lambda t: (int(t[1].sum(dtype=np.int64)) * 2654435761 % 4294967291, len(t[1])))
             own_z, own_n, own_bias = state[0].astype(np.float64), state[1].astype(np.float64), state[2]
             for _ in range(PASSES):
                 own_bias = one_pass(own_z, own_n, own_bias, texts, rates)
@@ -164,7 +165,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
         weight = np.zeros(1 << BITS)
         weight[model.places] = model.weights
         for batch in batches:
-            for part in tx.pieces(batch, "text"):
+            for part in tx.pieces(batch, "text", WORK_BYTES):
                 row, place = features(part.column("text"))
                 hit = weight[place] != 0
                 both = np.unique(row[hit] << BITS | place[hit])
