@@ -41,7 +41,7 @@ LEAST_PARTITIONS = 256
 COMMON_BATCH = 2_000_000  # features counted together in a task
 COMMON_DOCS = 2
 COMMON_KEPT = 500_000  # features of the order's tail, 4 MB
-BUCKETS = 512
+BUCKETS = 1024
 
 U = np.uint64
 
