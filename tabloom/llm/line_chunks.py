@@ -3,8 +3,13 @@
 A text's lines (split at "\\n") are cut into chunks by content: a chunk ends behind a line where a
 rolling hash over the last two line hashes has its two lowest bits clear, but never before two
 lines and at the latest behind 32. Inserted or removed lines therefore move only the chunks around
-them. Chunks with two or more lines that hold a word and with equal hashes are compared byte by
-byte; of equal ones the first in the order of id, text hash and place stays, the others go.
+them. A short repeated block seldom holds a whole chunk, so every two lines that follow each other
+with nothing but wordless lines between them are a chunk of their own besides: a block of two or
+more lines with words that the corpus repeats is covered by chunks from its first such line to its
+last, wherever the cuts lie. Chunks with two or more lines that hold a word and with equal hashes are
+compared byte by byte; of equal ones the first in the order of id, text hash and place stays, the
+others go. Chunks overlap, so the kept copy may itself lose lines that a still earlier text holds:
+every line that goes has an equal one at an earlier place that stays.
 
 Only hashes travel for all chunks; texts travel for the chunks whose hash repeats.
 """
@@ -25,6 +30,7 @@ LEAST_LINES = 2
 MOST_LINES = 32
 CUT_MASK = np.uint64(3)
 BROADCAST_SPANS = 500_000  # 24 bytes each; beyond it the spans are joined by a shuffle
+SPANS = "id long, version long, removed array<struct<first_line:int,n_lines:int,kept_id:bigint>>"
 CHUNKS = "id long, version long, chunk int, first_line int, n_lines int, hash long"
 
 
@@ -50,6 +56,14 @@ def cut_places(rolled: list[int]) -> list[int]:
     return places
 
 
+def line_pairs(wordy: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of each two neighbouring lines with words (``wordy``) of one text."""
+    lines = np.flatnonzero(wordy)
+    owner = np.repeat(np.arange(len(per_text)), per_text)[lines]
+    same = owner[1:] == owner[:-1]
+    return lines[:-1][same], lines[1:][same]
+
+
 def chunk_batch(part: pa.RecordBatch) -> pa.RecordBatch:
     data, offsets = tx.flat(part.column("text"))
     starts, ends, per_text = line_spans(data, offsets)
@@ -62,28 +76,29 @@ def chunk_batch(part: pa.RecordBatch) -> pa.RecordBatch:
         rolled = (tx.mix(hashes * tx.PLACE_CODE[0] + tx.mix(before + tx.PLACE_CODE[1])) & CUT_MASK) == 0
     rolled[np.cumsum(per_text) - per_text] = False  # a text's first line has no line before it
     flags, at = rolled.tolist(), 0
-    row, chunk, first, length, begin, finish = [], [], [], [], [], []
-    for r, n in enumerate(per_text.tolist()):
+    begin, finish = [], []
+    for n in per_text.tolist():
         places = cut_places(flags[at : at + n])
-        for c in range(len(places) - 1):
-            a, b = at + places[c], at + places[c + 1]
-            if wordy[b] - wordy[a] >= LEAST_LINES:
-                row.append(r)
-                chunk.append(c)
-                first.append(places[c])
-                length.append(b - a)
-                begin.append(a)
-                finish.append(b - 1)
+        begin += [at + p for p in places[:-1]]
+        finish += [at + p - 1 for p in places[1:]]
         at += n
-    rows = pa.array(row, pa.int64())
-    hashed = tx.span_hash(data, starts[np.array(begin, np.int64)], ends[np.array(finish, np.int64)])
+    begin, finish = np.array(begin, np.int64), np.array(finish, np.int64)
+    wide = wordy[finish + 1] - wordy[begin] >= LEAST_LINES
+    pairs = line_pairs(np.diff(wordy) > 0, per_text)
+    # a pair that is a whole chunk comes once
+    spans = np.unique(np.stack([np.concatenate([begin[wide], pairs[0]]), np.concatenate([finish[wide], pairs[1]])]), axis=1)
+    begin, finish = spans
+    owner = np.repeat(np.arange(len(per_text)), per_text)[begin]
+    number = np.arange(len(begin)) - np.searchsorted(owner, owner)
+    rows = pa.array(owner, pa.int64())
+    hashed = tx.span_hash(data, starts[begin], ends[finish])
     return pa.RecordBatch.from_arrays(
         [
             part.column("id").take(rows),
             part.column("version").take(rows),
-            pa.array(chunk, pa.int32()),
-            pa.array(first, pa.int32()),
-            pa.array(length, pa.int32()),
+            pa.array(number, pa.int32()),
+            pa.array(begin - (np.cumsum(per_text) - per_text)[owner], pa.int32()),
+            pa.array(finish - begin + 1, pa.int32()),
             pa.array(hashed.view(np.int64)),
         ],
         names=[c.split(" ")[0] for c in CHUNKS.split(", ")],
@@ -101,9 +116,33 @@ def chunk_rows(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, CHUNKS)
 
 
+def disjoint(spans: list[dict]) -> list[dict]:
+    """The lines of sorted spans as runs that share no line; a line counts for the first span that holds it."""
+    runs: list[dict] = []
+    end = 0
+    for s in spans:
+        begin, stop = max(s["first_line"], end), s["first_line"] + s["n_lines"]
+        if begin >= stop:
+            continue
+        if runs and begin == end and runs[-1]["kept_id"] == s["kept_id"]:
+            runs[-1]["n_lines"] += stop - begin
+        else:
+            runs.append({"first_line": begin, "n_lines": stop - begin, "kept_id": s["kept_id"]})
+        end = stop
+    return runs
+
+
+def disjoint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        removed = batch.column("removed")
+        runs = [disjoint(row.as_py()) for row in removed]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), pa.array(runs, removed.type)], names=["id", "version", "removed"])
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, version, removed): per text with repeats the sorted spans (first_line, n_lines, kept_id).
+    """(id, version, removed): per text with repeats the sorted runs (first_line, n_lines, kept_id).
 
+    Runs share no line; touching chunks with the same ``kept_id`` are one run.
     ``version`` is xxhash64 of the text, which tells rows of one id apart; rows equal in both are one
     text and share their spans. A null id comes before all others. Null texts, texts of one line
     and empty tables have no spans.
@@ -128,7 +167,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     kept = held.groupBy(F.col("hash").alias("h"), F.col("bytes").alias("b")).agg(F.min(spot).alias("kept"))
     later = held.join(kept, (F.col("hash") == F.col("h")) & (F.col("bytes") == F.col("b"))).filter(~spot.eqNullSafe(F.col("kept")))
     span = F.struct("first_line", "n_lines", F.col("kept.id").alias("kept_id"))
-    return later.groupBy("id", "version").agg(F.sort_array(F.collect_set(span)).alias("removed"))
+    gone = later.groupBy("id", "version").agg(F.sort_array(F.collect_set(span)).alias("removed"))
+    return gone.mapInArrow(disjoint_rows, SPANS)
 
 
 def without_spans(text: Column, removed: Column) -> Column:

@@ -194,6 +194,36 @@ def test_chunk_lengths_are_bounded():
     assert places == [0, 32, 64, 96, 100] and line_chunks.cut_places([True] * 5) == [0, 2, 4, 5]
 
 
+@pytest.mark.parametrize("size", range(2, 11))
+def test_short_blocks_are_removed_whole(spark, size):
+    """The block of 2 to 10 lines between different surroundings goes from every later text, and nothing else does."""
+    draw = random.Random(size)
+    own = lambda what: [f"{what} {n} {draw.random()}" for n in range(draw.randrange(1, 12))]
+    rows, want = [], {}
+    for case in range(60):
+        block, gap = [f"block {case} line {n} {draw.random()}" for n in range(size)], draw.randrange(1, size)
+        block = block[:gap] + [""] * draw.randrange(2) + block[gap:]
+        for i in (2 * case, 2 * case + 1):
+            head, tail = own(f"head {i}"), own(f"tail {i}")
+            rows.append((i, "\n".join(head + block + tail)))
+            want[i] = "\n".join(head + tail if i % 2 else head + block + tail)
+    got = line_chunks.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), into="removed").collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+    assert all([s["kept_id"] for s in r["removed"] or []] == ([r["doc_id"] - 1] if r["doc_id"] % 2 else []) for r in got)
+
+
+def test_runs_share_no_line():
+    span = lambda *s: dict(zip(("first_line", "n_lines", "kept_id"), s, strict=True))
+    given = [span(0, 2, 1), span(0, 5, 2), span(1, 2, 3), span(4, 3, 2), span(9, 2, 2)]
+    assert line_chunks.disjoint(given) == [span(0, 2, 1), span(2, 5, 2), span(9, 2, 2)]
+
+
+def test_every_removed_line_stays_somewhere_earlier(spark):
+    rows = [(1, "a\nb"), (2, "a\nb\nc"), (3, "z\nb\nc\ny"), (4, "b\nc\na\nb"), (5, "x\nx\nx")]
+    got = {r["doc_id"]: r["text"] for r in line_chunks.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "a\nb", 2: "c", 3: "z\ny", 4: "", 5: "x"}
+
+
 def test_equal_hashes_need_equal_bytes(documents, monkeypatch):
     """With a constant hash all chunks collide; the byte comparison still tells them apart."""
     docs = documents.limit(20).select("doc_id", "text")
