@@ -7,8 +7,8 @@ holds 16 bits of each minimum as hex. The share of equal places estimates the Ja
 (standard error at most 0.045 for 128 places). Equal texts have equal fingerprints; two texts
 without words are alike (1.0).
 
-``near_duplicates`` cuts the minima into bands, joins texts that agree on a band in Spark and keeps
-the pairs whose exact Jaccard similarity reaches the threshold.
+``document_classes`` cuts the minima into bands, groups texts that agree on a band in Spark and closes
+the pairs whose exact Jaccard similarity reaches the threshold to classes.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm import text as tx
-from tabloom.llm.links import classes_of_pairs, star_pairs
+from tabloom.llm.links import BROADCAST_IDS, closed_links, components, paired_texts, similar, sketch
+from tabloom.llm.ngram_join import BUCKETS, set_key
 from tabloom.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -178,35 +179,103 @@ def block_edges(ids: DataFrame) -> DataFrame:
     )
 
 
-def band_rows(docs: DataFrame, id_col: str, text: str, bands: int) -> DataFrame:
-    """(sig, id) for each band of each text with a shingle."""
+def set_rows(named: DataFrame) -> DataFrame:
+    """(id, version, node, n, sketch) of each text with a shingle; ``version`` is xxhash64 of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.pieces(batch, "text"):
+                sets = tx.shingle_sets(part.column("text"), SHINGLE_WORDS)
+                some = pa.array(np.flatnonzero([len(s) > 0 for s in sets]), pa.int64())
+                sets = [s for s in sets if len(s)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id").take(some),
+                        part.column("version").take(some),
+                        pa.array([set_key(s) for s in sets], pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([sketch(s, BUCKETS) for s in sets], pa.binary()),
+                    ],
+                    names=["id", "version", "node", "n", "sketch"],
+                )
+
+    return named.mapInArrow(run, "id long, version long, node long, n long, sketch binary")
+
+
+def band_rows(named: DataFrame, bands: int) -> DataFrame:
+    """(sig, node) for each band of each set with a shingle; a set that a task has met before is not sent again."""
     width = PERMUTATIONS // bands
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in tx.pieces(batch, "text", WORK_BYTES):
-                low = minima(part.column("text"))
-                some = np.flatnonzero(low[:, 0] != np.iinfo(np.uint64).max)
+                fresh, nodes = [], []
+                for i, values in enumerate(tx.shingle_sets(part.column("text"), SHINGLE_WORDS)):
+                    key = set_key(values)
+                    if len(values) and key not in seen:
+                        seen.add(key)
+                        fresh.append(i)
+                        nodes.append(key)
+                if not fresh:
+                    continue
+                low = minima(part.column("text").take(pa.array(fresh, pa.int64())))
                 with np.errstate(over="ignore"):
-                    grouped = tx.mix(low[some].reshape(len(some), bands, width) + tx.PLACE_CODE[:width])
+                    grouped = tx.mix(low.reshape(len(fresh), bands, width) + tx.PLACE_CODE[:width])
                     sig = tx.mix(grouped.sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * tx.BASE)
-                ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False)[some], bands)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.reshape(-1).view(np.int64)), pa.array(ids, pa.int64())], names=["sig", "node"])
+                ids = np.repeat(np.array(nodes, np.int64), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.reshape(-1).view(np.int64)), pa.array(ids)], names=["sig", "node"])
 
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    return named.filter("id IS NOT NULL").mapInArrow(cut, "sig long, node long")
+    return named.mapInArrow(cut, "sig long, node long")
 
 
-def near_duplicates(
+def document_classes(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT, bands: int = BANDS
 ) -> DataFrame:
-    """(id, class_id) of the texts that a chain of verified near-duplicate pairs joins to another.
+    """(id, version, class_id, members) of every text that a chain of verified near-duplicate pairs joins to another.
 
-    Texts that agree on one of ``bands`` bands are compared with the smallest id of that band's
-    texts, exactly, by their shingle sets; the class is the smallest id reachable. Ids must be unique.
-    A pair of similarity 0.75 shares no band of four places with probability 6e-6.
+    Every two texts that agree on one of ``bands`` bands are compared or already joined by others; links are
+    verified exactly by the shingle sets. The class is the smallest id reachable, ``members`` counts its rows.
+    ``version`` (xxhash64 of the text) tells rows of one id apart; rows equal in both are one here and
+    count one by one in ``members``. A row with a null id belongs to the class of rows with an equal set and
+    links no others. A pair of similarity 0.75 shares no band of four places with probability 6e-6.
     """
-    rows = band_rows(docs, id_col, text, bands)
-    return classes_of_pairs(star_pairs(rows), docs, id_col, text, percent, SHINGLE_WORDS)
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(t).alias("version"), t.alias("text"))
+    facts = cut_lineage(set_rows(named))
+    sets = cut_lineage(
+        facts.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    )
+    group = Window.partitionBy("sig")
+    numbered = band_rows(named.filter("id IS NOT NULL").select("text"), bands).select(
+        "sig",
+        "node",
+        F.row_number().over(group.orderBy("node")).alias("rn"),
+        F.min("node").over(group).alias("low"),
+        F.max("node").over(group).alias("top"),
+        F.count(F.lit(1)).over(group).alias("count"),
+    )
+    multi = cut_lineage(numbered.filter("low < top").drop("low", "top"))
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        located = cut_lineage(nodes.join(sets.select("node", F.col("first").alias("id")), "node"))
+        few = located.count() <= BROADCAST_IDS
+        return named.join(F.broadcast(located) if few else located, "id").select("node", "text")
 
+    def verify(pairs: DataFrame) -> DataFrame:
+        return similar(paired_texts(pairs, fetch), SHINGLE_WORDS, percent, set_key)
 
+    label = components(closed_links(multi, sets.select("node", "n", "sketch"), verify, percent))
+    labelled = cut_lineage(sets.join(label, "node", "left").select("node", "first", "members", F.coalesce("label", "node").alias("label")))
+    whole = labelled.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("members").alias("members")).filter("members > 1")
+    by_node = cut_lineage(labelled.select("node", "label").join(whole, "label").select("node", "class_id", "members"))
+    few = by_node.count() <= BROADCAST_IDS
+    return facts.select("id", "version", "node").distinct().join(F.broadcast(by_node) if few else by_node, "node").drop("node")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT, bands: int = BANDS
+) -> DataFrame:
+    """(id, class_id) of the texts that ``document_classes`` joins to another."""
+    classes = document_classes(docs, id_col, text, percent, bands)
+    return classes.select(F.col("id").alias(id_col), "class_id")

@@ -279,6 +279,39 @@ def test_near_duplicates_find_the_copies(documents, texts):
     assert set(got) <= many and len(got) >= 0.95 * len(many)
 
 
+def template_family(frame_words=404, pairs=150, base=2, own=5):
+    """Twins at about 0.78 that differ by single words from one frame; all other pairs lie below 0.75."""
+    draw, rows = random.Random(12), []
+    for p in range(pairs):
+        places = draw.sample(range(2, frame_words - 2, 6), base + 2 * own)
+        for twin in range(2):
+            words = [f"f{i}" for i in range(frame_words)]
+            for n, at in enumerate(places[:base] + places[base + own * twin :][:own]):
+                words[at] = f"base{p}x{n}" if n < base else f"own{p}x{twin}x{n}"
+            rows.append((2 * p + twin, " ".join(words)))
+    draw.shuffle(rows)
+    return [(i, t) for i, (_, t) in enumerate(rows)]
+
+
+def test_links_inside_a_template_family_are_found(spark):
+    """Equal to brute force over all pairs that share a band, whoever has the smallest id in it."""
+    rows = template_family()
+    got = {r["doc_id"]: r["class_id"] for r in fingerprint.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    low = fingerprint.minima(pa.array([t for _, t in rows])).reshape(len(rows), fingerprint.BANDS, -1)
+    sets, meet = [shingle_set(t) for _, t in rows], 0
+    parent = list(range(len(rows)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for i in range(len(rows)):
+        for j in np.flatnonzero((low[:i] == low[i]).all(axis=2).any(axis=1)).tolist():
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                meet += 1
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    assert meet >= 140
+    want = {i: find(i) for i in range(len(rows))}
+    assert got == {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
+
+
 def test_word_arrays_match_a_plain_split():
     random.seed(4)
     made = ["".join(random.choice("aB é\t\n\x0b\x0c\r日😀") for _ in range(random.randrange(30))) for _ in range(300)]
