@@ -88,13 +88,16 @@ def compare(texts: list[str], following: list[str]) -> list[pa.Array]:
     ]
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprint_documents(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", version: str | None = None
+) -> DataFrame:
     """Fingerprint of every text and of its edited form, one row per row of ``docs``.
 
     The edited form replaces the last floor(n_chars / 2) code points by the first as many of the
     next document in descending id order (the first document follows the last). Repeated ids follow
     each other in text order; null texts count as empty; rows with a null id have no place in the
-    order and get null results beside their own fingerprint. Other columns are not read.
+    order and get null results beside their own fingerprint. Other columns are not read. xxhash64 of the text goes
+    into the column ``version``, if named.
 
     Texts are shuffled once, by blocks of neighbouring ids; a task streams over its sorted rows.
     Only the last row of a block needs a text of another block: these few pairs are joined apart.
@@ -103,18 +106,18 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "
         F.shiftright(F.col(f"`{id_col}`").cast("long"), BLOCK_BITS).alias("block"),
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
-    )
-    schema = "id long, " + RESULT
+    ).withColumn("version", F.xxhash64("text"))
+    schema = "id long, version long, " + RESULT
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for batch in batches:
             for part in tx.pieces(batch, "text", WORK_BYTES):
                 block = part.column("block").to_pylist()
-                ids, texts = part.column("id").to_pylist(), part.column("text").to_pylist()
+                ids, texts, versions = (part.column(c).to_pylist() for c in ("id", "text", "version"))
                 if held is not None:
-                    block, ids, texts = [held[0], *block], [held[1], *ids], [held[2], *texts]
-                held = (block[-1], ids[-1], texts[-1])
+                    block, ids, texts, versions = [held[0], *block], [held[1], *ids], [held[2], *texts], [held[3], *versions]
+                held = (block[-1], ids[-1], texts[-1], versions[-1])
                 # runs of one block: each row but the last has its follower here
                 at = 0
                 while at < len(ids):
@@ -122,7 +125,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "
                     while to + 1 < len(ids) and block[to + 1] == block[at]:
                         to += 1
                     if to > at and block[at] is not None:
-                        out = [pa.array(ids[at:to], pa.int64()), *compare(texts[at:to], texts[at + 1 : to + 1])]
+                        out = [pa.array(ids[at:to], pa.int64()), pa.array(versions[at:to], pa.int64()), *compare(texts[at:to], texts[at + 1 : to + 1])]
                         yield pa.RecordBatch.from_arrays(out, names=names)
                     at = to + 1
 
@@ -132,7 +135,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "
         for batch in batches:
             for part in tx.pieces(batch, "text", WORK_BYTES):
                 out = compare(part.column("text").to_pylist(), part.column("following").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), *out], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), part.column("version"), *out], names=names)
 
     neighbours = (
         rows.filter(F.col("id").isNotNull())
@@ -144,15 +147,36 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "
     last = rows.join(edges, rows["id"] == edges["low"]).groupBy("low", "next").agg(F.max("text").alias("text"))
     first = rows.join(edges.select(F.col("next").alias("want")).distinct(), F.col("id") == F.col("want"))
     first = first.groupBy("want").agg(F.min("text").alias("following"))
-    pairs = last.join(first, F.col("next") == F.col("want")).select(F.col("low").alias("id"), "text", "following")
-    alone = rows.filter("id IS NULL").select("id", "text", F.lit("").alias("following")).mapInArrow(apart, schema)
+    pairs = last.join(first, F.col("next") == F.col("want")).select(F.col("low").alias("id"), F.xxhash64("text").alias("version"), "text", "following")
+    alone = rows.filter("id IS NULL").select("id", "version", "text", F.lit("").alias("following")).mapInArrow(apart, schema)
     alone = alone.withColumns(
         {c: F.lit(None).cast(t) for c, t in (("edited_sha256", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double"))}
     )
     out = neighbours.unionByName(pairs.mapInArrow(apart, schema)).unionByName(alone)
+    out = out.withColumnRenamed("version", version) if version else out.drop("version")
     return out.withColumnRenamed("id", id_col)
 
 
+def fingerprints_and_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``fingerprint_documents`` with the near-duplicate class of every row and the number of its rows.
+
+    A text that no other is like is a class of its own under its id, as is each text without words.
+    Classes are broadcast if they are few and joined by a shuffle otherwise.
+    """
+    classes = cut_lineage(document_classes(docs, id_col, text))
+    classes = classes.select(F.col("id").alias("__of"), F.col("version").alias("__at"), "class_id", "members")
+    few = classes.count() <= BROADCAST_IDS
+    rows = fingerprint_documents(docs, id_col, text, version="__version")
+    same = F.col(id_col).eqNullSafe(F.col("__of")) & (F.col("__version") == F.col("__at"))
+    joined = rows.join(F.broadcast(classes) if few else classes, same, "left")
+    alone = F.col("__at").isNull()
+    return joined.select(
+        *[c for c in rows.columns if c != "__version"],
+        F.when(alone, F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.lit(1)).otherwise(F.col("members")).cast("long").alias("class_members"),
+    )
+
+
 def block_edges(ids: DataFrame) -> DataFrame:
     """(low, next): the smallest id of each block and the id that follows it in descending order.
 

@@ -84,7 +84,7 @@ def op3_ngram_join(spark, d):
 
 @add("op10_fingerprint")
 def op10_fingerprint(spark, d):
-    return fingerprint.fingerprint_documents(table(spark, d, "documents"))
+    return fingerprint.fingerprints_and_classes(table(spark, d, "documents"))
 
 
 @add("op6_line_chunks")

@@ -280,7 +280,7 @@ def test_near_duplicates_find_the_copies(documents, texts):
 
 
 def template_family(frame_words=404, pairs=150, base=2, own=5):
-    """Twins at about 0.78 that differ by single words from one frame; all other pairs lie below 0.75."""
+    """Twins at about 0.78 that differ by single words from one frame; most other pairs lie near 0.70."""
     draw, rows = random.Random(12), []
     for p in range(pairs):
         places = draw.sample(range(2, frame_words - 2, 6), base + 2 * own)
@@ -312,6 +312,27 @@ def test_links_inside_a_template_family_are_found(spark):
     assert got == {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
 
 
+def test_query_gives_every_document_its_class(spark, documents, texts):
+    """The registered query groups the copies; documents alone are classes of one."""
+    from tabloom.llm.queries import op10_fingerprint
+
+    from .conftest import SF
+
+    rows = op10_fingerprint(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    comp = components_of({i: shingle_set(t) for i, t in texts.items()})
+    size = {c: list(comp.values()).count(c) for c in comp.values()}
+    assert {r["doc_id"]: (r["class_id"], r["class_members"]) for r in rows} == {i: (c, size[c]) for i, c in comp.items()}
+
+
+def test_classes_of_odd_rows(odd, empty):
+    rows = fingerprint.fingerprints_and_classes(odd).collect()
+    assert len(rows) == odd.count() and fingerprint.fingerprints_and_classes(empty).count() == 0
+    by_id = {r["doc_id"]: (r["class_id"], r["class_members"]) for r in rows}
+    assert by_id[1] == (1, 1) and by_id[2] == (2, 1) and by_id[3] == (3, 1) and by_id[None] == (None, 1)
+    assert by_id[6] == by_id[7] == by_id[8] == (6, 4) and by_id[9] == by_id[10] == (9, 2)
+
+
 def test_word_arrays_match_a_plain_split():
     random.seed(4)
     made = ["".join(random.choice("aB é\t\n\x0b\x0c\r日😀") for _ in range(random.randrange(30))) for _ in range(300)]
