@@ -44,11 +44,27 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: that with the smallest id."""
-    gone = ngram_join.jaccard_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = cut_lineage(gone)
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One row of each component of near duplicates: that with the smallest id (null last) and text hash.
+
+    Rows are told apart by id and text, so an id may repeat. Of rows equal in both the one with the smallest
+    values stays. Texts without words are in no component.
+    """
+    surplus = cut_lineage(ngram_join.surplus_rows(docs))
+
+    def marked(rows: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        which = cut_lineage(which.select(F.col("id").alias("__of"), F.col("version").alias("__at")))
+        few = which.count() <= BROADCAST_IDS
+        same = rows["doc_id"].cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == F.col("__at"))
+        return rows.join(F.broadcast(which) if few else which, same, how)
+
+    repeated = surplus.filter("kept AND copies > 1")
+    left = marked(docs, surplus.filter("NOT kept OR copies > 1"), "left_anti")
+    if repeated.isEmpty():
+        return left
+    copies = marked(docs, repeated, "left_semi")
+    one = copies.groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__version"))
+    one = one.agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
+    return left.unionByName(one.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
 
 
 def paragraph_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,7 +99,7 @@ def signatures(values: np.ndarray, common: np.ndarray, percent: int = PERCENT) -
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """From (id, text): rows (id, n_shingles, key, sketch) and rows (feature, n) of features met again."""
+    """From (id, version, text): rows (id, version, n_shingles, key, sketch) and rows (feature, n) of features met again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -115,7 +115,7 @@ def described(docs: DataFrame) -> DataFrame:
             for part in tx.pieces(batch, "text"):
                 sets = tx.shingle_sets(part.column("text"), WIDTH)
                 keys = [set_key(s) for s in sets]
-                yield batch_of(id=part.column("id"), n_shingles=np.array([len(s) for s in sets], np.int64), key=np.array(keys, np.int64), sketch=[sketch(s, BUCKETS) for s in sets])
+                yield batch_of(id=part.column("id"), version=part.column("version"), n_shingles=np.array([len(s) for s in sets], np.int64), key=np.array(keys, np.int64), sketch=[sketch(s, BUCKETS) for s in sets])
                 for key, values in zip(keys, sets, strict=True):
                     if key not in seen:
                         seen.add(key)
@@ -126,14 +126,14 @@ def described(docs: DataFrame) -> DataFrame:
                     held, total = [], 0
         yield often(held)
 
-    kinds = {"id": pa.int64(), "n_shingles": pa.int64(), "key": pa.int64(), "sketch": pa.binary(), "feature": pa.int64(), "n": pa.int64()}
+    kinds = {"id": pa.int64(), "version": pa.int64(), "n_shingles": pa.int64(), "key": pa.int64(), "sketch": pa.binary(), "feature": pa.int64(), "n": pa.int64()}
 
     def batch_of(**given) -> pa.RecordBatch:
         rows = len(next(iter(given.values())))
         arrays = [pa.array(given[c], kind) if c in given else pa.nulls(rows, kind) for c, kind in kinds.items()]
         return pa.RecordBatch.from_arrays(arrays, names=list(kinds))
 
-    return docs.mapInArrow(run, "id long, n_shingles long, key long, sketch binary, feature long, n long")
+    return docs.mapInArrow(run, "id long, version long, n_shingles long, key long, sketch binary, feature long, n long")
 
 
 def common_features(facts: DataFrame) -> np.ndarray:
@@ -177,10 +177,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     other. Rows that repeat an id are linked by each of their texts. A row with a null id takes the
     component of rows with an equal set, else null, and links no others. Other columns are not read.
     """
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows, by_key = linked_sets(docs, id_col, text, percent)
+    alone = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
+    out = rows.join(by_key, "key", "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", alone.alias("component_id"))
+
+
+def surplus_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(id, version, copies, kept) of the texts with words that stand in a component of several rows.
+
+    ``version`` is xxhash64 of the text, ``copies`` the number of rows equal in both. The first text of each
+    component in the order of id (null last) and version is ``kept``.
+    """
+    rows, by_key = linked_sets(docs, id_col, text, percent)
+    placed = rows.filter("n_shingles > 0").groupBy("id", "version", "key").agg(F.count(F.lit(1)).alias("copies"))
+    placed = cut_lineage(placed.join(by_key.select("key", "label"), "key"))
+    spot = F.struct(F.col("id").isNull().alias("last"), "id", "version")
+    whole = placed.groupBy("label").agg(F.min(spot).alias("first"), F.sum("copies").alias("total")).filter("total > 1")
+    return placed.join(whole, "label").select("id", "version", "copies", spot.eqNullSafe(F.col("first")).alias("kept"))
+
+
+def linked_sets(docs: DataFrame, id_col: str, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, version, n_shingles, key) of every row and (key, label, component_id) of every set."""
+    t = F.col(f"`{text}`")
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("version"), t.alias("text"))
     facts = cut_lineage(described(named))
     common = common_features(facts)
-    rows = facts.filter("n_shingles IS NOT NULL").select("id", "n_shingles", "key")
+    rows = facts.filter("n_shingles IS NOT NULL").select("id", "version", "n_shingles", "key")
     by_key = facts.filter("n_shingles > 0").groupBy("key")
     classes = cut_lineage(by_key.agg(F.min("id").alias("first"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
 
@@ -210,7 +233,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         classes.join(label, classes["key"] == label["node"], "left").select("key", "first", F.coalesce("label", "key").alias("label"))
     )
     smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_key = labelled.join(smallest, "label").select("key", "component_id")
-    alone = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
-    out = rows.join(by_key, "key", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", alone.alias("component_id"))
+    return rows, labelled.join(smallest, "label").select("key", "label", "component_id")

@@ -321,3 +321,11 @@ def test_stages_take_odd_rows(spark, odd, empty):
         out = stage(spark, odd, SF)
         assert out.count() > 0
         assert stage is corpus_pipeline.packing_stage or out.columns == odd.columns
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_component(spark):
+    """Ids that repeat with another text, exact repeats of a row and copies without an id."""
+    body, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in ("body", "other", "third"))
+    rows = [(1, body), (2, body + " end"), (2, other), (3, third), (3, third), (None, third), (None, body), (None, "no id " + other[::-1]), (4, ""), (4, "")]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("1", body), ("2", other), ("3", third), ("None", "no id " + other[::-1]), ("4", ""), ("4", "")])
