@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks import Registry, table
-from tabloom.llm import fingerprint, licenses, line_chunks, ngram_join, packing, paragraphs, pieces, toxicity, warc
+from tabloom.llm import fingerprint, licenses, line_chunks, ngram_join, packing, paragraphs, pieces, spelling, toxicity, warc
 from tabloom.llm import quality_rules as quality
 
 reg = Registry()
@@ -170,3 +170,42 @@ LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id"""
 @add("op5_licenses", licenses_sql())
 def op5_licenses(spark, d):
     return licenses.license_scan(table(spark, d, "documents"))
+
+
+#: crc32 of the text behind each row of ``coded`` (id, hx: its bytes in hex), ending in ``crc`` (id, h).
+CRC_SQL = """
+crc_bits(b, i, c) AS (SELECT b, 0, b FROM range(256) t(b) UNION ALL
+  SELECT b, i + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_bits WHERE i < 8),
+crc_step AS (SELECT b, c AS s FROM crc_bits WHERE i = 8),
+crc_walk(id, hx, p, c) AS (SELECT id, hx, 1, 4294967295::BIGINT FROM coded UNION ALL
+  SELECT id, hx, p + 2, xor(c >> 8, s) FROM crc_walk JOIN crc_step
+  ON b = xor(c & 255, 16 * (instr('0123456789ABCDEF', hx[p]) - 1) + instr('0123456789ABCDEF', hx[p + 1]) - 1) WHERE p < length(hx)),
+crc AS (SELECT id, xor(c, 4294967295) AS h FROM crc_walk WHERE p > length(hx))"""
+
+
+@add(
+    "op13_spelling",
+    f"""WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'),
+  '[a-z\\x{{C0}}-\\x{{FF}}]{{7,}}')) AS run FROM documents),
+found AS (SELECT row_number() OVER () AS id, * FROM (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY 1, 2)),
+coded AS (SELECT id, hex(encode(concat(doc_id, ':', run))) AS hx FROM found),
+{CRC_SQL},
+slip AS (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM found JOIN crc USING (id)),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM slip WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+place AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+gap AS (SELECT word, left(word, i - 1) || chr(1) || substr(word, i + 1) AS key FROM place),
+less AS (SELECT DISTINCT word, left(word, i - 1) || substr(word, i + 1) AS short FROM place),
+near AS (SELECT a.word, b.word AS other FROM gap a JOIN gap b ON a.key = b.key AND a.word <> b.word
+  UNION ALL SELECT less.word, short FROM less JOIN words ON words.word = short
+  UNION ALL SELECT short, less.word FROM less JOIN words ON words.word = short),
+judged AS (SELECT near.word, other, w.n AS m, row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, other) AS rn,
+  count(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN words w ON w.word = other),
+best AS (SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+  FROM words LEFT JOIN judged ON judged.word = words.word AND rn = 1),
+walk(word, here) AS (SELECT word, word FROM best UNION ALL SELECT walk.word, form FROM walk JOIN best ON best.word = here WHERE form IS NOT NULL)
+SELECT best.word, form, here AS root, n, n_near, form_n FROM best JOIN walk ON walk.word = best.word
+JOIN (SELECT word FROM best WHERE form IS NULL) ends ON ends.word = here""",
+)
+def op13_spelling(spark, d):
+    return spelling.spelling_variants(table(spark, d, "documents"))
