@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from checks import Registry, table
-from tabloom.llm import fingerprint, licenses, line_chunks, ngram_join, packing, paragraphs, pieces, spelling, toxicity, warc
+from tabloom.llm import collocations, fingerprint, lattice, licenses, line_chunks, ngram_join, packing, paragraphs, pieces, spelling, toxicity, warc
 from tabloom.llm import quality_rules as quality
 
 reg = Registry()
@@ -209,3 +209,30 @@ JOIN (SELECT word FROM best WHERE form IS NULL) ends ON ends.word = here""",
 )
 def op13_spelling(spark, d):
     return spelling.spelling_variants(table(spark, d, "documents"))
+
+
+@add(
+    "op11_collocations",
+    f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}') AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d)),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM (SELECT lang, ws, unnest([1, 2, 3, 4, 5]) AS k FROM w) WHERE len(ws) >= k),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*)::BIGINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, a, cut, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[cut + 1:], ' ')
+  JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+e AS (SELECT lang, f, string_split(phrase, ' ') AS ws, k, unnest(range(2, k)) AS m FROM f WHERE k > 2),
+inner_phrases AS (SELECT lang, f, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM e)),
+longer AS (SELECT lang, phrase, max(f) AS most FROM inner_phrases GROUP BY 1, 2),
+kept AS (SELECT b.* FROM b LEFT JOIN longer USING (lang, phrase) WHERE coalesce(100 * most < 100 * a, true))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept QUALIFY rank <= 2000""",
+)
+def op11_collocations(spark, d):
+    return collocations.collocations(table(spark, d, "documents"))
+
+
+@add("op12_lattice")
+def op12_lattice(spark, d):
+    return lattice.lattice_scores(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
