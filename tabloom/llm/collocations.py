@@ -36,7 +36,8 @@ SUMMARY_ROWS = 4_000_000  # n-grams of a task that one summary takes in
 MERGE_ROWS = 1_000_000  # counters of the partitions that one task merges
 BITS_PER_KEY = 32
 MOST_BITS = 29  # a bitmap of 64 MB at most
-HELD_PHRASES = 200_000
+HELD_PHRASES = 200_000  # new rows of a task's table of phrases before they are summed into it
+MOST_HELD = 2_000_000  # rows of that table, some 100 MB
 PARTS = 64
 U = np.uint64
 BREAK = np.zeros(256, bool)
@@ -74,9 +75,14 @@ class Words:
         with np.errstate(over="ignore"):
             return tx.mix(self.sums[width][:n] + U(width) * tx.BASE), whole
 
-    def phrase(self, at: int, width: int) -> str:
-        spans = zip(self.start[at : at + width].tolist(), self.end[at : at + width].tolist(), strict=True)
-        return b" ".join(self.data[s:e].tobytes() for s, e in spans).decode()
+    def spaced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All words with one space behind each, and where each begins and ends there."""
+        size = self.end - self.start + 1
+        stop = np.cumsum(size)
+        at = np.repeat(self.start - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
+        out = self.data[np.minimum(at, max(len(self.data) - 1, 0))]
+        out[stop - 1] = 0x20
+        return out, stop - size, stop - 1
 
 
 class Bitmap:
@@ -229,34 +235,62 @@ def masses(rows: DataFrame) -> DataFrame:
     return cut_lineage(parts.groupBy("step", "slot", "lang").agg(F.sum("n").alias("n")))
 
 
+class Counted:
+    """Phrases by hash with their counts, texts and languages: batches gathered, then summed into one sorted table."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]] = []
+        self.fresh = self.size = 0
+
+    def add(self, words: Words, maps: Sequence[Bitmap]) -> None:
+        keys, starts, ends, at = [], [], [], []
+        data, start, end = words.spaced()
+        for step, widths in enumerate(STEPS):
+            for width in widths:
+                own, whole = words.keys(width)
+                i = np.flatnonzero(whole & maps[step].has(own))
+                keys.append(own[i])
+                starts.append(start[i])
+                ends.append(end[i + width - 1])
+                at.append(i)
+        keys, first, counts = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+        texts = tx.span_texts(data, np.concatenate(starts)[first], np.concatenate(ends)[first])
+        langs = pa.array(words.langs, pa.string()).take(pa.array(words.lang[np.concatenate(at)[first]]))
+        self.parts.append((keys, counts, texts, langs))
+        self.fresh += len(keys)
+        if self.fresh >= max(HELD_PHRASES, self.size):
+            self.sum_up()
+
+    def sum_up(self) -> None:
+        keys, counts = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        first = pa.array(order[starts])
+        texts, langs = (pa.concat_arrays([p[i] for p in self.parts]).take(first) for i in (2, 3))
+        self.parts = [(keys[starts], np.add.reduceat(counts[order], starts) if len(starts) else counts, texts, langs)]
+        self.fresh, self.size = 0, len(starts)
+
+    def out(self) -> pa.RecordBatch:
+        self.sum_up()
+        _, counts, texts, langs = self.parts[0]
+        self.__init__()
+        return pa.RecordBatch.from_arrays([langs, texts, pa.array(counts.astype(np.int64))], names=["lang", "phrase", "n"])
+
+
 def phrase_counts(rows: DataFrame, maps: Sequence[Bitmap], least: int) -> DataFrame:
     """(lang, phrase, f) of every n-gram of one to five words that occurs ``least`` times."""
     shared = rows.sparkSession.sparkContext.broadcast(list(maps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-
-        def out() -> pa.RecordBatch:
-            lang, phrase, n = zip(*held.values(), strict=True) if held else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
-
+        held = Counted()
         for batch in batches:
             for part in tx.pieces(batch, "text"):
-                words = Words(part)
-                for step, widths in enumerate(STEPS):
-                    for width in widths:
-                        keys, whole = words.keys(width)
-                        at = np.flatnonzero(whole & shared.value[step].has(keys))
-                        keys, first, counts = np.unique(keys[at], return_index=True, return_counts=True)
-                        for key, i, n in zip(keys.tolist(), at[first].tolist(), counts.tolist(), strict=True):
-                            if key in held:
-                                held[key][2] += n
-                            else:
-                                held[key] = [words.langs[words.lang[i]], words.phrase(i, width), n]
-                if len(held) >= HELD_PHRASES:
-                    yield out()
-                    held = {}
-        yield out()
+                held.add(Words(part), shared.value)
+                if held.size >= MOST_HELD:
+                    yield held.out()
+        if held.parts:
+            yield held.out()
 
     partial = rows.mapInArrow(run, "lang string, phrase string, n long")
     return partial.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)

@@ -200,15 +200,6 @@ def text_words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return data, start, end, tx.span_hash(data, start, end), counts
 
 
-def span_texts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The byte spans as an Arrow string column."""
-    size = end - start
-    stop = np.cumsum(size)
-    at = np.repeat(start - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
-    offsets = np.concatenate([[0], stop]).astype(np.int32)
-    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at].tobytes()))
-
-
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, c, n): uses of every word in training texts and in all, of (text, held_out)."""
 
@@ -219,7 +210,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 _, first, which, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
                 train = ~np.repeat(part.column("held_out").to_numpy(zero_copy_only=False), counts)
                 c = np.bincount(which, weights=train, minlength=len(first)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([span_texts(data, start[first], end[first]), pa.array(c), pa.array(n.astype(np.int64))], names=["word", "c", "n"])
+                yield pa.RecordBatch.from_arrays([tx.span_texts(data, start[first], end[first]), pa.array(c), pa.array(n.astype(np.int64))], names=["word", "c", "n"])
 
     parts = rows.mapInArrow(run, "word string, c long, n long")
     return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
@@ -320,7 +311,7 @@ def text_sums(rows: DataFrame, hot: tuple[np.ndarray, ...]) -> DataFrame:
                     [
                         part.column("id").take(which),
                         version.take(which),
-                        pa.concat_arrays([marks, span_texts(data, start[rest], end[rest])]),
+                        pa.concat_arrays([marks, tx.span_texts(data, start[rest], end[rest])]),
                         pa.array(np.concatenate([counts, nought]).astype(np.int64)),
                         pa.array(np.concatenate([add(known.astype(float)).astype(np.int64), nought])),
                         *[pa.array(np.concatenate([add(w), zero])) for w in logs],

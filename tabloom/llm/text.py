@@ -6,10 +6,11 @@ runs over words. Null texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -77,6 +78,15 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
 
 
+def span_texts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte spans as an Arrow string column."""
+    size = end - start
+    stop = np.cumsum(size)
+    at = np.repeat(start - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
+    offsets = np.concatenate([[0], stop]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at].tobytes()))
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` (or of bytes not ``apart``) and how many each text has."""
     if len(data) == 0:
@@ -128,3 +138,12 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     values, sizes = shingles(words, counts, width)
     ends = np.cumsum(sizes)
     return [np.unique(values[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
+def fresh_names(docs: DataFrame, *names: str) -> Sequence[str]:
+    """The names with as many underscores in front as keep them apart from all columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    mark = "__"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]

@@ -98,6 +98,7 @@ def test_a_small_bitmap_changes_nothing(spark, documents, monkeypatch):
     want = {tuple(r) for r in collocations.collocations(documents, least=25, top=60).collect()}
     monkeypatch.setattr(collocations, "MOST_BITS", 15)
     monkeypatch.setattr(collocations, "HELD_PHRASES", 50)
+    monkeypatch.setattr(collocations, "MOST_HELD", 400)
     monkeypatch.setattr(collocations, "MERGE_ROWS", 100)
     assert {tuple(r) for r in collocations.collocations(documents, least=25, top=60).collect()} == want
 
