@@ -7,6 +7,9 @@ collide in a band are verified by the exact Jaccard similarity of their sets, an
 closed to components. In the order of id, text hash and place the first paragraph of a component
 stays and all others go.
 
+Passages of 50 words or more that begin and end anywhere are found by ``passages`` and go as well, from the
+second place on: what a line does not delimit is a paragraph too.
+
 Paragraphs with equal sets are one node from the start, so copies send their bands once for each
 task, and every text is read by its first place only.
 """
@@ -14,18 +17,21 @@ task, and every text is read by its first place only.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm import text as tx
 from tabloom.llm.fingerprint import FACTOR, SHIFT
-from tabloom.llm.line_chunks import line_spans, without_spans
+from tabloom.llm.line_chunks import line_spans
 from tabloom.llm.links import BROADCAST_IDS, closed_links, components, paired_texts, similar, sketch
 from tabloom.llm.ngram_join import set_key
+from tabloom.llm.passages import repeated_passages
 from tabloom.session import cut_lineage
 
 WIDTH = 5
@@ -34,6 +40,9 @@ LEAST_WORDS = 20
 BAND_WIDTH = 4
 RECALL = 0.997
 BUCKETS = 256
+BROADCAST_BYTES = 16 << 20
+SPAN = "struct<first_word:int,n_words:int>"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 U = np.uint64
 
 
@@ -42,8 +51,8 @@ def tuned(percent: int = PERCENT, width: int = BAND_WIDTH, recall: float = RECAL
     return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** width))
 
 
-def paragraph_sets(part: pa.RecordBatch, least: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, line, set) of each paragraph of the batch."""
+def paragraph_sets(part: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and line of each paragraph of the batch, where its set begins and all sets, sorted, one behind the other."""
     data, offsets = tx.flat(part.column("text"))
     data = tx.LOWER[data]
     starts, ends, per_text = line_spans(data, offsets)
@@ -54,15 +63,40 @@ def paragraph_sets(part: pa.RecordBatch, least: int) -> Iterator[tuple[int, int,
     owner = np.repeat(np.arange(len(per_text)), per_text)
     line = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     wanted = np.flatnonzero(high - low >= least)
-    if not len(wanted):
-        return
     counts = (high - low)[wanted]
     first = np.cumsum(counts) - counts
     words = hashes[np.repeat(low[wanted] - first, counts) + np.arange(counts.sum())]
     values, sizes = tx.shingles(words, counts, WIDTH)
-    stops = np.cumsum(sizes)
-    for w, stop, size in zip(wanted.tolist(), stops.tolist(), sizes.tolist(), strict=True):
-        yield int(owner[w]), int(line[w]), np.unique(values[stop - size : stop])
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((values, of))
+    values, of = values[order], of[order]
+    once = np.ones(len(values), bool)
+    once[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+    values, of = values[once], of[once]
+    return owner[wanted], line[wanted], np.searchsorted(of, np.arange(len(wanted))), values
+
+
+def set_keys(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The key (as ``set_key`` gives it) and the size of each set."""
+    sizes = np.diff(np.append(starts, len(values)))
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(tx.mix(values + tx.BASE), starts) if len(starts) else np.zeros(0, U)
+        return tx.mix(sums + sizes.astype(U)).view(np.int64), sizes
+
+
+def sketches(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, buckets: int) -> list[bytes]:
+    """A ``sketch`` of each set, those of the least width all at once."""
+    small = sizes < buckets
+    place = np.cumsum(small) - 1
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    inside = small[of]
+    cell = place[of[inside]] * buckets + (values[inside] & U(buckets - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=int(small.sum()) * buckets) & 1).astype(np.uint8).reshape(-1, buckets)
+    rows = np.packbits(odd, axis=1, bitorder="little")
+    return [
+        rows[p].tobytes() if s else sketch(values[a : a + n], buckets)
+        for s, p, a, n in zip(small.tolist(), place.tolist(), starts.tolist(), sizes.tolist(), strict=True)
+    ]
 
 
 def occurrences(rows: DataFrame, least: int) -> DataFrame:
@@ -71,16 +105,17 @@ def occurrences(rows: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.pieces(batch, "text"):
-                found = [(r, n, set_key(s), len(s), sketch(s, BUCKETS)) for r, n, s in paragraph_sets(part, least)]
-                at = pa.array([f[0] for f in found], pa.int64())
+                row, line, starts, values = paragraph_sets(part, least)
+                nodes, sizes = set_keys(values, starts)
+                at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").take(at),
                         part.column("version").take(at),
-                        pa.array([f[1] for f in found], pa.int32()),
-                        pa.array([f[2] for f in found], pa.int64()),
-                        pa.array([f[3] for f in found], pa.int64()),
-                        pa.array([f[4] for f in found], pa.binary()),
+                        pa.array(line.astype(np.int32)),
+                        pa.array(nodes),
+                        pa.array(sizes.astype(np.int64)),
+                        pa.array(sketches(values, starts, sizes, BUCKETS), pa.binary()),
                     ],
                     names=["id", "version", "line", "node", "n", "sketch"],
                 )
@@ -98,26 +133,24 @@ def band_rows(rows: DataFrame, least: int, bands: int, width: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for part in tx.pieces(batch, "text", 1 << 20):
-                fresh, nodes = [], []
-                for _, _, values in paragraph_sets(part, least):
-                    node = set_key(values)
+                _, _, starts, values = paragraph_sets(part, least)
+                nodes, sizes = set_keys(values, starts)
+                new = np.zeros(len(nodes), bool)
+                for i, node in enumerate(nodes.tolist()):
                     if node not in seen:
                         seen.add(node)
-                        fresh.append(values)
-                        nodes.append(node)
-                if not fresh:
+                        new[i] = True
+                if not new.any():
                     continue
-                flat = np.concatenate(fresh)
-                starts = np.cumsum([0] + [len(f) for f in fresh[:-1]])
-                low = np.empty((draws, len(fresh)), U)
+                flat, nodes, sizes = values[np.repeat(new, sizes)], nodes[new], sizes[new]
+                starts = np.cumsum(sizes) - sizes
+                low = np.empty((draws, len(nodes)), U)
                 with np.errstate(over="ignore"):
                     for p in range(draws):
                         low[p] = np.minimum.reduceat(flat * scale[p] + shift[p], starts)
-                    grouped = tx.mix(low.T.reshape(len(fresh), bands, width) + tx.PLACE_CODE[:width])
+                    grouped = tx.mix(low.T.reshape(len(nodes), bands, width) + tx.PLACE_CODE[:width])
                     sig = tx.mix(grouped.sum(axis=2, dtype=U) + np.arange(bands, dtype=U) * tx.BASE)
-                yield pa.RecordBatch.from_pydict(
-                    {"sig": sig.reshape(-1).view(np.int64), "node": np.repeat(np.array(nodes, np.int64), bands)}
-                )
+                yield pa.RecordBatch.from_pydict({"sig": sig.reshape(-1).view(np.int64), "node": np.repeat(nodes, bands)})
 
     return rows.mapInArrow(run, "sig long, node long")
 
@@ -137,8 +170,7 @@ def repeated_paragraphs(
     ``members`` counts the cluster's paragraphs. A null id comes before all others. Null texts, texts
     without long lines and empty tables give no rows.
     """
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(t).alias("version"), t.alias("text"))
+    rows = text_rows(docs, id_col, text)
     found = cut_lineage(occurrences(rows, least_words))
     placed = found.select("id", "version", "line", "node").distinct()
     spot = F.struct("id", "version", "line")
@@ -176,19 +208,71 @@ def repeated_paragraphs(
     )
 
 
+def text_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(t).alias("version"), t.alias("text"))
+
+
+def without_repeats(text: str, lines: list[int], spans: list[tuple[int, int]]) -> str:
+    """``text`` without the given lines and without the words (first, how many) of ``spans``.
+
+    A line that loses its last word goes as well.
+    """
+    words = [m.span() for m in WORD.finditer(text)] if spans else []
+    holes = sorted((words[a][0], words[a + n - 1][1]) for a, n in spans)
+    kept, at, gone = [], 0, set(lines)
+    for number, line in enumerate(text.split("\n")):
+        start, end = at, at + len(line)
+        at = end + 1
+        if number in gone:
+            continue
+        left, place = "", start
+        for a, b in holes:
+            if b <= place or a >= end:
+                continue
+            left += text[place : max(place, a)]
+            place = min(b, end)
+        if place > start:
+            line = left + text[place:end]
+            if not WORD.search(line):
+                continue
+        kept.append(line)
+    return "\n".join(kept)
+
+
 def remove_repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Every row of ``docs``, columns unchanged, its text freed of the paragraphs that go.
+    """Every row of ``docs``, columns unchanged, its text freed of the lines and passages that go.
 
-    Only line numbers are joined to the texts: broadcast if they are few, by a shuffle otherwise.
+    Only line and word numbers are joined to the texts: broadcast if they are few, by a shuffle otherwise.
     """
-    gone = repeated_paragraphs(docs, id_col, text, **options).filter("removed")
-    one = F.struct(F.col("line").alias("first_line"), F.lit(1).alias("n_lines"))
-    spans = cut_lineage(
-        gone.groupBy(F.col("id").alias("__of"), F.col("version").alias("__at")).agg(F.sort_array(F.collect_set(one)).alias("__removed"))
-    )
-    few = (spans.agg(F.sum(F.size("__removed"))).first()[0] or 0) <= BROADCAST_IDS
+    lines = repeated_paragraphs(docs, id_col, text, **options).where("removed").select("id", "version", "line", F.lit(None).cast(SPAN).alias("span"))
+    spans = repeated_passages(text_rows(docs, id_col, text)).select("id", "version", F.lit(None).cast("int").alias("line"), F.struct("first_word", "n_words").alias("span"))
+    of, at, what = tx.fresh_names(docs, "of", "at", "removed")
+    both = lines.unionByName(spans).groupBy(F.col("id").alias(of), F.col("version").alias(at))
+    gone = cut_lineage(both.agg(F.struct(F.collect_set("line").alias("lines"), F.collect_set("span").alias("spans")).alias(what)))
+    size = gone.agg(F.sum(F.size(f"{what}.lines") * 4 + F.size(f"{what}.spans") * 16 + 64)).first()[0] or 0
     t = docs[f"`{text}`"]
-    same = docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col("__at"))
-    joined = docs.join(F.broadcast(spans) if few else spans, same, "left")
-    clean = F.when(F.col("__removed").isNull(), t).otherwise(without_spans(t, F.col("__removed")))
+    same = docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col(at))
+    joined = docs.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, same, "left")
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series, removed: pd.DataFrame) -> pd.Series:
+        return pd.Series(
+            [
+                x if x is None or a is None else without_repeats(x, list(a), [(s["first_word"], s["n_words"]) for s in b])
+                for x, a, b in zip(texts, removed["lines"], removed["spans"], strict=True)
+            ]
+        )
+
+    clean = F.when(F.col(what).isNull(), t).otherwise(cleaned(t, F.col(what)))
     return joined.select(*[clean.alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns])
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Repeated lines and passages in one table: (id, line, first_word, n_words, kept_id, cluster, members, removed).
+
+    A line has no ``first_word`` and ``n_words``, a passage no ``line``, ``cluster`` and ``members``.
+    """
+    lines = repeated_paragraphs(docs, id_col, text, **options)
+    passages = repeated_passages(text_rows(docs, id_col, text)).withColumn("removed", F.lit(True))
+    return lines.unionByName(passages, allowMissingColumns=True).select("id", "line", "first_word", "n_words", "kept_id", "cluster", "members", "removed")

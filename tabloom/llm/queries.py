@@ -104,8 +104,7 @@ def op6_line_chunks(spark, d):
 
 @add("op2_paragraphs")
 def op2_paragraphs(spark, d):
-    found = paragraphs.repeated_paragraphs(table(spark, d, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "line", F.col("kept_id").alias("kept_doc_id"), "cluster", "members", "removed")
+    return paragraphs.repeats(table(spark, d, "documents")).withColumnsRenamed({"id": "doc_id", "kept_id": "kept_doc_id"})
 
 
 @add("op8_packing")
