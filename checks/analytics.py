@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from tabloom.operators import associate, detectors, encode, features, flow, gram, joint, neighbors, profile, ranking, rules
+from tabloom.operators import aggregates, associate, detectors, encode, features, flow, gram, joint, neighbors, profile, ranking, rules
 from tabloom.plans import reports, synthesize
 from tabloom.session import cut_lineage
 
@@ -58,6 +58,51 @@ def exact_quantiles(spark, d):
     return out.withColumn("quantile", r("quantile"))
 
 
+def nan_customer(spark, d):
+    """Customers whose negative balances are NaN, as a reader may leave them."""
+    c = table(spark, d, "customer")
+    return c.withColumn("acct", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).otherwise(float("nan")))
+
+
+@add(
+    "nan_quantiles",
+    f"""WITH {GAPS_SQL}, q AS (SELECT quantile_cont(acct, 0.25) AS q1, quantile_cont(acct, 0.75) AS q3 FROM gc)
+SELECT 'acct' AS feature, round(q1, 6) AS q1, round(q3, 6) AS q3, count(acct) AS n, count(*) FILTER (WHERE acct < q1 - 1.5 * (q3 - q1) OR acct > q3 + 1.5 * (q3 - q1)) AS outlier_count,
+ round(avg(acct), 6) AS mean, round(stddev_samp(acct), 6) AS std FROM gc, q GROUP BY q1, q3""",
+)
+def nan_quantiles(spark, d):
+    df = nan_customer(spark, d)
+    stats = aggregates.column_stats(df, ["acct"]).select("feature", r("mean").alias("mean"), r("std").alias("std"))
+    out = profile.iqr_stats(df, ["acct"]).select("feature", r("q1").alias("q1"), r("q3").alias("q3"), "n", "outlier_count")
+    return out.join(stats, "feature")
+
+
+@add(
+    "nan_ranks",
+    f"""WITH {GAPS_SQL} SELECT c_custkey, round(CASE WHEN acct IS NOT NULL THEN (rank() OVER (ORDER BY acct NULLS LAST) + (count(*) OVER (PARTITION BY acct) - 1) / 2.0)
+ / (SELECT count(acct) FROM gc) * 100 END, 6) AS acct FROM gc""",
+)
+def nan_ranks(spark, d):
+    return ranking.quantile_ranks(nan_customer(spark, d), ["c_custkey"], ["acct"]).withColumn("acct", r("acct"))
+
+
+@add(
+    "nan_associations",
+    f"""WITH {GAPS_SQL}, k AS (SELECT c_custkey, c_nationkey, acct, c_mktsegment AS g FROM gc WHERE acct IS NOT NULL),
+p AS (SELECT round(corr(a, b), 6) AS spearman, count(*) AS n FROM (SELECT rank() OVER (ORDER BY acct) + (count(*) OVER (PARTITION BY acct) - 1) / 2.0 AS a,
+  rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0 AS b FROM k)),
+s AS (SELECT g, count(*) AS n, avg(acct) AS m, var_pop(acct) * count(*) AS ss FROM k GROUP BY 1),
+t AS (SELECT *, sum(n * m) OVER () / sum(n) OVER () AS grand FROM s)
+SELECT (SELECT spearman FROM p) AS spearman, (SELECT n FROM p)::BIGINT AS n,
+ round((sum(n * (m - grand) ** 2) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))), 6) AS f FROM t""",
+)
+def nan_associations(spark, d):
+    df = nan_customer(spark, d)
+    rank = associate.corr_matrix(df, ["acct", "c_nationkey"], "spearman", ["c_custkey"]).where("x <> y")
+    f = associate.anova_f(df, ["c_mktsegment"], ["acct"])
+    return rank.select(r("r").alias("spearman"), "n").join(F.broadcast(f.select(r("f").alias("f"))))
+
+
 @add(
     "row_positions",
     "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,16 @@ def normalize_missing(df: DataFrame) -> DataFrame:
     return df.withColumns(fixed) if fixed else df
 
 
+def nan_is_missing(operator: Callable) -> Callable:
+    """An operator that sees NaN in its first argument, a DataFrame, as null."""
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **kwargs):
+        return operator(normalize_missing(df), *args, **kwargs)
+
+    return run
+
+
 def missing_to_category(col: str | Column, label: str = "missing") -> Column:
     """Cast to string; null and the text "nan" become ``label``."""
     c = F.col(col) if isinstance(col, str) else col

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
+from ..functions.missing import nan_is_missing
 
 
 def child_counts(child: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -15,6 +16,7 @@ def child_counts(child: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return child.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_count"))
 
 
+@nan_is_missing
 def child_stats(child: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """count, mean, sample std, min and max of ``value`` per key."""
     v = F.col(value)
@@ -27,6 +29,7 @@ def child_stats(child: DataFrame, keys: Sequence[str], value: str, name: str) ->
     )
 
 
+@nan_is_missing
 def item_means(child: DataFrame, keys: Sequence[str], item: str, value: str) -> DataFrame:
     return child.dropna(subset=[*keys, item]).groupBy(*keys, item).agg(F.avg(value).alias("mean_value"))
 
@@ -45,6 +48,7 @@ def only_top_items(child: DataFrame, item: str, k: int = 50) -> DataFrame:
     return child.join(F.broadcast(top_items(child, item, k).select(item)), item, "left_semi")
 
 
+@nan_is_missing
 def pivot_items(
     child: DataFrame,
     keys: Sequence[str],
@@ -79,6 +83,7 @@ def pivot_items(
     return rows.groupBy(*keys).agg(*cells) if cells else rows.select(*keys).distinct()
 
 
+@nan_is_missing
 def value_shares(df: DataFrame, col: str, k: int | None = 5) -> DataFrame:
     """Share of each non-null value, the ``k`` largest first."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
@@ -92,6 +97,7 @@ def table_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(df.columns)).cast("bigint"))
 
 
+@nan_is_missing
 def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per column: n, mean, sample std, sample variance, population std, min, max."""
     stats = [

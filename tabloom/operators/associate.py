@@ -8,15 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.missing import normalize_missing
+from ..functions.missing import nan_is_missing, normalize_missing
 from ..functions.pvalues import chi2_pvalue, f_pvalue
 from ..session import cut_lineage
 from .gram import bounded, names, pearson_pairs
-from .joins import edge_lookup
 from .kendall import kendall_pairs
-from .ranking import (
-    average_rank, bucket_edges, long_values, rank_counts, starts_bucket, wide_ranks, with_buckets,
-)
+from .ranking import Ranking, ranked_cells, wide_ranks
 
 
 def corr_matrix(
@@ -53,7 +50,7 @@ def spearman_pairs(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> Da
         parts.append(pearson_pairs(ranks, full, middle).select("x", "y", "r", "n"))
     with_gaps = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :] if a in gaps or b in gaps]
     if with_gaps:
-        parts.append(_spearman_on_shared_rows(df, cols, with_gaps))
+        parts.append(_spearman_on_shared_rows(df, key, with_gaps))
     if gaps:
         own = F.array(
             *[
@@ -72,56 +69,29 @@ def spearman_pairs(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> Da
     return out
 
 
-def _spearman_on_shared_rows(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """Collapse each pair to (x, y, count), rank both sides inside the pair, and sum products.
-
-    Equal x values share a rank, so ranks come from the (pair, x) counts; a hot x value is one
-    row there. The joint counts pick their ranks up by value, hot values from a broadcast:
-    they are bucket edges, at most two per bucket of every pair.
-    """
-    edges = bucket_edges(df, cols)
-    binned = with_buckets(df.select(*cols), edges)
-
-    def side(c: str, tag: str) -> list[Column]:
-        b = F.col("_b_" + c)
-        return [b.alias("b" + tag), F.col(c).alias("v" + tag), starts_bucket(edges[c], b, F.col(c)).alias("e" + tag)]
-
-    cells = F.array(
-        *[F.struct(F.lit(p).alias("pair"), *side(a, "x"), *side(b, "y")) for p, (a, b) in enumerate(pairs)]
-    )
-    joint = (
-        binned.select(F.inline(cells))
-        .where(F.col("vx").isNotNull() & F.col("vy").isNotNull())
-        .groupBy("pair", "bx", "vx", "ex", "by", "vy", "ey")
-        .agg(F.count(F.lit(1)).alias("c"))
+def _spearman_on_shared_rows(df: DataFrame, key: Sequence[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Both sides of each pair ranked on the rows that have both, all rankings in one pass, and met by row."""
+    ids = [f"_k{i}" for i in range(len(key))]
+    named = df.withColumns({i: F.col(k) for i, k in zip(ids, key)})
+    rankings = []
+    for a, b in pairs:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        rankings += [Ranking(a, both), Ranking(b, both)]
+    cells = ranked_cells(named, rankings, ids).withColumn("pair", F.expr("ranking div 2").cast("int"))
+    left = F.col("ranking") % 2 == 0
+    repeated = F.raise_error(F.lit(f"{', '.join(key)} names more than one row")).cast("double")
+    rows = cells.groupBy("pair", *ids).agg(
+        F.max(F.when(left, F.col("avg_rank"))).alias("rx"),
+        F.when(F.count(F.lit(1)) > 2, repeated).otherwise(F.max(F.when(~left, F.col("avg_rank")))).alias("ry"),
     )
-    # both sides and the sums read the joint counts: keep them once instead of three scans
-    joint = cut_lineage(joint)
-    for tag in ("x", "y"):
-        b, v, e = "b" + tag, "v" + tag, "e" + tag
-        counts = joint.groupBy("pair", b, v, e).agg(F.sum("c").alias("n")).withColumnRenamed(b, "bucket")
-        ranks = rank_counts(counts, ["pair"], v).select(
-            "pair", F.col("bucket").alias(b), v, e, average_rank().alias("r" + tag)
-        )
-        joint = edge_lookup(joint, ranks, ["pair", b, v], ["pair", "vx", "vy"], e)
-    w = F.col("c").cast("double")
-    sums = joint.groupBy("pair").agg(
-        F.sum(w).alias("n"),
-        F.sum(w * F.col("rx")).alias("sx"), F.sum(w * F.col("ry")).alias("sy"),
-        F.sum(w * F.col("rx") * F.col("rx")).alias("sxx"), F.sum(w * F.col("ry") * F.col("ry")).alias("syy"),
-        F.sum(w * F.col("rx") * F.col("ry")).alias("sxy"),
-    )
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    r = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.sqrt(vx * vy))
+    spread = (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
+    r = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
+    sums = rows.groupBy("pair").agg(F.when(spread, r).alias("r"), F.count(F.lit(1)).alias("n"))
 
     def side_name(k: int) -> Column:
         return F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("pair") + 1)
 
-    found = sums.select(
-        side_name(0).alias("x"), side_name(1).alias("y"),
-        bounded(r).alias("r"), F.col("n").cast("bigint").alias("n"),
-    )
+    found = sums.select(side_name(0).alias("x"), side_name(1).alias("y"), bounded(F.col("r")).alias("r"), "n")
     return with_all_pairs(found, pairs, "r")
 
 
@@ -283,6 +253,7 @@ def _by_level(df: DataFrame, cats: Sequence[str], nums: Sequence[str], cols: Seq
     return df.select(*cols, F.inline(levels)).where(F.col("level").isNotNull())
 
 
+@nan_is_missing
 def anova_f(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFrame:
     """(cat, num, f, p, groups, n) one-way ANOVA; needs two non-empty groups."""
     rows = _by_level(df, cats, nums, [F.col(c).cast("double").alias(c) for c in nums])
@@ -317,24 +288,36 @@ def anova_f(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFram
 
 
 def kruskal_h(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFrame:
-    """(cat, num, h, p, groups, n) Kruskal-Wallis with tie correction."""
-    df = cut_lineage(normalize_missing(df.select(*dict.fromkeys([*cats, *nums]))))
-    safe = {c: f"_level{i}" for i, c in enumerate(cats)}  # a category may be called like a column of the long form
-    rows = long_values(df.select(*nums, *[F.col(f"`{c}`").alias(s) for c, s in safe.items()]), nums, list(safe.values()))
-    levels = F.array(*[F.struct(F.lit(c).alias("cat"), F.col(s).cast("string").alias("level")) for c, s in safe.items()])
-    counts = (
-        rows.select("feature", "bucket", "value", F.inline(levels))
-        .where(F.col("level").isNotNull())
-        .groupBy("cat", "feature", "bucket", "value", "level")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = rank_counts(cut_lineage(counts), ["cat", "feature"])
-    n, t = F.col("n").cast("double"), F.col("ties").cast("double")
-    by_level = ranked.groupBy("cat", "feature", "level").agg(
-        F.sum(n).alias("n"), F.sum(n * average_rank()).alias("r"), F.sum(n * (t * t - 1)).alias("tie")
+    """(cat, num, h, p, groups, n) Kruskal-Wallis with tie correction.
+
+    A column is ranked once for all categories without nulls, and once more for each with nulls, on the rows that
+    have it. Ranks are summed by level inside tasks; only cells travel, never a cell for each category.
+    """
+    safe = {c: f"_level{i}" for i, c in enumerate(cats)}  # a category may be called like another column
+    levels = [F.col(f"`{c}`").cast("string").alias(s) for c, s in safe.items()]
+    df = cut_lineage(normalize_missing(df.select(*nums, *levels)))
+    gaps = set(_columns_with_nulls(df, list(safe.values())))
+    shared = [c for c in cats if safe[c] not in gaps]
+    wanted: list[tuple[str, list[str], Ranking]] = [(n, shared, Ranking(n)) for n in nums if shared]
+    wanted += [(n, [c], Ranking(n, F.col(safe[c]).isNotNull())) for c in cats if safe[c] in gaps for n in nums]
+    if not wanted:
+        wanted = [(n, [], Ranking(n)) for n in nums]
+    cells = ranked_cells(df, [w[2] for w in wanted], list(safe.values()))
+    fanned = [
+        F.struct(F.array_contains(F.array(*[F.lit(i) for i, w in enumerate(wanted) if c in w[1]] or [F.lit(-1)]), F.col("ranking")).alias("own"),
+                 F.lit(c).alias("cat"), F.col(safe[c]).alias("level"))
+        for c in cats
+    ]
+    t = F.col("ties").cast("double")
+    by_level = (
+        cells.select("ranking", "avg_rank", "ties", F.inline(F.array(*fanned)))
+        .where(F.col("own") & F.col("level").isNotNull())
+        .groupBy("ranking", "cat", "level")
+        .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("avg_rank").alias("r"), F.sum(t * t - 1).alias("tie"))
     )
+    num = F.element_at(F.array(*[F.lit(w[0]) for w in wanted]), F.col("ranking") + 1)
     sums = (
-        by_level.groupBy("cat", "feature")
+        by_level.groupBy("ranking", "cat")
         .agg(
             F.count(F.lit(1)).alias("groups"),
             F.sum("n").alias("n"),
@@ -347,7 +330,6 @@ def kruskal_h(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFr
     raw = 12.0 / (total * (total + 1)) * F.col("ssr") - 3 * (total + 1)
     h = F.try_divide(raw, 1 - F.try_divide(F.col("tie"), total * total * total - total))
     out = sums.select(
-        "cat", F.col("feature").alias("num"), h.alias("h"), (F.col("groups") - 1).cast("double").alias("dof"), "groups",
-        total.cast("bigint").alias("n"),
+        "cat", num.alias("num"), h.alias("h"), (F.col("groups") - 1).cast("double").alias("dof"), "groups", total.cast("bigint").alias("n")
     )
     return out.select("cat", "num", "h", chi2_pvalue("h", "dof").alias("p"), "groups", "n")

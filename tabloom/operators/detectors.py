@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.missing import nan_is_missing
 from ..functions.rng import key_hash, key_uniform
 from ..session import balanced, cut_lineage
 from .features import as_matrix, feature_matrix
@@ -49,6 +50,7 @@ def mahalanobis(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataF
     return matrix.select(*key, F.sqrt(F.greatest(squared, F.lit(0.0))).alias("mahalanobis"))
 
 
+@nan_is_missing
 def score_threshold(scores: DataFrame, score: str, prob: float = 0.95) -> DataFrame:
     """One row (score, prob, threshold, n_above)."""
     limit = quantile_threshold(scores, score, prob)
@@ -267,6 +269,7 @@ def consensus_counts(consensus: DataFrame) -> DataFrame:
     return consensus.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@nan_is_missing
 def quantile_flags(scores: DataFrame, score: str, prob: float, above: bool = True) -> DataFrame:
     """Add ``<score>_outlier`` by an exact quantile of the score."""
     row = exact_quantiles(scores, [score], [prob]).first()

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.missing import nan_is_missing
 from ..functions.rng import key_uniform
 from ..session import cut_lineage
 from .associate import _pair_names, _with_margins, contingency, corr_matrix, count_entropy
@@ -22,6 +23,7 @@ from .ranking import bucket_edges, with_buckets
 MIN_ROWS = 100  # fixed value: pairs need more shared rows than this
 
 
+@nan_is_missing
 def mutual_information(
     df: DataFrame,
     cols: Sequence[str],
@@ -57,6 +59,7 @@ def mutual_information(
     )
 
 
+@nan_is_missing
 def self_information(
     df: DataFrame, cols: Sequence[str], diagonal: str = "entropy", bins: int = 20, min_rows: int = MIN_ROWS
 ) -> DataFrame:
@@ -87,6 +90,7 @@ def mutual_information_matrix(
     return upper.unionByName(lower).unionByName(self_information(df, cols, diagonal, bins, min_rows))
 
 
+@nan_is_missing
 def joint_stats(
     df: DataFrame, cols: Sequence[str], key: Sequence[str], bins: int = 20, min_rows: int = MIN_ROWS
 ) -> DataFrame:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.missing import nan_is_missing
 from ..session import cut_lineage
 from .ranking import bucket_edges, with_buckets
 
@@ -62,6 +63,7 @@ def _range_inversions(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pair": [int(pdf["pair"].iloc[0])], "q": [q]})
 
 
+@nan_is_missing
 def kendall_pairs(df: DataFrame, cols: Sequence[str], ranges: int | None = None) -> DataFrame:
     """(x, y, tau, n) for every pair x before y in ``cols``; rows with a null in the pair are left out."""
     pairs = [(a, b) for a in range(len(cols)) for b in range(a + 1, len(cols))]

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
-from ..functions.missing import normalize_missing
+from ..functions.missing import nan_is_missing, normalize_missing
 from .aggregates import column_stats
 from .ranking import exact_quantiles, quantiles_wide
 
 
+@nan_is_missing
 def fitted_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
     """Column statistics as plain numbers, one record per column."""
     return {r["feature"]: r.asDict() for r in column_stats(df, cols).collect()}
@@ -48,6 +49,7 @@ def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> Data
     return df.select(*keep, *exprs)
 
 
+@nan_is_missing
 def iqr_fences(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, q1, q3, iqr, lower_bound, upper_bound)."""
     iqr = F.col("q3") - F.col("q1")
@@ -57,6 +59,7 @@ def iqr_fences(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+@nan_is_missing
 def iqr_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Fences plus the number of values outside them."""
     fences = {r["feature"]: r for r in iqr_fences(df, cols).collect()}  # one row per column
@@ -75,6 +78,7 @@ def iqr_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*[cell(c) for c in cols]).alias("s")).select(F.inline("s")).where("n > 0")
 
 
+@nan_is_missing
 def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Box-plot numbers: quartiles, whiskers (last values inside the fences) and outlier count."""
     found = {r["feature"]: r for r in quantiles_wide(df, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75}).collect()}
@@ -98,6 +102,7 @@ def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*cells).alias("s")).select(F.inline("s"))
 
 
+@nan_is_missing
 def describe_numeric(df: DataFrame, cols: Sequence[str], digits: int | None = 2) -> DataFrame:
     """count, mean, std, min, exact quartiles and max per column."""
     stats = column_stats(df, cols).select("feature", "n", "mean", "std", "min", "max")
@@ -122,6 +127,7 @@ def _bin(value: Column, low: float, high: float, bins: int) -> Column:
     return F.when(value.isNotNull(), F.least(F.lit(bins - 1), F.floor(step)).cast("bigint"))
 
 
+@nan_is_missing
 def value_ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     row = df.agg(
         *[F.min(F.col(c).cast("double")).alias(f"lo_{i}") for i, c in enumerate(cols)],
@@ -140,6 +146,7 @@ def bin_columns(df: DataFrame, cols: Sequence[str], bins: int) -> list[Column]:
     ]
 
 
+@nan_is_missing
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 50) -> DataFrame:
     """(feature, bin, lo, hi, n) equal-width histogram of the non-null values; empty bins are absent."""
     ranges = value_ranges(df, cols)
@@ -160,6 +167,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 50) -> DataFrame:
     return counts.select("feature", "bin", start.alias("lo"), (start + width[F.col("feature")]).alias("hi"), "n")
 
 
+@nan_is_missing
 def grid_density(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:
     """Counts on a bins x bins grid over rows where both columns are present."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -167,6 +175,7 @@ def grid_density(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:
     return both.select(bx.alias("x_bin"), by.alias("y_bin")).groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+@nan_is_missing
 def hex_density(df: DataFrame, x: str, y: str, gridsize: int = 30) -> DataFrame:
     """Counts per hexagon: each point goes to the nearer of two offset lattices of centres."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -1,15 +1,15 @@
 """Global ranks and exact quantiles without a single-partition sort.
 
-Rows are first collapsed to (feature, bucket, value, count). Buckets are value ranges taken
-from approximate quantiles; they only balance the work, the ranks are exact for any bucket
-edges. Inside a bucket a window accumulates counts; the buckets' own totals (a few numbers
-per feature) give the offset. A value that fills several quantiles gets a bucket to itself.
+Buckets are value ranges taken from approximate quantiles; they only balance the work, the ranks
+are exact for any bucket edges. Inside a bucket a window ranks; the buckets' own totals (a few
+numbers per feature) give the offset. A value that fills several quantiles gets a bucket to itself.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -18,8 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.missing import nan_is_missing, normalize_missing
 from ..session import cut_lineage, shuffle_width
-from .joins import edge_lookup
 
 BUCKET_ROWS = 2_000_000  # about as many rows as one window task ranks
 BRACKET_ERROR = 0.001  # rank error of the approximate quantiles around a wanted one
@@ -66,20 +66,10 @@ def with_buckets(df: DataFrame, edges: dict[str, list[float]], prefix: str = "_b
     return binned.withColumns({prefix + c: F.col(prefix + c).cast("int") for c in cols})
 
 
-def starts_bucket(edges: Sequence[float], bucket: Column, value: Column) -> Column:
-    """Whether the value is the lower edge of its bucket.
-
-    Edges are quantiles, so a value that holds more than about one bucket's share of the rows
-    is always one of them; there are at most two edges per bucket.
-    """
-    lower = F.array(*[F.lit(e) for e in edges[:-1]])
-    return F.coalesce(F.get(lower, bucket) == value, F.lit(False))
-
-
 def long_values(
-    df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), keep_nulls: bool = False, mark_edges: bool = False
+    df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()
 ) -> DataFrame:
-    """(keep..., feature, bucket, value) rows; with ``mark_edges`` a flag ``edge`` on every value that may be hot.
+    """(keep..., feature, bucket, value) rows of the cells that are present.
 
     Buckets come from doubles. Where a column is bigint or decimal, values are pairs of the double
     and the exact number, so that numbers beyond 2**53 stay apart.
@@ -97,15 +87,11 @@ def long_values(
 
     cells = F.array(
         *[
-            F.struct(
-                F.lit(c).alias("feature"), F.col("_b_" + c).alias("bucket"), value(c).alias("value"),
-                *([starts_bucket(edges[c], F.col("_b_" + c), F.col(c)).alias("edge")] if mark_edges else []),
-            )
+            F.struct(F.lit(c).alias("feature"), F.col("_b_" + c).alias("bucket"), value(c).alias("value"))
             for c in cols
         ]
     )
-    rows = binned.select(*keep, F.inline(cells))
-    return rows if keep_nulls else rows.where(F.col("value").isNotNull() & F.col("bucket").isNotNull())
+    return binned.select(*keep, F.inline(cells)).where(F.col("value").isNotNull() & F.col("bucket").isNotNull())
 
 
 def rank_counts(counts: DataFrame, group: Sequence[str], value: str = "value", n: str = "n") -> DataFrame:
@@ -146,20 +132,59 @@ def rank_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return rank_counts(counts, ["feature"])
 
 
-def long_ranks(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """(_k0..., feature, value, avg_rank, n_valid) for every cell; null cells keep a null rank."""
-    keys = {f"_k{i}": F.col(k) for i, k in enumerate(key)}
-    rows = long_values(df.withColumns(keys), cols, list(keys), keep_nulls=True, mark_edges=True)
-    counts = (
-        rows.where(F.col("value").isNotNull())
-        .groupBy("feature", "bucket", "value", "edge")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # one row per distinct value, read for the running counts, the bucket totals and the hot edges
-    ranks = rank_counts(cut_lineage(counts), ["feature"]).select(
-        "feature", "bucket", "value", "edge", average_rank().alias("avg_rank"), F.col("total").alias("n_valid")
+@dataclass(frozen=True)
+class Ranking:
+    """One ranking of a column: all rows, or those where ``where`` holds."""
+
+    col: str
+    where: Column | None = None
+
+
+def ranked_cells(df: DataFrame, rankings: Sequence[Ranking], keep: Sequence[str]) -> DataFrame:
+    """(keep..., ranking, avg_rank, ties, n_valid): a row for each present cell of each ranking (its index).
+
+    ``df`` is read twice, so it should be a written table. A first pass counts the cells of every value
+    range; the counts, summed up along the ranges, say where each range's ranks begin. The second sends a
+    cell to its range only, where a window ranks it. Ranges are quantiles, so a value with more than about
+    one range's share of the rows has a range of its own: the counts alone give the rank of its
+    cells, which stay where they are.
+    """
+    cols = list(dict.fromkeys(r.col for r in rankings))
+    edges = bucket_edges(df, cols)
+    exact = [f.name for f in df.schema.fields if f.name in cols and isinstance(f.dataType, (T.LongType, T.DecimalType))]
+    whole = {"_x_" + c: F.col(c).cast("decimal(38,9)") for c in exact}
+    binned = with_buckets(df.withColumns(whole) if whole else df, edges)
+
+    def alone(c: str) -> Column:
+        """Whether the cell's range holds one value by construction; doubles beyond 2**53 may stand for several numbers."""
+        e = edges[c]
+        own = [i for i in range(len(e) - 1) if np.nextafter(e[i], np.inf) == e[i + 1] and (c not in exact or abs(e[i]) < 2.0**53)]
+        return F.col("_b_" + c).isin(own) if own else F.lit(False)
+
+    def cell(i: int, r: Ranking) -> Column:
+        here = F.col(r.col).isNotNull() if r.where is None else F.col(r.col).isNotNull() & r.where
+        fields = [F.lit(i).alias("ranking"), F.when(here, F.col("_b_" + r.col)).alias("bucket"), F.col(r.col).alias("d"), alone(r.col).alias("alone")]
+        if exact:
+            fields.append((F.col("_x_" + r.col) if r.col in exact else F.lit(None).cast("decimal(38,9)")).alias("x"))
+        return F.struct(*fields)
+
+    cells = binned.select(*keep, F.inline(F.array(*[cell(i, r) for i, r in enumerate(rankings)]))).where("bucket IS NOT NULL")
+    counts = cells.groupBy("ranking", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    upto = W.partitionBy("ranking").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    # one row per ranking and range
+    starts = cut_lineage(
+        counts.select(
+            "ranking", "bucket", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"), F.sum("n").over(W.partitionBy("ranking")).alias("n_valid")
+        )
     )
-    return edge_lookup(rows, ranks, ["feature", "bucket", "value"], list(keys), "edge").drop("bucket", "edge")
+    placed = cells.join(starts, ["ranking", "bucket"])
+    value = ["d", "x"] if exact else ["d"]
+    inside = W.partitionBy("ranking", "bucket").orderBy(*value)
+    same = W.partitionBy("ranking", "bucket", *value)
+    shown = [*keep, "ranking", (F.col("start") + F.col("first") + (F.col("ties") - 1) / 2).alias("avg_rank"), "ties", "n_valid"]
+    hot = placed.where("alone").withColumn("first", F.lit(1)).withColumn("ties", F.col("n"))
+    rest = placed.where("NOT alone").withColumn("first", F.rank().over(inside)).withColumn("ties", F.count(F.lit(1)).over(same))
+    return hot.select(*shown).unionByName(rest.select(*shown))
 
 
 def wide_ranks(
@@ -167,19 +192,23 @@ def wide_ranks(
 ) -> DataFrame:
     """Key plus one rank column per feature (ties averaged, nulls stay null).
 
-    A key that names two rows raises an error. The projected input is written once, as it is read
-    for the bucket edges, the counts and the lookup.
+    A key that names two rows raises an error. The projected input is written once.
     """
-    df = cut_lineage(df.select(*dict.fromkeys([*key, *cols])))
+    df = cut_lineage(normalize_missing(df.select(*dict.fromkeys([*key, *cols]))))
+    ids = [f"_k{i}" for i in range(len(key))]
+    named = df.withColumns({i: F.col(k) for i, k in zip(ids, key)})
+    cells = ranked_cells(named, [Ranking(c) for c in cols], ids)
     cell = F.col("avg_rank")
     if percent:
-        cell = F.try_divide(cell, F.col("n_valid")) * 100
-    ids = [f"_k{i}" for i in range(len(key))]
+        cell = cell / F.col("n_valid") * 100
     repeated = F.raise_error(F.lit(f"{', '.join(key)} names more than one row")).cast("double")
-    wide = long_ranks(df, key, cols).groupBy(*ids).agg(
+    mark = cells.select(*ids, "ranking", cell.alias("rank"))
+    # a row without any value has no cell; this one keeps it, and tells a key of two rows
+    rows = named.select(*ids, F.lit(-1).alias("ranking"), F.lit(None).cast("double").alias("rank"))
+    wide = mark.unionByName(rows).groupBy(*ids).agg(
         *[
-            F.when(F.count(F.lit(1)) > len(cols), repeated).otherwise(F.max(F.when(F.col("feature") == c, cell))).alias(c)
-            for c in cols
+            F.when(F.count(F.when(F.col("ranking") == -1, 1)) > 1, repeated).otherwise(F.max(F.when(F.col("ranking") == i, F.col("rank")))).alias(c)
+            for i, c in enumerate(cols)
         ]
     )
     if not keep_key:
@@ -192,6 +221,7 @@ def quantile_ranks(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> Da
     return wide_ranks(df, key, cols, percent=True)
 
 
+@nan_is_missing
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(feature, prob, quantile) with linear interpolation between order statistics.
 

@@ -97,5 +97,5 @@ def test_constant_column(spark):
 
 def test_no_single_partition_window(spark):
     df = spark.range(100).select("id", F.col("id").cast("double").alias("v"))
-    plan = ranking.long_ranks(df, ["id"], ["v"])._jdf.queryExecution().toString()
+    plan = ranking.wide_ranks(df, ["id"], ["v"])._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan
