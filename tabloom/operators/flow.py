@@ -1,33 +1,42 @@
 """Flow-matching synthesizer on boosted trees grown level by level as Spark jobs.
 
-For every time level t the model learns the field X - Z at X_t = (1-t) Z + t X, one boosted
-regressor per output. Rows never leave their partition: each job regenerates its noise from
-the row key, replays the trees grown so far, and adds gradients into histograms keyed by
-(model, node, output, feature, bin). Spark sums the histograms and picks each node's best
-split; only splits reach the driver, and the trees of the models in work go back out.
+For every time level t (and label) the model learns the field X - Z at X_t = (1-t) Z + t X by boosted trees
+whose leaves hold a vector, one value for each output. The bins of X_t and the current residuals are a
+written table of blocks; a round grows one tree for every model, a job for each level of depth that adds the residuals
+into histograms, and writes the table anew without what the trees explain. No round depends on the number of
+rounds before it. Only splits reach the driver; the forest is a table by level and label.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rng import key_hash, normals
-from ..session import balanced, cut_lineage
+from ..functions.rng import key_hash, key_uniform, normals
+from ..session import cut_lineage, scratch_root
 from .features import as_matrix
-from .sampling import draw_labels, label_distribution
+from .sampling import label_distribution
 
-HISTOGRAM_CELLS = 4_000_000  # accumulator size one task may hold
-MAX_LABELS = 1000
-FOREST_BYTES = 2 << 30  # largest model that is sent to executors
+GROUP_CUTS = 500_000  # best cuts of one level of depth that come to the driver; more models are grown in several groups
+GROUP_BYTES = 64 << 20  # trees of one round that are sent to tasks at once
+BLOCK = 4096  # rows of a block
+PART_BYTES = 128 << 20  # of the state in one task
+LEAST_PART_BYTES = 4 << 20
+LABEL_PARTS = 256
+LABEL_CELLS = 4096
+STEPS_A_PLAN = 8  # levels that one plan walks through before it is written
+STATE = "lab int, level int, n int, binned binary, residual binary"
+BLOCKS = "lab int, ids binary, x binary"
 
 
 @dataclass(frozen=True)
@@ -47,52 +56,6 @@ class FlowParams:
         return (i + 1) / self.nt
 
 
-class Forest:
-    """Trees as arrays [model, tree, node] with model = (level * labels + label) * dims + output.
-
-    A node splits on ``bin[feature] > cut`` of the level's histogram grid, or is a leaf (feature -1).
-    """
-
-    def __init__(self, models: int, trees: int, depth: int) -> None:
-        shape = (models, trees, 2 ** (depth + 1) - 1)
-        if np.prod(shape, dtype=float) * 7 > FOREST_BYTES:
-            raise ValueError(f"{models} models x {trees} trees of depth {depth} do not fit in {FOREST_BYTES} bytes")
-        self.depth = depth
-        self.feature = np.full(shape, -1, np.int16)
-        self.cut = np.zeros(shape, np.uint8)
-        self.value = np.zeros(shape, np.float32)
-
-    def part(self, first: int, last: int, trees: int) -> "Forest":
-        out = Forest.__new__(Forest)
-        out.depth = self.depth
-        out.feature = self.feature[first:last, :trees].copy()
-        out.cut = self.cut[first:last, :trees].copy()
-        out.value = self.value[first:last, :trees].copy()
-        return out
-
-    def walk(self, model: int, tree: int, binned: np.ndarray, depth: int) -> np.ndarray:
-        """Node of each row after ``depth`` levels; a leaf keeps its rows."""
-        feature, cut = self.feature[model, tree], self.cut[model, tree]
-        at, rows = np.zeros(len(binned), dtype=np.int64), np.arange(len(binned))
-        for _ in range(depth):
-            f = feature[at]
-            right = binned[rows, np.maximum(f, 0)] > cut[at]
-            at = np.where(f >= 0, 2 * at + 1 + right, at)
-        return at
-
-    def predict(self, model: int, binned: np.ndarray, trees: int) -> np.ndarray:
-        out = np.zeros(len(binned))
-        for tree in range(trees):
-            out += self.value[model, tree][self.walk(model, tree, binned, self.depth)]
-        return out
-
-
-def bin_points(x: np.ndarray, t: float, bins: int) -> np.ndarray:
-    """Histogram bin of X_t: data in [-1, 1] blended with a normal, so the range is known."""
-    reach = t + (1.0 - t) * 4.0 + 1e-6
-    return np.searchsorted(np.linspace(-reach, reach, bins + 1)[1:-1], x, side="left")
-
-
 def interpolate(x: np.ndarray, z: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """(X_t, target field) of the straight path from noise to data."""
     return (1.0 - t) * z + t * x, x - z
@@ -130,147 +93,251 @@ def complete_rows(df: DataFrame, vec: str = "features") -> DataFrame:
     return df.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda v: v.isNull() | F.isnan(v)))
 
 
+def bin_edges(t: float, bins: int) -> np.ndarray:
+    """Inner edges of the grid of X_t: data in [-1, 1] blended with a normal, so the range is known."""
+    reach = t + (1.0 - t) * 4.0 + 1e-6
+    return np.linspace(-reach, reach, bins + 1)[1:-1]
+
+
+def walk(feature: np.ndarray, cut: np.ndarray, binned: np.ndarray, depth: int) -> np.ndarray:
+    """Node of each row after ``depth`` levels of a tree; a leaf (feature -1) keeps its rows."""
+    at, rows = np.zeros(len(binned), np.int64), np.arange(len(binned))
+    for _ in range(depth):
+        f = feature[at]
+        right = binned[rows, np.maximum(f, 0)] > cut[at]
+        at = np.where(f >= 0, 2 * at + 1 + right, at)
+    return at
+
+
+@dataclass
+class Trees:
+    """The trees of one round, one for each model of a group: all outputs share a tree, a leaf holds a vector."""
+
+    models: list[tuple[int, int]]  # (lab, level)
+    feature: np.ndarray  # [model, node], -1 for a leaf
+    cut: np.ndarray
+    value: np.ndarray  # [model, node, output]
+
+    @classmethod
+    def empty(cls, models: list[tuple[int, int]], depth: int, dims: int) -> "Trees":
+        n, nodes = len(models), 2 ** (depth + 1) - 1
+        return cls(models, np.full((n, nodes), -1, np.int16), np.zeros((n, nodes), np.uint8), np.zeros((n, nodes, dims), np.float32))
+
+    def index(self) -> dict[tuple[int, int], int]:
+        return {m: i for i, m in enumerate(self.models)}
+
+
+def best_cut(hist: np.ndarray, l2: float) -> tuple[float, int, np.ndarray]:
+    """Gain and bin of the best cut of one feature's histogram [bin, 1 + output], and the sums left of it."""
+    left = np.cumsum(hist, axis=0)[:-1]
+    total = hist.sum(axis=0)
+    right = total - left
+
+    def score(x: np.ndarray) -> np.ndarray:
+        n = x[:, 0] + l2
+        return np.where(n > 0, (x[:, 1:] ** 2).sum(axis=1) / np.where(n > 0, n, 1.0), 0.0)
+
+    gain = np.where((left[:, 0] >= 1) & (right[:, 0] >= 1), score(left) + score(right) - score(total[None, :]), -np.inf)
+    at = int(np.argmax(gain)) if len(gain) else 0
+    return (float(gain[at]), at, left[at]) if len(gain) else (-np.inf, 0, total)
+
+
 @dataclass
 class FlowSynthesizer:
-    """fit on (key, features[, label]) rows, then sample any number of new feature rows."""
+    """fit on (key, features[, label]) rows, then sample any number of new feature rows.
+
+    ``forest`` is a written table with a row for each model: (lab, level, feature, cut, value), the arrays of all
+    its trees; ``label_table`` one with a row for each label: (label, lab, prob, low, high).
+    """
 
     params: FlowParams = field(default_factory=FlowParams)
-    forest: Forest | None = None
-    labels: list = field(default_factory=list)
-    label_probs: dict = field(default_factory=dict)
+    forest: DataFrame | None = None
+    label_table: DataFrame | None = None
     dims: int = 0
-    label_type: T.DataType | None = None
+    tree_seconds: list[float] = field(default_factory=list)
 
     # -- training -----------------------------------------------------------------------
 
     def fit(
         self, df: DataFrame, key: Sequence[str], label: str | None = None, vec: str = "features"
     ) -> "FlowSynthesizer":
-        p = self.params
-        rows = complete_rows(df, vec)
+        p, spark = self.params, df.sparkSession
+        rows = complete_rows(df, vec).withColumn("_base", key_hash(key, p.seed))
         if label is None:
-            self.labels, self.label_probs = [None], {}
-            index = F.lit(0)
+            self.label_table, rows = None, rows.withColumn("_lab", F.lit(0))
         else:
-            dist = label_distribution(rows, label).limit(MAX_LABELS + 1).collect()
-            if len(dist) > MAX_LABELS:
-                raise ValueError(f"{label} has more than {MAX_LABELS} values; one model is fitted per value")
-            dist.sort(key=lambda r: r["label"])
-            self.labels = [r["label"] for r in dist]
-            self.label_probs = {r["label"]: r["prob"] for r in dist}
-            self.label_type = df.schema[label].dataType
-            rows = rows.where(F.col(label).isNotNull())
-            index = F.array_position(F.array(*[F.lit(v) for v in self.labels]), F.col(label)) - 1
-        train = balanced(
-            rows.select(
-                F.col(vec).alias("features"), index.cast("int").alias("lab"), key_hash(key, p.seed).alias("base")
-            ),
-            ["base"],
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+            self.label_table = cut_lineage(numbered_labels(label_distribution(rows, label)))
+            rows = rows.join(self.label_table.select(F.col("label").alias(label), F.col("lab").alias("_lab")), label)
+        train = cut_lineage(rows.select(F.col(vec).alias("features"), F.col("_lab").alias("lab"), F.col("_base").alias("base")))
         first = train.first()
         if first is None:
             raise ValueError("no complete rows to train on")
-        d = self.dims = len(first["features"])
-        models = p.nt * len(self.labels) * d
-        self.forest = Forest(models, p.trees, p.depth)
-        # levels, labels and outputs are independent: grow as many models at once as a task's
-        # histograms allow, all their trees before the next group
-        group = max(1, HISTOGRAM_CELLS // (2 ** (p.depth - 1) * d * p.bins))
-        try:
-            for start in range(0, models, group):
-                for tree in range(p.trees):
-                    for depth in range(p.depth):
-                        if not self._grow_level(train, start, min(start + group, models), tree, depth):
-                            break
-        finally:
-            train.unpersist()
+        self.dims = len(first["features"])
+        n_rows, n_labels = train.count(), 1 if label is None else self.label_table.count()
+        state, path = self._first_state(train, n_rows)
+        per_model = (2 ** (p.depth + 1) - 1) * (3 + 4 * self.dims)
+        cuts = 2 ** max(p.depth - 1, 0) * self.dims
+        group = max(1, min(GROUP_BYTES // per_model, GROUP_CUTS // cuts) // p.nt)
+        written = Written(spark, f"{scratch_root(spark)}/{uuid.uuid4().hex}")
+        self.tree_seconds = []
+        for low in range(0, n_labels, group):
+            models = [(lab, level) for lab in range(low, min(low + group, n_labels)) for level in range(p.nt)]
+            own = (state, path) if group >= n_labels else self._written(spark, state.where(F.col("lab").between(low, low + group - 1)))
+            for tree in range(p.trees):
+                began = time.perf_counter()
+                trees = self._grown(own[0], models)
+                written.add(trees, tree)
+                if tree + 1 < p.trees:
+                    own = self._moved_on(*own, trees)
+                self.tree_seconds.append(time.perf_counter() - began)
+            drop_path(spark, own[1])
+        drop_path(spark, path)
+        self.forest = cut_lineage(
+            written.table()
+            .groupBy("lab", "level")
+            .agg(F.sort_array(F.collect_list(F.struct("tree", "feature", "cut", "value"))).alias("trees"))
+            .select("lab", "level", *[F.col("trees")[c].alias(c) for c in ("feature", "cut", "value")])
+        )
         return self
 
-    def _grow_level(self, train: DataFrame, first: int, last: int, tree: int, depth: int) -> bool:
-        """Split one depth level of one tree of models first..last; False when nothing was split."""
-        p, forest = self.params, self.forest
-        lo, grew = 2**depth - 1, False
-        for r in self._best_splits(train, first, last, tree, depth):
-            m, node = r["model"], lo + r["node"]
-            if depth == 0:
-                forest.value[m, tree, node] = p.learning_rate * r["total_g"] / (r["total_n"] + p.l2)
-            if r["gain"] is None or r["gain"] <= 1e-9 * max(r["total_n"], 1.0):
-                continue
-            forest.feature[m, tree, node], forest.cut[m, tree, node] = r["feature"], r["bin"]
-            right_n, right_g = r["total_n"] - r["left_n"], r["total_g"] - r["left_g"]
-            forest.value[m, tree, 2 * node + 1] = p.learning_rate * r["left_g"] / (r["left_n"] + p.l2)
-            forest.value[m, tree, 2 * node + 2] = p.learning_rate * right_g / (right_n + p.l2)
-            grew = True
-        return grew
-
-    def _best_splits(self, train: DataFrame, first: int, last: int, tree: int, depth: int) -> list:
-        """One row per model and open node: totals, best split and its left sums."""
-        p, d, n_labels = self.params, self.dims, len(self.labels)
-        nodes, bins, lo = 2**depth, p.bins, 2**depth - 1
-        by_task: dict[tuple[int, int], list[int]] = {}
-        for m in range(first, last):
-            by_task.setdefault((m // d % n_labels, m // d // n_labels), []).append(m)
-        shared = train.sparkSession.sparkContext.broadcast(self.forest.part(first, last, tree + 1))
-
-        def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            forest = shared.value
-            hist: dict[int, np.ndarray] = {}
+    def _first_state(self, train: DataFrame, n_rows: int) -> tuple[DataFrame, str]:
+        """Blocks (lab, level, n, binned, residual): bins of X_t and the target field of up to BLOCK rows.
+
+        Every row comes ``n_noise`` times at each level. Rows are sorted by label and key, and cut into
+        ranges of about PART_BYTES, so a task holds the histograms of one model at a time and a hot label has many tasks.
+        """
+        p, d, spark = self.params, self.dims, train.sparkSession
+        size = n_rows * p.n_noise * p.nt * d * 5
+        parts = max(1, min(spark.sparkContext.defaultParallelism, size // LEAST_PART_BYTES), size // PART_BYTES)
+        edges = [bin_edges(p.level(i), p.bins) for i in range(p.nt)]
+
+        def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for lab, part in pdf.groupby("lab"):
-                    x, base = as_matrix(part["features"]), part["base"].to_numpy()
-                    for rep in range(p.n_noise):
-                        z = normals(base, rep, d)
-                        for (owner, ti), members in by_task.items():
-                            if owner != lab:
-                                continue
-                            x_t, y_t = interpolate(x, z, p.level(ti))
-                            binned = bin_points(x_t, p.level(ti), bins)
-                            for m in members:
-                                at = forest.walk(m - first, tree, binned, depth) - lo
-                                live = at >= 0
-                                if not live.any():
-                                    continue
-                                res = (y_t[:, m % d] - forest.predict(m - first, binned, tree))[live]
-                                h = hist.setdefault(m, np.zeros((2, nodes * d * bins)))
-                                cell = ((at[live, None] * d + np.arange(d)[None, :]) * bins + binned[live]).ravel()
-                                h[0] += np.bincount(cell, minlength=h.shape[1])
-                                h[1] += np.bincount(cell, weights=np.repeat(res, d), minlength=h.shape[1])
-            for m, h in hist.items():
-                used = np.flatnonzero(h[0])
-                yield pd.DataFrame(
+                for lab, part in pdf.groupby("lab", sort=True):
+                    for low in range(0, len(part), BLOCK):
+                        some = part.iloc[low : low + BLOCK]
+                        x, base = as_matrix(some["features"]), some["base"].to_numpy()
+                        out = []
+                        for rep in range(p.n_noise):
+                            z = normals(base, rep, d)
+                            for level in range(p.nt):
+                                x_t, y_t = interpolate(x, z, p.level(level))
+                                binned = np.searchsorted(edges[level], x_t, side="left").astype(np.uint8)
+                                out.append((lab, level, len(x), binned.tobytes(), y_t.astype(np.float32).tobytes()))
+                        yield pd.DataFrame(out, columns=["lab", "level", "n", "binned", "residual"])
+
+        placed = train.repartitionByRange(int(parts), "lab", "base").sortWithinPartitions("lab", "base")
+        made = placed.mapInPandas(blocks, STATE).sortWithinPartitions("lab", "level")
+        return self._written(spark, made)
+
+    def _written(self, spark: SparkSession, state: DataFrame) -> tuple[DataFrame, str]:
+        path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+        state.write.parquet(path)
+        return spark.read.schema(STATE).parquet(path), path
+
+    def _grown(self, state: DataFrame, models: list[tuple[int, int]]) -> Trees:
+        """One tree for every model, a job for each level of depth: histograms of the residuals, summed by Spark."""
+        p, d = self.params, self.dims
+        trees = Trees.empty(models, p.depth, d)
+        for depth in range(p.depth):
+            first, grew = 2**depth - 1, False
+            best: dict[tuple[int, int], tuple] = {}
+            for r in self._cuts(state, trees, depth).toArrow().to_pylist():
+                at = (r["model"], r["node"])
+                if at not in best or (-r["gain"], r["feature"]) < (-best[at]["gain"], best[at]["feature"]):
+                    best[at] = r
+            for (model, node), r in best.items():
+                node += first
+                left, total = np.frombuffer(r["left"]), np.frombuffer(r["total"])
+                if depth == 0:
+                    trees.value[model, 0] = p.learning_rate * total[1:] / (total[0] + p.l2)
+                if not r["gain"] > 1e-9 * max(total[0], 1.0):
+                    continue
+                right = total - left
+                trees.feature[model, node], trees.cut[model, node] = r["feature"], r["bin"]
+                trees.value[model, 2 * node + 1] = p.learning_rate * left[1:] / (left[0] + p.l2)
+                trees.value[model, 2 * node + 2] = p.learning_rate * right[1:] / (right[0] + p.l2)
+                grew = True
+            if not grew:
+                break
+        return trees
+
+    def _cuts(self, state: DataFrame, trees: Trees, depth: int) -> DataFrame:
+        """(model, node, feature, gain, bin, left, total): the best cut of each feature of each open node."""
+        p, d = self.params, self.dims
+        nodes, bins, lo = 2**depth, p.bins, 2**depth - 1
+        shared = state.sparkSession.sparkContext.broadcast((trees.index(), trees.feature, trees.cut))
+
+        def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, feature, cut = shared.value
+            now, hist = None, None
+
+            def out() -> pa.RecordBatch:
+                node, f = np.nonzero(hist[:, :, :, 0].sum(axis=2))
+                return pa.RecordBatch.from_pydict(
                     {
-                        "model": np.int32(m), "node": (used // (d * bins)).astype("int32"),
-                        "feature": (used // bins % d).astype("int32"), "bin": (used % bins).astype("int32"),
-                        "n": h[0, used], "g": h[1, used],
+                        "model": pa.array(np.full(len(node), now, np.int32)), "node": pa.array(node.astype(np.int32)),
+                        "feature": pa.array(f.astype(np.int32)), "hist": pa.array([hist[a, b].tobytes() for a, b in zip(node, f)], pa.binary()),
                     }
                 )
 
-        sums = (
-            train.mapInPandas(partials, "model int, node int, feature int, bin int, n double, g double")
-            .groupBy("model", "node", "feature", "bin")
-            .agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
-        )
-        # at most ``bins`` rows per window
-        whole = W.partitionBy("model", "node", "feature")
-        upto = whole.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-        cuts = sums.select(
-            "model", "node", "feature", "bin",
-            F.sum("n").over(upto).alias("left_n"), F.sum("g").over(upto).alias("left_g"),
-            F.sum("n").over(whole).alias("total_n"), F.sum("g").over(whole).alias("total_g"),
-        )
-
-        def score(g: Column, n: Column) -> Column:
-            return F.try_divide(g * g, n + F.lit(p.l2))
-
-        right_n, right_g = F.col("total_n") - F.col("left_n"), F.col("total_g") - F.col("left_g")
-        gain = score(F.col("left_g"), F.col("left_n")) + score(right_g, right_n) - score(F.col("total_g"), F.col("total_n"))
-        ranked = cuts.withColumn("gain", F.when(right_n >= 1, gain))
-        order = F.struct(F.coalesce("gain", F.lit(float("-inf"))), -F.col("feature"), -F.col("bin"))
-        pick = F.struct("gain", "feature", "bin", "left_n", "left_g", "total_n", "total_g")
-        best = ranked.groupBy("model", "node").agg(F.max_by(pick, order).alias("b")).select("model", "node", "b.*")
-        rows = best.collect()
-        shared.unpersist()
-        return rows
+            for batch in batches:
+                for lab, level, n, binned, residual in zip(*[batch.column(c).to_pylist() for c in ("lab", "level", "n", "binned", "residual")]):
+                    model = index[lab, level]
+                    if model != now:
+                        if now is not None:
+                            yield out()
+                        now, hist = model, np.zeros((nodes, d, bins, 1 + d))
+                    x = np.frombuffer(binned, np.uint8).reshape(n, d)
+                    g = np.frombuffer(residual, np.float32).reshape(n, d)
+                    at = walk(feature[model], cut[model], x, depth) - lo
+                    live = at >= 0
+                    if not live.all():
+                        x, g, at = x[live], g[live], at[live]
+                    for f in range(d):
+                        cell = at * bins + x[:, f]
+                        hist[:, f, :, 0] += np.bincount(cell, minlength=nodes * bins).reshape(nodes, bins)
+                        for o in range(d):
+                            hist[:, f, :, 1 + o] += np.bincount(cell, weights=g[:, o], minlength=nodes * bins).reshape(nodes, bins)
+            if now is not None:
+                yield out()
+
+        def summed(table: pa.Table) -> pa.Table:
+            hist = np.zeros((bins, 1 + d))
+            for h in table.column("hist").to_pylist():  # one for each task that has the model
+                hist += np.frombuffer(h).reshape(bins, 1 + d)
+            gain, at, left = best_cut(hist, p.l2)
+            one = table.slice(0, 1)
+            return pa.table(
+                {
+                    "model": one.column("model"), "node": one.column("node"), "feature": one.column("feature"),
+                    "gain": [gain], "bin": pa.array([at], pa.int32()), "left": pa.array([left.tobytes()], pa.binary()), "total": pa.array([hist.sum(axis=0).tobytes()], pa.binary()),
+                }
+            )
+
+        parts = state.mapInArrow(partials, "model int, node int, feature int, hist binary")
+        schema = "model int, node int, feature int, gain double, bin int, left binary, total binary"
+        return parts.groupBy("model", "node", "feature").applyInArrow(summed, schema)
+
+    def _moved_on(self, state: DataFrame, path: str, trees: Trees) -> tuple[DataFrame, str]:
+        """The state after a round: what its trees explain is taken off the residuals; the old table goes."""
+        d, depth, spark = self.dims, self.params.depth, state.sparkSession
+        shared = spark.sparkContext.broadcast((trees.index(), trees.feature, trees.cut, trees.value))
+
+        def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, feature, cut, value = shared.value
+            for batch in batches:
+                left = []
+                for lab, level, n, binned, residual in zip(*[batch.column(c).to_pylist() for c in ("lab", "level", "n", "binned", "residual")]):
+                    model = index[lab, level]
+                    x = np.frombuffer(binned, np.uint8).reshape(n, d)
+                    leaf = walk(feature[model], cut[model], x, depth)
+                    left.append((np.frombuffer(residual, np.float32).reshape(n, d) - value[model][leaf]).tobytes())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(left, pa.binary())], names=batch.schema.names)
+
+        moved = self._written(spark, state.mapInArrow(update, STATE))
+        drop_path(spark, path)
+        return moved
 
     # -- sampling -----------------------------------------------------------------------
 
@@ -286,7 +353,8 @@ class FlowSynthesizer:
         """(id, [label,] features) rows.
 
         "forward" follows the trained path from noise (t=0) to data (t=1); "reverse" walks the
-        time levels downwards with the same step sign.
+        time levels downwards with the same step sign. Samples travel as blocks of one label, and meet the
+        trees of one level at a time, joined by label.
         """
         if self.forest is None:
             raise RuntimeError("fit the synthesizer first")
@@ -294,36 +362,126 @@ class FlowSynthesizer:
         ids = spark.range(n, numPartitions=partitions) if partitions else spark.range(n)
         seed = p.seed if seed is None else seed
         rows = ids.withColumn("base", key_hash(["id"], seed + 1))
-        labelled = bool(self.label_probs)
-        if labelled:
-            index = {i: self.label_probs[v] for i, v in enumerate(self.labels)}
-            rows = draw_labels(rows, "id", index, seed, "lab")
-        else:
+        if self.label_table is None:
             rows = rows.withColumn("lab", F.lit(0))
-        rows = rows.withColumn("lab", F.col("lab").cast("int"))
-        shared = spark.sparkContext.broadcast(self.forest)
-        n_labels = len(self.labels)
-        steps = list(range(p.nt)) if direction == "forward" else list(reversed(range(p.nt)))
+        else:
+            rows = drawn_labels(rows, self.label_table, seed).repartitionByRange("lab", "id").sortWithinPartitions("lab", "id")
 
-        def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            forest = shared.value
+        def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for lab, part in pdf.groupby("lab"):
-                    x = normals(part["base"].to_numpy(), 0, d)
-                    for ti in steps:
-                        binned = bin_points(x, p.level(ti), p.bins)
-                        model = (ti * n_labels + int(lab)) * d
-                        field = [forest.predict(model + o, binned, p.trees) for o in range(d)]
-                        x = x + np.column_stack(field) / p.nt
+                for lab, part in pdf.groupby("lab", sort=True):
+                    for low in range(0, len(part), BLOCK):
+                        some = part.iloc[low : low + BLOCK]
+                        x = normals(some["base"].to_numpy(), 0, d)
+                        yield pd.DataFrame({"lab": [lab], "ids": [some["id"].to_numpy().tobytes()], "x": [x.tobytes()]})
+
+        made = rows.select("id", "base", "lab").mapInPandas(blocks, BLOCKS)
+        for step, level in enumerate(range(p.nt) if direction == "forward" else reversed(range(p.nt))):
+            made = self._stepped(made, level)
+            if step % STEPS_A_PLAN == STEPS_A_PLAN - 1:
+                made = cut_lineage(made)
+
+        def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lab, ids, x in zip(*[batch.column(c).to_pylist() for c in ("lab", "ids", "x")]):
+                    own = np.frombuffer(ids, np.int64)
+                    x = np.frombuffer(x).reshape(len(own), d)
                     if clip is not None:
                         x = np.clip(x, *clip)
-                    yield pd.DataFrame({"id": part["id"], "lab": part["lab"], "features": list(x)})
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * d), pa.array(x.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), lab, np.int32)), flat], names=["id", "lab", "features"])
+
+        out = made.mapInArrow(unpacked, "id long, lab int, features array<double>")
+        if self.label_table is None:
+            return out.select("id", "features")
+        return out.join(self.label_table.select("lab", "label"), "lab").select("id", "label", "features")
+
+    def _stepped(self, blocks: DataFrame, level: int) -> DataFrame:
+        """The blocks one step along the field of ``level``."""
+        p, d = self.params, self.dims
+        edges = bin_edges(p.level(level), p.bins)
+        trees = self.forest.where(F.col("level") == level).drop("level")
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                moved = []
+                for x, feature, cut, value in zip(*[batch.column(c).to_pylist() for c in ("x", "feature", "cut", "value")]):
+                    x = np.frombuffer(x).reshape(-1, d)
+                    binned = np.searchsorted(edges, x, side="left").astype(np.uint8)
+                    field = np.zeros_like(x)
+                    for f, c, v in zip(feature, cut, value):
+                        f = np.frombuffer(f, np.int16)
+                        field += np.frombuffer(v, np.float32).reshape(len(f), d)[walk(f, np.frombuffer(c, np.uint8), binned, p.depth)]
+                    moved.append((x + field / p.nt).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("lab"), batch.column("ids"), pa.array(moved, pa.binary())], names=["lab", "ids", "x"])
+
+        # one model without labels; with labels the planner broadcasts what its measured size allows
+        trees = F.broadcast(trees) if self.label_table is None else trees
+        return blocks.join(trees, "lab").select("lab", "ids", "x", "feature", "cut", "value").mapInArrow(step, BLOCKS)
+
+
+class Written:
+    """Trees on their way to a table: held on the driver up to GROUP_BYTES, then appended."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self.rows: list[tuple] = []
+        self.bytes = 0
+
+    def add(self, trees: Trees, tree: int) -> None:
+        for i, (lab, level) in enumerate(trees.models):
+            self.rows.append((lab, level, tree, trees.feature[i].tobytes(), trees.cut[i].tobytes(), trees.value[i].tobytes()))
+        self.bytes += trees.feature.nbytes + trees.cut.nbytes + trees.value.nbytes
+        if self.bytes > GROUP_BYTES:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.rows:
+            columns = [pa.array(c, t) for c, t in zip(zip(*self.rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+            table = pa.table(columns, names=["lab", "level", "tree", "feature", "cut", "value"])
+            self.spark.createDataFrame(table).write.mode("append").parquet(self.path)
+        self.rows, self.bytes = [], 0
+
+    def table(self) -> DataFrame:
+        self.flush()
+        return self.spark.read.schema("lab int, level int, tree int, feature binary, cut binary, value binary").parquet(self.path)
+
+
+def numbered_labels(dist: DataFrame) -> DataFrame:
+    """(label, lab, prob, low, high) of (label, n, prob): numbers from 0 and the share of [0, 1) of each label.
+
+    Labels are numbered in parts by their hash, so no task sees them all but for the sums of the parts.
+    """
+    part = dist.withColumn("_part", F.pmod(F.xxhash64("label"), F.lit(LABEL_PARTS)))
+    inside = W.partitionBy("_part").orderBy("label")
+    own = part.select("label", "prob", "_part", F.row_number().over(inside).alias("_i"), F.sum("prob").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_upto"))
+    sums = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("prob").alias("_p"))
+    before = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # LABEL_PARTS rows at most
+    starts = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"), F.coalesce(F.sum("_p").over(before), F.lit(0.0)).alias("_low"))
+    high = F.col("_low") + F.col("_upto")
+    return own.join(F.broadcast(starts), "_part").select(
+        "label", (F.col("_from") + F.col("_i") - 1).cast("int").alias("lab"), "prob", (high - F.col("prob")).alias("low"), high.alias("high")
+    )
 
-        made = rows.select("id", "lab", "base").mapInPandas(generate, "id long, lab int, features array<double>")
-        if not labelled:
-            return made.select("id", "features")
-        values = F.array(*[F.lit(v) for v in self.labels])
-        return made.select("id", F.element_at(values, F.col("lab") + 1).cast(self.label_type).alias("label"), "features")
+
+def drawn_labels(rows: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (id, ...) with ``lab``, drawn with the labels' probabilities: joined by cells of [0, 1).
+
+    What rounding leaves between two shares or beyond the last falls to the label below.
+    """
+    cell = lambda c: F.least(F.floor(c * LABEL_CELLS), F.lit(LABEL_CELLS - 1)).cast("int")
+    following = F.coalesce(F.lead("low").over(W.partitionBy("cell").orderBy("low")), F.lit(2.0))
+    spread = labels.select("lab", "low", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    ranges = spread.select("lab", "cell", "low", following.alias("next"), F.row_number().over(W.partitionBy("cell").orderBy("low")).alias("_first"))
+    ranges = ranges.select("lab", "cell", F.when(F.col("_first") == 1, F.lit(-1.0)).otherwise(F.col("low")).alias("low"), "next")
+    drawn = rows.withColumn("_u", key_uniform(["id"], seed)).withColumn("cell", cell(F.col("_u")))
+    return drawn.join(ranges, "cell").where((F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("next"))).drop("_u", "cell", "low", "next")
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialise(samples: DataFrame) -> DataFrame:

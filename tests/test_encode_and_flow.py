@@ -124,3 +124,101 @@ def test_synthesize_end_to_end(spark):
     assert len(got) == 200 and set(got.c) <= {"x", "y", None} and set(got.n) <= {0, 1, 2, 3}
     assert pdf.v.min() <= got.v.min() and got.v.max() <= pdf.v.max()
     assert {"numeric", "levels_c"} <= set(out.comparison)
+
+
+def boosted_by_hand(x, z, p):
+    """The same trees without Spark: predictions of every level's field for the training points, by tree."""
+    out = {}
+    for level in range(p.nt):
+        t = p.level(level)
+        x_t, y = (1 - t) * z + t * x, (x - z).astype(np.float32)
+        binned = np.searchsorted(flow.bin_edges(t, p.bins), x_t, side="left")
+        left, made = y.copy(), np.zeros_like(y)
+        for _ in range(p.trees):
+            leaf = {0: np.arange(len(x))}
+            value = {0: p.learning_rate * left.sum(0) / len(x)}
+            for _ in range(p.depth):
+                nxt = {}
+                for node, rows in leaf.items():
+                    best = (0.0, None)
+                    for f in range(x.shape[1]):
+                        for c in range(p.bins - 1):
+                            low = rows[binned[rows, f] <= c]
+                            high = rows[binned[rows, f] > c]
+                            if len(low) and len(high):
+                                sums = [left[r].astype(float).sum(0) for r in (low, high, rows)]
+                                gain = sum((s**2).sum() / len(r) for s, r in zip(sums[:2], (low, high))) - (sums[2] ** 2).sum() / len(rows)
+                                if gain > best[0] + 1e-9:
+                                    best = (gain, (low, high, sums))
+                    if best[1] is None:
+                        nxt[node] = rows
+                        continue
+                    for k, side in enumerate((2 * node + 1, 2 * node + 2)):
+                        nxt[side] = best[1][k]
+                        value[side] = p.learning_rate * best[1][2][k] / len(best[1][k])
+                leaf = nxt
+            step = np.zeros_like(y)
+            for node, rows in leaf.items():
+                step[rows] = value[node]
+            made, left = made + step, left - step
+        out[level] = made
+    return out
+
+
+def test_trees_equal_plain_boosting(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-1, 1, (120, 2)).round(3)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "k long, features array<double>")
+    p = flow.FlowParams(nt=2, n_noise=1, trees=3, depth=3, learning_rate=0.5, bins=16)
+    model = flow.FlowSynthesizer(p).fit(df.repartition(3), ["k"])
+    base = df.select(flow.key_hash(["k"], p.seed).alias("b")).toPandas()["b"].to_numpy()
+    z = normals(base, 0, 2)
+    want = boosted_by_hand(x, z, p)
+    rows = {r["level"]: r for r in model.forest.collect()}
+    for level in range(2):
+        t = p.level(level)
+        binned = np.searchsorted(flow.bin_edges(t, p.bins), (1 - t) * z + t * x, side="left")
+        got = np.zeros_like(x)
+        r = rows[level]
+        assert len(r["feature"]) == 3
+        for f, c, v in zip(r["feature"], r["cut"], r["value"]):
+            f = np.frombuffer(f, np.int16)
+            got += np.frombuffer(v, np.float32).reshape(len(f), 2)[flow.walk(f, np.frombuffer(c, np.uint8), binned, p.depth)]
+        assert np.allclose(got, want[level], atol=1e-4)
+
+
+def test_late_trees_take_no_longer_than_early_ones(spark):
+    df, _ = mixture(spark, 300)
+    p = flow.FlowParams(nt=2, n_noise=2, trees=100, depth=1, learning_rate=0.1, bins=16)
+    model = flow.FlowSynthesizer(p).fit(df, ["k"])
+    early, late = np.median(model.tree_seconds[1:21]), np.median(model.tree_seconds[-20:])
+    assert len(model.tree_seconds) == 100 and late <= 1.2 * early
+    assert all(len(r["feature"]) == 100 for r in model.forest.collect())
+
+
+def test_two_thousand_labels_in_several_groups(spark, monkeypatch):
+    """Every label has its own trees; labels are drawn by their shares."""
+    monkeypatch.setattr(flow, "GROUP_CUTS", 2400)
+    df = spark.range(6000).select("id", F.array((F.col("id") % 2000 / 1000.0 - 1.0)).alias("features"), (F.col("id") % 2000).alias("lab"))
+    p = flow.FlowParams(nt=2, n_noise=1, trees=1, depth=1, learning_rate=1.0, bins=8)
+    model = flow.FlowSynthesizer(p).fit(df, ["id"], "lab")
+    assert model.forest.count() == 2 * 2000 and model.label_table.agg(F.countDistinct("lab"), F.max("lab")).first()[:] == (2000, 1999)
+    made = model.sample(spark, 20_000)
+    assert made.count() == 20_000 and made.select("id").distinct().count() == 20_000
+    drawn = made.groupBy("label").count().toPandas()["count"]
+    assert len(drawn) > 1990 and drawn.max() < 35
+    corr = made.select(F.corr("label", F.col("features")[0])).first()[0]
+    assert corr > 0.5
+
+
+def test_labels_fill_the_unit_interval(spark):
+    counts = [(f"l{i}", i % 7 + 1) for i in range(50)] + [("hot", 400)]
+    dist = spark.createDataFrame(counts, "label string, n long").withColumn("prob", F.col("n") / sum(c[1] for c in counts))
+    table = flow.numbered_labels(dist)
+    got = sorted((r["low"], r["high"], r["lab"]) for r in table.collect())
+    assert got[0][0] == pytest.approx(0) and got[-1][1] == pytest.approx(1) and sorted(g[2] for g in got) == list(range(51))
+    assert all(a[1] == pytest.approx(b[0], abs=1e-12) for a, b in zip(got, got[1:]))
+    ids = flow.drawn_labels(spark.range(30_000), table, 5)
+    assert ids.count() == 30_000
+    share = ids.join(table, "lab").where("label = 'hot'").count() / 30_000
+    assert abs(share - 400 / sum(c[1] for c in counts)) < 0.02
