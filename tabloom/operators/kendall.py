@@ -1,15 +1,18 @@
-"""Exact Kendall tau-b for all column pairs by counting inversions per value range.
-
-Both columns of a pair are cut into ranges. A pair of points is discordant either
-(a) across ranges of both columns, counted from the range x range histogram,
-(b) inside one x range, or (c) inside one y range but across x ranges. Parts (b) and (c)
-are merge counts over groups of about n / ranges points. A value that fills a whole range
-of its own has no inversions there and is dropped before the shuffle.
+"""Exact Kendall tau-b for all column pairs by a tree of value ranges.
+
+The points of a pair are one group. A group of more than ROWS_PER_GROUP points is cut into ranges of
+both coordinates. A pair of points is discordant either (a) across ranges of both, counted from the range x range
+histogram, which has at most (2 x MOST_RANGES) squared cells, (b) inside one range of the first, or (c)
+inside one range of the second but across ranges of the first. (b) and (c) are groups of their
+own, (c) with the number of the range as its first coordinate; they are cut again while they are too
+large and counted by merging otherwise. Every cut divides a group, so neither rows nor ranges have a
+limit. Equal points are one with a weight, and a group with one value on either side holds no
+discordant pair and goes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,10 +21,9 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import nan_is_missing
 from ..session import cut_lineage
-from .ranking import bucket_edges, with_buckets
 
-ROWS_PER_RANGE = 1 << 19
-MAX_RANGES = 2048
+ROWS_PER_GROUP = 1 << 17
+MOST_RANGES = 256
 
 
 def weighted_inversions(first: np.ndarray, second: np.ndarray, weight: np.ndarray) -> float:
@@ -58,82 +60,98 @@ def _grid_discordant(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pair": [int(pdf["pair"].iloc[0])], "q": [float((h * below_left).sum())]})
 
 
-def _range_inversions(pdf: pd.DataFrame) -> pd.DataFrame:
+def _group_inversions(pdf: pd.DataFrame) -> pd.DataFrame:
     q = weighted_inversions(pdf["first"].to_numpy(), pdf["second"].to_numpy(), pdf["c"].to_numpy())
     return pd.DataFrame({"pair": [int(pdf["pair"].iloc[0])], "q": [q]})
 
 
+def _ranges(edges: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Range of each value; an edge met several times is a hot value with a range of its own."""
+    unique, times = np.unique(edges, return_counts=True)
+    inner = np.unique(np.concatenate([unique, np.nextafter(unique[times > 1], np.inf)]))
+    return np.searchsorted(inner, values, side="right").astype(np.int32)
+
+
+def _split(points: DataFrame, groups: DataFrame, limit: int, most: int) -> DataFrame:
+    """``points`` of the large ``groups`` with their ranges ``bx`` and ``by``."""
+    largest = groups.agg(F.max("n")).first()[0]
+    ranges = int(min(most, max(2, -(-2 * largest // limit))))
+    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    inside = points.join(groups.select("pair", "part"), ["pair", "part"])
+    accuracy = F.lit(20 * ranges)
+    edges = inside.groupBy("pair", "part").agg(F.percentile_approx("first", probs, accuracy).alias("ex"), F.percentile_approx("second", probs, accuracy).alias("ey"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, g in pdf.groupby(["pair", "part"], sort=False):
+                out = g[["pair", "part", "first", "second", "c"]].copy()
+                out["bx"] = _ranges(np.asarray(g["ex"].iloc[0]), g["first"].to_numpy())
+                out["by"] = _ranges(np.asarray(g["ey"].iloc[0]), g["second"].to_numpy())
+                yield out
+
+    schema = "pair int, part long, first double, second double, c double, bx int, by int"
+    return inside.join(cut_lineage(edges), ["pair", "part"]).mapInPandas(cut, schema)
+
+
+def discordant(points: DataFrame, limit: int = ROWS_PER_GROUP, most: int = MOST_RANGES) -> DataFrame:
+    """(pair, q): weight of the discordant pairs among (pair, first, second, c) points, each point once."""
+    work, found = points.withColumn("part", F.lit(0).cast("long")), []
+    while True:
+        stats = work.groupBy("pair", "part").agg(
+            F.count(F.lit(1)).alias("n"), F.min("first").alias("a"), F.max("first").alias("b"), F.min("second").alias("y"), F.max("second").alias("z")
+        )
+        # a row per group
+        groups = cut_lineage(stats.where("a < b AND y < z").select("pair", "part", "n"))
+        small = work.join(groups.where(F.col("n") <= limit).select("pair", "part"), ["pair", "part"])
+        found.append(small.groupBy("pair", "part").applyInPandas(_group_inversions, "pair int, q double"))
+        large = groups.where(F.col("n") > limit)
+        if large.isEmpty():
+            break
+        cut = cut_lineage(_split(work, large, limit, most))
+        grid = cut.groupBy("pair", "part", "bx", "by").agg(F.sum("c").alias("c"))
+        found.append(grid.groupBy("pair", "part").applyInPandas(_grid_discordant, "pair int, q double"))
+        below = lambda kind, bucket: (F.col("part") * 2 + kind) * 1024 + F.col(bucket)
+        by_first = cut.select("pair", below(0, "bx").alias("part"), "first", "second", "c")
+        by_second = cut.groupBy("pair", below(1, "by").alias("part"), F.col("bx").cast("double").alias("first"), "second").agg(F.sum("c").alias("c"))
+        work = cut_lineage(by_first.unionByName(by_second))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("pair").agg(F.sum("q").alias("q"))
+
+
 @nan_is_missing
-def kendall_pairs(df: DataFrame, cols: Sequence[str], ranges: int | None = None) -> DataFrame:
+def kendall_pairs(df: DataFrame, cols: Sequence[str], limit: int = ROWS_PER_GROUP, most: int = MOST_RANGES) -> DataFrame:
     """(x, y, tau, n) for every pair x before y in ``cols``; rows with a null in the pair are left out."""
     pairs = [(a, b) for a in range(len(cols)) for b in range(a + 1, len(cols))]
-    if ranges is None:
-        ranges = int(min(max(df.count() // ROWS_PER_RANGE, 4), MAX_RANGES))
-    edges = bucket_edges(df, cols, ranges)
-    binned = with_buckets(df.select(*cols), edges)
-
-    def alone(c: str) -> Column:
-        """Whether the row's range holds one value by construction, as every hot value's range does."""
-        e = edges[c]
-        own = [i for i in range(len(e) - 1) if np.nextafter(e[i], np.inf) == e[i + 1]]
-        return F.col("_b_" + c).isin(own) if own else F.lit(False)
-
+    wide = df.select(*[(F.col(c).cast("double") + F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols)])
     points = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("pair"),
-                F.col("_b_" + cols[a]).alias("bx"),
-                F.col("_b_" + cols[b]).alias("by"),
-                F.col(cols[a]).alias("vx"),
-                F.col(cols[b]).alias("vy"),
-                alone(cols[a]).alias("ax"),
-                alone(cols[b]).alias("ay"),
-            )
-            for p, (a, b) in enumerate(pairs)
-        ]
+        *[F.struct(F.lit(p).alias("pair"), F.col(f"c{a}").alias("first"), F.col(f"c{b}").alias("second")) for p, (a, b) in enumerate(pairs)]
     )
     cells = (
-        binned.select(F.inline(points))
-        .where(F.col("vx").isNotNull() & F.col("vy").isNotNull())
-        .groupBy("pair", "bx", "by", "vx", "vy", "ax", "ay")
+        wide.select(F.inline(points))
+        .where(F.col("first").isNotNull() & F.col("second").isNotNull())
+        .groupBy("pair", "first", "second")
         .agg(F.count(F.lit(1)).cast("double").alias("c"))
     )
 
-    # six aggregates read the cells: keep them once
+    # several aggregates read the cells: keep them once
     cells = cut_lineage(cells)
 
     def choose2(c: Column) -> Column:
         return c * (c - 1) / 2
 
-    n1 = cells.groupBy("pair", "vx").agg(F.sum("c").alias("t"))
-    n2 = cells.groupBy("pair", "vy").agg(F.sum("c").alias("t"))
+    n1 = cells.groupBy("pair", "first").agg(F.sum("c").alias("t"))
+    n2 = cells.groupBy("pair", "second").agg(F.sum("c").alias("t"))
     ties_x = n1.groupBy("pair").agg(F.sum(choose2(F.col("t"))).alias("n1"))
     ties_y = n2.groupBy("pair").agg(F.sum(choose2(F.col("t"))).alias("n2"))
     base = cells.groupBy("pair").agg(F.sum("c").alias("n"), F.sum(choose2(F.col("c"))).alias("n3"))
-
-    grid = cells.groupBy("pair", "bx", "by").agg(F.sum("c").alias("c"))
-    across = grid.groupBy("pair").applyInPandas(_grid_discordant, "pair int, q double")
-    # a range with one value holds no inversions, and only such ranges can be hot
-    in_x = (
-        cells.where(~F.col("ax"))
-        .select("pair", "bx", F.col("vx").alias("first"), F.col("vy").alias("second"), "c")
-        .groupBy("pair", "bx")
-        .applyInPandas(_range_inversions, "pair int, q double")
-    )
-    in_y = (
-        cells.where(~F.col("ay"))
-        .groupBy("pair", "by", "bx", "vy")
-        .agg(F.sum("c").alias("c"))
-        .select("pair", "by", F.col("bx").cast("double").alias("first"), F.col("vy").alias("second"), "c")
-        .groupBy("pair", "by")
-        .applyInPandas(_range_inversions, "pair int, q double")
-    )
-    inversions = across.unionByName(in_x).unionByName(in_y).groupBy("pair").agg(F.sum("q").alias("q"))
+    inversions = discordant(cells, limit, most)
 
     n0 = choose2(F.col("n"))
-    score = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.col("q")
+    score = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.coalesce("q", F.lit(0.0))
     scale = F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
-    joined = base.join(ties_x, "pair").join(ties_y, "pair").join(inversions, "pair")
+    joined = base.join(ties_x, "pair").join(ties_y, "pair").join(inversions, "pair", "left")
 
     def side(k: int) -> Column:
         return F.element_at(F.array(*[F.lit(cols[p[k]]) for p in pairs]), F.col("pair") + 1)

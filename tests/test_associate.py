@@ -67,11 +67,30 @@ def test_kendall_with_hot_values_and_many_ranges(spark):
     x = np.where(rng.random(600) < 0.4, 3.0, rng.integers(0, 50, 600))
     y = np.where(rng.random(600) < 0.35, 1.0, x + rng.integers(-9, 9, 600))
     df = frame(spark, x=x, y=y)
-    for ranges in (1, 4, 16):
-        got = S.kendall_pairs(df, ["x", "y"], ranges).first()
+    for limit, most in ((1000, 256), (150, 256), (40, 4), (8, 3)):  # whole, one level, several levels of ranges
+        got = S.kendall_pairs(df, ["x", "y"], limit, most).first()
         assert got.tau == pytest.approx(brute_tau(x, y), abs=1e-12) and got.n == 600
 
 
+def test_kendall_tree_of_ranges_over_several_pairs(spark):
+    """Small groups forced at every level: continuous, few-valued and constant columns and gaps."""
+    rng = np.random.default_rng(8)
+    n = 500
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 3, n).astype(float), "c": np.ones(n)})
+    pdf["d"] = pdf.a + rng.normal(size=n)
+    pdf.loc[rng.random(n) < 0.2, "d"] = np.nan
+    df = frame(spark, **{c: [None if np.isnan(v) else v for v in pdf[c]] for c in pdf})
+    got = {(r.x, r.y): r for r in S.kendall_pairs(df, list(pdf), 30, 4).collect()}
+    assert len(got) == 6
+    for (x, y), r in got.items():
+        both = pdf[[x, y]].dropna()
+        assert r.n == len(both)
+        if "c" in (x, y):
+            assert r.tau is None
+        else:
+            assert r.tau == pytest.approx(brute_tau(both[x].to_numpy(), both[y].to_numpy()), abs=1e-12)
+
+
 def cats(spark, x, y):
     return spark.createDataFrame(list(zip(x, y)), "x string, y string")
 
