@@ -53,6 +53,9 @@ SENTENCES: dict[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License");',
         "Apache License, Version 2.0",
+        "Apache License, Version 2.0, January 2004",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "Apache License Version 2.0, January 2004 https://www.apache.org/licenses/",
     ),
     "apache-2-terms": ("you may not use this file except in compliance with the License.",),
     "apache-2-copy": ("You may obtain a copy of the License at",),
@@ -60,8 +63,9 @@ SENTENCES: dict[str, tuple[str, ...]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License v3.0.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     ),
-    "gpl-2-name": ("This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2."),
+    "gpl-2-name": ("This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     "gpl-grant": ("This program is free software:", "This program is free software;"),
     "gpl-3-or-later": (
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -69,11 +73,12 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "gpl-2-or-later": (
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ),
-    "lgpl-name": ("Licensed under the GNU Lesser General Public License, version 3.", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    "agpl-name": ("Licensed under the GNU Affero General Public License, version 3.", "This work is licensed under the GNU Affero General Public License, version 3."),
+    "lgpl-name": ("Licensed under the GNU Lesser General Public License, version 3.", "This work is licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "agpl-name": ("Licensed under the GNU Affero General Public License, version 3.", "This work is licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     "mpl-2-name": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "Mozilla Public License Version 2.0",
     ),
     "cc0-name": ("Licensed under CC0 1.0.", "This work is dedicated to the public domain under CC0 1.0."),
     "cc-by-name": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -84,6 +89,15 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "reserved": ("All rights reserved.",),
 }
 
+# Public licence tags as they stand behind "SPDX-License-Identifier:".
+TAGS = (
+    "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later",
+    "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "Unlicense",
+)
+
+#: A sentence that is not known as a whole but holds these words: the clause on endorsement, whoever it names.
+PHRASES = {"endorse or promote products": "bsd-names"}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -121,6 +135,7 @@ RULES = (
     Rule("CC-BY-ND-4.0", ("cc-by-nd-name",)),
     Rule("Unlicense", ("unlicense",)),
     Rule("All-Rights-Reserved", ("reserved",)),
+    *[Rule(tag, (f"tag-{tag}",)) for tag in TAGS],
 )
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -144,7 +159,7 @@ def known_sentences() -> dict[str, str]:
                 raise ValueError(f"{s!r} has two identifiers")
             if not any(w in normal(s) for w in WORDS):
                 raise ValueError(f"{s!r} has none of WORDS")
-    return table
+    return table | {normal(f"SPDX-License-Identifier: {tag}"): f"tag-{tag}" for tag in TAGS}
 
 
 def pattern(rule: Rule) -> str:
@@ -152,8 +167,13 @@ def pattern(rule: Rule) -> str:
     return "".join(f"<{name}>" for name in rule.sequence)
 
 
+def identifier(sentence: Column, table: Column) -> Column:
+    known = F.try_element_at(table, F.trim(sentence))
+    return F.coalesce(known, *[F.when(F.contains(sentence, F.lit(words)), F.lit(name)) for words, name in PHRASES.items()])
+
+
 def identifiers(sentences: Column, table: Column) -> Column:
-    found = F.filter(F.transform(sentences, lambda s: F.try_element_at(table, F.trim(s))), lambda x: x.isNotNull())
+    found = F.filter(F.transform(sentences, lambda s: identifier(s, table)), lambda x: x.isNotNull())
     return F.array_join(F.transform(found, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
 
 
@@ -181,7 +201,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     ``licenses`` the sorted distinct licences of both cuts, joined by commas, ``n_known`` the number of
     identifiers and ``n_unknown`` the lines that speak of licences and are not known. Null and empty
     texts have none. Rows are independent: repeated rows, ties and null ids change nothing, and other
-    columns are not read.
+    columns are not read. Very long texts are normalised whole. The list knows the licences of RULES by their notices, first
+    sentences and tags, and the texts of the MIT, BSD and ISC licences; others are unknown.
     """
     table = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
     low = F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), UPPER, LOWER)
@@ -196,7 +217,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         F.when(F.col("speaks"), F.split(marked, "\u0001")).alias("sentences"),
         F.when(F.col("speaks"), F.split(F.regexp_replace("t", "[^a-z0-9\n]+", " "), "\n")).alias("lines"),
     )
-    unknown = F.filter("lines", lambda s: F.regexp_like(s, F.lit(HINT)) & F.try_element_at(table, F.trim(s)).isNull())
+    unknown = F.filter("lines", lambda s: F.regexp_like(s, F.lit(HINT)) & identifier(s, table).isNull())
     two = cut.select(
         "id",
         F.coalesce(identifiers(F.col("sentences"), table), F.lit("")).alias("a"),

@@ -188,13 +188,12 @@ def remove_repeated_lines(
     Columns keep their names and order; a null text stays null. The spans, a few numbers for each
     text with repeats, are broadcast if they are few and joined by a shuffle otherwise.
     """
-    spans = cut_lineage(
-        repeated_spans(docs, id_col, text).select(F.col("id").alias("__of"), F.col("version").alias("__at"), F.col("removed").alias("__removed"))
-    )
-    few = (spans.agg(F.sum(F.size("__removed"))).first()[0] or 0) <= BROADCAST_SPANS
+    of, at, gone = tx.fresh_names(docs, "of", "at", "removed")
+    spans = cut_lineage(repeated_spans(docs, id_col, text).select(F.col("id").alias(of), F.col("version").alias(at), F.col("removed").alias(gone)))
+    few = (spans.agg(F.sum(F.size(gone))).first()[0] or 0) <= BROADCAST_SPANS
     t = docs[f"`{text}`"]
-    same = docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col("__at"))
+    same = docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col(at))
     joined = docs.join(F.broadcast(spans) if few else spans, same, "left")
-    clean = F.when(F.col("__removed").isNull(), t).otherwise(without_spans(t, F.col("__removed")))
+    clean = F.when(F.col(gone).isNull(), t).otherwise(without_spans(t, F.col(gone)))
     columns = [clean.alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns]
-    return joined.select(*columns, *([F.col("__removed").alias(into)] if into else []))
+    return joined.select(*columns, *([F.col(gone).alias(into)] if into else []))

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.llm.text import fresh_names
 from tabloom.session import cut_lineage
 
 SPACE = r"[ \t\n\x0B\f\r]"
@@ -54,8 +55,9 @@ def measure(docs: DataFrame, text: str = "text", into: str = "measures") -> Data
     pass through, whatever their names are; work happens inside one row, so copies, ties and
     repeated rows are measured each on its own.
     """
-    t, own = f"__{into}_t", [F.col(f"`{c}`") for c in docs.columns]
-    one = docs.select(*own, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(t))
+    # the columns of ``docs`` travel under numbers, so that none is called like one of these
+    t, own = "__text", [F.col(f"own{i}") for i in range(len(docs.columns))]
+    one = docs.select(*[F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(docs.columns)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(t))
     two = one.select(
         *own,
         F.array_remove(F.split(t, SPACE + "+"), "").alias("__words"),
@@ -97,7 +99,7 @@ def measure(docs: DataFrame, text: str = "text", into: str = "measures") -> Data
     five = four.withColumn("__repeat", F.coalesce(covered, F.lit(0)).cast("long"))
     n_words = F.size("__words").cast("long")
     return five.select(
-        *own,
+        *[o.alias(c) for o, c in zip(own, docs.columns, strict=True)],
         F.struct(
             n_words.alias("n_words"),
             F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
@@ -222,16 +224,17 @@ def decide(
     The cutoffs are one row per stratum, written first, so the session's broadcast limit decides
     by their true size how they are joined.
     """
+    group, *cuts = fresh_names(measured, "stratum", *[f"cut{i}" for i in range(len(rules))])
     table = cut_lineage(
-        cutoffs.groupBy(F.col("stratum").alias("__stratum")).agg(
-            *[F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"__cut{i}") for i, r in enumerate(rules)]
+        cutoffs.groupBy(F.col("stratum").alias(group)).agg(
+            *[F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(cuts[i]) for i, r in enumerate(rules)]
         )
     )
     rejected = F.col(f"{measures}.base_failed")
     for i, r in enumerate(rules):
-        rejected = rejected | F.coalesce(value_of(r, measures) > F.col(f"__cut{i}"), F.lit(False))
+        rejected = rejected | F.coalesce(value_of(r, measures) > F.col(cuts[i]), F.lit(False))
     own = [measured[f"`{c}`"] for c in measured.columns]
-    joined = measured.join(table, F.col(f"`{stratum}`").eqNullSafe(F.col("__stratum")), "left")
+    joined = measured.join(table, F.col(f"`{stratum}`").eqNullSafe(F.col(group)), "left")
     return joined.select(*own, (~rejected).alias(into))
 
 

@@ -141,6 +141,7 @@ def licenses_sql() -> str:
     known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.known_sentences().items())
     lower = f"translate({{}}, '{licenses.UPPER}', '{licenses.LOWER}')"
     norm = "trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g'))".format(lower.format("s"))
+    phrases = ", ".join(f"CASE WHEN contains(k, {quoted(words)}) THEN {quoted(name)} END" for words, name in licenses.PHRASES.items())
     steps, at = [], "r0"
     for i, rule in enumerate(licenses.RULES, 1):
         p = quoted(licenses.pattern(rule))
@@ -154,7 +155,7 @@ known(s, id) AS (VALUES {known}),
 cuts AS (SELECT doc_id, 'a' AS cut, string_split(regexp_replace(t, '([.;:!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM d
   UNION ALL SELECT doc_id, 'b', string_split(t, chr(10)) FROM d),
 s AS (SELECT doc_id, cut, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM cuts),
-n AS (SELECT doc_id, cut, i, id, k AS low FROM (SELECT doc_id, cut, i, {norm} AS k FROM s) AS s LEFT JOIN known ON known.s = k),
+n AS (SELECT doc_id, cut, i, coalesce(id, {phrases}) AS id, k AS low FROM (SELECT doc_id, cut, i, {norm} AS k FROM s) AS s LEFT JOIN known ON known.s = k),
 r0 AS (SELECT doc_id, cut, string_agg('<' || id || '>', '' ORDER BY i) AS seq, seq AS lft, []::VARCHAR[] AS ls FROM n WHERE id IS NOT NULL GROUP BY 1, 2),
 {", ".join(steps)},
 l AS (SELECT doc_id, list_sort(list_distinct(flatten(list(ls)))) AS ls FROM {at} GROUP BY 1),

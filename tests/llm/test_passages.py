@@ -147,3 +147,17 @@ def test_repeated_rows_and_hot_passages(spark):
     assert set(got) == set(range(3, 300, 3)) and all(got[i] <= want[i] and len(want[i] - got[i]) <= 3 for i in got)
     odd = spans(spark, [(1, None), (2, ""), (3, "x" * 100_000), (4, "a " * 60_000)])
     assert odd == []
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_columns_of_any_name(spark, stage):
+    import corpus_pipeline
+
+    names = ["__words", "__lines", "__measures", "__kept", "__cut0", "__stratum", "__of", "__at", "__had", "__removed", "__text", "own0", "__id", "__row"]
+    body = " ".join(random.Random(3).choices(FILLER, k=90))
+    rows = [(i, f"{body} {' '.join(random.Random(i).choices(FILLER, k=60 * (i % 2)))}", "en", "s", 0, *range(len(names))) for i in range(4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, "/root/testdata/sf0.001")
+    assert out.columns == docs.columns
+    assert all(tuple(r)[5:] == tuple(range(len(names))) for r in out.collect()) and out.count() > 0
