@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from checks import Registry, table
 from tabloom.llm import line_chunks, ngram_join, packing, paragraphs
 from tabloom.llm import quality_rules as quality
-from tabloom.llm.links import BROADCAST_IDS
+from tabloom.llm.text import fresh_names
 from tabloom.session import cut_lineage
 
 reg = Registry()
@@ -24,23 +24,25 @@ def wordless(text: Column) -> Column:
     return F.length(F.translate(F.coalesce(text, F.lit("")), quality.SPACE_CHARS, "")) == 0
 
 
-def recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` without texts that lost their words, ``n_chars`` counted anew; ``__had`` tells who had words."""
-    left = docs.filter(~(wordless(F.col("text")) & F.col("__had")))
+def recounted(docs: DataFrame, columns: list[str], had: str) -> DataFrame:
+    """``docs`` without texts that lost their words, ``n_chars`` counted anew; ``had`` tells who had words."""
+    left = docs.filter(~(wordless(F.col("text")) & F.col(had)))
     counted = F.length("text").cast("long").alias("n_chars")
     return left.select(*[counted if c == "n_chars" else F.col(f"`{c}`") for c in columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the calibrated quality rules keep."""
-    judged = quality.quality_rules(docs, table(spark, sf_dir, "labels"), keep=docs.columns, measures="__measures", into="__kept")
-    return judged.filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    measures, kept = fresh_names(docs, "measures", "kept")
+    judged = quality.quality_rules(docs, table(spark, sf_dir, "labels"), keep=docs.columns, measures=measures, into=kept)
+    return judged.filter(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the line chunks that earlier documents hold."""
-    marked = docs.withColumn("__had", ~wordless(F.col("text")))
-    return recounted(line_chunks.remove_repeated_lines(marked), docs.columns)
+    (had,) = fresh_names(docs, "had")
+    marked = docs.withColumn(had, ~wordless(F.col("text")))
+    return recounted(line_chunks.remove_repeated_lines(marked), docs.columns, had)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +52,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     values stays. Texts without words are in no component.
     """
     surplus = cut_lineage(ngram_join.surplus_rows(docs))
+    of, at = fresh_names(docs, "of", "at")
 
     def marked(rows: DataFrame, which: DataFrame, how: str) -> DataFrame:
-        which = cut_lineage(which.select(F.col("id").alias("__of"), F.col("version").alias("__at")))
-        few = which.count() <= BROADCAST_IDS
-        same = rows["doc_id"].cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == F.col("__at"))
+        which = cut_lineage(which.select(F.col("id").alias(of), F.col("version").alias(at)))
+        few = 16 * which.count() <= paragraphs.BROADCAST_BYTES
+        same = rows["doc_id"].cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == F.col(at))
         return rows.join(F.broadcast(which) if few else which, same, how)
 
     repeated = surplus.filter("kept AND copies > 1")
@@ -68,9 +71,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def paragraph_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the paragraphs that earlier documents hold, copied or edited."""
-    marked = docs.withColumn("__had", ~wordless(F.col("text")))
-    return recounted(paragraphs.remove_repeated_paragraphs(marked), docs.columns)
+    """Documents without the lines and passages that earlier documents hold, copied or edited."""
+    (had,) = fresh_names(docs, "had")
+    marked = docs.withColumn(had, ~wordless(F.col("text")))
+    return recounted(paragraphs.remove_repeated_paragraphs(marked), docs.columns, had)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
