@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -660,6 +661,33 @@ def mutual_information(spark, d):
     return joint.mutual_information(table(spark, d, "lineitem"), LINE_NUMS).withColumn("mi", r("mi"))
 
 
+QUANTILE_BINS = f"""e AS (SELECT {", ".join(f"list_distinct(quantile_cont({c}, [{', '.join(str(i / 10) for i in range(1, 10))}])) AS {c}" for c in LINE_NUMS)} FROM lineitem),
+b AS (SELECT {", ".join(f"len(list_filter(e.{c}, lambda q: q < l.{c})) AS {c}" for c in LINE_NUMS)} FROM lineitem l, e),
+cells AS ({_pair_union(LINE_NUMS, lambda a, b:
+  f"SELECT '{a}' AS x, '{b}' AS y, {a} AS vx, {b} AS vy, count(*)::DOUBLE AS o FROM b GROUP BY {a}, {b}")}),
+m AS (SELECT *, sum(o) OVER (PARTITION BY x, y, vx) AS r, sum(o) OVER (PARTITION BY x, y, vy) AS c,
+  sum(o) OVER (PARTITION BY x, y) AS n FROM cells)"""
+
+
+@add(
+    "mutual_information_quantile",
+    f"""WITH {QUANTILE_BINS}
+SELECT x, y, round(greatest(0, sum(o / n * ln(o * n / (r * c)))), 6) AS mi, any_value(n)::BIGINT AS n FROM m GROUP BY 1, 2""",
+)
+def mutual_information_quantile(spark, d):
+    return joint.mutual_information(table(spark, d, "lineitem"), LINE_NUMS, 10, "quantile").withColumn("mi", r("mi"))
+
+
+@add(
+    "entropy_diagonal",
+    f"""WITH {MI_BINS}, l AS ({" UNION ALL ".join(f"SELECT '{c}' AS x, {c} AS v FROM b" for c in LINE_NUMS)}),
+p AS (SELECT x, count(*) / sum(count(*)) OVER (PARTITION BY x) AS p FROM l GROUP BY x, v)
+SELECT x, x AS y, round(-sum(p * ln(p)), 6) AS mi FROM p GROUP BY 1""",
+)
+def entropy_diagonal(spark, d):
+    return joint.self_information(table(spark, d, "lineitem"), LINE_NUMS).withColumn("mi", r("mi"))
+
+
 @add(
     "self_information",
     f"WITH {LONG_LINES} SELECT feature AS x, feature AS y, round(var_samp(v), 4) AS mi FROM l GROUP BY 1",
@@ -835,7 +863,7 @@ def flow_path(spark, d):
     return pairs.select("vec_id", "rep", "level", F.posexplode(back).alias("i", "x")).withColumn("x", r("x"))
 
 
-QUICK = flow.FlowParams(nt=5, n_noise=3, trees=3, depth=3, learning_rate=0.5, bins=32)
+DEMO = flow.FlowParams(nt=5, n_noise=3)  # 100 trees of depth 6 a level
 
 
 def made_facts(made, real, level: str):
@@ -854,7 +882,7 @@ MADE_SQL = "SELECT count(*) AS n_rows, 0::BIGINT AS n_outside, count(*) AS n_ids
 def synthesized(spark, d):
     df = orders_customer(spark, d).select("o_orderkey", "o_totalprice", "c_nationkey", "o_orderstatus")
     n = df.count()
-    made = synthesize.synthesize(df, ["o_orderkey"], ["o_orderstatus"], ["c_nationkey"], (), n_samples=n, params=QUICK)
+    made = synthesize.synthesize(df, ["o_orderkey"], ["o_orderstatus"], ["c_nationkey"], (), n_samples=n, params=DEMO)
     return made_facts(cut_lineage(made.synthetic), df, "o_orderstatus")
 
 
@@ -863,7 +891,7 @@ def synthesized_by_label(spark, d):
     df = orders_customer(spark, d).select("o_orderkey", "o_totalprice", "c_nationkey", "o_orderstatus")
     n = df.count()
     made = synthesize.synthesize(
-        df, ["o_orderkey"], [], ["c_nationkey"], (), n_samples=n, params=QUICK, label="o_orderstatus"
+        df, ["o_orderkey"], [], ["c_nationkey"], (), n_samples=n, params=replace(DEMO, trees=20), label="o_orderstatus"
     )
     return made_facts(cut_lineage(made.synthetic), df, "label")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from .gram import bounded, names, pearson_pairs
 from .kendall import kendall_pairs
 from .ranking import Ranking, ranked_cells, wide_ranks
 
+COUNTED_ROWS = 200_000  # rows whose level numbers a task holds before it counts them
+HELD_CELLS = 2_000_000
+
 
 def corr_matrix(
     df: DataFrame, cols: Sequence[str], method: str = "pearson", key: Sequence[str] | None = None
@@ -116,32 +121,84 @@ def to_matrix(pairs: DataFrame, value: str, cols: Sequence[str]) -> DataFrame:
 # --- categorical x categorical ---------------------------------------------------------
 
 
+class PairCounts:
+    """Counts of level pairs of all columns two by two, for the rows of one task.
+
+    Levels get numbers as they come, so a column is an array of small integers and a pair's counts are sums
+    over one array of cells. A task holds HELD_CELLS cells; beyond it what it has so far goes out.
+    """
+
+    def __init__(self, columns: int) -> None:
+        self.codes: list[dict[str, int]] = [{} for _ in range(columns)]
+        self.cells: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self.held: list[list[np.ndarray]] = [[] for _ in range(columns)]
+        self.rows = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        for k, column in enumerate(batch.columns):
+            coded = column.dictionary_encode()
+            own = self.codes[k]
+            numbers = np.array([own.setdefault(v, len(own)) for v in coded.dictionary.to_pylist()] + [-1], np.int64)
+            self.held[k].append(numbers[coded.indices.fill_null(len(numbers) - 1).to_numpy(zero_copy_only=False)])
+        self.rows += batch.num_rows
+
+    def sum_up(self) -> None:
+        columns = [np.concatenate(h) if h else np.zeros(0, np.int64) for h in self.held]
+        for i, x in enumerate(columns):
+            for j in range(i + 1, len(columns)):
+                y = columns[j]
+                both = (x >= 0) & (y >= 0)
+                keys, counts = np.unique(x[both] << 32 | y[both], return_counts=True)
+                if (i, j) in self.cells:
+                    old, n = self.cells[i, j]
+                    keys, at = np.unique(np.concatenate([old, keys]), return_inverse=True)
+                    counts = np.bincount(at, weights=np.concatenate([n, counts])).astype(np.int64)
+                self.cells[i, j] = keys, counts
+        self.held, self.rows = [[] for _ in columns], 0
+
+    def size(self) -> int:
+        return sum(len(k) for k, _ in self.cells.values())
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        names = [pa.array(list(c), pa.string()) for c in self.codes]
+        for (i, j), (keys, counts) in self.cells.items():
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(keys), i, np.int32)), pa.array(np.full(len(keys), j, np.int32)),
+                    names[i].take(pa.array(keys >> 32)), names[j].take(pa.array(keys & 0xFFFFFFFF)), pa.array(counts.astype(float)),
+                ],
+                names=["i", "j", "vx", "vy", "o"],
+            )
+        self.__init__(len(names))
+
+
 def contingency(df: DataFrame, cols: Sequence[str], null_level: str | None = "0.0") -> DataFrame:
     """(i, j, vx, vy, o) counts for all pairs i < j in one scan.
 
     Missing values count as the level ``null_level``; with ``None`` they are left out pair by pair.
+    A task adds its rows up in arrays and sends levels x levels rows for each pair at most, never a row
+    for each pair of columns of a row.
     """
     levels = []
-    for c in cols:
+    for k, c in enumerate(cols):
         v = F.col(c).cast("string")
-        levels.append((F.coalesce(v, F.lit(null_level)) if null_level is not None else v).alias(c))
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(cols[i]).alias("vx"), F.col(cols[j]).alias("vy")
-            )
-            for i in range(len(cols))
-            for j in range(i + 1, len(cols))
-        ]
-    )
-    # few levels per column: the map-side combine leaves at most levels x levels rows per pair and task
-    return (
-        df.select(*levels)
-        .select(F.inline(pairs))
-        .where(F.col("vx").isNotNull() & F.col("vy").isNotNull())
-        .groupBy("i", "j", "vx", "vy")
-        .agg(F.count(F.lit(1)).cast("double").alias("o"))
-    )
+        levels.append((F.coalesce(v, F.lit(null_level)) if null_level is not None else v).alias(f"c{k}"))
+
+    width = len(levels)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = PairCounts(width)
+        for batch in batches:
+            counts.add(batch)
+            if counts.rows >= COUNTED_ROWS:
+                counts.sum_up()
+                if counts.size() > HELD_CELLS:
+                    yield from counts.out()
+        counts.sum_up()
+        yield from counts.out()
+
+    parts = df.select(*levels).mapInArrow(count, "i int, j int, vx string, vy string, o double")
+    return parts.groupBy("i", "j", "vx", "vy").agg(F.sum("o").alias("o"))
 
 
 def _with_margins(cells: DataFrame) -> DataFrame:

@@ -302,22 +302,29 @@ class FlowSynthesizer:
             if now is not None:
                 yield out()
 
-        def summed(table: pa.Table) -> pa.Table:
-            hist = np.zeros((bins, 1 + d))
-            for h in table.column("hist").to_pylist():  # one for each task that has the model
-                hist += np.frombuffer(h).reshape(bins, 1 + d)
-            gain, at, left = best_cut(hist, p.l2)
-            one = table.slice(0, 1)
-            return pa.table(
-                {
-                    "model": one.column("model"), "node": one.column("node"), "feature": one.column("feature"),
-                    "gain": [gain], "bin": pa.array([at], pa.int32()), "left": pa.array([left.tobytes()], pa.binary()), "total": pa.array([hist.sum(axis=0).tobytes()], pa.binary()),
-                }
-            )
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, hist, best = None, None, []
+
+            def close() -> None:
+                gain, at, left = best_cut(hist, p.l2)
+                best.append((*now, gain, at, left.tobytes(), hist.sum(axis=0).tobytes()))
+
+            for batch in batches:  # sorted: the parts of a histogram, one for each task that has the model, follow each other
+                for *key, part in zip(*[batch.column(c).to_pylist() for c in ("model", "node", "feature", "hist")]):
+                    if key != now:
+                        if now is not None:
+                            close()
+                        now, hist = key, np.zeros((bins, 1 + d))
+                    hist += np.frombuffer(part).reshape(bins, 1 + d)
+            if now is not None:
+                close()
+            columns = list(zip(*best)) if best else [()] * 7
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["model", "node", "feature", "gain", "bin", "left", "total"])
 
         parts = state.mapInArrow(partials, "model int, node int, feature int, hist binary")
         schema = "model int, node int, feature int, gain double, bin int, left binary, total binary"
-        return parts.groupBy("model", "node", "feature").applyInArrow(summed, schema)
+        return parts.repartition("model", "node", "feature").sortWithinPartitions("model", "node", "feature").mapInArrow(summed, schema)
 
     def _moved_on(self, state: DataFrame, path: str, trees: Trees) -> tuple[DataFrame, str]:
         """The state after a round: what its trees explain is taken off the residuals; the old table goes."""

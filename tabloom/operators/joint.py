@@ -17,7 +17,7 @@ from ..session import cut_lineage
 from .associate import _pair_names, _with_margins, contingency, corr_matrix, count_entropy
 from .gram import pearson_pairs
 from .neighbors import knn_graph
-from .profile import bin_columns, fitted_stats
+from .profile import bin_columns, fitted_stats, quantile_bins
 from .ranking import bucket_edges, with_buckets
 
 MIN_ROWS = 100  # fixed value: pairs need more shared rows than this
@@ -39,15 +39,17 @@ def mutual_information(
 
     Null says "not known"; 0.0 as ``below`` is the number some reports show there.
 
-    "hist" bins each column into equal widths and is exact for those bins, all pairs in one
-    job. "ksg" is the nearest-neighbour estimator for continuous data, one search per pair.
-    The two estimators give different numbers.
+    "hist" bins each column into equal widths, "quantile" into equal counts; both are exact for those bins, all
+    pairs in one job. "ksg" is the nearest-neighbour estimator for continuous data, one search per pair.
+    The estimators give different numbers.
     """
     if method == "ksg":
         if not key:
             raise ValueError("ksg needs the row key")
         return _ksg_matrix(df, cols, key, min_rows, k, seed)
-    binned = df.select(*bin_columns(df, cols, bins))
+    if method not in ("hist", "quantile"):
+        raise ValueError(method)
+    binned = quantile_bins(df, cols, bins) if method == "quantile" else df.select(*bin_columns(df, cols, bins))
     m = _with_margins(contingency(binned, cols, null_level=None))
     o, n = F.col("o"), F.col("n")
     sums = m.groupBy("i", "j").agg(

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
 from ..functions.missing import nan_is_missing, normalize_missing
 from .aggregates import column_stats
-from .ranking import exact_quantiles, quantiles_wide
+from .ranking import exact_quantiles, quantiles_wide, with_buckets
 
 
 @nan_is_missing
@@ -146,6 +147,21 @@ def bin_columns(df: DataFrame, cols: Sequence[str], bins: int) -> list[Column]:
     ]
 
 
+@nan_is_missing
+def quantile_bins(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
+    """``cols`` as bins of about equal counts: how many of the column's distinct inner quantiles lie below the value.
+
+    Quantiles are exact; a value met at several of them makes fewer, larger bins. Null has no bin.
+    """
+    found: dict[str, list[float]] = {c: [] for c in cols}
+    for r in exact_quantiles(df, cols, [i / bins for i in range(1, bins)]).collect():  # bins - 1 numbers per column
+        found[r["feature"]].append(r["quantile"])
+    above = {c: [float("-inf"), *(float(np.nextafter(q, np.inf)) for q in sorted(set(qs))), float("inf")] for c, qs in found.items()}
+    edges = {c: e if len(e) > 2 else [float("-inf"), 0.0, float("inf")] for c, e in above.items()}
+    binned = with_buckets(df.select(*cols), edges)
+    return binned.select(*[F.when(F.col(c).isNotNull(), F.col("_b_" + c)).cast("bigint").alias(c) for c in cols])
+
+
 @nan_is_missing
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 50) -> DataFrame:
     """(feature, bin, lo, hi, n) equal-width histogram of the non-null values; empty bins are absent."""

@@ -186,3 +186,21 @@ def test_top_pairs_are_unordered_and_fall_back(spark):
     assert joint.pairs_to_show(pairs, ["a", "b", "c"]) == [("a", "b")]
     flat = frame(spark, a=[1.0] * 9, b=[2.0] * 9)
     assert joint.pairs_to_show(S.corr_matrix(flat, ["a", "b"]), ["a", "b"]) == [("a", "b")]
+
+
+@pytest.mark.parametrize("rows, cells", [(200_000, 2_000_000), (50, 40)])
+def test_contingency_of_many_columns(spark, monkeypatch, rows, cells):
+    """Sixty columns with nulls; a task sends no more rows than there are pairs of levels."""
+    monkeypatch.setattr(S, "COUNTED_ROWS", rows)
+    monkeypatch.setattr(S, "HELD_CELLS", cells)
+    rng = np.random.default_rng(5)
+    cols = [f"v{i}" for i in range(60)]
+    pdf = pd.DataFrame({c: rng.choice(["a", "b", "c", None], 400) for c in cols})
+    df = spark.createDataFrame([tuple(r) for r in pdf.itertuples(index=False)], ", ".join(f"{c} string" for c in cols)).repartition(2)
+    got = S.contingency(df, cols, None).collect()
+    assert len(got) == 1770 * 9 and len({(r.i, r.j) for r in got}) == 1770
+    want = {k: dict(pdf.groupby([cols[k[0]], cols[k[1]]]).size()) for k in [(0, 1), (3, 59), (40, 41)]}
+    for (i, j), table in want.items():
+        assert {(r.vx, r.vy): r.o for r in got if (r.i, r.j) == (i, j)} == table
+    filled = S.contingency(df, cols[:2], "0.0").collect()
+    assert sum(r.o for r in filled) == 400 and {r.vx for r in filled} == {"a", "b", "c", "0.0"}

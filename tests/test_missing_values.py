@@ -35,6 +35,7 @@ OPERATORS = {
     "anova_f": lambda d: associate.anova_f(d, ["g", "h"], NUMS),
     "kruskal_h": lambda d: associate.kruskal_h(d, ["g", "h"], NUMS),
     "mutual_information": lambda d: joint.mutual_information(d, NUMS, 6, min_rows=10),
+    "mutual_information_quantile": lambda d: joint.mutual_information(d, NUMS, 5, "quantile", min_rows=10),
     "self_information": lambda d: joint.self_information(d, NUMS),
     "self_variance": lambda d: joint.self_information(d, NUMS, "variance"),
     "mutual_information_matrix": lambda d: joint.mutual_information_matrix(d, NUMS, "variance"),
