@@ -21,7 +21,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +40,7 @@ BAND_WIDTH = 4
 RECALL = 0.997
 BUCKETS = 256
 BROADCAST_BYTES = 16 << 20
+SLICE_BYTES = 1 << 18  # of text at a time, for small workers
 SPAN = "struct<first_word:int,n_words:int>"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 U = np.uint64
@@ -104,7 +104,7 @@ def occurrences(rows: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.pieces(batch, "text"):
+            for part in tx.pieces(batch, "text", SLICE_BYTES):
                 row, line, starts, values = paragraph_sets(part, least)
                 nodes, sizes = set_keys(values, starts)
                 at = pa.array(row)
@@ -132,7 +132,7 @@ def band_rows(rows: DataFrame, least: int, bands: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in tx.pieces(batch, "text", 1 << 20):
+            for part in tx.pieces(batch, "text", SLICE_BYTES):
                 _, _, starts, values = paragraph_sets(part, least)
                 nodes, sizes = set_keys(values, starts)
                 new = np.zeros(len(nodes), bool)
@@ -255,13 +255,12 @@ def remove_repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: st
     same = docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col(at))
     joined = docs.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, same, "left")
 
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series, removed: pd.DataFrame) -> pd.Series:
-        return pd.Series(
-            [
-                x if x is None or a is None else without_repeats(x, list(a), [(s["first_word"], s["n_words"]) for s in b])
-                for x, a, b in zip(texts, removed["lines"], removed["spans"], strict=True)
-            ]
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array, removed: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), removed.to_pylist(), strict=True)
+        return pa.array(
+            [x if x is None or r is None else without_repeats(x, r["lines"], [(s["first_word"], s["n_words"]) for s in r["spans"]]) for x, r in rows],
+            pa.string(),
         )
 
     clean = F.when(F.col(what).isNull(), t).otherwise(cleaned(t, F.col(what)))

@@ -31,6 +31,7 @@ LEAST_PASSAGE = 50
 MOST_GAP = LEAST_SEGMENT - 1  # one short segment
 REACH = 64
 PERCENT = 75
+SLICE_BYTES = 1 << 18
 U = np.uint64
 
 
@@ -66,7 +67,7 @@ def segment_rows(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.pieces(batch, "text"):
+            for part in tx.pieces(batch, "text", SLICE_BYTES):
                 words, counts = tx.word_hashes(part.column("text"))
                 if not len(words):
                     continue
@@ -118,7 +119,7 @@ def surroundings(rows: DataFrame, runs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.pieces(batch, "text"):
+            for part in tx.pieces(batch, "text", SLICE_BYTES):
                 words, counts = tx.word_hashes(part.column("text"))
                 first = np.cumsum(counts) - counts
                 lists = part.column("runs").to_pylist()
