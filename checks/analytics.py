@@ -913,25 +913,80 @@ def compare_real_synth(spark, d):
 # --- reports ----------------------------------------------------------------------------
 
 
-@add(
-    "association_report",
-    """SELECT * FROM (VALUES ('pearson', 6, 0), ('spearman', 6, 0), ('kendall', 3, 0), ('cramers_v', 1, 0), ('theils_u', 4, 0), ('anova', 6, 0),
- ('kruskal', 6, 0), ('skipped_columns', 1, 0)) v(statistic, n_pairs, n_null)""",
-)
+REPORT_NUMS = ["price", "acct", "c_nationkey"]
+REPORT_CATS = ["o_orderstatus", "o_orderpriority"]
+
+
+def _each_pair(make) -> str:
+    return " UNION ALL ".join(make(a, b) for i, a in enumerate(REPORT_NUMS) for b in REPORT_NUMS[i + 1 :])
+
+
+def _report_kendall(a: str, b: str) -> str:
+    """The pair counted along the side with more values, one running count for each value of the other."""
+    few, other = sorted((a, b), key=["c_nationkey", "acct", "price"].index)
+    both = f"(SELECT {few} AS f, {other} AS o FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    return f"""SELECT 'kendall' AS statistic, '{a}' AS x, '{b}' AS y, (n0 - n1 - n2 + n3 - 2 * q) / sqrt((n0 - n1) * (n0 - n2)) AS value, n FROM
+ (SELECT count(*) AS n, count(*) * (count(*) - 1) / 2.0 AS n0 FROM {both}),
+ (SELECT sum(c * (c - 1) / 2.0) AS n1 FROM (SELECT count(*) AS c FROM {both} GROUP BY f)), (SELECT sum(c * (c - 1) / 2.0) AS n2 FROM (SELECT count(*) AS c FROM {both} GROUP BY o)),
+ (SELECT sum(c * (c - 1) / 2.0) AS n3 FROM (SELECT count(*) AS c FROM {both} GROUP BY f, o)),
+ (SELECT sum(c * (total - coalesce(upto, 0))) AS q FROM (SELECT f, o, c, level, total FROM (SELECT f, o, count(*) AS c FROM {both} GROUP BY 1, 2)
+   JOIN (SELECT f AS level, count(*) AS total FROM {both} GROUP BY 1) ON level < f) AS p
+  ASOF LEFT JOIN (SELECT f AS own, o AS place, sum(count(*)) OVER (PARTITION BY f ORDER BY o) AS upto FROM {both} GROUP BY 1, 2) AS m ON p.level = m.own AND p.o >= m.place)"""
+
+
+def _report_ranks(a: str, b: str) -> str:
+    rk = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+    return f"""SELECT 'spearman', '{a}', '{b}', corr(ra, rb), count(*) FROM (SELECT {rk(a)} AS ra, {rk(b)} AS rb FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+
+
+REPORT_SQL = f"""WITH {ORDERS_CUSTOMER_SQL}, t AS (SELECT * FROM oc),
+cells AS (SELECT o_orderstatus AS vx, o_orderpriority AS vy, count(*)::DOUBLE AS o FROM t GROUP BY 1, 2),
+m AS (SELECT *, sum(o) OVER (PARTITION BY vx) AS r, sum(o) OVER (PARTITION BY vy) AS c, sum(o) OVER () AS n FROM cells),
+chi AS (SELECT any_value(n) AS n, sum(o * o / (r * c)) - 1 AS phi2, count(DISTINCT vx) AS rr, count(DISTINCT vy) AS kk FROM m),
+cv AS (SELECT n, greatest(0, phi2 - (kk - 1) * (rr - 1) / (n - 1)) AS phi2, rr - (rr - 1) ** 2 / (n - 1) AS rc, kk - (kk - 1) ** 2 / (n - 1) AS kc FROM chi),
+h AS (SELECT -sum(o / n * ln(r / n)) AS hx, -sum(o / n * ln(c / n)) AS hy, -sum(o / n * ln(o / c)) AS hxy, -sum(o / n * ln(o / r)) AS hyx FROM m),
+l AS ({" UNION ALL ".join(f"SELECT '{c}' AS cat, {c} AS level, '{v}' AS num, {v} AS v FROM t WHERE {v} IS NOT NULL" for c in REPORT_CATS for v in REPORT_NUMS)}),
+g AS (SELECT cat, num, level, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS ss FROM l GROUP BY 1, 2, 3),
+gm AS (SELECT *, sum(n * m) OVER (PARTITION BY cat, num) / sum(n) OVER (PARTITION BY cat, num) AS grand FROM g),
+k AS (SELECT cat, num, level, rank() OVER (PARTITION BY cat, num ORDER BY v) + (count(*) OVER (PARTITION BY cat, num, v) - 1) / 2.0 AS rk,
+  count(*) OVER (PARTITION BY cat, num, v)::DOUBLE AS t FROM l),
+kg AS (SELECT cat, num, level, count(*)::DOUBLE AS n, sum(rk) AS r, sum(t * t - 1) AS tie FROM k GROUP BY 1, 2, 3),
+ks AS (SELECT cat, num, sum(n) AS n, sum(r * r / n) AS ssr, sum(tie) AS tie FROM kg GROUP BY 1, 2),
+every AS ({_each_pair(_report_kendall)}
+ UNION ALL {_each_pair(_report_ranks)}
+ UNION ALL {" UNION ALL ".join(f"SELECT 'spearman', '{c}', '{c}', 1.0, count({c}) FROM t" for c in REPORT_NUMS)}
+ UNION ALL {" UNION ALL ".join(f"SELECT 'pearson', '{a}', '{b}', corr({a}, {b}), count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) FROM t" for i, a in enumerate(REPORT_NUMS) for b in REPORT_NUMS[i:])}
+ UNION ALL SELECT 'cramers_v', 'o_orderstatus', 'o_orderpriority', sqrt(phi2 / least(rc - 1, kc - 1)), n::BIGINT FROM cv
+ UNION ALL SELECT 'theils_u', 'o_orderstatus', 'o_orderpriority', (hx - hxy) / hx, NULL FROM h
+ UNION ALL SELECT 'theils_u', 'o_orderpriority', 'o_orderstatus', (hy - hyx) / hy, NULL FROM h
+ UNION ALL {" UNION ALL ".join(f"SELECT 'theils_u', '{c}', '{c}', 1.0, NULL" for c in REPORT_CATS)}
+ UNION ALL SELECT 'anova', cat, num, (sum(n * (m - grand) ** 2) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))), sum(n)::BIGINT FROM gm GROUP BY cat, num
+ UNION ALL SELECT 'kruskal', cat, num, (12.0 / (n * (n + 1)) * ssr - 3 * (n + 1)) / (1 - tie / (n * n * n - n)), n::BIGINT FROM ks
+ UNION ALL SELECT 'skipped_columns', 'c_name', 'c_name', (count(DISTINCT c_name) > 100)::INT, NULL FROM t)
+SELECT statistic, x, y, round(value, 5) + 0.0 AS value, n::BIGINT AS n FROM every"""
+
+
+@add("association_report", REPORT_SQL)
 def association_report(spark, d):
-    """Every pair once in every statistic; the statistics themselves have queries of their own."""
-    df = orders_customer(spark, d).select("o_orderkey", "price", "acct", "c_nationkey", "o_orderstatus", "o_orderpriority", "c_name")
+    """Every value of the report."""
+    df = orders_customer(spark, d).select("o_orderkey", *REPORT_NUMS, *REPORT_CATS, "c_name")
     out = reports.association_report(df, ["o_orderkey"])
+    # the number of levels is an estimate; that it is above the limit is not
+    out["skipped_columns"] = out["skipped_columns"].withColumn("too_many", F.col("levels") > F.col("limit"))
+    shapes = {
+        "pearson": ("x", "y", "r", "n"), "spearman": ("x", "y", "r", "n"), "kendall": ("x", "y", "r", "n"), "cramers_v": ("x", "y", "v", "n"),
+        "theils_u": ("x", "y", "u", None), "anova": ("cat", "num", "f", "n"), "kruskal": ("cat", "num", "h", "n"), "skipped_columns": ("column", "column", "too_many", None),
+    }
+    if set(shapes) != set(out):
+        raise ValueError(f"results {sorted(out)}")
     parts = [
-        out[name].select(F.lit(name).alias("statistic"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(v).alias("value"))
-        for name, x, y, v in (
-            ("pearson", "x", "y", "r"), ("spearman", "x", "y", "r"), ("kendall", "x", "y", "r"),
-            ("cramers_v", "x", "y", "v"), ("theils_u", "x", "y", "u"), ("anova", "cat", "num", "f"),
-            ("kruskal", "cat", "num", "h"), ("skipped_columns", "column", "column", "levels"),
+        out[name].select(
+            F.lit(name).alias("statistic"), F.col(x).alias("x"), F.col(y).alias("y"), r(F.col(v).cast("double"), 5).alias("value"),
+            (F.col(n) if n else F.lit(None)).cast("bigint").alias("n"),
         )
+        for name, (x, y, v, n) in shapes.items()
     ]
-    whole = reduce(lambda a, b: a.unionByName(b), parts).withColumn("value", F.col("value").cast("double"))
-    return whole.groupBy("statistic").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("value").isNull()).alias("n_null"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @add(

@@ -27,8 +27,7 @@ from .joins import hot_keys, skew_safe_left_join
 from .ranking import exact_quantiles
 
 BLOCK_ROWS = 2048
-MAX_BLOCKS = 500_000  # the block table is read on the driver and broadcast; blocks grow beyond this
-MAX_PIVOTS = 1024
+PIVOTS = 1024  # cells of the first level; a cell's blocks are rings around its pivot and slices of those, as many as it needs
 QUERY_CHUNK = 256
 
 
@@ -96,32 +95,33 @@ def _locations(points: DataFrame, k: int) -> DataFrame:
     return few.groupBy("vec").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def _assign(locations: DataFrame, pivots: np.ndarray, metric: str, id_type: str) -> DataFrame:
-    """Nearest pivot and the distance to it."""
+def _assign(locations: DataFrame, pivots: np.ndarray, metric: str, id_type: str, probes: int) -> DataFrame:
+    """Nearest pivot, the distance to it, and the ``probes`` nearest pivots."""
+    probes = min(probes, len(pivots))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             x = as_matrix(pdf["vec"])
-            cell = np.empty(len(x), dtype="int32")
+            cell, near = np.empty(len(x), dtype="int32"), []
             for lo in range(0, len(x), QUERY_CHUNK):
-                cell[lo : lo + QUERY_CHUNK] = np.argmin(_distances(x[lo : lo + QUERY_CHUNK], pivots, metric), axis=1)
+                d = _distances(x[lo : lo + QUERY_CHUNK], pivots, metric)
+                cell[lo : lo + QUERY_CHUNK] = np.argmin(d, axis=1)
+                near.append(np.argpartition(d, probes - 1, axis=1)[:, :probes] if probes else np.zeros((len(d), 0), int))
             pdf["cell"] = cell
             pdf["radius"] = _exact(x, pivots[cell], metric)
+            pdf["near"] = list(np.vstack(near).astype("int32"))
             yield pdf
 
-    return locations.mapInPandas(nearest, f"rep {id_type}, vec array<double>, cell int, radius double")
+    return locations.mapInPandas(nearest, f"rep {id_type}, vec array<double>, cell int, radius double, near array<int>")
 
 
-def _block_layout(assigned: DataFrame, n: int, rings: int = 64) -> tuple[DataFrame, pd.DataFrame]:
-    """Add ``block``: cell x distance ring x hash slice, none above about BLOCK_ROWS locations.
-
-    Returns the block table (cell, lo, hi, n), at most MAX_BLOCKS plus pivots x rings rows.
-    """
-    rows = max(BLOCK_ROWS, -(-n // MAX_BLOCKS))
+def _blocks(assigned: DataFrame, rings: int = 64) -> DataFrame:
+    """Add ``block``: cell x distance ring x hash slice, none above about BLOCK_ROWS locations."""
     sizes = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("far"))
-    cuts = sizes.withColumn("rings", F.least(F.lit(rings), F.ceil(F.col("n") / rows)).cast("int"))
+    # a row per cell, and a row per cell and ring
+    cuts = sizes.withColumn("rings", F.least(F.lit(rings), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int"))
     ringed = assigned.join(F.broadcast(cuts.select("cell", "far", "rings")), "cell").withColumn(
         "ring",
         F.least(
@@ -129,24 +129,49 @@ def _block_layout(assigned: DataFrame, n: int, rings: int = 64) -> tuple[DataFra
             F.coalesce(F.floor(F.try_divide(F.col("radius"), F.col("far")) * F.col("rings")), F.lit(0)).cast("int"),
         ),
     )
-    slices = ringed.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("slices"))
+    slices = ringed.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("slices"))
     sliced = ringed.join(F.broadcast(slices), ["cell", "ring"]).withColumn(
         "slice", F.pmod(key_hash(["rep"], 11), F.col("slices")).cast("int")
     )
     block = F.concat_ws(".", F.col("cell"), F.col("ring"), F.col("slice"))
-    blocked = cut_lineage(sliced.select("rep", "vec", "cell", "radius", block.alias("block")))
-    table = blocked.groupBy("block").agg(
-        F.first("cell").alias("cell"), F.min("radius").alias("lo"), F.max("radius").alias("hi"), F.count(F.lit(1)).alias("n")
-    )
-    return blocked, table.toPandas().sort_values("block", ignore_index=True)
+    return cut_lineage(sliced.select("rep", "vec", "cell", "radius", "near", block.alias("block")))
+
+
+def _packed(rows: DataFrame, by: str, id_type: str) -> DataFrame:
+    """(by, cell, lo, hi, ids, vecs): a row per block; ``rows`` (rep, vec, cell, radius, by) have at most about BLOCK_ROWS each."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, r = as_matrix(pdf["vec"]), pdf["radius"]
+        return pd.DataFrame(
+            {by: [pdf[by].iloc[0]], "cell": [pdf["cell"].iloc[0]], "lo": [r.min()], "hi": [r.max()], "ids": [pdf["rep"].to_numpy()], "vecs": [x.ravel()]}
+        )
+
+    shape = f"{by} string, cell int, lo double, hi double, ids array<{id_type}>, vecs array<double>"
+    return rows.select(by, "rep", "vec", "cell", "radius").groupBy(by).applyInPandas(pack, shape)
+
+
+def _compared(work: DataFrame, k: int, metric: str, dims: int, id_type: str) -> DataFrame:
+    """(rep, nbr, dist, rk) of block pairs (q_ids, q_vecs, bound, t_ids, t_vecs)."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                q, t = np.asarray(row.q_vecs).reshape(-1, dims), np.asarray(row.t_vecs).reshape(-1, dims)
+                q_ids, t_ids = np.asarray(row.q_ids), np.asarray(row.t_ids)
+                limit = None if row.bound is None else np.asarray(row.bound)
+                qi, ti, d = _block_topk(q, q_ids, t, t_ids, k, metric, limit)
+                yield pd.DataFrame({"rep": q_ids[qi], "nbr": t_ids[ti], "dist": d})
+
+    found = work.select("q_ids", "q_vecs", "bound", "t_ids", "t_vecs").mapInPandas(compare, f"rep {id_type}, nbr {id_type}, dist double")
+    place = F.row_number().over(W.partitionBy("rep").orderBy("dist", "nbr"))
+    return found.withColumn("rk", place).where(F.col("rk") <= k)
 
 
 def _search(
     locations: DataFrame, k: int, metric: str, seed: int, n: int, probes: int | None, id_type: str
 ) -> DataFrame:
     """(rep, nbr, dist, rk): up to k nearest other locations of every location."""
-    spark = locations.sparkSession
-    wanted = int(min(max(math.sqrt(n) / 4, 1), MAX_PIVOTS))
+    wanted = int(min(max(math.sqrt(n) / 4, 1), PIVOTS))
     chosen = locations.select("vec").orderBy(key_hash(["vec"], seed), "vec").limit(wanted).collect()
     pivots = np.array([r["vec"] for r in chosen], dtype=float)
     if probes is not None and wanted > 1:
@@ -154,77 +179,86 @@ def _search(
             locations.select(array_to_vector("vec").alias("_v"))
         )
         pivots = np.array(model.clusterCenters())
-    blocked, table = _block_layout(_assign(locations.select("rep", "vec"), pivots, metric, id_type), n)
+    blocked = _blocks(_assign(locations.select("rep", "vec"), pivots, metric, id_type, probes or 0))
+    dims = pivots.shape[1]
+    if probes is not None:
+        return _probing(blocked, k, metric, dims, id_type)
+    return _pruning(blocked, pivots, k, metric, n, dims, id_type)
 
-    # per cell: its blocks' names and distance ranges; a few numbers per BLOCK_ROWS locations
-    by_cell = {
-        int(c): (g["block"].to_numpy(), g["lo"].to_numpy(), g["hi"].to_numpy(), int(g["n"].sum()))
-        for c, g in table.groupby("cell")
-    }
-    layout = spark.sparkContext.broadcast((by_cell, pivots))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One row per block: its locations, an upper bound on each k-th distance, and the blocks to visit."""
-        by_cell, pivots = layout.value
-        x, ids = as_matrix(pdf["vec"]), pdf["rep"].to_numpy()
-        own = pdf["block"].iloc[0]
-        cells = np.array(sorted(by_cell))
-        to_pivot = np.column_stack([_exact(x, pivots[c][None, :], metric) for c in cells])
-        need = min(k, n - 1)
-        bound = np.full(len(x), np.inf)
-        if probes is not None:
-            near = np.argpartition(to_pivot, min(probes, len(cells)) - 1, axis=1)[:, :probes]
-            visit = [by_cell[c][0] for c in cells[np.unique(near)]]
-        else:
-            if len(x) > need:
-                qi, _, d = _block_topk(x, ids, x, ids, need, metric, None)
-                counts = np.bincount(qi, minlength=len(x))
-                full = counts >= need
-                bound[full] = d[np.cumsum(counts)[full] - 1]
-            # small block: walk cells by their farthest possible point until k others are covered
-            reach = np.array([by_cell[c][2].max() for c in cells])
-            held = np.array([by_cell[c][3] for c in cells])
-            for i in np.flatnonzero(np.isinf(bound)):
-                order = np.argsort(to_pivot[i] + reach)
-                enough = np.cumsum(held[order]) >= need + 1
-                if enough.any():
-                    bound[i] = (to_pivot[i] + reach)[order[np.argmax(enough)]]
-            slack = bound * (1 + 1e-12) + 1e-12
-            visit = []
-            for j, c in enumerate(cells):
-                names, lo, hi, _ = by_cell[c]
-                inner, outer = to_pivot[:, j] - slack, to_pivot[:, j] + slack
-                if (inner <= hi.max()).any():
-                    hit = ((inner[:, None] <= hi[None, :]) & (lo[None, :] <= outer[:, None])).any(axis=0)
-                    visit.append(names[hit])
-        return pd.DataFrame(
-            {
-                "block": [own], "ids": [ids], "vecs": [x.ravel()], "bound": [bound],
-                "targets": [np.concatenate(visit)],
-            }
-        )
+def _probing(blocked: DataFrame, k: int, metric: str, dims: int, id_type: str) -> DataFrame:
+    """Every location visits the blocks of its own nearest cells: queries are packed by the cell they visit."""
+    targets = cut_lineage(_packed(blocked, "block", id_type)).select("cell", F.col("ids").alias("t_ids"), F.col("vecs").alias("t_vecs"))
+    visits = blocked.select("rep", "vec", F.lit(0.0).alias("radius"), F.explode("near").alias("cell"))
+    sizes = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
+    # a row per cell
+    spread = visits.join(F.broadcast(sizes), "cell").withColumn("part", F.concat_ws(".", "cell", F.pmod(key_hash(["rep"], 13), F.col("parts"))))
+    queries = _packed(spread, "part", id_type).select("cell", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
+    work = queries.join(targets, "cell").withColumn("bound", F.lit(None).cast("array<double>"))
+    return _compared(work, k, metric, dims, id_type)
 
-    packed = blocked.groupBy("block").applyInPandas(
-        pack, f"block string, ids array<{id_type}>, vecs array<double>, bound array<double>, targets array<string>"
-    )
-    packed = cut_lineage(packed)
-    dims = pivots.shape[1]
-    pairs = packed.select(F.col("block").alias("source"), F.explode("targets").alias("target"))
-    right = packed.select(F.col("block").alias("target"), F.col("ids").alias("t_ids"), F.col("vecs").alias("t_vecs"))
-    left = packed.select(F.col("block").alias("source"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "bound")
-    work = pairs.join(left, "source").join(right, "target").select("q_ids", "q_vecs", "bound", "t_ids", "t_vecs")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pruning(blocked: DataFrame, pivots: np.ndarray, k: int, metric: str, n: int, dims: int, id_type: str) -> DataFrame:
+    """Every block visits the blocks that the triangle inequality cannot rule out for one of its locations.
+
+    A block knows the distances of its locations to all pivots and says for each cell which distances to the
+    cell's pivot are still of interest; a join by cell finds the blocks that reach into them. The driver keeps a
+    number of locations and a radius for each pivot, and no table of blocks.
+    """
+    found = blocked.groupBy("cell").agg(F.max("radius").alias("far"), F.count(F.lit(1)).alias("n")).collect()  # a row per pivot
+    cells = np.array(sorted(r["cell"] for r in found))
+    far = np.array([r["far"] for r in sorted(found, key=lambda r: r["cell"])])
+    held = np.array([r["n"] for r in sorted(found, key=lambda r: r["cell"])])
+    shared = blocked.sparkSession.sparkContext.broadcast((cells, far, held, pivots))
+    packed = cut_lineage(_packed(blocked, "block", id_type))
+    need = min(k, n - 1)
+
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, far, held, pivots = shared.value
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                q, t = np.asarray(row.q_vecs).reshape(-1, dims), np.asarray(row.t_vecs).reshape(-1, dims)
-                q_ids, t_ids = np.asarray(row.q_ids), np.asarray(row.t_ids)
-                qi, ti, d = _block_topk(q, q_ids, t, t_ids, k, metric, np.asarray(row.bound))
-                yield pd.DataFrame({"rep": q_ids[qi], "nbr": t_ids[ti], "dist": d})
-
-    found = work.mapInPandas(compare, f"rep {id_type}, nbr {id_type}, dist double")
-    place = F.row_number().over(W.partitionBy("rep").orderBy("dist", "nbr"))
-    return found.withColumn("rk", place).where(F.col("rk") <= k)
+                x, ids = np.asarray(row.vecs).reshape(-1, dims), np.asarray(row.ids)
+                to_pivot = np.column_stack([_exact(x, pivots[c][None, :], metric) for c in cells])
+                bound = np.full(len(x), np.inf)
+                if len(x) > need:
+                    qi, _, d = _block_topk(x, ids, x, ids, need, metric, None)
+                    counts = np.bincount(qi, minlength=len(x))
+                    full = counts >= need
+                    bound[full] = d[np.cumsum(counts)[full] - 1]
+                # small block: walk cells by their farthest possible point until k others are covered
+                for i in np.flatnonzero(np.isinf(bound)):
+                    order = np.argsort(to_pivot[i] + far)
+                    enough = np.cumsum(held[order]) >= need + 1
+                    if enough.any():
+                        bound[i] = (to_pivot[i] + far)[order[np.argmax(enough)]]
+                slack = bound * (1 + 1e-12) + 1e-12
+                inner, outer = (to_pivot - slack[:, None]), (to_pivot + slack[:, None])
+                # of each cell the intervals of all locations, as few as they cover; a gap between them is no interest
+                wanted = [(int(c), *span) for j, c in enumerate(cells) for span in _merged(inner[:, j], outer[:, j], far[j])]
+                yield pd.DataFrame(
+                    {"source": [row.block], "bound": [bound], "wanted": [[{"cell": c, "inner": a, "outer": b} for c, a, b in wanted]]}
+                )
+
+    wanted = packed.select("block", "ids", "vecs").mapInPandas(
+        bounded, "source string, bound array<double>, wanted array<struct<cell:int,inner:double,outer:double>>"
+    )
+    wanted = cut_lineage(wanted)
+    reach = wanted.select("source", F.inline("wanted")).join(packed.select(F.col("block").alias("target"), "cell", "lo", "hi"), "cell")
+    pairs = reach.where((F.col("lo") <= F.col("outer")) & (F.col("inner") <= F.col("hi"))).select("source", "target").distinct()
+    left = packed.select(F.col("block").alias("source"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
+    right = packed.select(F.col("block").alias("target"), F.col("ids").alias("t_ids"), F.col("vecs").alias("t_vecs"))
+    work = pairs.join(left.join(wanted.select("source", "bound"), "source"), "source").join(right, "target")
+    return _compared(work, k, metric, dims, id_type)
+
+
+def _merged(inner: np.ndarray, outer: np.ndarray, far: float) -> list[tuple[float, float]]:
+    """The union of the intervals [inner, outer] that reach into [0, far], as disjoint ones."""
+    live = inner <= far
+    order = np.argsort(inner[live])
+    a, b = inner[live][order], np.maximum.accumulate(outer[live][order]) if live.any() else outer[live]
+    first = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]])) if len(a) else np.zeros(0, int)
+    last = np.append(first[1:], len(a)) - 1 if len(first) else first
+    return list(zip(a[first].tolist(), b[last].tolist()))
 
 
 def knn_graph(

@@ -43,7 +43,7 @@ def convert_tables(
 ) -> DataFrame:
     """Convert each CSV to snappy Parquet; one failing table does not stop the others.
 
-    ``single_line`` names tables without line breaks inside fields, whose files can be split. A
+    ``single_line`` names tables known to have no line breaks inside fields, which saves the scan for them. A
     table counts as converted only if as many rows come back as were read.
     """
     report = []
@@ -53,10 +53,9 @@ def convert_tables(
             report.append((table, "skipped", None, csv_bytes, size_bytes(spark, out), None))
             continue
         try:
-            multiline = table not in single_line
-            wide = 2 * spark.sparkContext.defaultParallelism if multiline or path.endswith(".gz") else None
             seen = Observation()
-            df = read_csv(spark, path, (schemas or {}).get(table), wide, multiline).observe(seen, F.count(F.lit(1)).alias("n"))
+            wide = 2 * spark.sparkContext.defaultParallelism
+            df = read_csv(spark, path, (schemas or {}).get(table), wide, False if table in single_line else None).observe(seen, F.count(F.lit(1)).alias("n"))
             df.write.mode("overwrite").option("compression", "snappy").parquet(out)
             rows = spark.read.parquet(out).count()
             if rows != seen.get["n"]:

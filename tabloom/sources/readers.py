@@ -6,6 +6,7 @@ import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import normalize_missing
@@ -34,18 +35,30 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return normalize_missing(spark.read.parquet(path))
 
 
+def has_broken_fields(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Whether some field holds a line break: then a line ends inside quotes, and holds an odd number of them."""
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return not spark.read.text(path if isinstance(path, str) else list(path)).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
     schema: T.StructType | str | None = None,
     partitions: int | None = None,
-    multiline: bool = True,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """Header CSV with quoted fields, doubled quotes and line breaks inside quotes.
 
-    ``multiline=False`` lets Spark split a file; it is right only where no field holds a line
-    break. Files read whole (and gzip) are spread out again over ``partitions``.
+    Files whose fields hold line breaks are read whole, by one task each; others are split. ``multiline``
+    says which, and without it a scan of the lines, itself split, finds out. Files read whole (and gzip)
+    are spread out again over ``partitions``.
     """
+    if multiline is None:
+        paths = [path] if isinstance(path, str) else list(path)
+        multiline = any(p.endswith(".gz") for p in paths) or has_broken_fields(spark, paths)
+    if not multiline and not (isinstance(path, str) and path.endswith(".gz")):
+        partitions = None
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path if isinstance(path, str) else list(path))
@@ -55,14 +68,13 @@ def read_csv(
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool | None = None
 ) -> DataFrame:
     """Read one path by its extension."""
     if path.endswith((".csv", ".csv.gz")):
         if not exists(spark, path):
             raise FileNotFoundError(path)
-        wide = 2 * spark.sparkContext.defaultParallelism if multiline or path.endswith(".gz") else None
-        return read_csv(spark, path, schema, wide, multiline)
+        return read_csv(spark, path, schema, 2 * spark.sparkContext.defaultParallelism, multiline)
     return read_parquet(spark, path)
 
 
@@ -78,7 +90,7 @@ def candidate_paths(root: str, name: str) -> list[str]:
 
 def resolve_table(
     spark: SparkSession, root: str, name: str, on_missing: str = "raise", schema: T.StructType | str | None = None,
-    multiline: bool = True,
+    multiline: bool | None = None,
 ) -> DataFrame | None:
     """Parquet if present, else CSV, else raise / warn / None according to ``on_missing``."""
     for path in candidate_paths(root, name):

@@ -138,3 +138,20 @@ def test_consensus(spark):
     df = spark.createDataFrame([(1, 1, 1, 0), (2, 1, 0, 0), (3, 1, 1, 1)], "k int, a_outlier int, b_outlier int, c_outlier int")
     got = {r.k: r.consensus_outlier for r in detectors.consensus_outliers(df, ["k"]).collect()}
     assert got == {1: 1, 2: 0, 3: 1}
+
+
+def test_intervals_merge():
+    got = neighbors._merged(np.array([0.5, 0.0, 3.0, 9.0]), np.array([1.0, 0.6, 4.0, 10.0]), 5.0)
+    assert got == [(0.0, 1.0), (3.0, 4.0)] and neighbors._merged(np.zeros(0), np.zeros(0), 1.0) == []
+
+
+def test_probing_each_query_visits_its_own_cells(spark, monkeypatch):
+    """Small blocks, several to a cell: all probes are exact, a few find nearly all neighbours."""
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 3)) + 6 * rng.integers(0, 4, 400)[:, None]
+    df = vectors(spark, x, list(range(400)))
+    exact = {(r.id, r.nbr) for r in neighbors.knn_graph(df, "id", "v", 4).collect()}
+    whole = {(r.id, r.nbr) for r in neighbors.knn_graph(df, "id", "v", 4, "ivf", probes=1000).collect()}
+    some = {(r.id, r.nbr) for r in neighbors.knn_graph(df, "id", "v", 4, "ivf", probes=3).collect()}
+    assert whole == exact and len(exact & some) >= 0.95 * len(exact)

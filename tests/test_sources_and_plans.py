@@ -187,3 +187,16 @@ def test_missing_values_and_names(spark):
     assert sum(r[1] is None for r in z) == 1
     pairs = {(r.x, r.y): (r.r, r.n) for r in associate.corr_matrix(df.withColumnRenamed("a.b", "a"), ["a", "c", "none"], "spearman", ["k"]).collect()}
     assert pairs["a", "c"] == (1.0, 7) and pairs["a", "none"] == (None, 0)
+
+
+def test_files_are_split_unless_a_field_holds_a_line_break(spark, tmp_path):
+    from tabloom.sources import readers
+
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    plain.write_text('k,v\n1,"a ""quoted"" word"\n2,b\n')
+    broken.write_text('k,v\n1,"two\nlines"\n2,b\n')
+    assert not readers.has_broken_fields(spark, str(plain)) and readers.has_broken_fields(spark, str(broken))
+    assert [r.v for r in readers.read_table(spark, str(plain)).orderBy("k").collect()] == ['a "quoted" word', "b"]
+    assert [r.v for r in readers.read_table(spark, str(broken)).orderBy("k").collect()] == ["two\nlines", "b"]
+    both = readers.read_csv(spark, [str(plain), str(broken)], "k int, v string")
+    assert sorted(r.v for r in both.collect()) == ['a "quoted" word', "b", "b", "two\nlines"]
