@@ -180,25 +180,18 @@ def fingerprints_and_classes(docs: DataFrame, id_col: str = "doc_id", text: str
 def block_edges(ids: DataFrame) -> DataFrame:
     """(low, next): the smallest id of each block and the id that follows it in descending order.
 
-    Blocks are compared inside groups of 2048 and the groups with each other, so no window holds
-    more than 1 / 2048**2 of the ids.
+    Blocks are ordered in ranges, which are written; a range says its largest id, and only these, a row for each
+    range, meet in one window, however the ids are spread.
     """
-    blocks = (
-        ids.filter(F.col("id").isNotNull())
-        .groupBy("block")
-        .agg(F.min("id").alias("low"), F.max("id").alias("high"))
-        .withColumn("group", F.shiftright("block", BLOCK_BITS))
-    )
-    groups = blocks.groupBy("group").agg(F.max("high").alias("top"))
-    over_groups = Window.partitionBy(F.lit(0)).orderBy("group")
+    blocks = ids.filter(F.col("id").isNotNull()).groupBy("block").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    ranged = cut_lineage(blocks.repartitionByRange("block").withColumn("range", F.spark_partition_id()))
+    ranges = ranged.groupBy("range").agg(F.max("high").alias("top"))
     whole = Window.partitionBy(F.lit(0))
-    groups = groups.select(
-        "group", F.coalesce(F.lag("top").over(over_groups), F.max("top").over(whole)).alias("below")
-    )
-    inner = Window.partitionBy("group").orderBy("block")
+    before = F.coalesce(F.lag("top").over(whole.orderBy("range")), F.max("top").over(whole))
+    inner = Window.partitionBy("range").orderBy("block")
     return (
-        blocks.withColumn("next", F.lag("high").over(inner))
-        .join(groups, "group")
+        ranged.withColumn("next", F.lag("high").over(inner))
+        .join(F.broadcast(ranges.select("range", before.alias("below"))), "range")
         .select("low", F.coalesce("next", "below").alias("next"))
     )
 

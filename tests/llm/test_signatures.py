@@ -343,3 +343,17 @@ def test_word_arrays_match_a_plain_split():
     for w, h in zip(plain, hashes.tolist(), strict=True):
         assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("spread", ["hashed", "dense", "repeated"])
+def test_the_following_document_for_any_ids(spark, spread):
+    """Blocks of ids in order, whether they hold one id or thousands."""
+    draw = random.Random(4)
+    ids = {"hashed": [draw.randrange(-(2**63), 2**63) for _ in range(3000)], "dense": list(range(9000)), "repeated": [7] * 4000 + list(range(100_000, 102_000))}[spread]
+    frame = spark.createDataFrame([(i, i >> fingerprint.BLOCK_BITS) for i in ids], "id long, block long").repartition(5)
+    got = {r["low"]: r["next"] for r in fingerprint.block_edges(frame).collect()}
+    lows = {}
+    for i in sorted(set(ids), reverse=True):
+        lows[i >> fingerprint.BLOCK_BITS] = i
+    order = sorted(set(ids))
+    assert got == {low: order[order.index(low) - 1] for low in lows.values()}
