@@ -989,25 +989,49 @@ def association_report(spark, d):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@add(
-    "anomaly_report",
-    f"""WITH {GAPS_SQL}, n AS (SELECT count(*) AS n, count(acct) AS full_rows, (SELECT count(*) FROM (SELECT DISTINCT c_mktsegment FROM gc)) AS segments FROM gc),
-v AS (SELECT unnest(['z_scores', 'quantile_ranks', 'rule_violations']) AS result, n AS n_rows FROM n
-  UNION ALL SELECT unnest(['mahalanobis_distance', 'knn_distance', 'anomaly_scores', 'consensus']), full_rows FROM n
-  UNION ALL SELECT unnest(['iqr_stats', 'box_stats', 'thresholds', 'consensus_counts']), 2 FROM n
-  UNION ALL SELECT 'rule_counts', 0 FROM n
-  UNION ALL SELECT 'joint_correlation', (segments + 2) * (segments + 3) / 2 FROM n UNION ALL SELECT 'mutual_information', (segments + 2) * (segments + 2) FROM n
-  UNION ALL SELECT 'joint_distribution_stats', (segments + 2) * (segments + 1) / 2 FROM n
-  UNION ALL SELECT 'skipped_columns', 1 FROM n)
-SELECT result, n_rows::BIGINT AS n_rows FROM v""",
-)
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+ENCODED = ["acct", "c_nationkey", *[f"s_{v}" for v in SEGMENTS]]
+
+ANOMALY_SQL = f"""WITH {GAPS_SQL}, n AS (SELECT count(*) AS n, count(acct) AS full_rows, (SELECT count(*) FROM (SELECT DISTINCT c_mktsegment FROM gc)) AS segments FROM gc),
+l AS (SELECT 'acct' AS feature, acct AS v FROM gc WHERE acct IS NOT NULL UNION ALL SELECT 'c_nationkey', c_nationkey FROM gc),
+u AS (SELECT feature, v, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS z, (rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0) / count(*) OVER w * 100 AS q
+  FROM l WINDOW w AS (PARTITION BY feature)),
+f AS (SELECT feature, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3, min(v) AS lo, max(v) AS hi FROM l GROUP BY 1),
+o AS (SELECT feature, q1, q2, q3, lo, hi, v, v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM l JOIN f USING (feature)),
+box AS (SELECT feature, any_value(q1) AS q1, any_value(q2) AS q2, any_value(q3) AS q3, count(*) FILTER (WHERE NOT inside) AS outside, min(v) FILTER (WHERE inside) AS a, max(v) FILTER (WHERE inside) AS b
+  FROM o GROUP BY 1),
+bins AS (SELECT feature, least(49, floor((v - lo) / (hi - lo) * 50)) AS bin, count(*) AS c FROM o GROUP BY 1, 2),
+en AS (SELECT acct, c_nationkey, {", ".join(f"(c_mktsegment = '{v}')::INT::DOUBLE AS s_{v}" for v in SEGMENTS)} FROM gc),
+r AS ({" UNION ALL ".join(f"SELECT corr({a}, {b}) AS r FROM en" for i, a in enumerate(ENCODED) for b in ENCODED[i:])}),
+v AS (SELECT unnest(['mahalanobis_distance', 'knn_distance', 'anomaly_scores', 'consensus']) AS result, full_rows AS n_rows, NULL AS total FROM n
+  UNION ALL SELECT 'rule_violations', n, NULL FROM n UNION ALL SELECT unnest(['thresholds', 'consensus_counts']), 2, NULL FROM n
+  UNION ALL SELECT 'rule_counts', 0, NULL FROM n UNION ALL SELECT 'top_pairs', 4, NULL FROM n UNION ALL SELECT 'skipped_columns', 1, NULL FROM n
+  UNION ALL SELECT 'mutual_information', (segments + 2) * (segments + 2), NULL FROM n UNION ALL SELECT 'joint_distribution_stats', (segments + 2) * (segments + 1) / 2, NULL FROM n
+  UNION ALL SELECT 'z_scores', n, (SELECT sum(abs(z)) FROM u) FROM n UNION ALL SELECT 'quantile_ranks', n, (SELECT sum(q * q) / 10000 FROM u) FROM n
+  UNION ALL SELECT 'iqr_stats', 2, (SELECT sum(q1 + q3 + outside) FROM box) FROM n UNION ALL SELECT 'box_stats', 2, (SELECT sum(q2 + a + b + outside) FROM box) FROM n
+  UNION ALL SELECT 'histograms', (SELECT count(*) FROM bins), (SELECT sum(c * (bin + 1)) FROM bins) FROM n
+  UNION ALL SELECT 'joint_correlation', (segments + 2) * (segments + 3) / 2, (SELECT sum(r) FROM r) FROM n)
+SELECT result, n_rows::BIGINT AS n_rows, round(total, 4) + 0.0 AS total FROM v"""
+
+
+@add("anomaly_report", ANOMALY_SQL)
 def anomaly_report(spark, d):
-    """Every result of the report, for a key of two columns; the results have queries of their own."""
+    """Every result of the report, for a key of two columns: its rows, and a sum of its values where SQL gives them."""
     df = gaps_customer(spark, d).select(F.col("c_custkey"), F.lit(1).alias("part"), "acct", "c_nationkey", "c_mktsegment", "c_name")
     out = reports.anomaly_report(df, ["c_custkey", "part"])
+    values = {
+        "z_scores": F.coalesce(F.abs("acct_zscore"), F.lit(0.0)) + F.abs("c_nationkey_zscore"),
+        "quantile_ranks": (F.coalesce(F.col("acct") * F.col("acct"), F.lit(0.0)) + F.col("c_nationkey") * F.col("c_nationkey")) / 10000,
+        "iqr_stats": F.col("q1") + F.col("q3") + F.col("outlier_count"),
+        "box_stats": F.col("median") + F.col("whisker_low") + F.col("whisker_high") + F.col("outlier_count"),
+        "histograms": F.col("n") * (F.col("bin") + 1),
+        "joint_correlation": F.col("r"),
+    }
     sized = [
-        frame.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("result"), "n_rows")
+        frame.agg(F.count(F.lit(1)).alias("n_rows"), r(F.sum(values[name]).cast("double"), 4).alias("total") if name in values else F.lit(None).cast("double").alias("total")).select(
+            F.lit(name).alias("result"), "n_rows", "total"
+        )
         for name, frame in out.items()
-        if name not in ("histograms", "top_pairs", "pair_density")  # as many rows as bins or pairs hold values
+        if name != "pair_density"  # as many rows as the pairs shown have cells
     ]
     return reduce(lambda a, b: a.unionByName(b), sized)
