@@ -32,6 +32,7 @@ MOST_GAP = LEAST_SEGMENT - 1  # one short segment
 REACH = 64
 PERCENT = 75
 SLICE_BYTES = 1 << 18
+BROADCAST_BYTES = 64 << 20
 U = np.uint64
 
 
@@ -94,8 +95,9 @@ def segment_rows(rows: DataFrame) -> DataFrame:
 def anchored_runs(rows: DataFrame) -> DataFrame:
     """(id, version, at, n, covered, rid, rversion, rat): runs of segments that an earlier place holds too."""
     found = cut_lineage(segment_rows(rows))
-    again = found.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1").select("key")
-    same = cut_lineage(found.join(again, "key", "left_semi"))
+    again = cut_lineage(found.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1").select("key"))
+    # a key takes some 50 bytes in a broadcast
+    same = cut_lineage(found.join(F.broadcast(again) if 50 * again.count() <= BROADCAST_BYTES else again, "key", "left_semi"))
     spot = F.struct("id", "version", "at")
     firsts = same.groupBy("key").agg(F.min(spot).alias("rep"))
     later = same.join(firsts, "key").where(~spot.eqNullSafe(F.col("rep")))
@@ -115,7 +117,8 @@ def surroundings(rows: DataFrame, runs: DataFrame) -> DataFrame:
     own = runs.select("id", "version", "at", "n")
     wanted = own.union(runs.select("rid", "rversion", "rat", "n")).distinct()
     grouped = cut_lineage(wanted.groupBy(F.col("id").alias("of"), F.col("version").alias("by")).agg(F.collect_list(F.struct("at", "n")).alias("runs")))
-    asked = rows.join(grouped, F.col("id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("by"))).select("id", "version", "text", "runs")
+    size = grouped.agg(F.sum(F.size("runs") * 16 + 64)).first()[0] or 0
+    asked = rows.join(F.broadcast(grouped) if size <= BROADCAST_BYTES else grouped, F.col("id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("by"))).select("id", "version", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
