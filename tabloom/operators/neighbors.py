@@ -2,8 +2,9 @@
 
 Exact search prunes with pivots: every location belongs to its nearest pivot, cells are cut
 into blocks of bounded size by distance to the pivot, and the triangle inequality says which
-blocks can still hold one of the k nearest locations of a query. Block pairs that survive are
-compared as matrices and give at most k rows per query, so no task holds more than two blocks.
+blocks can still hold one of the k nearest locations of a query. Blocks of queries are gathered in a
+bounded number of groups; a group keeps its running k nearest while the blocks it still needs pass by, compared as
+matrices. A block travels once to a group and not once to a block, and a query gives k rows in all.
 Rows at the same location are searched once, whatever their number.
 """
 
@@ -29,6 +30,8 @@ from .ranking import exact_quantiles
 BLOCK_ROWS = 2048
 PIVOTS = 1024  # cells of the first level; a cell's blocks are rings around its pivot and slices of those, as many as it needs
 QUERY_CHUNK = 256
+GROUPS = 48  # of queries: every location travels to at most as many, until a group would exceed GROUP_ROWS
+GROUP_ROWS = 1 << 15  # most locations of a group of queries, about
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -60,12 +63,12 @@ def _block_topk(
         rough = _distances(part, t, metric)
         rough[ids[:, None] == t_ids[None, :]] = np.inf
         scale = 1e-9 * (1.0 + float(np.max(rough[np.isfinite(rough)], initial=0.0)))
-        if t.shape[0] > k:
+        bound = None if limit is None else limit[lo : lo + QUERY_CHUNK]
+        if t.shape[0] > k and (bound is None or np.isinf(bound).any()):
             kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
         else:
             kth = np.full(len(part), np.inf)
-        if limit is not None:
-            bound = limit[lo : lo + QUERY_CHUNK]
+        if bound is not None:
             kth = np.minimum(kth, bound * bound if metric != "chebyshev" else bound)
         qi, ti = np.nonzero((rough <= kth[:, None] + scale) & np.isfinite(rough))
         if not len(qi):
@@ -137,34 +140,108 @@ def _blocks(assigned: DataFrame, rings: int = 64) -> DataFrame:
     return cut_lineage(sliced.select("rep", "vec", "cell", "radius", "near", block.alias("block")))
 
 
-def _packed(rows: DataFrame, by: str, id_type: str) -> DataFrame:
-    """(by, cell, lo, hi, ids, vecs): a row per block; ``rows`` (rep, vec, cell, radius, by) have at most about BLOCK_ROWS each."""
+def _vector_bytes(x: np.ndarray) -> bytes:
+    """The matrix in single precision where that loses nothing; ``_vectors`` tells by the length."""
+    small = x.astype(np.float32)
+    return (small if (small == x).all() else x).tobytes()
+
+
+def _vectors(data: bytes, n: int, dims: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if len(data) == 4 * n * dims else np.float64).reshape(n, dims).astype(np.float64)
+
+
+def _packed(rows: DataFrame, id_type: str) -> DataFrame:
+    """(block, cell, lo, hi, ids, vecs, near, visits): a row per block; blocks have at most about BLOCK_ROWS locations.
+
+    ``near`` are the cells that each location probes, ``visits`` the distinct ones.
+    """
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         x, r = as_matrix(pdf["vec"]), pdf["radius"]
+        near = np.array(pdf["near"].tolist(), dtype=np.int32)
         return pd.DataFrame(
-            {by: [pdf[by].iloc[0]], "cell": [pdf["cell"].iloc[0]], "lo": [r.min()], "hi": [r.max()], "ids": [pdf["rep"].to_numpy()], "vecs": [x.ravel()]}
+            {
+                "block": [pdf["block"].iloc[0]], "cell": [pdf["cell"].iloc[0]], "lo": [r.min()], "hi": [r.max()], "ids": [pdf["rep"].to_numpy()],
+                "vecs": [_vector_bytes(x)], "near": [near.tobytes()], "visits": [np.unique(near)],
+            }
         )
 
-    shape = f"{by} string, cell int, lo double, hi double, ids array<{id_type}>, vecs array<double>"
-    return rows.select(by, "rep", "vec", "cell", "radius").groupBy(by).applyInPandas(pack, shape)
+    shape = f"block string, cell int, lo double, hi double, ids array<{id_type}>, vecs binary, near binary, visits array<int>"
+    return rows.groupBy("block").applyInPandas(pack, shape)
+
+
+def _nearest(q_ids: np.ndarray, best: list[np.ndarray], fresh: tuple[np.ndarray, ...], k: int) -> list[np.ndarray]:
+    """The k first (query position, distance, target id) of each query of ``best`` and ``fresh`` together, sorted."""
+    qi, d, ti = (np.concatenate(c) for c in zip(best, fresh))
+    order = np.lexsort((ti, d, qi))
+    qi, d, ti = qi[order], d[order], ti[order]
+    first = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
+    keep = np.arange(len(qi)) - np.repeat(first, np.diff(np.r_[first, len(qi)])) < k
+    return [qi[keep], d[keep], ti[keep]]
 
 
-def _compared(work: DataFrame, k: int, metric: str, dims: int, id_type: str) -> DataFrame:
-    """(rep, nbr, dist, rk) of block pairs (q_ids, q_vecs, bound, t_ids, t_vecs)."""
+def _compared(packed: DataFrame, wanted: DataFrame, pairs: DataFrame, n: int, k: int, metric: str, dims: int, id_type: str, probing: bool) -> DataFrame:
+    """(rep, nbr, dist, rk): the k nearest of each location among the blocks that ``pairs`` (source, target) names.
+
+    ``wanted`` has the bound of each location of a block (source, bound). Blocks of queries form groups along their names, so
+    that a group's blocks lie in few cells. A task reads the queries of a group, then one target block after the other.
+    """
+    groups = max(1, min(GROUPS, -(-8 * n // BLOCK_ROWS)), -(-n // GROUP_ROWS))
+    # a row per block, without its vectors
+    sizes = cut_lineage(packed.select(F.col("block").alias("source"), "cell", F.size("ids").alias("m")))
+    upto = W.partitionBy(F.lit(0)).orderBy("cell", "source").rowsBetween(W.unboundedPreceding, -1)
+    place = F.floor(F.coalesce(F.sum("m").over(upto), F.lit(0)) * groups / n).cast("int")
+    member = cut_lineage(sizes.select("source", F.least(place, F.lit(groups - 1)).alias("grp")))
+    asked = pairs.join(member, "source").groupBy("grp", "target").agg(F.collect_set("source").alias("sources"))
+    none, no_bytes = F.lit(None), F.lit(None).cast("binary")
+    queries = packed.withColumnRenamed("block", "source").join(member, "source").join(wanted, "source").select(
+        "grp", F.lit(0).alias("kind"), F.col("source").alias("block"), "cell", "ids", "vecs", "near", "bound", none.cast("array<string>").alias("sources")
+    )
+    targets = packed.withColumnRenamed("block", "target").join(asked, "target").select(
+        "grp", F.lit(1).alias("kind"), F.col("target").alias("block"), "cell", "ids", "vecs", no_bytes.alias("near"),
+        none.cast("array<double>").alias("bound"), "sources",
+    )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, {}
+
+        def out() -> Iterator[pd.DataFrame]:
+            for g in held.values():
+                qi, d, ti = g["best"]
+                if len(qi):
+                    first = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
+                    rank = np.arange(len(qi)) - np.repeat(first, np.diff(np.r_[first, len(qi)])) + 1
+                    yield pd.DataFrame({"rep": g["ids"][qi], "nbr": ti, "dist": d, "rk": rank.astype("int32")})
+
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                q, t = np.asarray(row.q_vecs).reshape(-1, dims), np.asarray(row.t_vecs).reshape(-1, dims)
-                q_ids, t_ids = np.asarray(row.q_ids), np.asarray(row.t_ids)
-                limit = None if row.bound is None else np.asarray(row.bound)
-                qi, ti, d = _block_topk(q, q_ids, t, t_ids, k, metric, limit)
-                yield pd.DataFrame({"rep": q_ids[qi], "nbr": t_ids[ti], "dist": d})
-
-    found = work.select("q_ids", "q_vecs", "bound", "t_ids", "t_vecs").mapInPandas(compare, f"rep {id_type}, nbr {id_type}, dist double")
-    place = F.row_number().over(W.partitionBy("rep").orderBy("dist", "nbr"))
-    return found.withColumn("rk", place).where(F.col("rk") <= k)
+                if row.grp != now:
+                    yield from out()
+                    now, held = row.grp, {}
+                ids = np.asarray(row.ids)
+                x = _vectors(row.vecs, len(ids), dims)
+                if row.kind == 0:
+                    limit = np.full(len(ids), np.inf) if row.bound is None else np.asarray(row.bound, dtype=float)
+                    near = np.frombuffer(row.near, np.int32).reshape(len(ids), -1) if probing else None
+                    held[row.block] = {"ids": ids, "x": x, "limit": limit.copy(), "near": near, "best": [np.zeros(0, int), np.zeros(0), ids[:0]]}
+                    continue
+                for source in row.sources:
+                    g = held[source]
+                    some = np.arange(len(g["ids"])) if g["near"] is None else np.flatnonzero((g["near"] == row.cell).any(axis=1))
+                    if not len(some):
+                        continue
+                    qi, ti, d = _block_topk(g["x"][some], g["ids"][some], x, ids, k, metric, g["limit"][some])
+                    if len(qi):
+                        g["best"] = _nearest(g["ids"], g["best"], (some[qi], d, ids[ti]), k)
+                        at, dist, _ = g["best"]
+                        # with k in hand, the farthest of them is the limit
+                        counts = np.bincount(at, minlength=len(g["ids"]))
+                        full = counts == k
+                        g["limit"][full] = np.minimum(g["limit"][full], dist[np.cumsum(counts)[full] - 1])
+        yield from out()
+
+    work = queries.unionByName(targets).repartition(groups, "grp").sortWithinPartitions("grp", "kind")
+    return work.mapInPandas(compare, f"rep {id_type}, nbr {id_type}, dist double, rk int")
 
 
 def _search(
@@ -182,20 +259,17 @@ def _search(
     blocked = _blocks(_assign(locations.select("rep", "vec"), pivots, metric, id_type, probes or 0))
     dims = pivots.shape[1]
     if probes is not None:
-        return _probing(blocked, k, metric, dims, id_type)
+        return _probing(blocked, k, metric, n, dims, id_type)
     return _pruning(blocked, pivots, k, metric, n, dims, id_type)
 
 
-def _probing(blocked: DataFrame, k: int, metric: str, dims: int, id_type: str) -> DataFrame:
-    """Every location visits the blocks of its own nearest cells: queries are packed by the cell they visit."""
-    targets = cut_lineage(_packed(blocked, "block", id_type)).select("cell", F.col("ids").alias("t_ids"), F.col("vecs").alias("t_vecs"))
-    visits = blocked.select("rep", "vec", F.lit(0.0).alias("radius"), F.explode("near").alias("cell"))
-    sizes = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
-    # a row per cell
-    spread = visits.join(F.broadcast(sizes), "cell").withColumn("part", F.concat_ws(".", "cell", F.pmod(key_hash(["rep"], 13), F.col("parts"))))
-    queries = _packed(spread, "part", id_type).select("cell", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    work = queries.join(targets, "cell").withColumn("bound", F.lit(None).cast("array<double>"))
-    return _compared(work, k, metric, dims, id_type)
+def _probing(blocked: DataFrame, k: int, metric: str, n: int, dims: int, id_type: str) -> DataFrame:
+    """Every location visits the blocks of its own nearest cells."""
+    packed = cut_lineage(_packed(blocked, id_type))
+    visits = packed.select(F.col("block").alias("source"), F.explode("visits").alias("cell"))
+    pairs = visits.join(packed.select(F.col("block").alias("target"), "cell"), "cell").select("source", "target")
+    wanted = packed.select(F.col("block").alias("source"), F.lit(None).cast("array<double>").alias("bound"))
+    return _compared(packed, wanted, pairs, n, k, metric, dims, id_type, True)
 
 
 def _pruning(blocked: DataFrame, pivots: np.ndarray, k: int, metric: str, n: int, dims: int, id_type: str) -> DataFrame:
@@ -210,14 +284,15 @@ def _pruning(blocked: DataFrame, pivots: np.ndarray, k: int, metric: str, n: int
     far = np.array([r["far"] for r in sorted(found, key=lambda r: r["cell"])])
     held = np.array([r["n"] for r in sorted(found, key=lambda r: r["cell"])])
     shared = blocked.sparkSession.sparkContext.broadcast((cells, far, held, pivots))
-    packed = cut_lineage(_packed(blocked, "block", id_type))
+    packed = cut_lineage(_packed(blocked, id_type))
     need = min(k, n - 1)
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells, far, held, pivots = shared.value
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                x, ids = np.asarray(row.vecs).reshape(-1, dims), np.asarray(row.ids)
+                ids = np.asarray(row.ids)
+                x = _vectors(row.vecs, len(ids), dims)
                 to_pivot = np.column_stack([_exact(x, pivots[c][None, :], metric) for c in cells])
                 bound = np.full(len(x), np.inf)
                 if len(x) > need:
@@ -245,10 +320,7 @@ def _pruning(blocked: DataFrame, pivots: np.ndarray, k: int, metric: str, n: int
     wanted = cut_lineage(wanted)
     reach = wanted.select("source", F.inline("wanted")).join(packed.select(F.col("block").alias("target"), "cell", "lo", "hi"), "cell")
     pairs = reach.where((F.col("lo") <= F.col("outer")) & (F.col("inner") <= F.col("hi"))).select("source", "target").distinct()
-    left = packed.select(F.col("block").alias("source"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    right = packed.select(F.col("block").alias("target"), F.col("ids").alias("t_ids"), F.col("vecs").alias("t_vecs"))
-    work = pairs.join(left.join(wanted.select("source", "bound"), "source"), "source").join(right, "target")
-    return _compared(work, k, metric, dims, id_type)
+    return _compared(packed, wanted.select("source", "bound"), pairs, n, k, metric, dims, id_type, False)
 
 
 def _merged(inner: np.ndarray, outer: np.ndarray, far: float) -> list[tuple[float, float]]:

@@ -155,3 +155,23 @@ def test_probing_each_query_visits_its_own_cells(spark, monkeypatch):
     whole = {(r.id, r.nbr) for r in neighbors.knn_graph(df, "id", "v", 4, "ivf", probes=1000).collect()}
     some = {(r.id, r.nbr) for r in neighbors.knn_graph(df, "id", "v", 4, "ivf", probes=3).collect()}
     assert whole == exact and len(exact & some) >= 0.95 * len(exact)
+
+
+def test_search_keeps_its_neighbours_over_many_groups_and_sends_a_block_once_to_each(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neighbors, "GROUPS", 3)
+    sent = []
+    plain = neighbors._compared
+
+    def watched(packed, wanted, pairs, *rest):
+        sent.append((packed.count(), pairs.count()))
+        return plain(packed, wanted, pairs, *rest)
+
+    monkeypatch.setattr(neighbors, "_compared", watched)
+    x = np.random.default_rng(5).normal(size=(400, 8))
+    check(spark, x, np.arange(400), 7)
+    df = vectors(spark, x)
+    exact = neighbors.knn_graph(df, "id", "v", 7).orderBy("id", "rk").collect()
+    assert neighbors.knn_graph(df, "id", "v", 7, "ivf", probes=1 << 20).orderBy("id", "rk").collect() == exact
+    plan = neighbors.knn_graph(df, "id", "v", 7)._jdf.queryExecution().executedPlan().toString()
+    assert "grp" in plan and all(pairs > 3 * blocks for blocks, pairs in sent)
