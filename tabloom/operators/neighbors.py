@@ -32,6 +32,8 @@ PIVOTS = 1024  # cells of the first level; a cell's blocks are rings around its
 QUERY_CHUNK = 256
 GROUPS = 48  # of queries: every location travels to at most as many, until a group would exceed GROUP_ROWS
 GROUP_ROWS = 1 << 15  # most locations of a group of queries, about
+RECALL = 0.95  # what the probing search aims at where the number of probes is left open
+RECALL_ROWS = 512  # locations whose neighbours are searched by brute force to find that number
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -170,7 +172,7 @@ def _packed(rows: DataFrame, id_type: str) -> DataFrame:
     return rows.groupBy("block").applyInPandas(pack, shape)
 
 
-def _nearest(q_ids: np.ndarray, best: list[np.ndarray], fresh: tuple[np.ndarray, ...], k: int) -> list[np.ndarray]:
+def _nearest(best: list[np.ndarray], fresh: tuple[np.ndarray, ...], k: int) -> list[np.ndarray]:
     """The k first (query position, distance, target id) of each query of ``best`` and ``fresh`` together, sorted."""
     qi, d, ti = (np.concatenate(c) for c in zip(best, fresh))
     order = np.lexsort((ti, d, qi))
@@ -232,7 +234,7 @@ def _compared(packed: DataFrame, wanted: DataFrame, pairs: DataFrame, n: int, k:
                         continue
                     qi, ti, d = _block_topk(g["x"][some], g["ids"][some], x, ids, k, metric, g["limit"][some])
                     if len(qi):
-                        g["best"] = _nearest(g["ids"], g["best"], (some[qi], d, ids[ti]), k)
+                        g["best"] = _nearest(g["best"], (some[qi], d, ids[ti]), k)
                         at, dist, _ = g["best"]
                         # with k in hand, the farthest of them is the limit
                         counts = np.bincount(at, minlength=len(g["ids"]))
@@ -244,10 +246,39 @@ def _compared(packed: DataFrame, wanted: DataFrame, pairs: DataFrame, n: int, k:
     return work.mapInPandas(compare, f"rep {id_type}, nbr {id_type}, dist double, rk int")
 
 
+def _fitted_probes(assigned: DataFrame, pivots: np.ndarray, k: int, metric: str, seed: int, id_type: str) -> int:
+    """The fewest probes that find RECALL of the k nearest locations of RECALL_ROWS locations, searched by brute force among all."""
+    chosen = assigned.select("rep", "vec").orderBy(key_hash(["rep"], seed + 7), "rep").limit(RECALL_ROWS).collect()
+    ids, x = np.array([r["rep"] for r in chosen]), np.array([r["vec"] for r in chosen], dtype=float)
+    shared = assigned.sparkSession.sparkContext.broadcast((ids, x))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x = shared.value
+        best, cells = [np.zeros(0, int), np.zeros(0), ids[:0]], {}
+        for pdf in batches:
+            t_ids, cell = pdf["rep"].to_numpy(), pdf["cell"].to_numpy()
+            for lo in range(0, len(pdf), BLOCK_ROWS):
+                own = slice(lo, lo + BLOCK_ROWS)
+                qi, ti, d = _block_topk(x, ids, as_matrix(pdf["vec"].iloc[own]), t_ids[own], k, metric, None)
+                cells |= zip(t_ids[own][ti].tolist(), cell[own][ti].tolist())
+                best = _nearest(best, (qi, d, t_ids[own][ti]), k)
+        yield pd.DataFrame({"at": best[0].astype("int32"), "dist": best[1], "nbr": best[2], "cell": np.array([cells[i] for i in best[2].tolist()], "int32")})
+
+    found = assigned.select("rep", "vec", "cell").mapInPandas(compare, f"at int, dist double, nbr {id_type}, cell int")
+    place = F.row_number().over(W.partitionBy("at").orderBy("dist", "nbr"))
+    # at most RECALL_ROWS x k rows
+    edges = found.withColumn("rk", place).where(F.col("rk") <= k).select("at", "cell").collect()
+    if not edges:
+        return len(pivots)
+    at, cell = np.array([r["at"] for r in edges]), np.array([r["cell"] for r in edges])
+    rank = np.argsort(np.argsort(_distances(x, pivots, metric), axis=1, kind="stable"), axis=1)
+    return int(np.quantile(rank[at, cell], RECALL, method="higher")) + 1
+
+
 def _search(
     locations: DataFrame, k: int, metric: str, seed: int, n: int, probes: int | None, id_type: str
 ) -> DataFrame:
-    """(rep, nbr, dist, rk): up to k nearest other locations of every location."""
+    """(rep, nbr, dist, rk): up to k nearest other locations of every location; ``probes`` 0 fits their number, None is exact."""
     wanted = int(min(max(math.sqrt(n) / 4, 1), PIVOTS))
     chosen = locations.select("vec").orderBy(key_hash(["vec"], seed), "vec").limit(wanted).collect()
     pivots = np.array([r["vec"] for r in chosen], dtype=float)
@@ -256,6 +287,9 @@ def _search(
             locations.select(array_to_vector("vec").alias("_v"))
         )
         pivots = np.array(model.clusterCenters())
+    if probes == 0:
+        homes = cut_lineage(_assign(locations.select("rep", "vec"), pivots, metric, id_type, 0))
+        probes = _fitted_probes(homes, pivots, k, metric, seed, id_type)
     blocked = _blocks(_assign(locations.select("rep", "vec"), pivots, metric, id_type, probes or 0))
     dims = pivots.shape[1]
     if probes is not None:
@@ -339,14 +373,15 @@ def knn_graph(
     vec_col: str,
     k: int,
     method: str = "exact",
-    probes: int = 8,
+    probes: int | None = None,
     metric: str = "euclidean",
     seed: int = 42,
 ) -> DataFrame:
     """(id, nbr, dist, rk): the k nearest other rows, ties by neighbour id.
 
     ``method="ivf"`` visits only the ``probes`` nearest KMeans cells of each location and
-    may miss neighbours; "exact" never does.
+    may miss neighbours; "exact" never does. Without ``probes`` their number is the smallest that
+    finds RECALL of the true neighbours of a sample.
     """
     id_type = df.schema[id_col].dataType.simpleString()
     points = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
@@ -354,7 +389,7 @@ def knn_graph(
     n = locations.count()
     if n == 0:
         return points.select("id", F.col("id").alias("nbr"), F.lit(0.0).alias("dist"), F.lit(1).alias("rk")).limit(0)
-    reps = _search(locations, k, metric, seed, n, probes if method == "ivf" else None, id_type)
+    reps = _search(locations, k, metric, seed, n, (probes or 0) if method == "ivf" else None, id_type)
 
     if locations.where(F.size("ids") > 1).limit(1).count() == 0:
         # no two rows share a location, so locations are rows

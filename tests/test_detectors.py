@@ -175,3 +175,11 @@ def test_search_keeps_its_neighbours_over_many_groups_and_sends_a_block_once_to_
     assert neighbors.knn_graph(df, "id", "v", 7, "ivf", probes=1 << 20).orderBy("id", "rk").collect() == exact
     plan = neighbors.knn_graph(df, "id", "v", 7)._jdf.queryExecution().executedPlan().toString()
     assert "grp" in plan and all(pairs > 3 * blocks for blocks, pairs in sent)
+
+
+def test_probes_are_fitted_to_the_recall_where_no_cell_stands_out(spark):
+    x = np.random.default_rng(9).normal(size=(6000, 48))
+    df = vectors(spark, x / np.linalg.norm(x, axis=1)[:, None])
+    exact = neighbors.knn_graph(df, "id", "v", 5).select("id", "nbr")
+    found = neighbors.knn_graph(df, "id", "v", 5, "ivf").select("id", "nbr")
+    assert exact.intersect(found).count() >= 0.9 * exact.count()
