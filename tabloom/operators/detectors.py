@@ -72,19 +72,20 @@ def _average_path(n: np.ndarray) -> np.ndarray:
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """Nodes (node, feature, split, left, right, depth + average path of the leaf)."""
+    """Nodes (node, feature, split, left, right, depth + average path of the leaf, low, high); low and high hold the node's rows."""
     nodes, todo, fresh = [], [(0, np.arange(len(x)), 0)], 1
     while todo:
         node, rows, depth = todo.pop()
         part = x[rows]
+        box = (part.min(axis=0, initial=np.inf), part.max(axis=0, initial=-np.inf))  # a cut at the upper end leaves a node without rows
         spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(rows) > 1 else []
         if depth >= limit or len(spread) == 0:
-            nodes.append((node, -1, 0.0, -1, -1, depth + float(_average_path(len(rows)))))
+            nodes.append((node, -1, 0.0, -1, -1, depth + float(_average_path(len(rows))), *box))
             continue
         f = int(rng.choice(spread))
         cut = float(rng.uniform(part[:, f].min(), part[:, f].max()))
         left = part[:, f] <= cut
-        nodes.append((node, f, cut, fresh, fresh + 1, 0.0))
+        nodes.append((node, f, cut, fresh, fresh + 1, 0.0, *box))
         todo += [(fresh, rows[left], depth + 1), (fresh + 1, rows[~left], depth + 1)]
         fresh += 2
     return nodes
@@ -118,29 +119,61 @@ def isolation_trees(
         x = as_matrix(pdf["features"])
         limit = math.ceil(math.log2(max(len(x), 2)))
         nodes = _grow(x, np.random.default_rng([seed, tree]), limit)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "path"])
+        out = pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "path", "low", "high"])
         out.insert(0, "tree", tree)
         return out
 
     return chosen.groupBy("tree").applyInPandas(
-        grow, "tree int, node int, feature int, split double, left int, right int, path double"
+        grow, "tree int, node int, feature int, split double, left int, right int, path double, low array<double>, high array<double>"
     )
 
 
+def _path_beyond(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Expected path of rows outside the sample's range, as if each were in the sample.
+
+    A tree grown with the row draws its cuts from ranges that reach out to it, and a cut between the row and
+    the rest leaves it alone; how likely that is at a node follows from the ranges. Otherwise the row goes on as usual.
+    """
+    feature, split, left, right, path, low, high = tree
+    beyond = np.maximum(0.0, np.maximum(x - high[0], low[0] - x))
+    total, stays = np.zeros(len(x)), np.ones(len(x))
+    at, rows, depth = np.zeros(len(x), dtype=int), np.arange(len(x)), 0
+    while len(rows):
+        leaf = feature[at[rows]] < 0
+        done = rows[leaf]
+        total[done] += stays[done] * path[at[done]]
+        rows = rows[~leaf]
+        if not len(rows):
+            break
+        node, out = at[rows], beyond[rows]
+        width = high[node] - low[node] + out
+        drawn = (width > 0).sum(axis=1)
+        alone = np.divide(out, width, out=np.zeros_like(out), where=width > 0).sum(axis=1) / drawn
+        total[rows] += stays[rows] * alone * (depth + 1)
+        stays[rows] *= 1.0 - alone
+        at[rows] = np.where(x[rows, feature[node]] <= split[node], left[node], right[node])
+        depth += 1
+    return total
+
+
 def isolation_scores(matrix: DataFrame, keep: Sequence[str], nodes: DataFrame, sample_rows: int) -> DataFrame:
-    """``keep`` plus isolation_forest = -2^(-mean path / average path); lower is stranger."""
+    """``keep`` plus isolation_forest = -2^(-mean path / average path); lower is stranger.
+
+    Trees of a few hundred rows seldom hold the strangest of many; a row beyond a tree's sample is scored as if it were in it.
+    """
     # bounded by trees x (2 x sample - 1) rows
     table = nodes.toPandas().sort_values(["tree", "node"])
     packed = []
     for _, t in table.groupby("tree"):
-        packed.append(tuple(t[c].to_numpy() for c in ("feature", "split", "left", "right", "path")))
+        packed.append(tuple(t[c].to_numpy() for c in ("feature", "split", "left", "right", "path")) + tuple(as_matrix(t[c]) for c in ("low", "high")))
     shared = matrix.sparkSession.sparkContext.broadcast(packed)
     norm = float(_average_path(np.array(sample_rows)))
 
     def score(v: pd.Series) -> pd.Series:
         x = as_matrix(v)
         total, rows = np.zeros(len(x)), np.arange(len(x))
-        for feature, split, left, right, path in shared.value:
+        for tree in shared.value:
+            feature, split, left, right, path, low, high = tree
             at = np.zeros(len(x), dtype=int)
             open_rows = rows[feature[at] >= 0]
             while len(open_rows):
@@ -148,7 +181,11 @@ def isolation_scores(matrix: DataFrame, keep: Sequence[str], nodes: DataFrame, s
                 go_left = x[open_rows, feature[node]] <= split[node]
                 at[open_rows] = np.where(go_left, left[node], right[node])
                 open_rows = open_rows[feature[at[open_rows]] >= 0]
-            total += path[at]
+            found = path[at]
+            out = np.flatnonzero(((x < low[0]) | (x > high[0])).any(axis=1))
+            if len(out):
+                found[out] = _path_beyond(x[out], tree)
+            total += found
         mean = total / len(shared.value)
         return pd.Series(-np.exp2(-mean / norm) if norm > 0 else np.full(len(x), -0.5))
 

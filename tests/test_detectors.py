@@ -183,3 +183,14 @@ def test_probes_are_fitted_to_the_recall_where_no_cell_stands_out(spark):
     exact = neighbors.knn_graph(df, "id", "v", 5).select("id", "nbr")
     found = neighbors.knn_graph(df, "id", "v", 5, "ivf").select("id", "nbr")
     assert exact.intersect(found).count() >= 0.9 * exact.count()
+
+
+def test_isolation_ranks_a_row_first_that_no_tree_has_seen(spark):
+    rng = np.random.default_rng(11)
+    x = np.clip(rng.normal(size=(400, 3)), -2, 2)
+    seen = vectors(spark, np.vstack([x, [[2.0, 2.0, 2.0]]])).withColumnRenamed("v", "features")
+    far = vectors(spark, [[2.0, 2.0, 2.0], [3.0, 3.0, 3.0], [40.0, 40.0, 40.0]], [500, 501, 502]).withColumnRenamed("v", "features")
+    nodes = detectors.isolation_trees(seen, ["id"], 50, 64)
+    got = detectors.isolation_scores(seen.unionByName(far), ["id"], nodes, 64).toPandas().set_index("id").isolation_forest
+    assert got.idxmin() == 502 and got[502] < got[501] < got[500] - 1e-6
+    assert got[500] == got[400]
