@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -209,6 +210,7 @@ def isolation_forest(
 
 
 SCORE_BINS = 32
+LIFT_ROWS = 1024  # rows whose feature maps are held at once
 
 
 def one_class_svm(
@@ -238,25 +240,33 @@ def one_class_svm(
     omega = spark.sparkContext.broadcast(rng.normal(0.0, math.sqrt(2.0 * gamma), (d, components)))
     phase = rng.uniform(0.0, 2.0 * math.pi, components)
 
-    def lift(x: np.ndarray) -> np.ndarray:
-        return math.sqrt(2.0 / components) * np.cos(x @ omega.value + phase)
+    def lift(x: np.ndarray, kind: type = np.float64) -> np.ndarray:
+        z = x.astype(kind) @ omega.value.astype(kind)
+        z += phase.astype(kind)
+        np.cos(z, out=z)
+        z *= kind(math.sqrt(2.0 / components))
+        return z
 
     def bin_sums(w: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row counts and feature-map sums of each score bin."""
 
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # single precision here: the steps only lead to weights, which then score the rows in double
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = np.zeros((len(edges) + 1, components)), np.zeros(len(edges) + 1)
-            for pdf in batches:
-                if len(pdf):
-                    z = lift(as_matrix(pdf["features"]))
-                    at = np.searchsorted(edges, z @ w)
+            for batch in batches:
+                flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                for lo in range(0, len(flat), LIFT_ROWS):
+                    z = lift(flat[lo : lo + LIFT_ROWS], np.float32)
+                    at = np.searchsorted(edges, z @ w.astype(np.float32))
                     n += np.bincount(at, minlength=len(n))
-                    for k in np.unique(at):
-                        total[k] += z[at == k].sum(axis=0)
+                    inside = np.zeros((len(n), len(z)), np.float32)
+                    inside[at, np.arange(len(z))] = 1.0
+                    total += inside @ z
             for k in np.flatnonzero(n):
-                yield pd.DataFrame({"bin": np.int32(k), "j": np.arange(components, dtype="int32"), "s": total[k], "n": n[k]})
+                rows = [np.full(components, k, np.int32), np.arange(components, dtype=np.int32), total[k], np.full(components, n[k])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["bin", "j", "s", "n"])
 
-        parts = matrix.select("features").mapInPandas(sums, "bin int, j int, s double, n double")
+        parts = matrix.select("features").mapInArrow(sums, "bin int, j int, s double, n double")
         n, total = np.zeros(len(edges) + 1), np.zeros((len(edges) + 1, components))
         for r in parts.groupBy("bin", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect():
             total[r["bin"], r["j"]], n[r["bin"]] = r["s"], r["n"]

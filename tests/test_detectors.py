@@ -194,3 +194,12 @@ def test_isolation_ranks_a_row_first_that_no_tree_has_seen(spark):
     got = detectors.isolation_scores(seen.unionByName(far), ["id"], nodes, 64).toPandas().set_index("id").isolation_forest
     assert got.idxmin() == 502 and got[502] < got[501] < got[500] - 1e-6
     assert got[500] == got[400]
+
+
+def test_svm_steps_hold_few_feature_maps_at_once(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(500, 3))
+    df = vectors(spark, x).withColumnRenamed("v", "features")
+    whole = detectors.one_class_svm(df, ["id"], rounds=5).toPandas().sort_values("id").one_class_svm
+    monkeypatch.setattr(detectors, "LIFT_ROWS", 7)
+    parts = detectors.one_class_svm(df, ["id"], rounds=5).toPandas().sort_values("id").one_class_svm
+    assert np.allclose(whole, parts, atol=1e-4)
