@@ -16,14 +16,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import nan_is_missing
 from ..session import cut_lineage
 
-ROWS_PER_GROUP = 1 << 17
-MOST_RANGES = 256
+ROWS_PER_GROUP = 1 << 19
+MOST_RANGES = 512  # with the hot values' own ranges at most 1,024
 
 
 def weighted_inversions(first: np.ndarray, second: np.ndarray, weight: np.ndarray) -> float:
@@ -77,20 +78,28 @@ def _split(points: DataFrame, groups: DataFrame, limit: int, most: int) -> DataF
     largest = groups.agg(F.max("n")).first()[0]
     ranges = int(min(most, max(2, -(-2 * largest // limit))))
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    inside = points.join(groups.select("pair", "part"), ["pair", "part"])
+    inside = points.join(F.broadcast(groups.select("pair", "part")), ["pair", "part"])
     accuracy = F.lit(20 * ranges)
     edges = inside.groupBy("pair", "part").agg(F.percentile_approx("first", probs, accuracy).alias("ex"), F.percentile_approx("second", probs, accuracy).alias("ey"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, g in pdf.groupby(["pair", "part"], sort=False):
-                out = g[["pair", "part", "first", "second", "c"]].copy()
-                out["bx"] = _ranges(np.asarray(g["ex"].iloc[0]), g["first"].to_numpy())
-                out["by"] = _ranges(np.asarray(g["ey"].iloc[0]), g["second"].to_numpy())
-                yield out
+    # a row per group of more than ``limit`` points; rows do not carry the edges
+    cuts = {(r["pair"], r["part"]): (np.array(r["ex"]), np.array(r["ey"])) for r in edges.toLocalIterator()}
+    shared = points.sparkSession.sparkContext.broadcast(cuts)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, part, first, second = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "part", "first", "second")]
+            order = np.lexsort((part, pair))
+            starts = np.flatnonzero(np.r_[True, (np.diff(pair[order]) != 0) | (np.diff(part[order]) != 0)]) if len(order) else []
+            bx, by = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+            for rows in np.split(order, starts[1:]) if len(order) else []:
+                group = (int(pair[rows[0]]), int(part[rows[0]]))
+                ex, ey = shared.value[group]
+                bx[rows], by[rows] = _ranges(ex, first[rows]), _ranges(ey, second[rows])
+            names = ["pair", "part", "first", "second", "c"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(bx), pa.array(by)], names=[*names, "bx", "by"])
 
     schema = "pair int, part long, first double, second double, c double, bx int, by int"
-    return inside.join(cut_lineage(edges), ["pair", "part"]).mapInPandas(cut, schema)
+    return inside.select("pair", "part", "first", "second", "c").mapInArrow(cut, schema)
 
 
 def discordant(points: DataFrame, limit: int = ROWS_PER_GROUP, most: int = MOST_RANGES) -> DataFrame:

@@ -204,3 +204,16 @@ def test_contingency_of_many_columns(spark, monkeypatch, rows, cells):
         assert {(r.vx, r.vy): r.o for r in got if (r.i, r.j) == (i, j)} == table
     filled = S.contingency(df, cols[:2], "0.0").collect()
     assert sum(r.o for r in filled) == 400 and {r.vx for r in filled} == {"a", "b", "c", "0.0"}
+
+
+def test_kendall_rows_do_not_carry_the_edges_of_their_group(spark):
+    from tabloom.operators import kendall
+
+    points = spark.range(4000).selectExpr(
+        "CAST(id % 2 AS int) AS pair", "CAST(0 AS long) AS part", "CAST(id * 7919 % 4001 AS double) AS first", "CAST(id AS double) AS second", "1D AS c"
+    )
+    groups = points.groupBy("pair", "part").count().withColumnRenamed("count", "n")
+    cut = kendall._split(points, groups, 100, 16)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and cut.count() == 4000
+    assert cut.agg({"bx": "max"}).first()[0] == 15
