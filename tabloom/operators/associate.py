@@ -15,7 +15,7 @@ from ..functions.pvalues import chi2_pvalue, f_pvalue
 from ..session import cut_lineage
 from .gram import bounded, names, pearson_pairs
 from .kendall import kendall_pairs
-from .ranking import Ranking, ranked_cells, wide_ranks
+from .ranking import Ranking, ranked_cells, task_count, wide_ranks
 
 COUNTED_ROWS = 200_000  # rows whose level numbers a task holds before it counts them
 HELD_CELLS = 2_000_000
@@ -85,7 +85,7 @@ def _spearman_on_shared_rows(df: DataFrame, key: Sequence[str], pairs: list[tupl
     cells = ranked_cells(named, rankings, ids).withColumn("pair", F.expr("ranking div 2").cast("int"))
     left = F.col("ranking") % 2 == 0
     repeated = F.raise_error(F.lit(f"{', '.join(key)} names more than one row")).cast("double")
-    rows = cells.groupBy("pair", *ids).agg(
+    rows = cells.repartition(task_count(df, len(rankings)), "pair", *ids).groupBy("pair", *ids).agg(
         F.max(F.when(left, F.col("avg_rank"))).alias("rx"),
         F.when(F.count(F.lit(1)) > 2, repeated).otherwise(F.max(F.when(~left, F.col("avg_rank")))).alias("ry"),
     )

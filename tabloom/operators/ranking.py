@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..functions.missing import nan_is_missing, normalize_missing
 from ..session import cut_lineage, shuffle_width
 
-BUCKET_ROWS = 2_000_000  # about as many rows as one window task ranks
+BUCKET_ROWS = 500_000  # about as many rows as one window ranks, and cells as one task takes
 BRACKET_ERROR = 0.001  # rank error of the approximate quantiles around a wanted one
 BRACKET_ROWS = 5_000_000  # most values of one bracket that are ranked in one task
 
@@ -31,6 +31,11 @@ def bucket_count(df: DataFrame) -> int:
     return max(shuffle_width(df.sparkSession), 4, -(-df.count() // BUCKET_ROWS))
 
 
+def task_count(df: DataFrame, cells: int) -> int:
+    """Partitions for ``cells`` cells of each row: as many as the shuffle has, and more once the cells need them."""
+    return max(shuffle_width(df.sparkSession), -(-df.count() * cells // BUCKET_ROWS))
+
+
 def bucket_edges(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
     """Strictly increasing edges from -inf to +inf per column, near-equal in row counts."""
     buckets = buckets or bucket_count(df)
@@ -183,7 +188,8 @@ def ranked_cells(df: DataFrame, rankings: Sequence[Ranking], keep: Sequence[str]
     same = W.partitionBy("ranking", "bucket", *value)
     shown = [*keep, "ranking", (F.col("start") + F.col("first") + (F.col("ties") - 1) / 2).alias("avg_rank"), "ties", "n_valid"]
     hot = placed.where("alone").withColumn("first", F.lit(1)).withColumn("ties", F.col("n"))
-    rest = placed.where("NOT alone").withColumn("first", F.rank().over(inside)).withColumn("ties", F.count(F.lit(1)).over(same))
+    rest = placed.where("NOT alone").repartition(task_count(df, len(rankings)), "ranking", "bucket")
+    rest = rest.withColumn("first", F.rank().over(inside)).withColumn("ties", F.count(F.lit(1)).over(same))
     return hot.select(*shown).unionByName(rest.select(*shown))
 
 
@@ -205,7 +211,7 @@ def wide_ranks(
     mark = cells.select(*ids, "ranking", cell.alias("rank"))
     # a row without any value has no cell; this one keeps it, and tells a key of two rows
     rows = named.select(*ids, F.lit(-1).alias("ranking"), F.lit(None).cast("double").alias("rank"))
-    wide = mark.unionByName(rows).groupBy(*ids).agg(
+    wide = mark.unionByName(rows).repartition(task_count(df, len(cols) + 1), *ids).groupBy(*ids).agg(
         *[
             F.when(F.count(F.when(F.col("ranking") == -1, 1)) > 1, repeated).otherwise(F.max(F.when(F.col("ranking") == i, F.col("rank")))).alias(c)
             for i, c in enumerate(cols)

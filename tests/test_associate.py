@@ -217,3 +217,15 @@ def test_kendall_rows_do_not_carry_the_edges_of_their_group(spark):
     plan = cut._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in plan and cut.count() == 4000
     assert cut.agg({"bx": "max"}).first()[0] == 15
+
+
+def test_ranks_get_more_tasks_with_more_cells(spark, monkeypatch):
+    from tabloom.operators import ranking
+
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 100)
+    df = spark.range(2000).selectExpr("id AS k", "CAST(id * 7919 % 2003 AS double) AS a", "CAST(id % 7 AS double) AS b")
+    wide = ranking.wide_ranks(df, ["k"], ["a", "b"])
+    assert wide.rdd.getNumPartitions() == 60  # 2,000 rows, two cells and a mark each
+    got = wide.toPandas().set_index("k").sort_index()
+    pdf = df.toPandas().set_index("k")
+    assert np.allclose(got, pdf.rank())
