@@ -1,10 +1,12 @@
 """Flow-matching synthesizer on boosted trees grown level by level as Spark jobs.
 
 For every time level t (and label) the model learns the field X - Z at X_t = (1-t) Z + t X by boosted trees
-whose leaves hold a vector, one value for each output. The bins of X_t and the current residuals are a
-written table of blocks; a round grows one tree for every model, a job for each level of depth that adds the residuals
-into histograms, and writes the table anew without what the trees explain. No round depends on the number of
-rounds before it. Only splits reach the driver; the forest is a table by level and label.
+whose leaves hold a vector, one value for each output. The bins of X_t and the current residuals are blocks of a
+persisted RDD; a round grows one tree for every model, a job for each level of depth that adds the residuals
+into histograms. The first job of the next round also takes what the trees explain off the residuals. A checkpoint
+every CHECKPOINT_ROUNDS rounds keeps the lineage short, so no round depends on the number of rounds before it.
+These jobs are many and short: as RDD jobs they are spared the planning of a query. Only splits reach the driver; the
+forest is a table by level and label.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +32,11 @@ from .sampling import label_distribution
 
 GROUP_CUTS = 500_000  # best cuts of one level of depth that come to the driver; more models are grown in several groups
 GROUP_BYTES = 64 << 20  # trees of one round that are sent to tasks at once
-BLOCK = 4096  # rows of a block
+BLOCK = 4096  # rows of a block of samples
+STATE_BLOCK = 16_384  # rows of a block of the state
+HIST_BYTES = 32 << 20  # of histograms that a task holds at once
+DIRECT_BYTES = 8 << 20  # of all tasks' histograms that the driver adds up itself; larger ones are summed by a shuffle
+CHECKPOINT_ROUNDS = 10
 PART_BYTES = 128 << 20  # of the state in one task
 LEAST_PART_BYTES = 4 << 20
 LABEL_PARTS = 256
@@ -101,11 +108,19 @@ def bin_edges(t: float, bins: int) -> np.ndarray:
 
 def walk(feature: np.ndarray, cut: np.ndarray, binned: np.ndarray, depth: int) -> np.ndarray:
     """Node of each row after ``depth`` levels of a tree; a leaf (feature -1) keeps its rows."""
-    at, rows = np.zeros(len(binned), np.int64), np.arange(len(binned))
+    return walk_columns(feature, cut, np.ascontiguousarray(binned.T), depth)
+
+
+def walk_columns(feature: np.ndarray, cut: np.ndarray, columns: np.ndarray, depth: int) -> np.ndarray:
+    """``walk`` over bins [feature, row]."""
+    n, leaf = columns.shape[1], feature < 0
+    flat, rows = columns.ravel(), np.arange(n)
+    offset = np.maximum(feature, 0).astype(np.int64) * n
+    least = np.where(leaf, 255, cut).astype(np.uint8)  # no bin lies above 255: a leaf's rows never turn right
+    left = np.where(leaf, np.arange(len(feature)), 2 * np.arange(len(feature)) + 1)
+    at = np.zeros(n, np.int64)
     for _ in range(depth):
-        f = feature[at]
-        right = binned[rows, np.maximum(f, 0)] > cut[at]
-        at = np.where(f >= 0, 2 * at + 1 + right, at)
+        at = left.take(at) + (flat.take(offset.take(at) + rows) > least.take(at))
     return at
 
 
@@ -127,19 +142,26 @@ class Trees:
         return {m: i for i, m in enumerate(self.models)}
 
 
-def best_cut(hist: np.ndarray, l2: float) -> tuple[float, int, np.ndarray]:
-    """Gain and bin of the best cut of one feature's histogram [bin, 1 + output], and the sums left of it."""
-    left = np.cumsum(hist, axis=0)[:-1]
-    total = hist.sum(axis=0)
-    right = total - left
+def best_cuts(hist: np.ndarray, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one feature's histograms [1 + output, node, bin]: each node's best gain, its bin, the sums left of it and all sums."""
+    total = hist.sum(axis=2)
+    if hist.shape[2] < 2:
+        return np.full(total.shape[1], -np.inf), np.zeros(total.shape[1], np.int64), total, total
+    left = np.cumsum(hist, axis=2)[:, :, :-1]
+    right = total[:, :, None] - left
 
     def score(x: np.ndarray) -> np.ndarray:
-        n = x[:, 0] + l2
-        return np.where(n > 0, (x[:, 1:] ** 2).sum(axis=1) / np.where(n > 0, n, 1.0), 0.0)
+        n = x[0] + l2
+        return np.where(n > 0, (x[1:] ** 2).sum(axis=0) / np.where(n > 0, n, 1.0), 0.0)
+
+    gain = np.where((left[0] >= 1) & (right[0] >= 1), score(left) + score(right) - score(total)[:, None], -np.inf)
+    at, nodes = np.argmax(gain, axis=1), np.arange(gain.shape[0])
+    return gain[nodes, at], at, left[:, nodes, at], total
+
 
-    gain = np.where((left[:, 0] >= 1) & (right[:, 0] >= 1), score(left) + score(right) - score(total[None, :]), -np.inf)
-    at = int(np.argmax(gain)) if len(gain) else 0
-    return (float(gain[at]), at, left[at]) if len(gain) else (-np.inf, 0, total)
+def block_arrays(n: int, d: int, binned: bytes, residual: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and residuals of a block, [feature, row] both."""
+    return np.frombuffer(binned, np.uint8).reshape(d, n), np.frombuffer(residual, np.float32).reshape(d, n)
 
 
 @dataclass
@@ -182,15 +204,27 @@ class FlowSynthesizer:
         self.tree_seconds = []
         for low in range(0, n_labels, group):
             models = [(lab, level) for lab in range(low, min(low + group, n_labels)) for level in range(p.nt)]
-            own = (state, path) if group >= n_labels else self._written(spark, state.where(F.col("lab").between(low, low + group - 1)))
+            part = state if group >= n_labels else state.where(F.col("lab").between(low, low + group - 1))
+            own, before, files = part.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK), None, []
             for tree in range(p.trees):
                 began = time.perf_counter()
-                trees = self._grown(own[0], models)
+                trees = self._grown(own, models)
                 written.add(trees, tree)
+                if before is not None:
+                    before.unpersist()
+                if own.getCheckpointFile():
+                    files.append(own.getCheckpointFile())
+                for old in files[:-1]:
+                    drop_path(spark, old)
+                files = files[-1:]
                 if tree + 1 < p.trees:
-                    own = self._moved_on(*own, trees)
+                    before, own = own, self._moved_on(own, trees)
+                    if (tree + 1) % CHECKPOINT_ROUNDS == 0:
+                        own.checkpoint()
                 self.tree_seconds.append(time.perf_counter() - began)
-            drop_path(spark, own[1])
+            own.unpersist()
+            for old in files:
+                drop_path(spark, old)
         drop_path(spark, path)
         self.forest = cut_lineage(
             written.table()
@@ -201,7 +235,7 @@ class FlowSynthesizer:
         return self
 
     def _first_state(self, train: DataFrame, n_rows: int) -> tuple[DataFrame, str]:
-        """Blocks (lab, level, n, binned, residual): bins of X_t and the target field of up to BLOCK rows.
+        """Blocks (lab, level, n, binned, residual): bins of X_t and the target field of up to STATE_BLOCK rows, feature by feature.
 
         Every row comes ``n_noise`` times at each level. Rows are sorted by label and key, and cut into
         ranges of about PART_BYTES, so a task holds the histograms of one model at a time and a hot label has many tasks.
@@ -214,8 +248,8 @@ class FlowSynthesizer:
         def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for lab, part in pdf.groupby("lab", sort=True):
-                    for low in range(0, len(part), BLOCK):
-                        some = part.iloc[low : low + BLOCK]
+                    for low in range(0, len(part), STATE_BLOCK):
+                        some = part.iloc[low : low + STATE_BLOCK]
                         x, base = as_matrix(some["features"]), some["base"].to_numpy()
                         out = []
                         for rep in range(p.n_noise):
@@ -223,7 +257,7 @@ class FlowSynthesizer:
                             for level in range(p.nt):
                                 x_t, y_t = interpolate(x, z, p.level(level))
                                 binned = np.searchsorted(edges[level], x_t, side="left").astype(np.uint8)
-                                out.append((lab, level, len(x), binned.tobytes(), y_t.astype(np.float32).tobytes()))
+                                out.append((lab, level, len(x), binned.T.tobytes(), y_t.T.astype(np.float32).tobytes()))
                         yield pd.DataFrame(out, columns=["lab", "level", "n", "binned", "residual"])
 
         placed = train.repartitionByRange(int(parts), "lab", "base").sortWithinPartitions("lab", "base")
@@ -235,116 +269,103 @@ class FlowSynthesizer:
         state.write.parquet(path)
         return spark.read.schema(STATE).parquet(path), path
 
-    def _grown(self, state: DataFrame, models: list[tuple[int, int]]) -> Trees:
+    def _grown(self, state: RDD, models: list[tuple[int, int]]) -> Trees:
         """One tree for every model, a job for each level of depth: histograms of the residuals, summed by Spark."""
         p, d = self.params, self.dims
         trees = Trees.empty(models, p.depth, d)
         for depth in range(p.depth):
             first, grew = 2**depth - 1, False
-            best: dict[tuple[int, int], tuple] = {}
-            for r in self._cuts(state, trees, depth).toArrow().to_pylist():
-                at = (r["model"], r["node"])
-                if at not in best or (-r["gain"], r["feature"]) < (-best[at]["gain"], best[at]["feature"]):
-                    best[at] = r
-            for (model, node), r in best.items():
-                node += first
-                left, total = np.frombuffer(r["left"]), np.frombuffer(r["total"])
-                if depth == 0:
-                    trees.value[model, 0] = p.learning_rate * total[1:] / (total[0] + p.l2)
-                if not r["gain"] > 1e-9 * max(total[0], 1.0):
+            best: dict[int, list] = {}
+            for (model, feature), found in sorted(self._cuts(state, trees, depth)):
+                if model not in best:
+                    best[model] = [np.full(2**depth, feature), *found]
                     continue
-                right = total - left
-                trees.feature[model, node], trees.cut[model, node] = r["feature"], r["bin"]
-                trees.value[model, 2 * node + 1] = p.learning_rate * left[1:] / (left[0] + p.l2)
-                trees.value[model, 2 * node + 2] = p.learning_rate * right[1:] / (right[0] + p.l2)
-                grew = True
+                now = best[model]
+                more = found[0] > now[1]  # of equal gains the smallest feature
+                now[0][more] = feature
+                for old, new in zip(now[1:], found):
+                    old[..., more] = new[..., more]
+            for model, (feature, gain, at, left, total) in best.items():
+                if depth == 0:
+                    trees.value[model, 0] = p.learning_rate * total[1:, 0] / (total[0, 0] + p.l2)
+                for i in np.flatnonzero(gain > 1e-9 * np.maximum(total[0], 1.0)):
+                    node, right = first + i, total[:, i] - left[:, i]
+                    trees.feature[model, node], trees.cut[model, node] = feature[i], at[i]
+                    trees.value[model, 2 * node + 1] = p.learning_rate * left[1:, i] / (left[0, i] + p.l2)
+                    trees.value[model, 2 * node + 2] = p.learning_rate * right[1:] / (right[0] + p.l2)
+                    grew = True
             if not grew:
                 break
         return trees
 
-    def _cuts(self, state: DataFrame, trees: Trees, depth: int) -> DataFrame:
-        """(model, node, feature, gain, bin, left, total): the best cut of each feature of each open node."""
-        p, d = self.params, self.dims
-        nodes, bins, lo = 2**depth, p.bins, 2**depth - 1
-        shared = state.sparkSession.sparkContext.broadcast((trees.index(), trees.feature, trees.cut))
-
-        def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, feature, cut = shared.value
-            now, hist = None, None
-
-            def out() -> pa.RecordBatch:
-                node, f = np.nonzero(hist[:, :, :, 0].sum(axis=2))
-                return pa.RecordBatch.from_pydict(
-                    {
-                        "model": pa.array(np.full(len(node), now, np.int32)), "node": pa.array(node.astype(np.int32)),
-                        "feature": pa.array(f.astype(np.int32)), "hist": pa.array([hist[a, b].tobytes() for a, b in zip(node, f)], pa.binary()),
-                    }
-                )
+    def _cuts(self, state: RDD, trees: Trees, depth: int) -> list[tuple[tuple[int, int], tuple[np.ndarray, ...]]]:
+        """((model, feature), (gain, bin, left, total)): the best cut of a feature for each node of the level."""
+        d, l2, bins = self.dims, self.params.l2, self.params.bins
+        nodes, lo = 2**depth, 2**depth - 1
+        index, feature, cut = trees.index(), trees.feature, trees.cut
+        cells = nodes * bins
+        held = max(1, HIST_BYTES // (d * (1 + d) * cells * 8))  # models
 
-            for batch in batches:
-                for lab, level, n, binned, residual in zip(*[batch.column(c).to_pylist() for c in ("lab", "level", "n", "binned", "residual")]):
-                    model = index[lab, level]
-                    if model != now:
-                        if now is not None:
-                            yield out()
-                        now, hist = model, np.zeros((nodes, d, bins, 1 + d))
-                    x = np.frombuffer(binned, np.uint8).reshape(n, d)
-                    g = np.frombuffer(residual, np.float32).reshape(n, d)
-                    at = walk(feature[model], cut[model], x, depth) - lo
-                    live = at >= 0
-                    if not live.all():
-                        x, g, at = x[live], g[live], at[live]
+        def partials(blocks: Iterator[tuple]) -> Iterator[tuple[int, bytes]]:
+            sums: dict[int, np.ndarray] = {}
+
+            def out() -> Iterator[tuple[int, bytes]]:
+                for model, hist in sums.items():
                     for f in range(d):
-                        cell = at * bins + x[:, f]
-                        hist[:, f, :, 0] += np.bincount(cell, minlength=nodes * bins).reshape(nodes, bins)
-                        for o in range(d):
-                            hist[:, f, :, 1 + o] += np.bincount(cell, weights=g[:, o], minlength=nodes * bins).reshape(nodes, bins)
-            if now is not None:
-                yield out()
-
-        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, hist, best = None, None, []
-
-            def close() -> None:
-                gain, at, left = best_cut(hist, p.l2)
-                best.append((*now, gain, at, left.tobytes(), hist.sum(axis=0).tobytes()))
-
-            for batch in batches:  # sorted: the parts of a histogram, one for each task that has the model, follow each other
-                for *key, part in zip(*[batch.column(c).to_pylist() for c in ("model", "node", "feature", "hist")]):
-                    if key != now:
-                        if now is not None:
-                            close()
-                        now, hist = key, np.zeros((bins, 1 + d))
-                    hist += np.frombuffer(part).reshape(bins, 1 + d)
-            if now is not None:
-                close()
-            columns = list(zip(*best)) if best else [()] * 7
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["model", "node", "feature", "gain", "bin", "left", "total"])
-
-        parts = state.mapInArrow(partials, "model int, node int, feature int, hist binary")
-        schema = "model int, node int, feature int, gain double, bin int, left binary, total binary"
-        return parts.repartition("model", "node", "feature").sortWithinPartitions("model", "node", "feature").mapInArrow(summed, schema)
-
-    def _moved_on(self, state: DataFrame, path: str, trees: Trees) -> tuple[DataFrame, str]:
-        """The state after a round: what its trees explain is taken off the residuals; the old table goes."""
-        d, depth, spark = self.dims, self.params.depth, state.sparkSession
-        shared = spark.sparkContext.broadcast((trees.index(), trees.feature, trees.cut, trees.value))
-
-        def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, feature, cut, value = shared.value
-            for batch in batches:
-                left = []
-                for lab, level, n, binned, residual in zip(*[batch.column(c).to_pylist() for c in ("lab", "level", "n", "binned", "residual")]):
-                    model = index[lab, level]
-                    x = np.frombuffer(binned, np.uint8).reshape(n, d)
-                    leaf = walk(feature[model], cut[model], x, depth)
-                    left.append((np.frombuffer(residual, np.float32).reshape(n, d) - value[model][leaf]).tobytes())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(left, pa.binary())], names=batch.schema.names)
-
-        moved = self._written(spark, state.mapInArrow(update, STATE))
-        drop_path(spark, path)
-        return moved
+                        yield model * d + f, hist[f].tobytes()
+                sums.clear()
+
+            for lab, level, n, binned, residual in blocks:
+                model = index[lab, level]
+                if model not in sums:
+                    if len(sums) >= held:
+                        yield from out()
+                    sums[model] = np.zeros((d, 1 + d, cells))
+                hist = sums[model]
+                x, g = block_arrays(n, d, binned, residual)
+                at = walk_columns(feature[model], cut[model], x, depth) - lo
+                live = at >= 0
+                if not live.all():
+                    x, g, at = x[:, live], g[:, live], at[live]
+                at *= bins
+                g = g.astype(np.float64)
+                for f in range(d):
+                    cell = at + x[f]
+                    hist[f, 0] += np.bincount(cell, minlength=cells)
+                    for o in range(d):
+                        hist[f, 1 + o] += np.bincount(cell, weights=g[o], minlength=cells)
+            yield from out()
+
+        def summed(parts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[tuple[int, int], tuple[np.ndarray, ...]]]:
+            sums: dict[int, np.ndarray] = {}
+            for key, part in parts:
+                if key in sums:
+                    sums[key] += np.frombuffer(part)
+                else:
+                    sums[key] = np.frombuffer(part).copy()
+            for key, hist in sums.items():
+                yield divmod(key, d), best_cuts(hist.reshape(1 + d, nodes, bins), l2)
+
+        parts, keys = state.mapPartitions(partials), len(trees.models) * d
+        size = keys * (1 + d) * cells * 8
+        if size * state.getNumPartitions() <= DIRECT_BYTES:
+            return list(summed(iter(parts.collect())))
+        width = min(keys, max(state.ctx.defaultParallelism, size // HIST_BYTES))
+        return parts.partitionBy(width, int).mapPartitions(summed, True).collect()
+
+    def _moved_on(self, state: RDD, trees: Trees) -> RDD:
+        """The state after a round: what its trees explain is taken off the residuals; computed by the next job."""
+        d, depth = self.dims, self.params.depth
+        index, feature, cut, value = trees.index(), trees.feature, trees.cut, np.ascontiguousarray(trees.value.transpose(0, 2, 1))
+
+        def update(blocks: Iterator[tuple]) -> Iterator[tuple]:
+            for lab, level, n, binned, residual in blocks:
+                model = index[lab, level]
+                x, g = block_arrays(n, d, binned, residual)
+                leaf = walk_columns(feature[model], cut[model], x, depth)
+                yield lab, level, n, binned, (g - value[model].take(leaf, axis=1)).tobytes()
+
+        return state.mapPartitions(update, True).persist(StorageLevel.MEMORY_AND_DISK)
 
     # -- sampling -----------------------------------------------------------------------
 
@@ -414,11 +435,11 @@ class FlowSynthesizer:
                 moved = []
                 for x, feature, cut, value in zip(*[batch.column(c).to_pylist() for c in ("x", "feature", "cut", "value")]):
                     x = np.frombuffer(x).reshape(-1, d)
-                    binned = np.searchsorted(edges, x, side="left").astype(np.uint8)
+                    binned = np.ascontiguousarray(np.searchsorted(edges, x, side="left").astype(np.uint8).T)
                     field = np.zeros_like(x)
                     for f, c, v in zip(feature, cut, value):
                         f = np.frombuffer(f, np.int16)
-                        field += np.frombuffer(v, np.float32).reshape(len(f), d)[walk(f, np.frombuffer(c, np.uint8), binned, p.depth)]
+                        field += np.frombuffer(v, np.float32).reshape(len(f), d).take(walk_columns(f, np.frombuffer(c, np.uint8), binned, p.depth), axis=0)
                     moved.append((x + field / p.nt).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("lab"), batch.column("ids"), pa.array(moved, pa.binary())], names=["lab", "ids", "x"])
 

@@ -197,6 +197,23 @@ def test_late_trees_take_no_longer_than_early_ones(spark):
     assert all(len(r["feature"]) == 100 for r in model.forest.collect())
 
 
+@pytest.mark.parametrize("direct", [flow.DIRECT_BYTES, 0])
+def test_a_round_is_one_job_for_each_level_of_depth(spark, monkeypatch, direct):
+    """Whoever adds the histograms up; a checkpoint is one more job."""
+    monkeypatch.setattr(flow, "DIRECT_BYTES", direct)
+    monkeypatch.setattr(flow, "CHECKPOINT_ROUNDS", 3)
+    df, x = mixture(spark, 300)
+    sc, jobs, forests = spark.sparkContext, {}, {}
+    for trees in (2, 6):
+        sc.setJobGroup(f"{direct}_{trees}", "")
+        p = flow.FlowParams(nt=2, n_noise=2, trees=trees, depth=3, learning_rate=0.5, bins=16)
+        forests[trees] = flow.FlowSynthesizer(p).fit(df.repartition(3), ["k"]).forest.orderBy("level").collect()
+        jobs[trees] = len(sc.statusTracker().getJobIdsForGroup(f"{direct}_{trees}"))
+    sc._jsc.clearJobGroup()
+    assert jobs[6] - jobs[2] <= 4 * 3 + 1
+    assert all(a["feature"] == b["feature"][:2] and a["cut"] == b["cut"][:2] for a, b in zip(forests[2], forests[6]))
+
+
 def test_two_thousand_labels_in_several_groups(spark, monkeypatch):
     """Every label has its own trees; labels are drawn by their shares."""
     monkeypatch.setattr(flow, "GROUP_CUTS", 2400)
