@@ -11,7 +11,9 @@ compared byte by byte; of equal ones the first in the order of id, text hash and
 others go. Chunks overlap, so the kept copy may itself lose lines that a still earlier text holds:
 every line that goes has an equal one at an earlier place that stays.
 
-Only hashes travel for all chunks; texts travel for the chunks whose hash repeats.
+Only hashes travel for all chunks. Those whose hash repeats set two bits each in a filter of bounded size, and a second
+pass over the texts sends the bytes of the chunks the filter knows. It also lets some others pass, whose bytes
+are like no other's; no text travels whole.
 """
 
 from __future__ import annotations
@@ -30,8 +32,13 @@ LEAST_LINES = 2
 MOST_LINES = 32
 CUT_MASK = np.uint64(3)
 BROADCAST_SPANS = 500_000  # 24 bytes each; beyond it the spans are joined by a shuffle
+FILTER_BITS = (12, 27)  # log2 of the least and the greatest size of the filter, 16 MB
+FILTER_SHIFTS = (0, 32)  # of the version, for the two bits of a chunk
+BITS_A_CHUNK = 16
+HELD_BYTES = 256 << 10  # of text whose chunks' bytes are cut out at a time
 SPANS = "id long, version long, removed array<struct<first_line:int,n_lines:int,kept_id:bigint>>"
 CHUNKS = "id long, version long, chunk int, first_line int, n_lines int, hash long"
+HELD = CHUNKS + ", bytes string"
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +71,17 @@ def line_pairs(wordy: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.
     return lines[:-1][same], lines[1:][same]
 
 
-def chunk_batch(part: pa.RecordBatch) -> pa.RecordBatch:
+def known(bits: np.ndarray, version: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """Whether both bits of a chunk are set in the filter ``bits``, 64 to a word."""
+    high, out = np.uint64(64 * len(bits) - 1), np.ones(len(chunk), bool)
+    for shift in FILTER_SHIFTS:
+        at = ((version.view(np.uint64) >> np.uint64(shift)) ^ chunk.astype(np.uint64)) & high
+        out &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def chunk_batch(part: pa.RecordBatch, bits: np.ndarray | None = None) -> pa.RecordBatch:
+    """CHUNKS of the texts, or HELD of those that the filter ``bits`` knows."""
     data, offsets = tx.flat(part.column("text"))
     starts, ends, per_text = line_spans(data, offsets)
     hashes = tx.span_hash(data, starts, ends)
@@ -90,8 +107,12 @@ def chunk_batch(part: pa.RecordBatch) -> pa.RecordBatch:
     begin, finish = spans
     owner = np.repeat(np.arange(len(per_text)), per_text)[begin]
     number = np.arange(len(begin)) - np.searchsorted(owner, owner)
+    if bits is not None:
+        some = known(bits, part.column("version").to_numpy()[owner], number)
+        begin, finish, owner, number = begin[some], finish[some], owner[some], number[some]
     rows = pa.array(owner, pa.int64())
     hashed = tx.span_hash(data, starts[begin], ends[finish])
+    more = [] if bits is None else [tx.span_texts(data, starts[begin], ends[finish])]
     return pa.RecordBatch.from_arrays(
         [
             part.column("id").take(rows),
@@ -100,8 +121,9 @@ def chunk_batch(part: pa.RecordBatch) -> pa.RecordBatch:
             pa.array(begin - (np.cumsum(per_text) - per_text)[owner], pa.int32()),
             pa.array(finish - begin + 1, pa.int32()),
             pa.array(hashed.view(np.int64)),
+            *more,
         ],
-        names=[c.split(" ")[0] for c in CHUNKS.split(", ")],
+        names=[c.split(" ")[0] for c in (HELD if more else CHUNKS).split(", ")],
     )
 
 
@@ -116,6 +138,30 @@ def chunk_rows(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, CHUNKS)
 
 
+def filter_of(chunks: DataFrame, n: int) -> np.ndarray:
+    """The filter with both bits of each of the ``n`` rows (version, chunk) set, or'ed by Spark word by word."""
+    size = 1 << min(max((BITS_A_CHUNK * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    at = [F.shiftrightunsigned("version", s).bitwiseXOR(F.col("chunk").cast("long")).bitwiseAND(F.lit(size - 1)) for s in FILTER_SHIFTS]
+    places = chunks.select(F.explode(F.array(*at)).alias("at"))
+    bit = F.expr("shiftleft(1L, CAST(at & 63 AS INT))")
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits.view(np.uint64)
+
+
+def held_rows(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """HELD of (id, version, text): the chunks that the filter knows, with their bytes."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.pieces(batch, "text", HELD_BYTES):
+                yield chunk_batch(part, shared.value)
+
+    return rows.mapInArrow(run, HELD)
+
+
 def disjoint(spans: list[dict]) -> list[dict]:
     """The lines of sorted spans as runs that share no line; a line counts for the first span that holds it."""
     runs: list[dict] = []
@@ -149,23 +195,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(t).alias("version"), t.alias("text"))
-    chunks = cut_lineage(chunk_rows(rows).distinct())
+    # rows of one id and text come more than once here; a chunk that only they repeat has one place and stays
+    chunks = cut_lineage(chunk_rows(rows).select("version", "chunk", "hash"))
     again = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    place = F.struct("chunk", "first_line", "n_lines", "hash")
-    spans = cut_lineage(
-        chunks.join(again, "hash").groupBy(F.col("id").alias("of"), F.col("version").alias("at")).agg(F.collect_list(place).alias("spans"))
-    )
-    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS
-    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("at"))
-    found = rows.join(F.broadcast(spans) if few else spans, same)
-    lines = found.select("id", "version", F.split("text", "\n").alias("lines"), "spans")
-    bytes_of = F.transform(
-        "spans", lambda s: F.struct(s.alias("s"), F.array_join(F.slice("lines", s["first_line"] + 1, s["n_lines"]), "\n").alias("bytes"))
-    )
-    held = cut_lineage(lines.select("id", "version", F.explode(bytes_of).alias("c")).select("id", "version", "c.s.*", "c.bytes"))
+    repeated = cut_lineage(chunks.join(again, "hash").select("version", "chunk"))
+    held = cut_lineage(held_rows(rows, filter_of(repeated, repeated.count())))
     spot = F.struct("id", "version", "chunk")
-    kept = held.groupBy(F.col("hash").alias("h"), F.col("bytes").alias("b")).agg(F.min(spot).alias("kept"))
-    later = held.join(kept, (F.col("hash") == F.col("h")) & (F.col("bytes") == F.col("b"))).filter(~spot.eqNullSafe(F.col("kept")))
+    kept = held.groupBy(F.xxhash64("bytes").alias("h"), F.col("bytes").alias("b")).agg(F.min(spot).alias("kept"))
+    later = held.join(kept, (F.xxhash64("bytes") == F.col("h")) & (F.col("bytes") == F.col("b"))).filter(~spot.eqNullSafe(F.col("kept")))
     span = F.struct("first_line", "n_lines", F.col("kept.id").alias("kept_id"))
     gone = later.groupBy("id", "version").agg(F.sort_array(F.collect_set(span)).alias("removed"))
     return gone.mapInArrow(disjoint_rows, SPANS)

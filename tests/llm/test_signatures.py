@@ -224,6 +224,21 @@ def test_every_removed_line_stays_somewhere_earlier(spark):
     assert got == {1: "a\nb", 2: "c", 3: "z\ny", 4: "", 5: "x"}
 
 
+@pytest.mark.parametrize("bits", [(12, 27), (6, 6)])
+def test_only_repeated_chunks_travel_and_a_full_filter_changes_nothing(documents, texts, monkeypatch, bits):
+    """The texts are never joined by a shuffle: a chunk's bytes are sent if the filter knows its place."""
+    monkeypatch.setattr(line_chunks, "FILTER_BITS", bits)
+    sent, plain = [], line_chunks.held_rows
+    monkeypatch.setattr(line_chunks, "held_rows", lambda *a: sent.append(plain(*a)) or sent[-1])
+    got = {r["doc_id"]: r["text"] for r in line_chunks.remove_repeated_lines(documents).collect()}
+    assert got == brute_lines(sorted(texts.items()))
+    rows = documents.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"), "text").filter("text IS NOT NULL")
+    chunks = line_chunks.chunk_rows(rows)
+    again = chunks.groupBy("hash").count().filter("count > 1")
+    n, repeated = chunks.count(), chunks.join(again, "hash", "left_semi").count()
+    assert repeated <= sent[0].count() <= (n if bits == (6, 6) else repeated + 0.05 * n)
+
+
 def test_equal_hashes_need_equal_bytes(documents, monkeypatch):
     """With a constant hash all chunks collide; the byte comparison still tells them apart."""
     docs = documents.limit(20).select("doc_id", "text")
