@@ -35,7 +35,7 @@ BROADCAST_SPANS = 500_000  # 24 bytes each; beyond it the spans are joined by a
 FILTER_BITS = (12, 27)  # log2 of the least and the greatest size of the filter, 16 MB
 FILTER_SHIFTS = (0, 32)  # of the version, for the two bits of a chunk
 BITS_A_CHUNK = 16
-HELD_BYTES = 256 << 10  # of text whose chunks' bytes are cut out at a time
+SLICE_BYTES = 256 << 10  # of text whose chunks a task holds at once
 SPANS = "id long, version long, removed array<struct<first_line:int,n_lines:int,kept_id:bigint>>"
 CHUNKS = "id long, version long, chunk int, first_line int, n_lines int, hash long"
 HELD = CHUNKS + ", bytes string"
@@ -132,7 +132,7 @@ def chunk_rows(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.pieces(batch, "text"):
+            for part in tx.pieces(batch, "text", SLICE_BYTES):
                 yield chunk_batch(part)
 
     return rows.mapInArrow(run, CHUNKS)
@@ -156,7 +156,7 @@ def held_rows(rows: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.pieces(batch, "text", HELD_BYTES):
+            for part in tx.pieces(batch, "text", SLICE_BYTES):
                 yield chunk_batch(part, shared.value)
 
     return rows.mapInArrow(run, HELD)

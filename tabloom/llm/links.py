@@ -17,6 +17,7 @@ from tabloom.llm import text as tx
 from tabloom.session import cut_lineage
 
 BROADCAST_IDS = 1_000_000  # 8 MB of ids at most; beyond it the ids are joined by a shuffle
+SLICE_BYTES = 256 << 10  # of text whose shingles a task holds at once
 PERCENT = 75
 GROUP_BLOCK = 4096
 SENT_PAIRS = 2_000_000
@@ -59,7 +60,7 @@ def similar(
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rep, rep_set = None, None
         for batch in batches:
-            for part in tx.pieces(batch, "node_text"):
+            for part in tx.pieces(batch, "node_text", SLICE_BYTES):
                 nodes, reps = part.column("node").to_pylist(), part.column("rep").to_pylist()
                 keep = []
                 for i, own in enumerate(tx.shingle_sets(part.column("node_text"), width)):

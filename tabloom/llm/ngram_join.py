@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm import text as tx
-from tabloom.llm.links import BROADCAST_IDS, closed_links, components, paired_texts, similar, sketch
+from tabloom.llm.links import BROADCAST_IDS, SLICE_BYTES, closed_links, components, paired_texts, similar, sketch
 from tabloom.session import cut_lineage
 
 WIDTH = 5
 PERCENT = 75
 BAND = 16
 LEAST_PARTITIONS = 256
-COMMON_BATCH = 2_000_000  # features counted together in a task
+COMMON_BATCH = 1_000_000  # features counted together in a task
 COMMON_DOCS = 2
 COMMON_KEPT = 500_000  # features of the order's tail, 4 MB
 BUCKETS = 1024
@@ -98,42 +98,47 @@ def signatures(values: np.ndarray, common: np.ndarray, percent: int = PERCENT) -
     return np.concatenate(out).view(np.int64)
 
 
+DESCRIBED = {"id": pa.int64(), "version": pa.int64(), "n_shingles": pa.int64(), "key": pa.int64(), "sketch": pa.binary(), "feature": pa.int64(), "n": pa.int64()}
+
+
 def described(docs: DataFrame) -> DataFrame:
     """From (id, version, text): rows (id, version, n_shingles, key, sketch) and rows (feature, n) of features met again."""
+    return docs.mapInArrow(describe, "id long, version long, n_shingles long, key long, sketch binary, feature long, n long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[np.ndarray] = []
-        total = 0
-
-        def often(held: list[np.ndarray]) -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held or [np.zeros(0, U)]), return_counts=True)
-            many = counts >= COMMON_DOCS
-            return batch_of(feature=values[many].view(np.int64), n=counts[many].astype(np.int64))
 
-        for batch in batches:
-            for part in tx.pieces(batch, "text"):
-                sets = tx.shingle_sets(part.column("text"), WIDTH)
-                keys = [set_key(s) for s in sets]
-                yield batch_of(id=part.column("id"), version=part.column("version"), n_shingles=np.array([len(s) for s in sets], np.int64), key=np.array(keys, np.int64), sketch=[sketch(s, BUCKETS) for s in sets])
-                for key, values in zip(keys, sets, strict=True):
-                    if key not in seen:
-                        seen.add(key)
-                        held.append(values)
-                        total += len(values)
-                if total >= COMMON_BATCH:
-                    yield often(held)
-                    held, total = [], 0
-        yield often(held)
+def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
+    held: list[np.ndarray] = []
+    total = 0
 
-    kinds = {"id": pa.int64(), "version": pa.int64(), "n_shingles": pa.int64(), "key": pa.int64(), "sketch": pa.binary(), "feature": pa.int64(), "n": pa.int64()}
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        values = np.concatenate(held or [np.zeros(0, U)])
+        held.clear()
+        values.sort()
+        starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+        counts = np.diff(starts, append=len(values))
+        many = counts >= COMMON_DOCS
+        return batch_of(feature=values[starts[many]].view(np.int64), n=counts[many].astype(np.int64))
 
     def batch_of(**given) -> pa.RecordBatch:
         rows = len(next(iter(given.values())))
-        arrays = [pa.array(given[c], kind) if c in given else pa.nulls(rows, kind) for c, kind in kinds.items()]
-        return pa.RecordBatch.from_arrays(arrays, names=list(kinds))
-
-    return docs.mapInArrow(run, "id long, version long, n_shingles long, key long, sketch binary, feature long, n long")
+        arrays = [pa.array(given[c], kind) if c in given else pa.nulls(rows, kind) for c, kind in DESCRIBED.items()]
+        return pa.RecordBatch.from_arrays(arrays, names=list(DESCRIBED))
+
+    for batch in batches:
+        for part in tx.pieces(batch, "text", SLICE_BYTES):
+            sets = tx.shingle_sets(part.column("text"), WIDTH)
+            keys = [set_key(s) for s in sets]
+            yield batch_of(id=part.column("id"), version=part.column("version"), n_shingles=np.array([len(s) for s in sets], np.int64), key=np.array(keys, np.int64), sketch=[sketch(s, BUCKETS) for s in sets])
+            for key, values in zip(keys, sets, strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    held.append(values)
+                    total += len(values)
+            if total >= COMMON_BATCH:
+                yield often(held)
+                total = 0
+    yield often(held)
 
 
 def common_features(facts: DataFrame) -> np.ndarray:
@@ -156,7 +161,7 @@ def signature_rows(docs: DataFrame, last: np.ndarray, percent: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in tx.pieces(batch, "text"):
+            for part in tx.pieces(batch, "text", SLICE_BYTES):
                 sigs, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for values in tx.shingle_sets(part.column("text"), WIDTH):
                     key = set_key(values)

@@ -239,6 +239,22 @@ def test_only_repeated_chunks_travel_and_a_full_filter_changes_nothing(documents
     assert repeated <= sent[0].count() <= (n if bits == (6, 6) else repeated + 0.05 * n)
 
 
+def test_tasks_of_the_text_stages_hold_little():
+    """Peak of what the first tasks of the n-gram join and the line dedup allocate over 6 MB of text, beside the text."""
+    import tracemalloc
+
+    draw = random.Random(4)
+    body = ["\n".join(" ".join(str(draw.randrange(10**6)) for _ in range(12)) for _ in range(25)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(3000)), "version": pa.array(range(3000)), "text": pa.array(body)})
+    chunked = lambda b: (line_chunks.chunk_batch(p) for p in tx.pieces(b, "text", line_chunks.SLICE_BYTES))
+    for run in (lambda: ngram_join.describe(iter([batch])), lambda: chunked(batch)):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in run()) >= 3000
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 45e6
+
+
 def test_equal_hashes_need_equal_bytes(documents, monkeypatch):
     """With a constant hash all chunks collide; the byte comparison still tells them apart."""
     docs = documents.limit(20).select("doc_id", "text")
