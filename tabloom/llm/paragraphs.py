@@ -255,15 +255,18 @@ def remove_repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: st
     same = docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col(at))
     joined = docs.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, same, "left")
 
-    @F.arrow_udf("string")
     def cleaned(texts: pa.Array, removed: pa.Array) -> pa.Array:
-        rows = zip(texts.to_pylist(), removed.to_pylist(), strict=True)
+        rows = zip(texts, removed, strict=True)  # one row at a time as Python objects
+        found = ((x.as_py(), r.as_py()) for x, r in rows)
         return pa.array(
-            [x if x is None or r is None else without_repeats(x, r["lines"], [(s["first_word"], s["n_words"]) for s in r["spans"]]) for x, r in rows],
+            [x if x is None or r is None else without_repeats(x, r["lines"], [(s["first_word"], s["n_words"]) for s in r["spans"]]) for x, r in found],
             pa.string(),
         )
 
-    clean = F.when(F.col(what).isNull(), t).otherwise(cleaned(t, F.col(what)))
+    # only texts that lose something go to Python, and filters on the new text do not make it twice
+    loses = F.col(what).isNotNull()
+    once = F.arrow_udf(cleaned, "string").asNondeterministic()
+    clean = F.when(loses, once(F.when(loses, t), F.col(what))).otherwise(t)
     return joined.select(*[clean.alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns])
 
 

@@ -5,11 +5,15 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
+from tabloom import session
 from tabloom.llm import paragraphs, passages, text
 
-from .conftest import words_of
+from .conftest import PASSAGE, words_of
 
 FILLER = [f"{a}{b}{c}" for a in ("ba", "do", "ki", "lu", "me") for b in ("ra", "st", "un", "vi") for c in ("", "el", "os", "ix")]
 
@@ -161,3 +165,25 @@ def test_stages_keep_columns_of_any_name(spark, stage):
     out = corpus_pipeline.STAGES[stage][1](spark, docs, "/root/testdata/sf0.001")
     assert out.columns == docs.columns
     assert all(tuple(r)[5:] == tuple(range(len(names))) for r in out.collect()) and out.count() > 0
+
+
+def test_a_batch_of_long_texts_is_bounded(spark):
+    """The written tables of an operator come from batches of a few MB, however long the texts; the session's limits stay."""
+    texts = spark.range(40, numPartitions=1).select(F.repeat(F.lit("word "), 200_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+    before = spark.conf.get(session.BATCH_CONF)
+    most = session.cut_lineage(texts.mapInArrow(sizes, "n long")).agg(F.max("n")).first()[0]
+    assert most <= session.BATCH_BYTES + 1_100_000
+    assert spark.conf.get(session.BATCH_CONF) == before
+
+
+def test_removal_makes_each_text_once(spark):
+    docs = spark.createDataFrame([(1, "head\n" + PASSAGE), (2, "other\n" + PASSAGE + "\ntail"), (3, None), (4, "")], "doc_id long, text string")
+    out = corpus_pipeline.paragraph_stage(spark, docs, "")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    left = {r.doc_id: r.text for r in out.collect()}
+    assert left == {1: "head\n" + PASSAGE, 2: "other\ntail", 3: None, 4: ""}
