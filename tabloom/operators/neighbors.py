@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -367,6 +367,11 @@ def _merged(inner: np.ndarray, outer: np.ndarray, far: float) -> list[tuple[floa
     return list(zip(a[first].tolist(), b[last].tolist()))
 
 
+def _ids_at(dist: Column, ids: Column) -> Column:
+    """An array of (dist, nbr), one for each of ``ids``."""
+    return F.transform(ids, lambda i: F.struct(dist.alias("dist"), i.alias("nbr")))
+
+
 def knn_graph(
     df: DataFrame,
     id_col: str,
@@ -396,20 +401,18 @@ def knn_graph(
         return reps.select(F.col("rep").alias("id"), "nbr", "dist", "rk")
 
     # the k+1 nearest ids of a location: its own ids at distance 0, then ids of near locations
+    reps = cut_lineage(reps)  # the hot keys and the join read it
     ids = locations.select("rep", "ids")
     hot_reps = hot_keys(reps.select(F.col("nbr").alias("rep")), ["rep"])
     near = skew_safe_left_join(
         reps.select(F.col("rep").alias("at"), F.col("nbr").alias("rep"), "dist"), ids, ["rep"], ["at", "rep"], hot_reps
-    ).select("at", "dist", F.explode("ids").alias("nbr"))
-    own = locations.select(F.col("rep").alias("at"), F.lit(0.0).alias("dist"), F.explode("ids").alias("nbr"))
-    place = F.row_number().over(W.partitionBy("at").orderBy("dist", "nbr"))
-    shared = (
-        near.unionByName(own).withColumn("_p", place).where(F.col("_p") <= k + 1)
-        .groupBy("at")
-        .agg(F.array_sort(F.collect_list(F.struct("dist", "nbr"))).alias("near"))
-    )
+    ).groupBy("at").agg(F.collect_list(F.struct("dist", "ids")).alias("others"))
+    placed = locations.select(F.col("rep").alias("at"), "vec", "ids").join(near, "at", "left")
+    own = _ids_at(F.lit(0.0), F.col("ids"))
+    # k + 1 copies leave no place for others; else up to k others with k + 1 ids each
+    far = F.when(F.size("ids") <= k, F.flatten(F.transform("others", lambda e: _ids_at(e["dist"], e["ids"]))))
+    by_vec = placed.select("vec", F.slice(F.array_sort(F.concat(own, F.coalesce(far, F.slice(own, 1, 0)))), 1, k + 1).alias("near"))
     # rows find their location by vector; copies of one vector are served from a small broadcast
-    by_vec = locations.select("vec", F.col("rep").alias("at")).join(shared, "at").select("vec", "near")
     rows = skew_safe_left_join(points, by_vec, ["vec"], ["id"], hot_keys(points, ["vec"]))
     others = F.slice(F.filter("near", lambda e: e["nbr"] != F.col("id")), 1, k)
     edges = rows.select("id", F.posexplode(others).alias("pos", "e"))

@@ -203,3 +203,17 @@ def test_svm_steps_hold_few_feature_maps_at_once(spark, monkeypatch):
     monkeypatch.setattr(detectors, "LIFT_ROWS", 7)
     parts = detectors.one_class_svm(df, ["id"], rounds=5).toPandas().sort_values("id").one_class_svm
     assert np.allclose(whole, parts, atol=1e-4)
+
+
+def test_neighbours_of_copies_are_searched_once(spark):
+    """The hot keys and the join read the written search; the k nearest rows are those of a search by brute force."""
+    x = np.repeat(np.random.default_rng(5).integers(0, 4, size=(30, 2)).astype(float), [1, 2, 3, 5, 9] * 6, axis=0)
+    edges = neighbors.knn_graph(vectors(spark, x), "id", "v", 4)
+    assert "MapInPandas" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.id, r.rk): (r.nbr, r.dist) for r in edges.collect()}
+    assert len(got) == 4 * len(x)
+    for i, row in enumerate(x):
+        d = np.sqrt(((x - row) ** 2).sum(axis=1))
+        want = [j for j in np.lexsort((np.arange(len(x)), d)) if j != i][:4]
+        assert [got[i, k + 1][0] for k in range(4)] == want
+        assert np.allclose([got[i, k + 1][1] for k in range(4)], d[want])
