@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import normalize_missing
+from .records import parse_records, split_records
+
+WHOLE_BYTES = 32 << 20  # files with line breaks in fields of so much in all are read whole, larger ones in splits
+SPREAD_BYTES = 16 << 20  # of a file read whole for each partition it is spread over
 
 
 def path_status(spark: SparkSession, path: str):
@@ -29,6 +33,15 @@ def size_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength()
 
 
+def matched_bytes(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Bytes of all files and folders that ``paths``, which may hold wildcards, name."""
+    total = 0
+    for path in paths:
+        fs, p = path_status(spark, path)
+        total += sum(fs.getContentSummary(st.getPath()).getLength() for st in fs.globStatus(p) or [])
+    return total
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         raise FileNotFoundError(path)
@@ -47,23 +60,31 @@ def read_csv(
     schema: T.StructType | str | None = None,
     partitions: int | None = None,
     multiline: bool | None = None,
+    whole_bytes: int = WHOLE_BYTES,
 ) -> DataFrame:
     """Header CSV with quoted fields, doubled quotes and line breaks inside quotes.
 
-    Files whose fields hold line breaks are read whole, by one task each; others are split. ``multiline``
-    says which, and without it a scan of the lines, itself split, finds out. Files read whole (and gzip)
-    are spread out again over ``partitions``.
+    Files are split. Where fields hold line breaks, the records of the splits are found first; ``multiline``
+    says so, and without it a scan of the lines, itself split, finds out. Only gzip, files whose quotes do not
+    tell where records end, and up to ``whole_bytes`` in all with line breaks are read whole, by one
+    task each, and spread out again over ``partitions`` or more.
     """
+    paths = [path] if isinstance(path, str) else list(path)
+    zipped = any(p.endswith(".gz") for p in paths)
     if multiline is None:
-        paths = [path] if isinstance(path, str) else list(path)
-        multiline = any(p.endswith(".gz") for p in paths) or has_broken_fields(spark, paths)
+        multiline = zipped or has_broken_fields(spark, paths)
+    total = matched_bytes(spark, paths) if multiline else 0
+    if multiline and not zipped and total > whole_bytes:
+        found = split_records(spark, paths)
+        if found is not None:
+            return normalize_missing(parse_records(*found, schema))
     if not multiline and not (isinstance(path, str) and path.endswith(".gz")):
         partitions = None
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path if isinstance(path, str) else list(path))
     if partitions:
-        df = df.repartition(partitions)
+        df = df.repartition(max(partitions, -(-total // SPREAD_BYTES)))
     return normalize_missing(df)
 
 

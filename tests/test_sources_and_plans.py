@@ -200,3 +200,46 @@ def test_files_are_split_unless_a_field_holds_a_line_break(spark, tmp_path):
     assert [r.v for r in readers.read_table(spark, str(broken)).orderBy("k").collect()] == ["two\nlines", "b"]
     both = readers.read_csv(spark, [str(plain), str(broken)], "k int, v string")
     assert sorted(r.v for r in both.collect()) == ['a "quoted" word', "b", "b", "two\nlines"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_files_with_line_breaks_in_fields_are_read_in_splits(spark, tmp_path, end):
+    from tabloom.sources import records
+
+    fields = ["plain", '"two' + end + 'lines"', '"a ""quoted""' + end + end + ' word, ""x"', '""', "", '"' + "long" * 40 + ("\n" * 40) + '"', '"lone\rreturn"', "späť", '""""', '"\n"']
+    rng = np.random.default_rng(3)
+    folder = tmp_path / "split.csv"
+    folder.mkdir()
+    for part in range(3):
+        rows = [f"{i},{fields[rng.integers(len(fields))]},{i / 4},{fields[rng.integers(len(fields))]}" for i in range(part * 300, part * 300 + 300)]
+        rows += [f'{part}000,"id,text,n,more",0,more', ""]
+        (folder / f"{part}.csv").write_bytes(end.join(["id,text,,more", *rows, ""]).encode())
+    whole = readers.read_csv(spark, str(folder), multiline=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        found = records.split_records(spark, [str(folder)])
+        assert found[0] == "id,text,,more"
+        split = readers.read_csv(spark, str(folder), whole_bytes=0)
+        read_by_task = [f for f in split.inputFiles() if "split.csv" in f]
+        assert not read_by_task and split.schema == whole.schema
+        assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect())) and whole.count() == 903
+        typed = readers.read_csv(spark, f"{folder}/*.csv", "a long, b string, c double, d string", whole_bytes=0)
+        assert sorted(r[0] for r in typed.collect()) == sorted(r[0] for r in whole.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['k,v\n1,5" pipe\n2,"two\nlines"\n', 'k,v\n1,"a"b\n2,"two\nlines"\n', 'k,v\n1,"two\nlines"\n2,"open\n', 'k,v\n1,"two\nlines"\r\n2,b\n', '"k\nk",v\n1,"two\nlines"\n', 'k\n"two\nlines"\n \n3\n', 'k,v\r1,"two\nlines"\r2,b\r'],
+)
+def test_files_whose_quotes_do_not_tell_their_records_are_read_whole(spark, tmp_path, text):
+    from tabloom.sources import records
+
+    path = tmp_path / "odd.csv"
+    path.write_bytes(text.encode())
+    assert records.split_records(spark, [str(path)]) is None
+    whole = spark.read.csv(str(path), header=True, quote='"', escape='"', multiLine=True, inferSchema=True)
+    assert sorted(map(str, readers.read_csv(spark, str(path), whole_bytes=0).collect())) == sorted(map(str, whole.collect()))
