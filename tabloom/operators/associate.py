@@ -15,10 +15,11 @@ from ..functions.pvalues import chi2_pvalue, f_pvalue
 from ..session import cut_lineage
 from .gram import bounded, names, pearson_pairs
 from .kendall import kendall_pairs
-from .ranking import Ranking, ranked_cells, task_count, wide_ranks
+from .ranking import Ranking, ranked_cells, ranked_together, task_count, wide_ranks
 
 COUNTED_ROWS = 200_000  # rows whose level numbers a task holds before it counts them
 HELD_CELLS = 2_000_000
+TOGETHER = 32  # partners of a column whose ranks one sort gives
 
 
 def corr_matrix(
@@ -48,7 +49,7 @@ def spearman_pairs(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> Da
     gaps = set(_columns_with_nulls(df, cols))
     full = [c for c in cols if c not in gaps]
     parts = []
-    if full:
+    if len(full) > 1:
         # average ranks of a complete column have this mean, so the ranks are computed once
         middle = (df.count() + 1) / 2
         ranks = wide_ranks(df, key, full, keep_key=False)
@@ -56,15 +57,15 @@ def spearman_pairs(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> Da
     with_gaps = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :] if a in gaps or b in gaps]
     if with_gaps:
         parts.append(_spearman_on_shared_rows(df, key, with_gaps))
-    if gaps:
+    single = [c for c in cols if c in gaps or len(full) == 1]
+    if single:
         own = F.array(
             *[
                 F.struct(
                     F.lit(c).alias("x"), F.lit(c).alias("y"),
                     F.when(F.min(c) != F.max(c), F.lit(1.0)).alias("r"), F.count(c).alias("n"),
                 )
-                for c in cols
-                if c in gaps
+                for c in single
             ]
         )
         parts.append(df.agg(own.alias("s")).select(F.inline("s")))
@@ -75,23 +76,31 @@ def spearman_pairs(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> Da
 
 
 def _spearman_on_shared_rows(df: DataFrame, key: Sequence[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """Both sides of each pair ranked on the rows that have both, all rankings in one pass, and met by row."""
+    """Both sides of each pair ranked on the rows that have both; a column is sorted once for up to TOGETHER partners."""
     ids = [f"_k{i}" for i in range(len(key))]
     named = df.withColumns({i: F.col(k) for i, k in zip(ids, key)})
-    rankings = []
+    partners: dict[str, list[str]] = {}
     for a, b in pairs:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        rankings += [Ranking(a, both), Ranking(b, both)]
-    cells = ranked_cells(named, rankings, ids).withColumn("pair", F.expr("ranking div 2").cast("int"))
-    left = F.col("ranking") % 2 == 0
-    repeated = F.raise_error(F.lit(f"{', '.join(key)} names more than one row")).cast("double")
-    rows = cells.repartition(task_count(df, len(rankings)), "pair", *ids).groupBy("pair", *ids).agg(
-        F.max(F.when(left, F.col("avg_rank"))).alias("rx"),
-        F.when(F.count(F.lit(1)) > 2, repeated).otherwise(F.max(F.when(~left, F.col("avg_rank")))).alias("ry"),
+        partners.setdefault(a, []).append(b)
+        partners.setdefault(b, []).append(a)
+    rankings = [(c, own[i : i + TOGETHER]) for c, own in partners.items() for i in range(0, len(own), TOGETHER)]
+    place = {(c, o): (i, j) for i, (c, own) in enumerate(rankings) for j, o in enumerate(own)}
+    cells = ranked_together(named, [(c, [F.col(c).isNotNull() & F.col(o).isNotNull() for o in own]) for c, own in rankings], ids)
+    repeated = F.raise_error(F.lit(f"{', '.join(key)} names more than one row")).cast("array<double>")
+    mine = [F.when(F.col("ranking") == i, F.col("ranks")) for i in range(len(rankings))]
+    rows = cells.repartition(task_count(df, len(rankings)), *ids).groupBy(*ids).agg(
+        *[F.when(F.count(m) > 1, repeated).otherwise(F.max(m)).alias(f"r{i}") for i, m in enumerate(mine)]
     )
+
+    def rank(c: str, other: str) -> Column:
+        i, j = place[c, other]
+        return F.col(f"r{i}")[j]
+
+    sides = F.array(*[F.struct(F.lit(p).alias("pair"), rank(a, b).alias("rx"), rank(b, a).alias("ry")) for p, (a, b) in enumerate(pairs)])
     spread = (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
     r = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
-    sums = rows.groupBy("pair").agg(F.when(spread, r).alias("r"), F.count(F.lit(1)).alias("n"))
+    both = rows.select(F.inline(sides)).where("rx IS NOT NULL")
+    sums = both.groupBy("pair").agg(F.when(spread, r).alias("r"), F.count(F.lit(1)).alias("n"))
 
     def side_name(k: int) -> Column:
         return F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("pair") + 1)

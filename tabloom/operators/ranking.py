@@ -8,8 +8,9 @@ numbers per feature) give the offset. A value that fills several quantiles gets
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -145,16 +146,8 @@ class Ranking:
     where: Column | None = None
 
 
-def ranked_cells(df: DataFrame, rankings: Sequence[Ranking], keep: Sequence[str]) -> DataFrame:
-    """(keep..., ranking, avg_rank, ties, n_valid): a row for each present cell of each ranking (its index).
-
-    ``df`` is read twice, so it should be a written table. A first pass counts the cells of every value
-    range; the counts, summed up along the ranges, say where each range's ranks begin. The second sends a
-    cell to its range only, where a window ranks it. Ranges are quantiles, so a value with more than about
-    one range's share of the rows has a range of its own: the counts alone give the rank of its
-    cells, which stay where they are.
-    """
-    cols = list(dict.fromkeys(r.col for r in rankings))
+def _in_ranges(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str], Callable[[str], Column]]:
+    """``df`` with the value range of each column, its bigint and decimal columns, and whether a cell's range holds one value."""
     edges = bucket_edges(df, cols)
     exact = [f.name for f in df.schema.fields if f.name in cols and isinstance(f.dataType, (T.LongType, T.DecimalType))]
     whole = {"_x_" + c: F.col(c).cast("decimal(38,9)") for c in exact}
@@ -166,6 +159,21 @@ def ranked_cells(df: DataFrame, rankings: Sequence[Ranking], keep: Sequence[str]
         own = [i for i in range(len(e) - 1) if np.nextafter(e[i], np.inf) == e[i + 1] and (c not in exact or abs(e[i]) < 2.0**53)]
         return F.col("_b_" + c).isin(own) if own else F.lit(False)
 
+    return binned, exact, alone
+
+
+def ranked_cells(df: DataFrame, rankings: Sequence[Ranking], keep: Sequence[str]) -> DataFrame:
+    """(keep..., ranking, avg_rank, ties, n_valid): a row for each present cell of each ranking (its index).
+
+    ``df`` is read twice, so it should be a written table. A first pass counts the cells of every value
+    range; the counts, summed up along the ranges, say where each range's ranks begin. The second sends a
+    cell to its range only, where a window ranks it. Ranges are quantiles, so a value with more than about
+    one range's share of the rows has a range of its own: the counts alone give the rank of its
+    cells, which stay where they are.
+    """
+    cols = list(dict.fromkeys(r.col for r in rankings))
+    binned, exact, alone = _in_ranges(df, cols)
+
     def cell(i: int, r: Ranking) -> Column:
         here = F.col(r.col).isNotNull() if r.where is None else F.col(r.col).isNotNull() & r.where
         fields = [F.lit(i).alias("ranking"), F.when(here, F.col("_b_" + r.col)).alias("bucket"), F.col(r.col).alias("d"), alone(r.col).alias("alone")]
@@ -193,6 +201,47 @@ def ranked_cells(df: DataFrame, rankings: Sequence[Ranking], keep: Sequence[str]
     return hot.select(*shown).unionByName(rest.select(*shown))
 
 
+def ranked_together(df: DataFrame, rankings: Sequence[tuple[str, Sequence[Column]]], keep: Sequence[str]) -> DataFrame:
+    """(keep..., ranking, ranks): a row for each present cell of each (column, conditions) of ``rankings`` (its index).
+
+    ``ranks`` has the average rank among the rows of each condition, null where the cell's own row is none of
+    them. As ``ranked_cells``, but a column is sorted once for all its conditions, of which running sums are kept.
+    """
+    binned, exact, alone = _in_ranges(df, list(dict.fromkeys(c for c, _ in rankings)))
+    width = max(len(conditions) for _, conditions in rankings)
+
+    def cell(i: int, c: str, conditions: Sequence[Column]) -> Column:
+        marks = [F.coalesce(w, F.lit(False)).cast("int") for w in conditions]
+        here = reduce(Column.__or__, [m == 1 for m in marks])
+        fields = [F.lit(i).alias("ranking"), F.when(F.col(c).isNotNull() & here, F.col("_b_" + c)).alias("bucket"), F.col(c).alias("d"), alone(c).alias("alone")]
+        fields += [(marks[j] if j < len(marks) else F.lit(0)).alias(f"in{j}") for j in range(width)]
+        if exact:
+            fields.append((F.col("_x_" + c) if c in exact else F.lit(None).cast("decimal(38,9)")).alias("x"))
+        return F.struct(*fields)
+
+    cells = binned.select(*keep, F.inline(F.array(*[cell(i, c, w) for i, (c, w) in enumerate(rankings)]))).where("bucket IS NOT NULL")
+    counts = cells.groupBy("ranking", "bucket").agg(*[F.sum(f"in{j}").alias(f"n{j}") for j in range(width)])
+    upto = W.partitionBy("ranking").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    # one row per ranking and range
+    starts = cut_lineage(
+        counts.select("ranking", "bucket", *[f"n{j}" for j in range(width)], *[F.coalesce(F.sum(f"n{j}").over(upto), F.lit(0)).alias(f"start{j}") for j in range(width)])
+    )
+    placed = cells.join(starts, ["ranking", "bucket"])
+    value = ["d", "x"] if exact else ["d"]
+    inside = W.partitionBy("ranking", "bucket").orderBy(*value).rangeBetween(W.unboundedPreceding, W.currentRow)
+    same = W.partitionBy("ranking", "bucket", *value)
+
+    def ranks(upto: str, ties: str) -> Column:
+        average = lambda j: F.col(f"start{j}") + F.col(f"{upto}{j}") - (F.col(f"{ties}{j}") - 1) / 2
+        return F.array(*[F.when(F.col(f"in{j}") == 1, average(j)) for j in range(width)]).alias("ranks")
+
+    hot = placed.where("alone").select(*keep, "ranking", ranks("n", "n"))
+    rest = placed.where("NOT alone").repartition(task_count(df, len(rankings)), "ranking", "bucket")
+    rest = rest.select("*", *[F.sum(f"in{j}").over(inside).alias(f"upto{j}") for j in range(width)])
+    rest = rest.select("*", *[F.sum(f"in{j}").over(same).alias(f"ties{j}") for j in range(width)])
+    return hot.unionByName(rest.select(*keep, "ranking", ranks("upto", "ties")))
+
+
 def wide_ranks(
     df: DataFrame, key: Sequence[str], cols: Sequence[str], percent: bool = False, keep_key: bool = True
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import categorical_columns, low_cardinality_cols, numeric_columns
+from ..functions.columns import categorical_columns, low_cardinality_cols, numeric_columns, quoted
 from ..functions.missing import normalize_missing
 from ..operators import associate, detectors, joint, neighbors, profile, ranking, rules
 from ..operators.features import feature_matrix, one_hot, pca_reduce
@@ -39,12 +39,13 @@ def association_report(
     """Numeric correlations, categorical associations and categorical-numeric tests.
 
     Kendall counts every discordant pair exactly; the other statistics are sums. Categorical columns
-    with more than ``levels`` levels are listed in ``skipped_columns``.
+    with more than ``levels`` levels are listed in ``skipped_columns``. The columns are written once, as each result
+    reads them.
     """
-    df = normalize_missing(df)
     skip = [*key, *exclude]
-    nums = numeric_columns(df, skip)
-    cats, wide = low_cardinality_cols(df, categorical_columns(df, skip), levels)
+    nums, cats = numeric_columns(df, skip), categorical_columns(df, skip)
+    df = cut_lineage(normalize_missing(df.select(*[quoted(c) for c in dict.fromkeys([*key, *nums, *cats])])))
+    cats, wide = low_cardinality_cols(df, cats, levels)
     out: dict[str, DataFrame] = {"skipped_columns": skipped_columns(df, wide, levels)}
     if len(nums) > 1:
         out["pearson"] = associate.corr_matrix(df, nums, "pearson")

@@ -229,3 +229,35 @@ def test_ranks_get_more_tasks_with_more_cells(spark, monkeypatch):
     got = wide.toPandas().set_index("k").sort_index()
     pdf = df.toPandas().set_index("k")
     assert np.allclose(got, pdf.rank())
+
+
+@pytest.mark.parametrize("together", [32, 1])
+def test_a_column_is_sorted_once_for_its_partners(spark, monkeypatch, together):
+    from pyspark.sql import functions as F
+
+    from tabloom.operators import associate, ranking
+
+    monkeypatch.setattr(associate, "TOGETHER", together)
+    rng = np.random.default_rng(2)
+    n = 400
+    big = [int(2**60 + v) for v in rng.integers(0, 40, n)]
+    pdf = pd.DataFrame(
+        {"k": np.arange(n), "a": np.where(rng.random(n) < 0.3, None, rng.integers(0, 9, n) * 1.0), "hot": np.where(rng.random(n) < 0.8, 0.0, rng.random(n)),
+         "c": np.where(rng.random(n) < 0.2, None, rng.random(n)), "big": big, "none": None}
+    ).astype({"a": float, "c": float, "none": float})
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "k long, a double, hot double, c double, big long, none double")
+    cols = ["a", "hot", "c", "big", "none"]
+    got = {(r.x, r.y): (r.r, r.n) for r in associate.spearman_pairs(df, ["k"], cols).collect()}
+    assert len(got) == 15 and got["a", "none"] == (None, 0)
+    pdf["big"] = [v - 2**60 for v in big]
+    for i, x in enumerate(cols[:4]):
+        for y in cols[i:4]:
+            both = pdf[[x, y]].dropna() if x != y else pdf[[x]].dropna()
+            want = 1.0 if x == y else both[x].rank().corr(both[y].rank())
+            assert got[x, y][0] == pytest.approx(want, abs=1e-9) and got[x, y][1] == len(both)
+    partners = ["a", "c", "hot"]
+    cells = ranking.ranked_together(df, [(x, [F.col(x).isNotNull() & F.col(y).isNotNull() for y in partners if y != x]) for x in partners], ["k"])
+    # one cell for each value with a partner in its row, not one for each pair
+    assert cells.count() == sum(int((pdf[x].notna() & pdf[[y for y in partners if y != x]].notna().any(axis=1)).sum()) for x in partners)
+    with pytest.raises(Exception, match="names more than one row"):
+        associate.spearman_pairs(df.union(df), ["k"], ["a", "c"]).collect()

@@ -243,3 +243,18 @@ def test_files_whose_quotes_do_not_tell_their_records_are_read_whole(spark, tmp_
     assert records.split_records(spark, [str(path)]) is None
     whole = spark.read.csv(str(path), header=True, quote='"', escape='"', multiLine=True, inferSchema=True)
     assert sorted(map(str, readers.read_csv(spark, str(path), whole_bytes=0).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_association_report_reads_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(400).selectExpr("id", "id % 7 AS a", "IF(id % 5 > 0, id * 1.5, NULL) AS b", "CAST(id % 3 AS string) AS c", "CAST(id % 2 AS string) AS d")
+    out = reports.association_report(rows.mapInArrow(counted, rows.schema), ["id"])
+    for frame in out.values():
+        frame.collect()
+    assert read.value == 400
