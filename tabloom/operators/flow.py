@@ -1,19 +1,21 @@
 """Flow-matching synthesizer on boosted trees grown level by level as Spark jobs.
 
 For every time level t (and label) the model learns the field X - Z at X_t = (1-t) Z + t X by boosted trees
-whose leaves hold a vector, one value for each output. The bins of X_t and the current residuals are blocks of a
+whose leaves hold a vector, one value for each output. The bins of X_t and the residuals are blocks of a
 persisted RDD; a round grows one tree for every model, a job for each level of depth that adds the residuals
-into histograms. The first job of the next round also takes what the trees explain off the residuals. A checkpoint
+into histograms. Of the two children of a node only the smaller one's rows are added up, the other's sums are what is left of
+the node's; the sums at the root follow from how many rows of each bin the last tree's leaves hold. What the last trees
+explain is taken off as residuals are read, and every REWRITE_ROUNDS rounds for good. A checkpoint
 every CHECKPOINT_ROUNDS rounds keeps the lineage short, so no round depends on the number of rounds before it.
-These jobs are many and short: as RDD jobs they are spared the planning of a query. Only splits reach the driver; the
-forest is a table by level and label.
+These jobs are many and short: as RDD jobs they are spared the planning of a query. Sums of up to HELD_BYTES come to the
+driver, of more only the splits; the forest is a table by level and label.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,18 +33,21 @@ from .features import as_matrix
 from .sampling import label_distribution
 
 GROUP_CUTS = 500_000  # best cuts of one level of depth that come to the driver; more models are grown in several groups
-GROUP_BYTES = 64 << 20  # trees of one round that are sent to tasks at once
-BLOCK = 4096  # rows of a block of samples
-STATE_BLOCK = 16_384  # rows of a block of the state
+GROUP_BYTES = 128 << 20  # trees of some rounds that are sent to tasks at once
+BLOCK, STATE_BLOCK, LEAST_BLOCK = 16_384, 32_768, 1024  # rows of a block of samples and of the state, as many as BLOCK_BYTES hold
+BLOCK_BYTES = 1 << 20
 HIST_BYTES = 32 << 20  # of histograms that a task holds at once
-DIRECT_BYTES = 8 << 20  # of all tasks' histograms that the driver adds up itself; larger ones are summed by a shuffle
+HELD_BYTES = 32 << 20  # of all models' sums that the driver keeps for the next level of depth
+DIRECT_BYTES = 64 << 20  # of all tasks' histograms that the driver adds up itself; larger ones are summed by a shuffle
+MASKED_DEPTH = 6  # levels of a tree that rows pass by masks of bytes, a mask for each node
+REWRITE_ROUNDS = 2
 CHECKPOINT_ROUNDS = 10
 PART_BYTES = 128 << 20  # of the state in one task
 LEAST_PART_BYTES = 4 << 20
 LABEL_PARTS = 256
 LABEL_CELLS = 4096
 STEPS_A_PLAN = 8  # levels that one plan walks through before it is written
-STATE = "lab int, level int, n int, binned binary, residual binary"
+STATE = "lab int, level int, n int, binned binary, residual binary, weight binary"
 BLOCKS = "lab int, ids binary, x binary"
 
 
@@ -106,6 +111,27 @@ def bin_edges(t: float, bins: int) -> np.ndarray:
     return np.linspace(-reach, reach, bins + 1)[1:-1]
 
 
+def rows_a_block(most: int, row_bytes: int) -> int:
+    return min(most, max(LEAST_BLOCK, BLOCK_BYTES // row_bytes))
+
+
+def joined(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The batches, small ones put together up to ``size`` rows."""
+    some, n = [], 0
+    for pdf in batches:
+        if n and n + len(pdf) > size:
+            yield pd.concat(some)
+            some, n = [], 0
+        some.append(pdf)
+        n += len(pdf)
+    if n:
+        yield pd.concat(some)
+
+
+def bins_of(edges: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.searchsorted(edges, x, side="left").astype(np.uint8)
+
+
 def walk(feature: np.ndarray, cut: np.ndarray, binned: np.ndarray, depth: int) -> np.ndarray:
     """Node of each row after ``depth`` levels of a tree; a leaf (feature -1) keeps its rows."""
     return walk_columns(feature, cut, np.ascontiguousarray(binned.T), depth)
@@ -113,17 +139,48 @@ def walk(feature: np.ndarray, cut: np.ndarray, binned: np.ndarray, depth: int) -
 
 def walk_columns(feature: np.ndarray, cut: np.ndarray, columns: np.ndarray, depth: int) -> np.ndarray:
     """``walk`` over bins [feature, row]."""
-    n, leaf = columns.shape[1], feature < 0
-    flat, rows = columns.ravel(), np.arange(n)
+    return reached(feature, depth).take(places(feature, cut, columns, depth))
+
+
+def places(feature: np.ndarray, cut: np.ndarray, columns: np.ndarray, depth: int) -> np.ndarray:
+    """Place of each row among the 2**depth nodes of a level; below a leaf its rows go left."""
+    n = columns.shape[1]
+    at, masks = np.zeros(n, np.uint8), [np.ones(n, bool)]
+    for level in range(min(depth, MASKED_DEPTH)):
+        below, turned = [], np.zeros(n, bool)
+        for node, own in enumerate(masks, 2**level - 1):
+            if own is None or feature[node] < 0:
+                below += [own, None]
+                continue
+            right = columns[feature[node]] > cut[node]
+            right &= own
+            turned |= right
+            if level + 1 < depth:
+                below += [own ^ right, right]
+        masks = below
+        at += at
+        at += turned.view(np.uint8)
+    if depth <= MASKED_DEPTH:
+        return at
+    flat, rows, at = columns.ravel(), np.arange(n), at.astype(np.int64)
     offset = np.maximum(feature, 0).astype(np.int64) * n
-    least = np.where(leaf, 255, cut).astype(np.uint8)  # no bin lies above 255: a leaf's rows never turn right
-    left = np.where(leaf, np.arange(len(feature)), 2 * np.arange(len(feature)) + 1)
-    at = np.zeros(n, np.int64)
-    for _ in range(depth):
-        at = left.take(at) + (flat.take(offset.take(at) + rows) > least.take(at))
+    least = np.where(feature < 0, 255, cut).astype(np.uint8)  # no bin lies above 255: a leaf's rows never turn right
+    for level in range(MASKED_DEPTH, depth):
+        node = at + (2**level - 1)
+        at += at
+        at += flat.take(offset.take(node) + rows) > least.take(node)
     return at
 
 
+def reached(feature: np.ndarray, depth: int) -> np.ndarray:
+    """Node of each of the 2**depth places of a level: the leaf above where the tree ends before."""
+    ids = np.zeros(1, np.int64)
+    for level in range(depth):
+        ends = (feature.take(ids) < 0) | (ids < 2**level - 1)
+        ids = np.stack([np.where(ends, ids, 2 * ids + 1), np.where(ends, ids, 2 * ids + 2)], axis=1).ravel()
+    return ids
+
+
 @dataclass
 class Trees:
     """The trees of one round, one for each model of a group: all outputs share a tree, a leaf holds a vector."""
@@ -132,6 +189,7 @@ class Trees:
     feature: np.ndarray  # [model, node], -1 for a leaf
     cut: np.ndarray
     value: np.ndarray  # [model, node, output]
+    placed: np.ndarray | None = None  # [model, output, place]: values of the places below all levels
 
     @classmethod
     def empty(cls, models: list[tuple[int, int]], depth: int, dims: int) -> "Trees":
@@ -141,27 +199,80 @@ class Trees:
     def index(self) -> dict[tuple[int, int], int]:
         return {m: i for i, m in enumerate(self.models)}
 
+    def grown(self, depth: int) -> "Trees":
+        self.placed = np.stack([v.take(reached(f, depth), axis=0).T for f, v in zip(self.feature, self.value)])
+        return self
+
 
 def best_cuts(hist: np.ndarray, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one feature's histograms [1 + output, node, bin]: each node's best gain, its bin, the sums left of it and all sums."""
-    total = hist.sum(axis=2)
-    if hist.shape[2] < 2:
-        return np.full(total.shape[1], -np.inf), np.zeros(total.shape[1], np.int64), total, total
-    left = np.cumsum(hist, axis=2)[:, :, :-1]
-    right = total[:, :, None] - left
+    """Of histograms [..., 1 + output, node, bin]: each node's best gain, its bin, the sums left of it and all sums."""
+    total = hist.sum(axis=-1)
+    none = total[..., 0, :]
+    if hist.shape[-1] < 2:
+        return np.full(none.shape, -np.inf), np.zeros(none.shape, np.int64), total, total
+    left = np.cumsum(hist, axis=-1)[..., :-1]
+    right = total[..., None] - left
 
     def score(x: np.ndarray) -> np.ndarray:
-        n = x[0] + l2
-        return np.where(n > 0, (x[1:] ** 2).sum(axis=0) / np.where(n > 0, n, 1.0), 0.0)
+        n, sums = x[..., 0, :, :] + l2, x[..., 1:, :, :]
+        return np.where(n > 0, np.einsum("...onb,...onb->...nb", sums, sums) / np.where(n > 0, n, 1.0), 0.0)
+
+    enough = (left[..., 0, :, :] >= 1) & (right[..., 0, :, :] >= 1)
+    gain = np.where(enough, score(left) + score(right) - score(total[..., None]), -np.inf)
+    at = np.argmax(gain, axis=-1)
+    of = lambda a, i: np.take_along_axis(a, i[..., None], axis=-1)[..., 0]
+    return of(gain, at), at, of(left, np.broadcast_to(at[..., None, :], total.shape)), total
+
+
+def block_arrays(n: int, d: int, binned: bytes, residual: bytes, weight: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Bins and residuals of a block, [feature, row] both, and the rows that each stands for, if not for itself alone."""
+    return np.frombuffer(binned, np.uint8).reshape(d, n), np.frombuffer(residual, np.float32).reshape(d, n), np.frombuffer(weight) if weight else None
+
 
-    gain = np.where((left[0] >= 1) & (right[0] >= 1), score(left) + score(right) - score(total)[:, None], -np.inf)
-    at, nodes = np.argmax(gain, axis=1), np.arange(gain.shape[0])
-    return gain[nodes, at], at, left[:, nodes, at], total
+def merged(binned: np.ndarray, y: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows [row, feature] of ``count`` samples each and their mean fields: bins once each, mean field and weight.
 
+    Trees only see the bins, so samples of equal bins never part and count together.
+    """
+    rows = np.ascontiguousarray(binned).view(np.dtype((np.void, binned.shape[1]))).ravel()
+    _, first, of, n = np.unique(rows, return_index=True, return_inverse=True, return_counts=True)
+    sums = np.stack([np.bincount(of, weights=c, minlength=len(first)) for c in y.T], axis=1)
+    return binned[first], sums / n[:, None], n * float(count)
+
+
+def taken_off(pending: list[Trees], depth: int) -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
+    """Function of a model, bins and residuals [feature, row]: the residuals without what ``pending`` explain, tree by tree."""
+    arrays = [(t.feature, t.cut, t.placed) for t in pending]
 
-def block_arrays(n: int, d: int, binned: bytes, residual: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Bins and residuals of a block, [feature, row] both."""
-    return np.frombuffer(binned, np.uint8).reshape(d, n), np.frombuffer(residual, np.float32).reshape(d, n)
+    def taken(model: int, x: np.ndarray, g: np.ndarray) -> np.ndarray:
+        for feature, cut, value in arrays:
+            g = g - value[model].take(places(feature[model], cut[model], x, depth), axis=1)
+        return g
+
+    return taken
+
+
+def added(parts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, np.ndarray]]:
+    """The sum of each key's histograms."""
+    sums: dict[int, np.ndarray] = {}
+    for key, part in parts:
+        if key in sums:
+            sums[key] += np.frombuffer(part)
+        else:
+            sums[key] = np.frombuffer(part).copy()
+    yield from sums.items()
+
+
+def found_cuts(hist: np.ndarray, l2: float) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """(model, (feature, gain, bin, left, total)) of histograms [model, feature, 1 + output, node, bin]: each node's best cut."""
+    some = max(1, HIST_BYTES // 8 // max(1, hist[:1].nbytes))
+    for low in range(0, len(hist), some):
+        gain, at, left, total = best_cuts(hist[low : low + some], l2)
+        top = gain.max(axis=1, keepdims=True)
+        best = np.argmax(gain >= top - 1e-9 * np.abs(top), axis=1)  # of gains equal but for rounding the smallest feature
+        nodes = np.arange(hist.shape[3])
+        for i, feature in enumerate(best):
+            yield low + i, (feature, gain[i, feature, nodes], at[i, feature, nodes], left[i, feature, :, nodes].T, total[i, feature, :, nodes].T)
 
 
 @dataclass
@@ -199,28 +310,36 @@ class FlowSynthesizer:
         state, path = self._first_state(train, n_rows)
         per_model = (2 ** (p.depth + 1) - 1) * (3 + 4 * self.dims)
         cuts = 2 ** max(p.depth - 1, 0) * self.dims
-        group = max(1, min(GROUP_BYTES // per_model, GROUP_CUTS // cuts) // p.nt)
+        group = max(1, min(GROUP_BYTES // (per_model * (1 + REWRITE_ROUNDS)), GROUP_CUTS // cuts) // p.nt)
         written = Written(spark, f"{scratch_root(spark)}/{uuid.uuid4().hex}")
         self.tree_seconds = []
         for low in range(0, n_labels, group):
             models = [(lab, level) for lab in range(low, min(low + group, n_labels)) for level in range(p.nt)]
             part = state if group >= n_labels else state.where(F.col("lab").between(low, low + group - 1))
             own, before, files = part.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK), None, []
+            last: Trees | None = None
+            root: np.ndarray | None = None
+            pending: list[Trees] = []
+            kept = 0  # the round of the last checkpoint
             for tree in range(p.trees):
                 began = time.perf_counter()
-                trees = self._grown(own, models)
-                written.add(trees, tree)
+                last, root = self._grown(own, models, pending, last, root)
+                written.add(last, tree)
                 if before is not None:
                     before.unpersist()
-                if own.getCheckpointFile():
-                    files.append(own.getCheckpointFile())
+                    before = None
+                made = own.getCheckpointFile()
+                if made and made not in files:
+                    files.append(made)
                 for old in files[:-1]:
                     drop_path(spark, old)
                 files = files[-1:]
-                if tree + 1 < p.trees:
-                    before, own = own, self._moved_on(own, trees)
-                    if (tree + 1) % CHECKPOINT_ROUNDS == 0:
+                pending = [*pending, last]
+                if len(pending) == REWRITE_ROUNDS and tree + 1 < p.trees:
+                    before, own, pending = own, self._moved_on(own, pending), []
+                    if tree + 1 - kept >= CHECKPOINT_ROUNDS:
                         own.checkpoint()
+                        kept = tree + 1
                 self.tree_seconds.append(time.perf_counter() - began)
             own.unpersist()
             for old in files:
@@ -235,30 +354,38 @@ class FlowSynthesizer:
         return self
 
     def _first_state(self, train: DataFrame, n_rows: int) -> tuple[DataFrame, str]:
-        """Blocks (lab, level, n, binned, residual): bins of X_t and the target field of up to STATE_BLOCK rows, feature by feature.
+        """Blocks (lab, level, n, binned, residual, weight): bins of X_t and the target field of up to STATE_BLOCK rows, feature by feature.
 
-        Every row comes ``n_noise`` times at each level. Rows are sorted by label and key, and cut into
-        ranges of about PART_BYTES, so a task holds the histograms of one model at a time and a hot label has many tasks.
+        Every row comes ``n_noise`` times at each level; at the end of the path (t = 1) the noise leaves the bins alone and the
+        draws of a row are one row of that weight. Rows are sorted by label and key, and cut into
+        ranges of up to PART_BYTES, so a task holds the histograms of one model at a time and a hot label has many tasks.
         """
         p, d, spark = self.params, self.dims, train.sparkSession
-        size = n_rows * p.n_noise * p.nt * d * 5
-        parts = max(1, min(spark.sparkContext.defaultParallelism, size // LEAST_PART_BYTES), size // PART_BYTES)
+        size, width = n_rows * (p.n_noise * (p.nt - 1) + 1) * d * 5, spark.sparkContext.defaultParallelism
+        parts = max(1, min(width, size // LEAST_PART_BYTES))
+        if size > width * PART_BYTES:  # every core has as many parts
+            parts = -(-size // (width * PART_BYTES)) * width
         edges = [bin_edges(p.level(i), p.bins) for i in range(p.nt)]
 
+        block, columns = rows_a_block(STATE_BLOCK, 5 * d), ["lab", "level", "n", "binned", "residual", "weight"]
+
         def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in joined(batches, block):
                 for lab, part in pdf.groupby("lab", sort=True):
-                    for low in range(0, len(part), STATE_BLOCK):
-                        some = part.iloc[low : low + STATE_BLOCK]
+                    for low in range(0, len(part), block):
+                        some = part.iloc[low : low + block]
                         x, base = as_matrix(some["features"]), some["base"].to_numpy()
-                        out = []
+                        mean = np.zeros_like(x)
                         for rep in range(p.n_noise):
-                            z = normals(base, rep, d)
-                            for level in range(p.nt):
+                            z, out = normals(base, rep, d), []
+                            mean += (x - z) / p.n_noise
+                            for level in range(p.nt - 1):
                                 x_t, y_t = interpolate(x, z, p.level(level))
-                                binned = np.searchsorted(edges[level], x_t, side="left").astype(np.uint8)
-                                out.append((lab, level, len(x), binned.T.tobytes(), y_t.T.astype(np.float32).tobytes()))
-                        yield pd.DataFrame(out, columns=["lab", "level", "n", "binned", "residual"])
+                                out.append((lab, level, len(x), bins_of(edges[level], x_t).T.tobytes(), y_t.T.astype(np.float32).tobytes(), b""))
+                            yield pd.DataFrame(out, columns=columns)
+                        binned, y, weight = merged(bins_of(edges[-1], x), mean, p.n_noise)
+                        last = (lab, p.nt - 1, len(y), binned.T.tobytes(), y.T.astype(np.float32).tobytes(), weight.tobytes())
+                        yield pd.DataFrame([last], columns=columns)
 
         placed = train.repartitionByRange(int(parts), "lab", "base").sortWithinPartitions("lab", "base")
         made = placed.mapInPandas(blocks, STATE).sortWithinPartitions("lab", "level")
@@ -266,26 +393,36 @@ class FlowSynthesizer:
 
     def _written(self, spark: SparkSession, state: DataFrame) -> tuple[DataFrame, str]:
         path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-        state.write.parquet(path)
+        state.write.option("compression", "none").parquet(path)
         return spark.read.schema(STATE).parquet(path), path
 
-    def _grown(self, state: RDD, models: list[tuple[int, int]]) -> Trees:
-        """One tree for every model, a job for each level of depth: histograms of the residuals, summed by Spark."""
+    def _grown(
+        self, state: RDD, models: list[tuple[int, int]], pending: list[Trees], last: Trees | None, root: np.ndarray | None
+    ) -> tuple[Trees, np.ndarray | None]:
+        """One tree for every model, a job for each level of depth: histograms of the residuals, summed by Spark.
+
+        ``pending`` are the trees that the residuals of ``state`` do not know yet, ``last`` is the tree before and ``root`` its
+        histograms of all rows. Returns the trees and their ``root``.
+        """
         p, d = self.params, self.dims
         trees = Trees.empty(models, p.depth, d)
+        cell = len(models) * d * p.bins * 8
+        held = cell * (1 + d) * 2 ** max(p.depth - 1, 0) <= HELD_BYTES
+        hist, splits = None, None  # of the level above
         for depth in range(p.depth):
             first, grew = 2**depth - 1, False
-            best: dict[int, list] = {}
-            for (model, feature), found in sorted(self._cuts(state, trees, depth)):
-                if model not in best:
-                    best[model] = [np.full(2**depth, feature), *found]
-                    continue
-                now = best[model]
-                more = found[0] > now[1]  # of equal gains the smallest feature
-                now[0][more] = feature
-                for old, new in zip(now[1:], found):
-                    old[..., more] = new[..., more]
-            for model, (feature, gain, at, left, total) in best.items():
+            if not held:
+                cuts = self._cuts(state, trees, depth, pending)
+            else:
+                if depth:
+                    hist = self._children(state, trees, depth, pending, hist, splits)
+                elif root is None or cell * 2**p.depth > HELD_BYTES:
+                    root = hist = self._sums(state, trees, 0, [np.zeros(1, np.int64)] * len(models), pending)
+                else:
+                    root = hist = self._next_root(state, last, root)
+                cuts = found_cuts(hist, p.l2)
+            splits = []
+            for model, (feature, gain, at, left, total) in cuts:
                 if depth == 0:
                     trees.value[model, 0] = p.learning_rate * total[1:, 0] / (total[0, 0] + p.l2)
                 for i in np.flatnonzero(gain > 1e-9 * np.maximum(total[0], 1.0)):
@@ -293,18 +430,87 @@ class FlowSynthesizer:
                     trees.feature[model, node], trees.cut[model, node] = feature[i], at[i]
                     trees.value[model, 2 * node + 1] = p.learning_rate * left[1:, i] / (left[0, i] + p.l2)
                     trees.value[model, 2 * node + 2] = p.learning_rate * right[1:] / (right[0] + p.l2)
+                    splits.append((model, i, 2 * i + int(right[0] < left[0, i])))
                     grew = True
             if not grew:
                 break
-        return trees
+        return trees.grown(p.depth), root
+
+    def _children(
+        self, state: RDD, trees: Trees, depth: int, pending: list[Trees], above: np.ndarray, splits: list[tuple[int, int, int]]
+    ) -> np.ndarray:
+        """Histograms [model, feature, 1 + output, node, bin] of a level: of each split (model, node, smaller child) above, the smaller child
+        is added up and the other is the rest."""
+        slots = [np.full(2**depth, -1, np.int64) for _ in trees.models]
+        for model, _, small in splits:
+            slots[model][small] = slots[model].max() + 1
+        sums = self._sums(state, trees, depth, slots, pending)
+        hist = np.zeros((*above.shape[:3], 2**depth, above.shape[4]))
+        for model, node, small in splits:
+            hist[model, :, :, small] = own = sums[model, :, :, slots[model][small]]
+            hist[model, :, :, small ^ 1] = rest = above[model, :, :, node] - own
+            hist[model, :, :, small ^ 1] = np.where(rest[:, :1] > 0.5, rest, 0.0)  # what rounding leaves of a bin without rows
+        return hist
+
+    def _next_root(self, state: RDD, last: Trees, root: np.ndarray) -> np.ndarray:
+        """Histograms of all rows after ``last``: a leaf takes its value off all its rows, so their number in each bin will do."""
+        depth = self.params.depth
+        counts = self._sums(state, last, depth, [np.arange(2**depth)] * len(last.models), None)
+        out = root.copy()
+        for model in range(len(last.models)):
+            out[model, :, 1:, 0] -= np.einsum("fpb,op->fob", counts[model, :, 0], last.placed[model].astype(np.float64))
+        return np.where(out[:, :, :1] > 0.5, out, 0.0)
+
+    def _sums(self, state: RDD, trees: Trees, depth: int, slots: list[np.ndarray], pending: list[Trees] | None) -> np.ndarray:
+        """[model, feature, 1 + output, slot, bin]: rows and residuals, the latter unless ``pending`` is None."""
+        d, bins = self.dims, self.params.bins
+        width, most = 1 if pending is None else 1 + d, max(1, *(int(s.max()) + 1 for s in slots))
+        out = np.zeros((len(slots), d, width, most, bins))
+        parts = self._partials(state, trees, depth, slots, most, pending)
+        if out.nbytes * state.getNumPartitions() > DIRECT_BYTES:
+            parts = self._shuffled(parts, len(slots) * d, out.nbytes).mapPartitions(lambda p: ((k, h.tobytes()) for k, h in added(p)), True)
+        for key, part in parts.collect():
+            out[divmod(key, d)] += np.frombuffer(part).reshape(out.shape[2:])
+        return out
+
+    def _cuts(self, state: RDD, trees: Trees, depth: int, pending: list[Trees]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+        """``found_cuts`` of a level where sums are too large for the driver: tasks find each feature's best cuts."""
+        d, l2, bins, nodes = self.dims, self.params.l2, self.params.bins, 2**depth
+        slots = [np.where(reached(f, depth) >= nodes - 1, np.arange(nodes), -1) for f in trees.feature]
+
+        def cuts(parts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[tuple[int, int], tuple[np.ndarray, ...]]]:
+            for key, hist in added(parts):
+                yield divmod(key, d), best_cuts(hist.reshape(1 + d, nodes, bins), l2)
 
-    def _cuts(self, state: RDD, trees: Trees, depth: int) -> list[tuple[tuple[int, int], tuple[np.ndarray, ...]]]:
-        """((model, feature), (gain, bin, left, total)): the best cut of a feature for each node of the level."""
-        d, l2, bins = self.dims, self.params.l2, self.params.bins
-        nodes, lo = 2**depth, 2**depth - 1
+        keys = len(slots) * d
+        parts = self._shuffled(self._partials(state, trees, depth, slots, nodes, pending), keys, keys * (1 + d) * nodes * bins * 8)
+        best: dict[int, list] = {}
+        for (model, feature), found in sorted(parts.mapPartitions(cuts, True).collect(), key=lambda c: c[0]):
+            if model not in best:
+                best[model] = [np.full(nodes, feature), *found]
+                continue
+            now = best[model]
+            more = found[0] > now[1]  # of equal gains the smallest feature
+            now[0][more] = feature
+            for old, new in zip(now[1:], found):
+                old[..., more] = new[..., more]
+        yield from best.items()
+
+    def _shuffled(self, parts: RDD, keys: int, size: int) -> RDD:
+        return parts.partitionBy(min(keys, max(parts.ctx.defaultParallelism, size // HIST_BYTES)), int)
+
+    def _partials(
+        self, state: RDD, trees: Trees, depth: int, slots: list[np.ndarray], most: int, pending: list[Trees] | None
+    ) -> RDD:
+        """(model * features + feature, histogram [1 + output, slot, bin] as bytes) of a task's rows.
+
+        ``slots`` has for each model the slot of every place of the level, -1 where rows are left out.
+        """
+        d, bins, all_depth = self.dims, self.params.bins, self.params.depth
         index, feature, cut = trees.index(), trees.feature, trees.cut
-        cells = nodes * bins
-        held = max(1, HIST_BYTES // (d * (1 + d) * cells * 8))  # models
+        width, cells = 1 if pending is None else 1 + d, most * bins
+        held = max(1, HIST_BYTES // (d * width * cells * 8))  # models
+        taken = taken_off(pending or [], all_depth)
 
         def partials(blocks: Iterator[tuple]) -> Iterator[tuple[int, bytes]]:
             sums: dict[int, np.ndarray] = {}
@@ -315,55 +521,43 @@ class FlowSynthesizer:
                         yield model * d + f, hist[f].tobytes()
                 sums.clear()
 
-            for lab, level, n, binned, residual in blocks:
+            for lab, level, n, binned, residual, weight in blocks:
                 model = index[lab, level]
+                if slots[model].max() < 0:
+                    continue
                 if model not in sums:
                     if len(sums) >= held:
                         yield from out()
-                    sums[model] = np.zeros((d, 1 + d, cells))
+                    sums[model] = np.zeros((d, width, cells))
                 hist = sums[model]
-                x, g = block_arrays(n, d, binned, residual)
-                at = walk_columns(feature[model], cut[model], x, depth) - lo
-                live = at >= 0
-                if not live.all():
-                    x, g, at = x[:, live], g[:, live], at[live]
+                x, g, w = block_arrays(n, d, binned, residual, weight)
+                at = slots[model].take(places(feature[model], cut[model], x, depth))
+                live = np.flatnonzero(at >= 0)
+                if len(live) < n:
+                    x, at = x.take(live, axis=1), at.take(live)
+                    g, w = g if pending is None else g.take(live, axis=1), w if w is None else w.take(live)
                 at *= bins
-                g = g.astype(np.float64)
+                if pending is not None:
+                    g = taken(model, x, g).astype(np.float64)
+                    if w is not None:
+                        g *= w
                 for f in range(d):
                     cell = at + x[f]
-                    hist[f, 0] += np.bincount(cell, minlength=cells)
-                    for o in range(d):
+                    hist[f, 0] += np.bincount(cell, weights=w, minlength=cells)
+                    for o in range(width - 1):
                         hist[f, 1 + o] += np.bincount(cell, weights=g[o], minlength=cells)
             yield from out()
 
-        def summed(parts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[tuple[int, int], tuple[np.ndarray, ...]]]:
-            sums: dict[int, np.ndarray] = {}
-            for key, part in parts:
-                if key in sums:
-                    sums[key] += np.frombuffer(part)
-                else:
-                    sums[key] = np.frombuffer(part).copy()
-            for key, hist in sums.items():
-                yield divmod(key, d), best_cuts(hist.reshape(1 + d, nodes, bins), l2)
+        return state.mapPartitions(partials)
 
-        parts, keys = state.mapPartitions(partials), len(trees.models) * d
-        size = keys * (1 + d) * cells * 8
-        if size * state.getNumPartitions() <= DIRECT_BYTES:
-            return list(summed(iter(parts.collect())))
-        width = min(keys, max(state.ctx.defaultParallelism, size // HIST_BYTES))
-        return parts.partitionBy(width, int).mapPartitions(summed, True).collect()
-
-    def _moved_on(self, state: RDD, trees: Trees) -> RDD:
-        """The state after a round: what its trees explain is taken off the residuals; computed by the next job."""
-        d, depth = self.dims, self.params.depth
-        index, feature, cut, value = trees.index(), trees.feature, trees.cut, np.ascontiguousarray(trees.value.transpose(0, 2, 1))
+    def _moved_on(self, state: RDD, pending: list[Trees]) -> RDD:
+        """The state after some rounds: what their trees explain is taken off the residuals; computed by the next job."""
+        d, index, taken = self.dims, pending[0].index(), taken_off(pending, self.params.depth)
 
         def update(blocks: Iterator[tuple]) -> Iterator[tuple]:
-            for lab, level, n, binned, residual in blocks:
-                model = index[lab, level]
-                x, g = block_arrays(n, d, binned, residual)
-                leaf = walk_columns(feature[model], cut[model], x, depth)
-                yield lab, level, n, binned, (g - value[model].take(leaf, axis=1)).tobytes()
+            for lab, level, n, binned, residual, weight in blocks:
+                x, g, _ = block_arrays(n, d, binned, residual, weight)
+                yield lab, level, n, binned, taken(index[lab, level], x, g).tobytes(), weight
 
         return state.mapPartitions(update, True).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -387,6 +581,7 @@ class FlowSynthesizer:
         if self.forest is None:
             raise RuntimeError("fit the synthesizer first")
         p, d = self.params, self.dims
+        size = rows_a_block(BLOCK, 8 * d)
         ids = spark.range(n, numPartitions=partitions) if partitions else spark.range(n)
         seed = p.seed if seed is None else seed
         rows = ids.withColumn("base", key_hash(["id"], seed + 1))
@@ -398,8 +593,8 @@ class FlowSynthesizer:
         def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for lab, part in pdf.groupby("lab", sort=True):
-                    for low in range(0, len(part), BLOCK):
-                        some = part.iloc[low : low + BLOCK]
+                    for low in range(0, len(part), size):
+                        some = part.iloc[low : low + size]
                         x = normals(some["base"].to_numpy(), 0, d)
                         yield pd.DataFrame({"lab": [lab], "ids": [some["id"].to_numpy().tobytes()], "x": [x.tobytes()]})
 
@@ -435,7 +630,7 @@ class FlowSynthesizer:
                 moved = []
                 for x, feature, cut, value in zip(*[batch.column(c).to_pylist() for c in ("x", "feature", "cut", "value")]):
                     x = np.frombuffer(x).reshape(-1, d)
-                    binned = np.ascontiguousarray(np.searchsorted(edges, x, side="left").astype(np.uint8).T)
+                    binned = np.ascontiguousarray(bins_of(edges, x).T)
                     field = np.zeros_like(x)
                     for f, c, v in zip(feature, cut, value):
                         f = np.frombuffer(f, np.int16)
@@ -449,7 +644,7 @@ class FlowSynthesizer:
 
 
 class Written:
-    """Trees on their way to a table: held on the driver up to GROUP_BYTES, then appended."""
+    """Trees on their way to a table: held on the driver up to half of GROUP_BYTES, then appended."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -460,7 +655,7 @@ class Written:
         for i, (lab, level) in enumerate(trees.models):
             self.rows.append((lab, level, tree, trees.feature[i].tobytes(), trees.cut[i].tobytes(), trees.value[i].tobytes()))
         self.bytes += trees.feature.nbytes + trees.cut.nbytes + trees.value.nbytes
-        if self.bytes > GROUP_BYTES:
+        if self.bytes > GROUP_BYTES // 2:
             self.flush()
 
     def flush(self) -> None:

@@ -12,6 +12,7 @@ from ..functions.missing import normalize_missing
 from ..operators.encode import TabularEncoder
 from ..operators.flow import FlowParams, FlowSynthesizer, materialise
 from ..operators.sampling import sample_rows, split_rows
+from ..session import cut_lineage
 from .reports import compare_real_synth
 
 # Roles of the assembled clinical table's columns.
@@ -64,7 +65,8 @@ def synthesize(
         df = sample_rows(df, key, max_rows, params.seed)
     hidden = [*exclude, *key, *([label] if label else [])]
     nums, cats, ints = select_roles(df, categorical, integers, hidden)
-    train = split_rows(df, key, seed=params.seed).where("split = 'train'").drop("split")
+    # several passes read the training rows
+    train = cut_lineage(split_rows(df, key, seed=params.seed).where("split = 'train'").drop("split"))
     encoder = TabularEncoder(nums, cats, ints, max_missing_ratio).fit(train)
     keep = [*key, *([label] if label else [])]
     encoded = encoder.transform(train, keep)

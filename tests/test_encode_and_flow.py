@@ -240,3 +240,46 @@ def test_labels_fill_the_unit_interval(spark):
     assert ids.count() == 30_000
     share = ids.join(table, "lab").where("label = 'hot'").count() / 30_000
     assert abs(share - 400 / sum(c[1] for c in counts)) < 0.02
+
+
+def test_only_the_smaller_child_is_added_up(spark, monkeypatch):
+    """Whether the driver, a shuffle or the tasks find the cuts: the same trees."""
+    sums, seen = flow.FlowSynthesizer._sums, []
+
+    def spied(self, state, trees, depth, slots, pending):
+        seen.append((depth, pending is not None, [int((s >= 0).sum()) for s in slots]))
+        return sums(self, state, trees, depth, slots, pending)
+
+    monkeypatch.setattr(flow.FlowSynthesizer, "_sums", spied)
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rng.uniform(-1, 1, (150, 2)))], "k long, features array<double>")
+    p = flow.FlowParams(nt=2, n_noise=2, trees=3, depth=3, learning_rate=0.5, bins=16)
+    forests = []
+    for held, direct in ((flow.HELD_BYTES, flow.DIRECT_BYTES), (flow.HELD_BYTES, 0), (0, 0)):
+        monkeypatch.setattr(flow, "HELD_BYTES", held)
+        monkeypatch.setattr(flow, "DIRECT_BYTES", direct)
+        forests.append(flow.FlowSynthesizer(p).fit(df.repartition(3), ["k"]).forest.orderBy("level").collect())
+    for other in forests[1:]:
+        for a, b in zip(forests[0], other):
+            assert a["feature"] == b["feature"] and a["cut"] == b["cut"]
+            assert all(np.allclose(np.frombuffer(v, np.float32), np.frombuffer(w, np.float32), atol=1e-5) for v, w in zip(a["value"], b["value"]))
+    # all residuals once, then of each split one child; later roots take counts alone
+    assert all(max(slots) <= 2 ** max(depth - 1, 0) for depth, residuals, slots in seen if residuals)
+    assert sum(depth == 0 and residuals for depth, residuals, _ in seen) == 2 and sum(not residuals for _, residuals, _ in seen) == 4
+
+
+def test_draws_of_a_row_are_one_row_where_noise_ends(spark):
+    x = np.array([[0.5, -1.0], [0.5, -1.0], [-0.25, 1.0], [0.9, 1.0]])
+    train = spark.createDataFrame([(r.tolist(), 0, i) for i, r in enumerate(x)], "features array<double>, lab int, base long").coalesce(1)
+    p = flow.FlowParams(nt=2, n_noise=5, bins=16)
+    model = flow.FlowSynthesizer(p, dims=2)
+    state, path = model._first_state(train, len(x))
+    rows = state.collect()
+    flow.drop_path(spark, path)
+    first = [r for r in rows if r["level"] == 0]
+    assert sum(r["n"] for r in first) == 20 and not any(r["weight"] for r in first)
+    weight = np.concatenate([np.frombuffer(r["weight"]) for r in rows if r["level"] == 1])
+    assert weight.sum() == 20 and len(weight) <= 4
+    y = sum((x - normals(np.arange(4), rep, 2)).sum(axis=0) for rep in range(5))
+    got = sum((np.frombuffer(r["residual"], np.float32).reshape(2, -1) * np.frombuffer(r["weight"])).sum(axis=1) for r in rows if r["level"] == 1)
+    assert np.allclose(got, y, atol=1e-4)
